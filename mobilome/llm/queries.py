@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mobilome.llm import exact_dedup, mixing
+from mobilome.llm import bpe, exact_dedup, mixing, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
+    "op8_bpe": bpe.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
