@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mobilome.llm import bpe, exact_dedup, mixing, token_counts
+from mobilome.llm import bpe, exact_dedup, mixing, simhash, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
+    "op6_simhash": simhash.query,
     "op8_bpe": bpe.query,
     "op9_exact_dedup": exact_dedup.query,
 }
