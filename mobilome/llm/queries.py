@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mobilome.llm import bpe, exact_dedup, mixing, simhash, token_counts
+from mobilome.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
+    "op3_embedding_dedup": embedding_dedup.query,
     "op5_mix_sources": mixing.query,
     "op6_simhash": simhash.query,
     "op8_bpe": bpe.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
