@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from mobilome.llm import bpe, embedding_dedup, exact_dedup, mixing, personal_data, simhash, token_counts
+from mobilome.llm import (
+    bpe, embedding_dedup, exact_dedup, html_text, mixing, personal_data, quality, simhash, token_counts, toxicity,
+)
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_token_counts": token_counts.query,
     "op3_embedding_dedup": embedding_dedup.query,
+    "op4_toxicity": toxicity.query,
     "op5_mix_sources": mixing.query,
     "op6_simhash": simhash.query,
     "op7_personal_data": personal_data.query,
     "op8_bpe": bpe.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_html_text": html_text.query,
 }
 
 ORACLE_SQL = {
