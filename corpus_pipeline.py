@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mobilome.llm.bpe import encode_documents
 from mobilome.llm.exact_dedup import exact_duplicates
 from mobilome.llm.mixing import mix_sources
-from mobilome.llm.quality import quality
+from mobilome.llm.quality import scorer, train
 from mobilome.llm.simhash import near_duplicates
 from mobilome.storage import materialize
 
@@ -25,14 +25,14 @@ QUALITY = 0.7
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is among the distinct ``ids`` (a null id matches a null id)."""
-    ids = ids.select(F.col("doc_id").alias("kept_id"))
+    ids = ids.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
     return docs.select(COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects."""
-    scored = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scored.filter(F.col("score") >= QUALITY))
+    score = scorer(train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return docs.select(COLUMNS).filter(score("text")["score"] >= QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,21 +216,25 @@ def score_texts(model, texts: list[str | None]) -> tuple[np.ndarray, list[np.nda
     return score, np.split(good, np.cumsum(lengths)[:-1])
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """Per document: doc_id, score and ``lines``, the chance of each non-blank line of being good."""
-    model = train(docs, labels, per_class)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            if model is None:
-                score, lines = np.full(len(texts), 0.5), [np.zeros(0)] * len(texts)
-            else:
-                score, lines = score_texts(model, texts)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score, "lines": [x.tolist() for x in lines]})
+def scorer(model):
+    """A function of a text column: struct of ``score`` and ``lines``, the chance of each non-blank line of being good."""
+
+    @F.pandas_udf("score double, lines array<double>")
+    def score(text: pd.Series) -> pd.DataFrame:
+        texts = [t if isinstance(t, str) else None for t in text]
+        if model is None:
+            return pd.DataFrame({"score": np.full(len(texts), 0.5), "lines": [[]] * len(texts)})
+        found, lines = score_texts(model, texts)
+        return pd.DataFrame({"score": found, "lines": [x.tolist() for x in lines]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, score double, lines array<double>")
+    return score
+
+
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """Per document: doc_id, score and ``lines``."""
+    score = scorer(train(docs, labels, per_class))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score("text").alias("q"))
+    return scored.select("doc_id", "q.score", "q.lines")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
