@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.llm.labelled import held_out, training_sample
+from mobilome.storage import materialize
 
 FOLD = (3, 1)
 #: Labelled documents of each class that are fitted at most.
@@ -54,89 +55,97 @@ def sentences(text: str) -> list[tuple[int, int, set[str]]]:
     return out
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _occurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each feature once per document, with the document's label."""
     for pdf in batches:
-        rows = []
+        found, ys = [], []
         for text, y in zip(pdf["text"], pdf["y"]):
-            flat, owner = [], []
-            for i, (_, _, words) in enumerate(sentences(text or "")):
-                for w in words:
-                    f = features(w)
-                    flat += f
-                    owner += [i] * len(f)
-            rows.append((int(y), np.array(flat, "<u4").tobytes(), np.array(owner, "<u4").tobytes()))
-        yield pd.DataFrame(rows, columns=["y", "features", "sentence"])
+            own = {f for w in set(WORD.findall((text or "").lower())) for f in features(w)}
+            found += own
+            ys += [int(y)] * len(own)
+        yield pd.DataFrame({"feature": np.array(found, np.int64), "y": np.array(ys, np.int32)})
 
 
-def select_features(doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features that speak for toxic documents, and the log-odds of each.
+def telling_features(sample: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features that speak for toxic documents (sorted), and the log-odds of each, counted in the cluster.
 
     Under noisy-or no word makes a sentence elsewhere in the document cleaner, so
     only evidence for the class is of use.
     """
-    pairs = np.unique((doc.astype(np.uint64) << np.uint64(32)) | feature)
-    known, at = np.unique(pairs & np.uint64(0xFFFFFFFF), return_inverse=True)
-    positive = y[(pairs >> np.uint64(32)).astype(np.int64)] == 1
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    in1 = np.bincount(at[positive], minlength=len(known))
-    in0 = np.bincount(at[~positive], minlength=len(known))
-    odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-    z = odds / np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
-    chosen = np.flatnonzero((z >= LEAST_Z) & (in1 >= LEAST_DOCS))
-    return known[chosen], odds[chosen]
+    counts = sample.mapInPandas(_occurring, "feature long, y int").groupBy("feature").agg(
+        F.sum("y").cast("double").alias("in1"), F.sum(1 - F.col("y")).cast("double").alias("in0")
+    )
+    odds = F.log((F.col("in1") + 0.5) / (n1 + 1)) - F.log((F.col("in0") + 0.5) / (n0 + 1))
+    z = odds / F.sqrt(1 / (F.col("in1") + 0.5) + 1 / (F.col("in0") + 0.5))
+    told = counts.filter((F.col("in1") >= LEAST_DOCS) & (z >= LEAST_Z)).select("feature", odds.alias("odds")).toPandas()
+    order = np.argsort(told["feature"].to_numpy(np.int64))
+    return told["feature"].to_numpy(np.int64)[order], told["odds"].to_numpy(float)[order]
+
+
+def _bags(known: np.ndarray):
+    place = {int(f): i for i, f in enumerate(known)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text, y in zip(pdf["text"], pdf["y"]):
+                found, owner = [], []
+                bags = sentences(text or "")
+                for i, (_, _, words) in enumerate(bags):
+                    hit = [place[f] for w in words for f in features(w) if f in place]
+                    found += hit
+                    owner += [i] * len(hit)
+                rows.append((int(y), len(bags), np.array(found, "<i4").tobytes(), np.array(owner, "<i4").tobytes()))
+            yield pd.DataFrame(rows, columns=["y", "n", "features", "sentence"])
+
+    return run
 
 
 def fit_bags(
-    doc: np.ndarray, bag: np.ndarray, feature: np.ndarray, doc_of_bag: np.ndarray, y: np.ndarray, weight: np.ndarray,
+    bag: np.ndarray, place: np.ndarray, odds: np.ndarray, doc_of_bag: np.ndarray, y: np.ndarray, weight: np.ndarray,
     rounds: int = 300, rate: float = 0.05, ridge: float = 1e-5,
-) -> tuple[dict[int, float], float]:
-    """Weights and bias of the sentence scorer, by Adam on the noisy-or likelihood.
+) -> np.ndarray:
+    """Weights of the features, then the bias, by Adam on the noisy-or likelihood.
 
-    ``doc``, ``bag`` and ``feature`` are one entry per occurrence; ``doc_of_bag``
-    gives each sentence's document.
+    ``bag`` and ``place`` have one entry per occurrence of a feature in a sentence;
+    ``doc_of_bag`` gives each sentence's document.
     """
-    known, odds = select_features(doc, feature, y)
-    place = np.searchsorted(known, feature)
-    place = np.minimum(place, max(0, len(known) - 1))
-    hit = known[place] == feature if len(known) else np.zeros(len(feature), bool)
-    place, bag = place[hit], bag[hit]
     n_bags = len(doc_of_bag)
     theta = np.append(np.clip(odds, -1, 1) * 0.5, -4.0)
     m = v = np.zeros_like(theta)
     total = weight.sum()
     for t in range(1, rounds + 1):
         z = theta[-1] + np.bincount(bag, theta[place], n_bags)
-        soft = np.logaddexp(0, z)
-        exposure = np.bincount(doc_of_bag, soft, len(y))
+        exposure = np.bincount(doc_of_bag, np.logaddexp(0, z), len(y))
         # d loss / d exposure: 1 for clean documents, -e/(1-e) for toxic ones.
         none = np.exp(-np.maximum(exposure, 1e-9))
         slope = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * weight / total
         g = slope[doc_of_bag] * np.exp(-np.logaddexp(0, -z))
-        grad = np.append(np.bincount(place, g[bag], len(known)), g.sum())
+        grad = np.append(np.bincount(place, g[bag], len(odds)), g.sum())
         grad[:-1] += ridge * theta[:-1] / np.sqrt(len(y))
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return {int(f): float(w) for f, w in zip(known, theta) if abs(w) > 1e-3}, float(theta[-1])
+    return theta
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[dict[int, float], float] | None:
     """Fit the sentence scorer on a bounded sample; None if a class has no document."""
     sample, sizes = training_sample(docs, labels, "toxic", FOLD, per_class)
-    bags = sample.mapInPandas(_bags, "y int, features binary, sentence binary").toPandas()
-    y = bags["y"].to_numpy(np.int64)
-    if not (y == 1).any() or not (y == 0).any():
+    sample = materialize(sample, "toxicity-sample")
+    n = {int(r["y"]): int(r["count"]) for r in sample.groupBy("y").count().collect()}
+    if not n.get(1) or not n.get(0):
         return None
-    parts = [np.frombuffer(b, "<u4") for b in bags["features"]]
-    within = [np.frombuffer(b, "<u4").astype(np.int64) for b in bags["sentence"]]
-    per_doc = np.array([int(s[-1]) + 1 if len(s) else 0 for s in within])
+    known, odds = telling_features(sample, n[1], n[0])
+    bags = sample.select("y", "text").mapInPandas(_bags(known), "y int, n int, features binary, sentence binary").toPandas()
+    y, per_doc = bags["y"].to_numpy(np.int64), bags["n"].to_numpy(np.int64)
     first = np.cumsum(per_doc) - per_doc
-    bag = np.concatenate([s + a for s, a in zip(within, first)])
-    doc_of_bag = np.repeat(np.arange(len(y)), per_doc)
+    bag = np.concatenate([np.frombuffer(b, "<i4") + a for b, a in zip(bags["sentence"], first)]).astype(np.int64)
+    place = np.concatenate([np.frombuffer(b, "<i4") for b in bags["features"]]).astype(np.int64)
     # The sample holds classes evenly; weights restore their shares.
-    share = {c: sizes.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
-    weight = np.where(y == 1, share[1], share[0])
-    return fit_bags(np.repeat(np.arange(len(y)), [len(p) for p in parts]), bag, np.concatenate(parts), doc_of_bag, y, weight)
+    weight = np.where(y == 1, sizes[1] / n[1], sizes[0] / n[0])
+    theta = fit_bags(bag, place, odds, np.repeat(np.arange(len(y)), per_doc), y, weight)
+    return {int(f): float(w) for f, w in zip(known, theta) if abs(w) > 1e-3}, float(theta[-1])
 
 
 class Scorer:
