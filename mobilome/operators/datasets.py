@@ -118,7 +118,7 @@ def greedy_assignment(clusters: pd.DataFrame, ratios: Sequence[float], seed: str
         for s, n in strata[c]:
             seen[best][s] += int(n)
         out.append((c, SPLITS[best]))
-    return pd.DataFrame(out, columns=["cluster", "split"])
+    return pd.DataFrame(out, columns=["_cluster", "split"])
 
 
 def cluster_split(rows: DataFrame, cluster: str, stratum: str, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: str = "42") -> DataFrame:
@@ -130,9 +130,9 @@ def cluster_split(rows: DataFrame, cluster: str, stratum: str, ratios: Sequence[
     counts = rows.groupBy(F.col(cluster).cast("string").alias("cluster"), F.col(stratum).cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.fillna({"stratum": ""})
     assigned = counts.groupBy(F.lit(1).alias("_one")).applyInPandas(
-        lambda pdf: greedy_assignment(pdf[["cluster", "stratum", "n"]], ratios, seed), "cluster string, split string"
+        lambda pdf: greedy_assignment(pdf[["cluster", "stratum", "n"]], ratios, seed), "_cluster string, split string"
     )
-    return rows.join(assigned, F.col(cluster).cast("string") == F.col("cluster")).drop(assigned["cluster"])
+    return rows.join(assigned, F.col(cluster).cast("string") == F.col("_cluster")).drop("_cluster")
 
 
 def shared_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

@@ -35,7 +35,7 @@ def reading_frames(dna: str, least: int = 90) -> list[tuple[int, int, str, bool,
     n, found = len(dna), []
     for strand, s in (("+", dna), ("-", K.reverse_complement(dna))):
         for frame in range(3):
-            first, opened = frame, True
+            first, opened = frame, s[frame : frame + 3] not in STARTS  # a frame may begin before the contig does
             for i in range(frame, n - 2, 3):
                 codon = s[i : i + 3]
                 if codon in STOPS:
