@@ -25,6 +25,8 @@ from mobilome.storage import materialize
 WORDS = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
 LEVEL_BITS = 12
+#: Parts over which the rows of one source are dealt when they meet its plan.
+SALTS = 64
 
 
 def content_hash(doc_id: Column, text: Column) -> Column:
@@ -112,13 +114,15 @@ def mix_sources(
     )
     for depth in range(HASH_BITS // LEVEL_BITS):
         left = HASH_BITS - LEVEL_BITS * depth
-        inside = sizes.select(
-            "source",
-            "size",
-            F.shiftright("h", left).alias("at"),
-            F.shiftright("h", left - LEVEL_BITS).alias("bucket"),
-        ).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("prefix")))
-        histogram = inside.groupBy("s", "budget", "below", "bucket").agg(F.sum("size").alias("mass"))
+        hashed = sizes.select(
+            "source", "size", F.shiftright("h", left).alias("at"), F.shiftright("h", left - LEVEL_BITS).alias("bucket")
+        )
+        own = F.col("source").eqNullSafe(F.col("s"))
+        if depth:  # only the boundary bucket is refined; the rows meet it by source and leading hash bits
+            inside = hashed.join(edge, own & (F.col("at") == F.col("prefix")))
+            histogram = inside.groupBy("s", "budget", "below", "bucket").agg(F.sum("size").alias("mass"))
+        else:  # all rows take part: they are summed before they meet their source
+            histogram = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("mass")).join(edge, own)
         run = Window.partitionBy("s", "budget", "below").orderBy("bucket")
         cum = histogram.withColumn("upto", F.col("below") + F.sum("mass").over(run))
         edge = (
@@ -131,12 +135,15 @@ def mix_sources(
             edge = edge.drop("upto")
     nearer = (F.col("upto") - F.col("budget")) < (F.col("budget") - F.col("below"))
     limit = edge.select("s", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("limit"))
+    # Rows of one source are dealt over SALTS parts, so that a hot source is not one task.
     plan = plan.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", "full", F.coalesce("limit", F.lit(0)).alias("limit")
+        F.col("source").alias("s"), "source_size", "target", "full", F.coalesce("limit", F.lit(0)).alias("limit"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part"),
     )
     copies = F.col("full") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)
+    salted = sizes.withColumn("salt", F.pmod("h", F.lit(SALTS).cast("long")))
     return (
-        sizes.join(plan, F.col("source").eqNullSafe(F.col("s")))
+        salted.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("part")))
         .withColumn("copies", copies.cast("long"))
         .select(
             "doc_id", "source", "size", "source_size", "target", "copies",
