@@ -37,6 +37,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half-even rounding of the value without floating-point noise, so that ties fall alike in any engine."""
+    return F.bround(F.round(x, 12), places)
+
+
 def lookup(key: Column, table: dict, field: int, default) -> Column:
     """A small constant table as an expression."""
     entries = [x for k, v in table.items() for x in (F.lit(k), F.lit(v[field]))]
@@ -75,11 +80,11 @@ def element_scores(
         .when((length >= low * 0.5) & (length <= high * 1.8), 0.50)
         .otherwise(0.25)
     )
-    score = F.bround(clamp(0.35 * tpase + 0.25 * boundary + 0.15 * tsd + 0.15 * arch + 0.10 * size, 0.0, 1.0), 4)
+    score = rounded(clamp(0.35 * tpase + 0.25 * boundary + 0.15 * tsd + 0.15 * arch + 0.10 * size, 0.0, 1.0), 4)
     status = F.when((score >= 0.65) & complete, "complete").when(score >= 0.38, "partial").otherwise("pseudo")
     return F.struct(
-        F.bround(tpase, 4).alias("tpase_score"), F.bround(boundary, 4).alias("boundary_score"), F.bround(tsd, 4).alias("tsd_score"),
-        arch.alias("architecture_score"), size.alias("length_score"), F.bround(density, 3).alias("coding_density"),
+        rounded(tpase, 4).alias("tpase_score"), rounded(boundary, 4).alias("boundary_score"), rounded(tsd, 4).alias("tsd_score"),
+        arch.alias("architecture_score"), size.alias("length_score"), rounded(density, 3).alias("coding_density"),
         score.alias("composite_score"), status.alias("status"),
     )
 
@@ -139,11 +144,11 @@ def fuse(p: Column, fast: Column, full: Column, identity: Column, coverage: Colu
         F.when(strong, 0.40 * p + 0.35 * s + 0.20 * h + 0.08).when(any_hit, 0.50 * p + 0.42 * s + 0.08 * h).otherwise(0.5 * p + 0.5 * s)
     )
     without = F.when(strong, F.greatest(p, 0.70 * p + 0.30)).otherwise(p)
-    score = F.bround(clamp(F.when(s.isNotNull(), with_structure).otherwise(without), 0.0, 1.0), 4)
+    score = rounded(clamp(F.when(s.isNotNull(), with_structure).otherwise(without), 0.0, 1.0), 4)
     confidence = F.greatest(p, F.coalesce(s, F.lit(0.0)), score)
     penalty = F.least(F.lit(1.0), F.when(any_hit, h * 1.2).otherwise(0.0))
     penalty = F.when(strong, F.greatest(F.lit(0.85), penalty)).otherwise(penalty)
-    novelty = F.when(score < LOW, 0.0).otherwise(F.bround(clamp(confidence * (1 - penalty), 0.0, 1.0), 4))
+    novelty = F.when(score < LOW, 0.0).otherwise(rounded(clamp(confidence * (1 - penalty), 0.0, 1.0), 4))
 
     def final(category: str, stage: str, notes: str) -> Column:
         return F.struct(F.lit(category).alias("final_category"), F.lit(stage).alias("routing_stage"), F.lit(notes).alias("notes"))

@@ -439,10 +439,10 @@ def router_policy(spark, d):
 
 @query(f"""
 WITH {SQL_EVIDENCE}, a AS (SELECT *, coalesce(ident, 0) / 100 * (coalesce(cov, 0) / 100) AS h, CASE WHEN fast IS NOT NULL AND "full" IS NOT NULL THEN (fast + "full") / 2 ELSE coalesce(fast, "full") END AS s FROM strong),
-b AS (SELECT *, round_even(greatest(0.0, least(1.0, CASE WHEN s IS NOT NULL THEN (CASE WHEN strong THEN 0.40::DOUBLE * p + 0.35::DOUBLE * s + 0.20::DOUBLE * h + 0.08::DOUBLE WHEN any_hit THEN 0.50::DOUBLE * p + 0.42::DOUBLE * s + 0.08::DOUBLE * h ELSE 0.5::DOUBLE * p + 0.5::DOUBLE * s END)
-  ELSE (CASE WHEN strong THEN greatest(p, 0.70::DOUBLE * p + 0.30::DOUBLE) ELSE p END) END)), 4) AS score FROM a),
+b AS (SELECT *, CAST(round_even(CAST(greatest(0.0, least(1.0, CASE WHEN s IS NOT NULL THEN (CASE WHEN strong THEN 0.40::DOUBLE * p + 0.35::DOUBLE * s + 0.20::DOUBLE * h + 0.08::DOUBLE WHEN any_hit THEN 0.50::DOUBLE * p + 0.42::DOUBLE * s + 0.08::DOUBLE * h ELSE 0.5::DOUBLE * p + 0.5::DOUBLE * s END)
+  ELSE (CASE WHEN strong THEN greatest(p, 0.70::DOUBLE * p + 0.30::DOUBLE) ELSE p END) END)) AS DECIMAL(18, 12)), 4) AS DOUBLE) AS score FROM a),
 c AS (SELECT *, CASE WHEN strong THEN greatest(0.85, least(1.0, CASE WHEN any_hit THEN h * 1.2::DOUBLE ELSE 0 END)) ELSE least(1.0, CASE WHEN any_hit THEN h * 1.2::DOUBLE ELSE 0 END) END AS pen FROM b)
-SELECT okey, score AS transposase_score, CASE WHEN score < 0.35 THEN 0.0 ELSE round_even(greatest(0.0, least(1.0, greatest(p, coalesce(s, 0), score) * (1 - pen))), 4) END AS novelty_score,
+SELECT okey, score AS transposase_score, CASE WHEN score < 0.35 THEN 0.0 ELSE CAST(round_even(CAST(greatest(0.0, least(1.0, greatest(p, coalesce(s, 0), score) * (1 - pen))) AS DECIMAL(18, 12)), 4) AS DOUBLE) END AS novelty_score,
   CASE WHEN score >= 0.7 THEN (CASE WHEN strong THEN 'Known-like' WHEN any_hit AND s >= 0.55 THEN 'Remote' WHEN (NOT any_hit OR h < 0.05) AND s >= 0.65 THEN 'Novel_candidate' WHEN s >= 0.55 THEN 'Remote' ELSE 'Uncertain' END)
        WHEN score < 0.35 THEN (CASE WHEN strong THEN 'Uncertain' ELSE 'Negative' END) ELSE 'Uncertain' END AS final_category,
   CASE WHEN score >= 0.7 THEN (CASE WHEN strong THEN 'fusion_known_like' WHEN any_hit AND s >= 0.55 THEN 'fusion_remote' WHEN (NOT any_hit OR h < 0.05) AND s >= 0.65 THEN 'fusion_novel_candidate' WHEN s >= 0.55 THEN 'fusion_remote' ELSE 'fusion_uncertain' END)
@@ -465,8 +465,8 @@ a AS (SELECT *, fam NOT IN ('IS200/IS605', 'IS91', 'IS110', 'IS607') AS canon, l
 b AS (SELECT *, CASE WHEN canon THEN coalesce(ti * least(1.0, tl / 20.0::DOUBLE), 0.15) ELSE coalesce(greatest(0.2, least(1.0, st / 22.0::DOUBLE)), 0.2) END AS bd, CASE WHEN canon THEN coalesce(least(1.0, ts / 18.0::DOUBLE), 0.05) ELSE 1.0 END AS td,
   CASE WHEN den BETWEEN 0.5 AND 0.95 THEN 1.0 WHEN den >= 0.35 AND den < 0.5 THEN 0.7 WHEN den > 0.95 THEN 0.85 ELSE 0.4 END AS ar,
   CASE WHEN len BETWEEN lo AND hi THEN 1.0 WHEN len >= lo * 0.7::DOUBLE AND len <= hi * 1.3::DOUBLE THEN 0.75 WHEN len >= lo * 0.5::DOUBLE AND len <= hi * 1.8::DOUBLE THEN 0.5 ELSE 0.25 END AS ln FROM a),
-c AS (SELECT *, round_even(0.35::DOUBLE * hit + 0.25::DOUBLE * bd + 0.15::DOUBLE * td + 0.15::DOUBLE * ar + 0.10::DOUBLE * ln, 4) AS score FROM b)
-SELECT okey, round_even(bd, 4) AS boundary_score, round_even(td, 4) AS tsd_score, ar::DOUBLE AS architecture_score, ln::DOUBLE AS length_score, score AS composite_score,
+c AS (SELECT *, CAST(round_even(CAST(0.35::DOUBLE * hit + 0.25::DOUBLE * bd + 0.15::DOUBLE * td + 0.15::DOUBLE * ar + 0.10::DOUBLE * ln AS DECIMAL(18, 12)), 4) AS DOUBLE) AS score FROM b)
+SELECT okey, CAST(round_even(CAST(bd AS DECIMAL(18, 12)), 4) AS DOUBLE) AS boundary_score, CAST(round_even(CAST(td AS DECIMAL(18, 12)), 4) AS DOUBLE) AS tsd_score, ar::DOUBLE AS architecture_score, ln::DOUBLE AS length_score, score AS composite_score,
   CASE WHEN score >= 0.65 AND complete THEN 'complete' WHEN score >= 0.38 THEN 'partial' ELSE 'pseudo' END AS status FROM c""")
 def composite_score(spark, d):
     k = F.col("o_orderkey")
