@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mobilome.functions import decisions as D
 from mobilome.functions import sequence as S
-from mobilome.operators import boundaries, datasets, intervals, learning, metrics, scan, similarity
+from mobilome.operators import boundaries, datasets, evaluation, intervals, learning, metrics, scan, similarity
 from mobilome.operators import hits as H
 from mobilome.operators.components import connected_components
 from mobilome.plans.derived import (
@@ -691,3 +691,55 @@ def stream_event_islands(spark, d):
     work = lambda batch: intervals.islands(batch, "user_id", "start", "end", "event_type", 250, ("event_id",)).select("event_id", "user_id", "island")
     incremental(spark, f"{root}/in", source.schema, work, f"{root}/out", f"{root}/check").awaitTermination()
     return spark.read.schema("event_id long, user_id long, island long").option("recursiveFileLookup", "true").parquet(f"{root}/out")
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {SQL_INTERVALS}, p AS (SELECT * FROM iv WHERE event_type = 'click'), t AS (SELECT * FROM iv WHERE event_type = 'view'),
+m AS (SELECT p.event_id AS pred_id, t.event_id AS truth_id, t."start" AS ts, greatest(abs(p."start" - t."start"), abs(p."end" - t."end")) AS err,
+    (least(p."end", t."end") - greatest(p."start", t."start")) / greatest(p."end" - p."start", t."end" - t."start") AS ov
+  FROM p JOIN t ON p.user_id = t.user_id AND p."start" < t."end" AND t."start" < p."end"),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY ov DESC, ts, truth_id) AS rn FROM m) WHERE rn = 1 AND ov >= 0.4),
+s AS (SELECT count(DISTINCT truth_id) AS tp, count(DISTINCT pred_id) AS matched, coalesce(avg(err), 999.0) AS mean_error, coalesce(quantile_cont(err, 0.5), 999.0) AS median_error FROM b),
+k AS (SELECT *, (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM t) AS n_true FROM s)
+SELECT n_pred, n_true, tp, n_pred - matched AS fp, n_true - tp AS fn, round(coalesce(tp / nullif(tp + n_pred - matched, 0), 0), 6) AS precision, round(coalesce(tp / nullif(n_true, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + n_pred - matched + n_true - tp, 0), 0), 6) AS f1, round(mean_error, 6) AS mean_error, median_error::DOUBLE AS median_error FROM k""")
+def scan_evaluation(spark, d):
+    iv = event_intervals(spark, d).withColumnRenamed("event_id", "id")
+    p, t = iv.filter("event_type = 'click'"), iv.filter("event_type = 'view'")
+    out = evaluation.scan_summary(p, t, intervals.overlap_matches(p, t, 720, 0.4, "user_id"))
+    return out.withColumns({c: r(c) for c in ("precision", "recall", "f1", "mean_error")})
+
+
+@query("""
+WITH x AS (SELECT ['IS3', 'IS110', 'IS1', 'IS91'][1 + o_orderkey % 4] AS family, o_orderkey % 5 AS a, o_orderkey % 13 AS b, o_orderkey % 3 = 0 AS ht, o_orderkey % 2 = 0 AS tt, o_orderkey % 7 < 3 AS hs, o_orderkey % 5 < 2 AS ts FROM orders),
+y AS (SELECT *, family IN ('IS110', 'IS91') AS sp, greatest(a, b) AS w FROM x)
+SELECT family, count(*) AS n, round(avg((w = 0)::INT), 6) AS exact, round(avg((w <= 3)::INT), 6) AS within_3, round(avg((w <= 10)::INT), 6) AS within_10, round(avg((a + b) / 2), 6) AS mean_error, quantile_cont(w, 0.5)::DOUBLE AS median_error,
+  round(coalesce(2 * count(*) FILTER (NOT sp AND ht AND tt) / nullif(2 * count(*) FILTER (NOT sp AND ht AND tt) + count(*) FILTER (NOT sp AND ht AND NOT tt) + count(*) FILTER (NOT sp AND NOT ht AND tt), 0), 0), 6) AS tir_f1,
+  round(coalesce(2 * count(*) FILTER (NOT sp AND hs AND ts) / nullif(2 * count(*) FILTER (NOT sp AND hs AND ts) + count(*) FILTER (NOT sp AND hs AND NOT ts) + count(*) FILTER (NOT sp AND NOT hs AND ts), 0), 0), 6) AS tsd_f1,
+  round(coalesce(count(*) FILTER (sp AND (ht OR hs)) / nullif(count(*) FILTER (sp), 0), 0), 6) AS hallucinated FROM y GROUP BY family""")
+def boundary_evaluation(spark, d):
+    k = F.col("o_orderkey")
+    x = table(spark, d, "orders").select(
+        F.element_at(F.array(*map(F.lit, ("IS3", "IS110", "IS1", "IS91"))), (k % 4 + 1).cast("int")).alias("family"), (k + k % 5).alias("start"), k.alias("true_start"), (k + 900 - k % 13).alias("end"), (k + 900).alias("true_end"),
+        (k % 3 == 0).alias("has_tir"), (k % 2 == 0).alias("true_tir"), (k % 7 < 3).alias("has_tsd"), (k % 5 < 2).alias("true_tsd"),
+    )
+    out = evaluation.boundary_summary(x, ("family",))
+    return out.withColumns({c: r(c) for c in ("exact", "within_3", "within_10", "mean_error", "tir_f1", "tsd_f1", "hallucinated")})
+
+
+_BASE = "CAST('0x' || substr(md5(md5(CAST(doc_id AS VARCHAR)) || '{s}' || ':' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+_PICK = "(SELECT CASE WHEN u < (1 - gc) / 2 THEN 'A' WHEN u < (1 - gc) / 2 + gc / 2 THEN 'C' WHEN u < (1 - gc) / 2 + gc THEN 'G' ELSE 'T' END FROM (SELECT {b} AS u))"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, {SQL_DNA} AS seq FROM documents), g AS (SELECT doc_id, seq, CASE WHEN seq = '' THEN 0.5::DOUBLE ELSE (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) END AS gc FROM s),
+n AS (SELECT *, unnest(range(1, 31)) AS i FROM g), u AS (SELECT *, {_BASE.format(s="l")} AS ul, {_BASE.format(s="r")} AS ur FROM n),
+f AS (SELECT doc_id, seq, string_agg({_PICK.format(b="ul")}, '' ORDER BY i) AS l, string_agg({_PICK.format(b="ur")}, '' ORDER BY i) AS r FROM u GROUP BY doc_id, seq)
+SELECT doc_id, sha256(l || seq || right(l, 5) || r) AS contig_sha256, 30 AS true_start, CAST(30 + length(seq) AS INT) AS true_end, right(l, 5) AS true_tsd FROM f""")
+def synthetic_contigs(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
+    out = evaluation.synthetic_contigs(docs, "doc_id", "seq", 30, 5)
+    return out.select("doc_id", F.sha2("contig", 256).alias("contig_sha256"), "true_start", "true_end", "true_tsd")
