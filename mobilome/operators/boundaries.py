@@ -34,6 +34,12 @@ def flanks(contig: Column, start: Column, end: Column, reach: int = FLANK) -> Co
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over at least as many partitions as there are cores."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _predict(engine: str, left: str, right: str, shift: int, start: int, end: int, family: str) -> dict:
     # The kernels see the flanks around a gap of the interval's own size and never read inside it.
     inner = "N" * (end - start)
@@ -51,7 +57,8 @@ def predict_boundaries(
 ) -> DataFrame:
     """``keep`` columns and the predicted boundary (columns of BOUNDARY) of every interval."""
     rows = genes.select(*keep, F.col(start).cast("int").alias("_s"), F.col(end).cast("int").alias("_e"), F.col(family).alias("_f"), flanks(F.col(contig), F.col(start), F.col(end)).alias("_x"))
-    rows = rows.select(*keep, "_s", "_e", "_f", "_x.*")
+    # The search costs milliseconds a row and a row is two short flanks: spread them over all cores first.
+    rows = spread(rows.select(*keep, "_s", "_e", "_f", "_x.*"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
