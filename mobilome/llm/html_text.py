@@ -2,11 +2,13 @@
 
 A page is cut into blocks.  Containers that are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, comments) are left
-out by element, role and class.  First pass: a block inside an article or main
-element is good; where such an element exists, blocks outside it are bad; else
-link density, length and stop-word density decide, or leave a block ambiguous.
-Second pass: an ambiguous block takes the label of the nearest decided block (of
-two equally near ones the earlier), or is good if none is decided.
+out by element, role and class, with the articles inside them; but a container that is
+never closed, or a form, does not swallow an article, nor does one left out by class
+where nothing else is good.  First pass: link density, length and stop-word density
+call a block good or bad, or leave it ambiguous; inside an article or main element the
+density needed is lower, and only links make a block bad.  Second pass: an ambiguous
+block takes the label of the nearest decided block, inside an article of that article
+(of two equally near ones the earlier), or is good if none is decided.
 
 Defined results: null or empty html, and pages without text, give an empty
 string and n_chars 0; unclosed and stray tags are tolerated as browsers do; null ids and
@@ -82,15 +84,24 @@ def _unwanted(tag: str, attributes: str, inside_main: bool) -> str:
     return "never" if tag == "header" and not inside_main else ""
 
 
+def _role(attributes: str) -> str:
+    """The attributes without class and id."""
+    return " ".join(f'{k}="{a or b or c}"' for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() == "role")
+
+
 class _Page:
-    """The blocks of one page: [text, characters inside links, heading, inside main]."""
+    """The blocks of one page: (text, characters inside links, heading, innermost article or main or 0, left-out containers around it)."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self.blocks: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.linked = 0
-        #: Open elements: (tag, why left out, in main, in link).
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        #: Elements so far; of those left out, the ones that were closed, and the ones left out by class alone.
+        self.count = 0
+        self.closed: set[int] = set()
+        self.by_class: set[int] = set()
+        #: Open elements: (tag, why left out, article or main around, in link, number, left-out containers around).
+        self.open: list[tuple[str, str, int, bool, int, tuple[int, ...]]] = [("", "", 0, False, 0, ())]
         at = 0
         while m := MARKUP.search(html, at):
             self.words(html[at : m.start()])
@@ -106,7 +117,7 @@ class _Page:
         self.cut()
 
     def words(self, raw: str) -> None:
-        _, why, _, link = self.open[-1]
+        _, why, _, link, _, _ = self.open[-1]
         if raw and not why:
             text = unescape(raw)
             self.text.append(text)
@@ -119,7 +130,7 @@ class _Page:
             text = " ".join("".join(self.text).split())
             if text:
                 tags = {e[0] for e in self.open}
-                self.blocks.append((text, self.linked, bool(tags & HEADINGS), self.open[-1][2]))
+                self.blocks.append((text, self.linked, bool(tags & HEADINGS), self.open[-1][2], self.open[-1][5]))
             self.text, self.linked = [], 0
 
     def start(self, tag: str, attributes: str, html: str, at: int) -> int:
@@ -135,12 +146,17 @@ class _Page:
             return len(html) if close < 0 else close + 1
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return at
-        _, why, main, link = self.open[-1]
-        own = _unwanted(tag, attributes, main)
+        _, why, main, link, _, around = self.open[-1]
+        own = _unwanted(tag, attributes, bool(main))
+        self.count += 1
         if tag in ("article", "main") and not own:
-            main = True
-            why = why if why == "comments" else ""  # an unclosed container does not swallow the article
-        self.open.append((tag, why or own, main, link or tag == "a"))
+            main = self.count
+            why = why if why == "comments" else ""  # whether a container around it swallows the article shows at its end
+        elif own and tag != "form":
+            around = (*around, self.count)
+            if tag not in NEVER and not _unwanted(tag, _role(attributes), True):
+                self.by_class.add(self.count)
+        self.open.append((tag, why or own, main, link or tag == "a", self.count, around))
         return at
 
     def imply(self, tag: str) -> None:
@@ -159,28 +175,27 @@ class _Page:
             self.cut()
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
+                self.closed.add(self.open[i][4])
                 del self.open[i:]
                 return
             if tag not in BLOCKS and self.open[i][0] in BLOCKS:
                 return
 
 
-def classify(blocks: list[tuple[str, int, bool, bool]]) -> list[int]:
-    """GOOD or BAD for each block."""
-    any_main = any(b[3] for b in blocks)
-    first = []
-    for text, linked, heading, main in blocks:
-        n = len(text)
-        if any_main:
-            first.append(GOOD if main else BAD)
-        elif linked > LINKS_BAD * n:
-            first.append(BAD)
-        elif heading or n < SHORT:
-            first.append(BAD if linked and not heading else OPEN)
-        else:
-            words = text.lower().split()
-            stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            first.append(GOOD if stop >= STOP_HIGH and n > LONG else OPEN if stop >= STOP_LOW or n <= LONG else BAD)
+def _first_pass(text: str, linked: int, heading: bool, main: int) -> int:
+    n = len(text)
+    if linked > LINKS_BAD * n:
+        return OPEN if heading and main else BAD
+    if heading or n < SHORT:
+        return BAD if linked and not heading and not main else OPEN
+    words = text.lower().split()
+    stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if main:
+        return GOOD if stop >= STOP_LOW else OPEN
+    return GOOD if stop >= STOP_HIGH and n > LONG else OPEN if stop >= STOP_LOW or n <= LONG else BAD
+
+
+def _second_pass(first: list[int], headings: list[bool]) -> list[int]:
     before: list[int] = []
     last = None
     for i, x in enumerate(first):
@@ -194,18 +209,41 @@ def classify(blocks: list[tuple[str, int, bool, bool]]) -> list[int]:
             out[i] = GOOD
         elif nxt is None or before[i] >= 0 and i - before[i] <= nxt - i:
             # A heading belongs to what follows it.
-            out[i] = first[nxt] if blocks[i][2] and nxt is not None else first[before[i]]
+            out[i] = first[nxt] if headings[i] and nxt is not None else first[before[i]]
         else:
             out[i] = first[nxt]
     return out
 
 
+def classify(blocks: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> list[int]:
+    """GOOD or BAD for each block."""
+    first = [_first_pass(*b[:4]) for b in blocks]
+    headings = [b[2] for b in blocks]
+    out = _second_pass(first, headings)
+    sections: dict[int, list[int]] = {}
+    for i, b in enumerate(blocks):
+        if b[3]:
+            sections.setdefault(b[3], []).append(i)
+    for own in sections.values():
+        for i, label in zip(own, _second_pass([first[i] for i in own], [headings[i] for i in own])):
+            out[i] = label
+    return out
+
+
+def _good(blocks: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> str:
+    return " ".join([b[0] for b, label in zip(blocks, classify(blocks)) if label == GOOD])
+
+
 def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    blocks = _Page(html).blocks
-    return " ".join([b[0] for b, label in zip(blocks, classify(blocks)) if label == GOOD])
+    page = _Page(html)
+    free = [b for b in page.blocks if page.closed.isdisjoint(b[4])]
+    if len(free) == len(page.blocks):
+        return _good(free)
+    strict = page.closed - page.by_class
+    return _good(free) or _good([b for b in page.blocks if strict.isdisjoint(b[4])])
 
 
 def extract_pages(

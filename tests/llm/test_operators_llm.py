@@ -395,6 +395,22 @@ def test_pages(spark):
     assert {r.page_id: r.text for r in got} == {i: w for i, (_, w) in enumerate(CASES)} | {None: ""} and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_article_is_one_feature_of_many():
+    long, links = PROSE.strip(), "<ul><li><a href=x>one two three</a></li><li><a href=y>four five</a></li></ul>"
+    cases = [
+        (f"<div><p>{long}</p></div><aside><article>teaser</article></aside>", long),
+        (f"<div><p>{long}</p></div><div class='related'><article>{PROSE}</article></div>", long),
+        (f"<div><p>{long}</p></div><article><a href=x>card one</a></article><article><a href=y>card two</a></article>", long),
+        (f"<article><p>{long}</p></article><article><p>{long}</p></article>", f"{long} {long}"),
+        (f"<article><h2><a href=x>Title</a></h2><p>{long}</p>{links}</article>", f"Title {long}"),
+        (f"<div>{links}</div><article><p>{'zzz qqq ' * 40}</p></article>", ("zzz qqq " * 40).strip()),
+        ("<aside><article>teaser</article></aside>", ""), ("<aside>no<article>text</article>", "text"),
+        ("<form>no<article>text</article></form>", "text"), ("<div class='has-sidebar'>no<article>text</article></div>", "text"),
+    ]
+    for source, want in cases:
+        assert html_text.extract(source) == want, source
+
+
 def test_pages_of_the_tables(spark):
     def plain(h):
         m = re.search(r"<article>(.*)</article>", h, re.S)
