@@ -140,10 +140,18 @@ def components_documents(spark, d):
 
 
 def _clustered(spark, d):
+    """The clusters of the SQL of components_documents."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source")
     return datasets.cluster_table(docs, _document_edges(spark, d), "doc_id", "n_chars")
 
 
+def _similar(spark, d):
+    """Clusters of whole texts by word grams."""
+    docs = table(spark, d, "documents")
+    edges = similarity.similar_text_edges(docs.select(F.col("doc_id").alias("id"), "text"))
+    return datasets.cluster_table(docs.select("doc_id", "n_chars", "lang", "source"), edges, "doc_id", "n_chars")
+
+
 @query(f"""
 WITH RECURSIVE s AS {_SIGNATURE},
 e AS (SELECT doc_id AS x, min(doc_id) OVER (PARTITION BY a) AS y FROM s UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY b) FROM s),
@@ -160,12 +168,12 @@ def cluster_statistics(spark, d):
 
 @query()
 def cluster_split(spark, d):
-    return datasets.cluster_split(_clustered(spark, d), "cluster_id", "lang").select("doc_id", "cluster_id", "split")
+    return datasets.cluster_split(_similar(spark, d), "cluster_id", "lang").select("doc_id", "cluster_id", "split")
 
 
 @query()
 def family_purity(spark, d):
-    return datasets.family_purity(_clustered(spark, d), "cluster_id", "source", "n_chars")
+    return datasets.family_purity(_similar(spark, d), "cluster_id", "source", "n_chars")
 
 
 # --- hits ---------------------------------------------------------------------------------------------------------

@@ -1,12 +1,15 @@
 """Operators on small known cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from mobilome.functions import decisions as D
 from mobilome.functions import sequence as S
-from mobilome.operators import datasets, hits, intervals, learning, metrics, scan, screening
+from mobilome.operators import datasets, hits, intervals, learning, metrics, scan, screening, similarity
 from mobilome.operators.components import connected_components
+from mobilome.plans import bindings
 from mobilome.sources import fasta, tables
 
 
@@ -261,3 +264,42 @@ def test_stream_equals_batch(spark):
 
     d = "/root/testdata/sf0.001"
     assert sorted(bindings.stream_event_islands(spark, d).collect()) == sorted(bindings.event_islands(spark, d).collect())
+
+
+def whole_texts():
+    """Copies, near copies edited at both ends, shared openings only, short copies, and awkward rows."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    opening, out = " ".join(word() for _ in range(20)), []
+    for _ in range(12):
+        body = [word() for _ in range(rng.randrange(40, 90))]
+        out += [" ".join(body), " ".join([word(), *body[1:-1], word()]), " ".join([*body[:20], word(), *body[21:]])]
+        out.append(" ".join(body[: len(body) * 8 // 10]))
+        out.append(opening + " " + " ".join(word() for _ in range(60)))
+    return [*out, "Short one", "short  ONE", "short two", "", None, " ", out[0]]
+
+
+def test_similar_text_edges_by_brute_force(spark):
+    found = whole_texts()
+    own = []
+    for t in found:
+        w = (t or "").lower().split()
+        own.append(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    want = list(range(len(found)))
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            if a == b or len(a & b) >= 0.8 * max(len(a), len(b)):
+                want = [want[j] if x == want[i] else x for x in want] if want[j] < want[i] else [want[i] if x == want[j] else x for x in want]
+    docs = spark.createDataFrame([*enumerate(found), (None, found[0])], "id long, text string").repartition(3)
+    got = {r.node: r.component for r in connected_components(similarity.similar_text_edges(docs)).collect()}
+    assert [got.get(i, i) for i in range(len(found))] == want and len(set(want)) < len(want) - 20
+
+
+def test_clusters_read_whole_texts(spark, tmp_path):
+    body = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, f"first {body} last"), (2, f"other {body} end"), (3, "w0 " * 20 + " ".join(f"a{i}" for i in range(80))), (4, "w0 " * 20 + " ".join(f"b{i}" for i in range(80))), (5, "tiny"), (6, "tiny")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cluster = {r.doc_id: r.cluster_id for r in bindings.cluster_split(spark, str(tmp_path)).collect()}
+    assert cluster[1] == cluster[2] and cluster[5] == cluster[6] and len(set(cluster.values())) == 4
+    assert sorted(r.size for r in bindings.family_purity(spark, str(tmp_path)).collect()) == [1, 1, 2, 2]
