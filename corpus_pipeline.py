@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet to the shared folder and hands the table on.  All stages
-but the last return the columns of ``documents``.  Where a stage needs one row
-of several equal ones (the same id twice), it keeps one.
+but the last return the columns of ``documents``.  Stages that decide between
+rows number them first and decide by row, so that of several rows with one id,
+null or not, each has its own verdict; of equal rows one is kept.
 """
 
 from __future__ import annotations
@@ -23,10 +24,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY = 0.7
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among the distinct ``ids`` (a null id matches a null id)."""
-    ids = ids.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
-    return docs.select(COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+def _numbered(docs: DataFrame, label: str, ordered: bool = True) -> DataFrame:
+    """``docs`` with a distinct number ``row`` for each row, if ``ordered`` in the order of the ids, null ids last.
+
+    The numbers are written with the rows, so that they are the same in every use.
+    The hash spreads rows of one id over the ranges.
+    """
+    rows = docs.select(COLUMNS)
+    if ordered:
+        rows = rows.sort(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), label)
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose number is among the distinct ``kept``."""
+    kept = kept.select(F.col("doc_id").alias("kept_row")).hint("shuffle_hash")
+    return rows.join(kept, F.col("row") == F.col("kept_row"), "left_semi").select(COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +50,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of equal texts."""
-    return _only(docs, exact_duplicates(docs).filter("kept"))
+    rows = _numbered(docs, "exact-numbered")
+    return _only(rows, exact_duplicates(rows, id_col="row").filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies."""
-    return _only(docs, near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    rows = _numbered(docs, "near-numbered")
+    return _only(rows, near_duplicates(rows, id_col="row").filter(F.col("doc_id") == F.col("component_id")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it; what it does not take goes."""
-    copies = mix_sources(docs).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies").distinct()
-    taken = docs.select(COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    rows = _numbered(docs, "mixing-numbered", ordered=False)
+    copies = mix_sources(rows, row_col="row").filter("copies > 0").select(F.col("row").alias("taken_row"), "copies")
+    taken = rows.join(copies, F.col("row") == F.col("taken_row"))
     return taken.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 

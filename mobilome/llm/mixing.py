@@ -84,8 +84,9 @@ def mix_sources(
     weights: Sequence[int] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Per document: size, its source's size and target, ``copies`` and ``taken`` words.
+    """Per document: size, its source's size and target, ``copies`` and ``taken`` words; ``row`` too if ``row_col`` is given.
 
     Every document is taken ``floor(target / source_size)`` times, and those
     below the source's hash threshold once more.  The document at the threshold
@@ -98,6 +99,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
             content_hash(F.col(id_col), text).alias("h"),
+            *([F.col(row_col).alias("row")] if row_col else []),
         ),
         "mix-sizes",
     )
@@ -147,7 +149,7 @@ def mix_sources(
         .withColumn("copies", copies.cast("long"))
         .select(
             "doc_id", "source", "size", "source_size", "target", "copies",
-            (F.col("size") * F.col("copies")).alias("taken"),
+            (F.col("size") * F.col("copies")).alias("taken"), *(["row"] if row_col else []),
         )
     )
 

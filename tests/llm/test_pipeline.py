@@ -80,3 +80,21 @@ def test_run_is_all_stages(spark):
         empty = stage(spark, empty, D)
         assert empty.count() == 0
         empty = empty if set(P.COLUMNS) <= set(empty.columns) else None
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select(P.COLUMNS)
+    found = [r.text for r in docs.filter("length(text) > 400").orderBy("doc_id").limit(4).collect()]
+    a, b, c, e = found
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, e), (3, c + " ")]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    exact = P.exact_stage(spark, given, D)
+    assert sorted((str(r.doc_id), r.text) for r in exact.collect()) == sorted([("1", a), ("2", b), ("3", e), ("3", c + " ")])
+    near = P.near_stage(spark, given.filter("doc_id IS NULL OR doc_id < 3"), D)
+    assert sorted((str(r.doc_id), r.text) for r in near.collect()) == sorted([("1", a), ("2", b), ("None", c)])
+    many = spark.createDataFrame([(None if i % 2 else 7, f"{i} {a}", "en", f"s{i % 3}", 1) for i in range(30)], docs.schema)
+    plan = Counter({(r.doc_id, r.size): 0 for r in P.mix_sources(many).collect()})
+    for r in P.mix_sources(many).collect():
+        plan[r.doc_id, r.size] += r.copies
+    got = Counter((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))) for r in P.mixing_stage(spark, many, D).collect())
+    assert got == +plan and sum(got.values()) < 60
