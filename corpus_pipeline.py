@@ -43,9 +43,11 @@ def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality classifier rejects."""
-    score = scorer(train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return docs.select(COLUMNS).filter(score("text")["score"] >= QUALITY)
+    """Drop what the quality classifier rejects; nothing where a class has no label to fit one."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs.select(COLUMNS)
+    return docs.select(COLUMNS).filter(scorer(model)("text")["score"] >= QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

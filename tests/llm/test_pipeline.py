@@ -98,3 +98,10 @@ def test_repeated_and_null_ids_are_rows_of_their_own(spark):
         plan[r.doc_id, r.size] += r.copies
     got = Counter((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))) for r in P.mixing_stage(spark, many, D).collect())
     assert got == +plan and sum(got.values()) < 60
+
+
+def test_quality_stage_without_a_model_keeps_all(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for place, labels in (("none", []), ("one-class", [(r.doc_id, 1, 0) for r in docs.select("doc_id").limit(50).collect()])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{place}/labels.parquet")
+        assert P.quality_stage(spark, docs, f"{tmp_path}/{place}").count() == docs.count()
