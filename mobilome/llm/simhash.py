@@ -134,7 +134,8 @@ def similar_pairs(distinct: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": keys, "fp": fps[a : a + 4096][place]})
 
     keyed = distinct.select("fp").mapInPandas(explode, "key long, fp long")
-    x, y = keyed.alias("x"), keyed.alias("y")
+    # A fingerprint becomes about 96 rows, which the size of the table does not show: never broadcast them.
+    x, y = keyed.hint("merge").alias("x"), keyed.alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     match = (
         (F.col("x.key") == F.col("y.key"))
