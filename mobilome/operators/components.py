@@ -3,7 +3,10 @@
 Every round is two shuffles of the edges keyed by node, pre-aggregated to the
 smallest neighbour, so that a hub is a skewed join side that adaptive execution
 can split and never a collected group.  Each round is written to the shared
-folder: lineage stays short and lost executors cost one round at most.
+folder: lineage stays short and lost executors cost one round at most; the
+table of the round before is removed.
+
+Nodes may be of any type that has an order, structs included.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilome.storage import materialize
+from mobilome.storage import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -48,4 +51,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if mark == seen or mark[0] == 0:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = mark
-        current = materialize(_small_star(_large_star(current)), "edges")
+        before, current = current, materialize(_small_star(_large_star(current)), "edges")
+        discard(before)

@@ -10,14 +10,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only by a session on one machine that names no checkpoint folder, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` if set, else a default."""
+    """The shared folder: ``spark.checkpoint.dir``; on a local master a default, on a cluster an error if it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or DEFAULT_SHARED).rstrip("/")
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = DEFAULT_SHARED
+    return root.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -30,4 +35,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/mobilome/{app}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._shared_path = path
+    return written
+
+
+def discard(table: DataFrame | None) -> None:
+    """Remove a table that ``materialize`` returned and that no later plan reads."""
+    path = getattr(table, "_shared_path", None)
+    if path is None:
+        return
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
