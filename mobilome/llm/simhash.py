@@ -11,8 +11,8 @@ only under the first kind of key that must find it.
 
 Defined results: a null text is empty; a text without words has fingerprint
 zero and is linked like any other; with fewer words than a shingle has, the whole sequence is
-the one shingle; null ids are never a ``component_id`` unless the component has
-no other; repeated rows are answered alike; an empty table gives an empty result.
+the one shingle; very long texts are hashed whole, SLAB shingles at a time; null ids are never a ``component_id``
+unless the component has no other; repeated rows are answered alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from mobilome.llm import golay
 from mobilome.operators.components import connected_components
+from mobilome.operators.joins import join_answers
 from mobilome.storage import materialize
 
 MAX_BITS = 4
@@ -36,6 +37,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 HALVES = (((0, 11), (11, 11)), ((22, 11), (33, 10)), ((43, 11), (54, 10)))
 #: Shingles of one text that are held at a time.
 SLAB = 65_536
+#: Fingerprints of one key that are joined pair by pair at most, and members of one tile beyond that, on average.
+CROWD, TILE = 64, 2_048
 
 
 def _kinds() -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -120,11 +123,8 @@ def _first_kind(differ: Column) -> Column:
     return found
 
 
-def similar_pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of distinct fingerprints that differ in at most MAX_BITS bits.
-
-    ``distinct`` has the column fp, each value once.  A pair can appear up to six times.
-    """
+def _keyed(distinct: DataFrame) -> DataFrame:
+    """(key, fp): every fingerprint under all its keys."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,9 +133,55 @@ def similar_pairs(distinct: DataFrame) -> DataFrame:
                 keys, place = bucket_keys(fps[a : a + 4096])
                 yield pd.DataFrame({"key": keys, "fp": fps[a : a + 4096][place]})
 
-    keyed = distinct.select("fp").mapInPandas(explode, "key long, fp long")
+    return distinct.select("fp").mapInPandas(explode, "key long, fp long")
+
+
+def local_trees(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """(n, 2) edges of a forest that joins what links of at most MAX_BITS join.
+
+    ``a`` and ``b`` are distinct fingerprints (uint64); links inside ``a`` if
+    ``b`` is None, else those between ``a`` and ``b``.  A row of ``a`` is compared with all of ``b`` at
+    once, but it leaves one edge for each tree that it joins, never one for each link.
+    """
+    other = a if b is None else b
+    both = a if b is None else np.concatenate((a, b))
+    shift = 0 if b is None else len(a)
+    label = np.arange(len(both))
+    edges: list[tuple[int, int]] = []
+    for i in range(len(a)):
+        first = i + 1 if b is None else 0
+        near = np.flatnonzero(np.bitwise_count(other[first:] ^ a[i]) <= MAX_BITS) + first + shift
+        near = near[label[near] != label[i]]
+        if len(near):
+            trees, place = np.unique(label[near], return_index=True)
+            edges += [(i, k) for k in near[place].tolist()]
+            label[np.isin(label, trees)] = label[i]
+    return both[np.array(edges, np.int64).reshape(-1, 2)]
+
+
+def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Trees of the links between two tiles of one key, or inside one tile."""
+    i, j = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
+    fps, tile = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["tile"].to_numpy()
+    found = local_trees(np.sort(fps)) if i == j else local_trees(np.sort(fps[tile == i]), np.sort(fps[tile == j]))
+    found = found.view(np.int64)
+    return pd.DataFrame({"src": found[:, 0], "dst": found[:, 1]})
+
+
+def links(distinct: DataFrame, crowd: int = CROWD, tile: int = TILE) -> DataFrame:
+    """Edges (src, dst) between distinct fingerprints that differ in at most MAX_BITS bits; they join all that such links join.
+
+    ``distinct`` has the column fp, each value once.  Under a key of at most
+    ``crowd`` fingerprints every pair is a row, so a fingerprint has fewer than ``crowd`` of them
+    a key.  The members of a larger key are dealt into tiles; every pair
+    of tiles is compared whole, and leaves a forest, fewer edges than it has members.
+    """
     # A fingerprint becomes about 96 rows, which the size of the table does not show: never broadcast them.
-    x, y = keyed.hint("merge").alias("x"), keyed.alias("y")
+    keyed = _keyed(distinct)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    small, large = sizes.filter(F.col("n") <= crowd), sizes.filter(F.col("n") > crowd)
+    x = keyed.join(small.select("key").hint("merge"), "key", "left_semi").alias("x")
+    y = keyed.hint("merge").alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     match = (
         (F.col("x.key") == F.col("y.key"))
@@ -143,20 +189,33 @@ def similar_pairs(distinct: DataFrame) -> DataFrame:
         & (F.bit_count(differ) <= MAX_BITS)
         & (_first_kind(differ) == F.shiftright("x.key", 34))
     )
-    return x.join(y, match).select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst"))
+    pairs = x.join(y, match).select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst"))
+    grid = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    dealt = keyed.join(large, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), grid).cast("int").alias("tile"), grid.alias("g"))
+    paired = dealt.select("key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")).select(
+        "key", "fp", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")
+    )
+    return pairs.unionByName(paired.groupBy("key", "ti", "tj").applyInPandas(_tile_links, "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash-rows")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
-    stars = connected_components(similar_pairs(classes))
-    rooted = classes.join(stars, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("root")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    found = materialize(links(classes), "simhash-links")
+    # A class is known by its smallest id (null last), so that the least class of a component carries the answer.
+    name = F.struct(F.col("low").isNull().alias("none"), "low", "fp")
+    named = classes.select("fp", name.alias("name"))
+    linked = (
+        found.join(named.withColumnsRenamed({"fp": "src", "name": "a"}), "src")
+        .join(named.withColumnsRenamed({"fp": "dst", "name": "b"}), "dst")
+        .select("a", "b")
+    )
+    stars = connected_components(linked, "a", "b").select(F.col("node.fp").alias("fp"), F.col("component.low").alias("least"))
+    owner = classes.join(stars.withColumn("linked", F.lit(True)), "fp", "left").select(
+        "fp", "n", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("component_id")
     )
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    owner = rooted.join(lowest, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(owner, F.col("fp") == F.col("f")).select(
+    return join_answers(rows, materialize(owner, "simhash-owner"), "fp", "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

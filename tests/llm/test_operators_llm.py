@@ -185,11 +185,32 @@ def test_pairs_at_every_distance_are_found(spark):
             b[i] ^= np.uint64(1) << np.uint64(bit)
     fps = np.unique(np.concatenate((a, b))).view(np.int64)
     frame = spark.createDataFrame([(int(x),) for x in fps], "fp long")
-    got = {tuple(r) for r in simhash.similar_pairs(frame).collect()}
+    got = {tuple(r) for r in simhash.links(frame).collect()}
     want = {tuple(sorted((int(x), int(y)))) for x, y in zip(a.view(np.int64), b.view(np.int64))}
     assert want <= got and all((np.int64(x) ^ np.int64(y)).view(np.uint64).item().bit_count() <= 4 for x, y in got)
 
 
+def test_dense_families_leave_trees_not_pairs(spark):
+    """Two families of fingerprints two bits from their centres, and a chain between them: few edges, the same components."""
+    rng = np.random.default_rng(11)
+    centre = rng.integers(0, 2**64, 2, dtype=np.uint64)
+    bit = [np.uint64(1) << np.uint64(b) for b in range(64)]
+    fps = {int(c ^ bit[i] ^ bit[j]) for c in centre for i in range(30) for j in range(i)} | {int(x) for x in rng.integers(0, 2**64, 200, dtype=np.uint64)}
+    fps = np.array(sorted(fps), np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+    want = components(len(fps), np.argwhere(np.tril(near, -1)).tolist())
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    for crowd, tile in ((8, 50), (64, 2048), (10_000, 2048)):
+        found = simhash.links(frame, crowd, tile).collect()
+        pairs = [(place[r.src], place[r.dst]) for r in found]
+        assert all(near[i, j] for i, j in pairs) and components(len(fps), pairs) == want
+        assert tile < 100 or crowd == 10_000 or len(pairs) < len(fps) * 96  # at most one edge for each key of a fingerprint
+    assert len(simhash.local_trees(fps)) == len(fps) - len(set(want))
+    a, b = fps[::2], fps[1::2]
+    assert all(((int(x) ^ int(y)).bit_count() <= 4) and (x in a) and (y in b) for x, y in simhash.local_trees(a, b))
+
+
 def test_golay_code():
     words = np.arange(1 << 12)
     code = words << 11 | golay.syndrome(words << 11)
