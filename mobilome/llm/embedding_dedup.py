@@ -11,6 +11,10 @@ more.  Survivors are decided by the cosine of the given vectors in double precis
 Only counts and one tree of links per local component leave a tile pair; never
 all pairs of a group.
 
+Vectors are scaled by a power of two before anything is squared, which changes
+no digit, so that very small and very large components neither vanish nor
+overflow.
+
 Defined results: a vector whose label is null, or that is null, empty, zero or
 holds a null or non-finite component, links with nothing; vectors of unequal
 length never link; equal rows count as other vectors of each other; null ids
@@ -20,12 +24,17 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.operators.components import connected_components
+from mobilome.operators.joins import join_answers
 from mobilome.storage import materialize
 
 THRESHOLD = 0.93
@@ -41,6 +50,12 @@ DECIDED = 65_536
 EPSILON = 1e-9
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` times powers of two, so that the largest component of each lies in [0.5, 1)."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     """Per vector length, an orthogonal matrix whose first columns hold most of the unit vectors' energy.
 
@@ -52,7 +67,7 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
         held: dict[int, np.ndarray] = {}
         for pdf in batches:
             for d, own in pdf["embedding"].groupby(pdf["dim"]):
-                x = np.array(own.tolist(), np.float64)
+                x = scaled(np.array(own.tolist(), np.float64))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 held[d] = held.get(d, 0) + x.T @ x
         for d, m in held.items():
@@ -69,12 +84,14 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     for d, own in cells.groupby("dim"):
         m = np.zeros(int(d) * int(d))
         m[own["cell"]] = own["value"]
+        assert np.isfinite(m).all(), "moments of unit vectors are finite"
         axes[int(d)] = np.linalg.eigh(m.reshape(int(d), int(d)))[1][:, ::-1]
     return axes
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, axes: np.ndarray):
     """Yield (i, j): rows of ``a`` and ``b`` (float64) whose cosine is at least ``threshold``."""
+    a, b = scaled(a), scaled(b)
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     ra, rb = (a / na[:, None]) @ axes, (b / nb[:, None]) @ axes
     d = a.shape[1]
@@ -151,6 +168,23 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]):
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of each vector as doubles, null for one that links with nothing."""
+    for batch in batches:
+        column = batch.column("embedding")
+        length = np.asarray(column.value_lengths().fill_null(0))
+        # A null component is as unsound as one that is not a number.
+        flat = column.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False) + 0.0
+        end = np.cumsum(length)
+        bad, some = (np.concatenate(([0], np.cumsum(x))) for x in (~np.isfinite(flat), flat != 0))
+        sound = (bad[end] == bad[end - length]) & (some[end] > some[end - length])
+        found = [
+            hashlib.blake2b(flat[z - n : z].tobytes(), digest_size=16).digest() if ok else None
+            for z, n, ok in zip(end.tolist(), length.tolist(), sound.tolist())
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], ["vec_id", "embedding", "label", "key"])
+
+
 def similar_vectors(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
@@ -159,24 +193,21 @@ def similar_vectors(
     label_col: str = "label",
     tile: int = TILE,
 ) -> DataFrame:
-    """Per row: vec_id, n_links, component_id and kept."""
-    v = F.col("embedding")
+    """Per row: vec_id, n_links, component_id and kept.
+
+    Equal vectors share a 128-bit digest, so that only one vector a class is shuffled and rows meet their answer by key.
+    """
     rows = vectors.select(
         F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label")
     )
-    inf = float("inf")
-    sound = (
-        F.col("label").isNotNull()
-        & v.isNotNull()
-        & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (c < inf) & (c > -inf))
-        & F.exists(v, lambda c: c != 0)
-    )
-    rows = rows.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), v))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    keyed = rows.mapInArrow(_keys, f"{fields}, key binary")
+    keyed = keyed.withColumn("key", F.when(F.col("label").isNotNull(), F.hex("key")))
     classes = materialize(
-        rows.filter(v.isNotNull())
-        .groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
-        .select("label", "embedding", F.size("embedding").alias("dim"), "low", "n")
+        keyed.filter("key IS NOT NULL")
+        .groupBy("label", "key")
+        .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+        .select("label", "key", "embedding", F.size("embedding").alias("dim"), "low", "n")
         .withColumn("cid", F.monotonically_increasing_id()),
         "vector-classes",
     )
@@ -193,27 +224,33 @@ def similar_vectors(
         ),
         "vector-links",
     )
-    stars = connected_components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
-    rooted = classes.join(stars, F.col("cid") == F.col("node"), "left").select(
-        "label", "embedding", "cid", "low", "n", F.coalesce("component", "cid").alias("root")
+    # A class is known by its smallest id (null last), so that the least class of a component carries the answer.
+    name = F.struct(F.col("low").isNull().alias("none"), "low", "cid")
+    named = classes.select("cid", name.alias("name"))
+    edges = (
+        found.select("cid", "root").filter("cid <> root").join(named.withColumnRenamed("name", "a"), "cid")
+        .join(named.withColumnsRenamed({"cid": "root", "name": "b"}), "root")
+        .select("a", "b")
     )
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    stars = connected_components(edges, "a", "b").select(F.col("node.cid").alias("cid"), F.col("component.low").alias("least"))
     linked = found.groupBy("cid").agg(F.sum("links").alias("links"))
     answers = (
-        rooted.join(lowest, "root")
+        classes.select("cid", "label", "key", "low", "n")
+        .join(stars.withColumn("joined", F.lit(True)), "cid", "left")
         .join(linked, "cid", "left")
         .select(
-            F.col("label").alias("l"), F.col("embedding").alias("e"), "component_id",
+            F.struct("label", "key").alias("vector"), "n",
+            F.when(F.col("joined"), F.col("least")).otherwise(F.col("low")).alias("component_id"),
             (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
-    joined = rows.join(answers, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
-    component = F.when(F.col("l").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return joined.select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
+    narrow = materialize(keyed.select("vec_id", F.when(F.col("key").isNotNull(), F.struct("label", "key")).alias("vector")), "vector-rows")
+    met = join_answers(narrow.filter("vector IS NOT NULL"), materialize(answers, "vector-answers"), "vector", "n")
+    alone = narrow.filter("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return (
+        met.select("vec_id", "n_links", "component_id")
+        .unionByName(alone)
+        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
 
 

@@ -253,6 +253,15 @@ def test_embeddings_by_brute_force(spark):
     assert embedding_dedup.similar_vectors(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_length(spark):
+    base = np.array([1.0, 0.01, 0.0, 0.0])
+    vectors = [base, base + [0, 0.02, 0, 0], -base, *(base * s for s in (1e-200, 1e-310, 1e200, 1e308)), np.array([1e200, 1e-200, 0, 0]), np.array([0, 1e-300, 0, 0])]
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)] + [(None, [float(x) for x in base], 1), (3, [float(x) for x in vectors[8]], 1), (50, [-0.0, 1e-300, 0.0, 0.0], 1)]
+    got = sorted_rows(embedding_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id", "n_links", "component_id", "kept")
+    want = [(i, 7, 0, i == 0) for i in (0, 1, 3, 4, 5, 6, 7)] + [(2, 0, 2, True), (None, 7, 0, False), (8, 2, 3, False), (3, 2, 3, True), (50, 2, 3, False)]
+    assert got == sorted(want, key=repr)
+
+
 # --- mixing
 
 
