@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Candidate spans come from exact base rules (email, ip, card, phone) and from
-loose rules of further kinds (secret, iban, ssn, name).  Labelers of three sorts
+loose rules of further kinds (secret, iban, ssn, and name: any two or three capitalised words).  Labelers of three sorts
 vote on every candidate or abstain: strict patterns and checksums, gazetteers,
 and the words around it.  Expectation-maximisation over the counts of all vote
 patterns of the corpus estimates how reliable each labeler is for each kind, and
@@ -11,14 +11,15 @@ further kinds those that the classifier accepts are added.
 Vote patterns are at most kinds x 3^labelers x lengths; only their counts reach
 the driver, whatever the size of the corpus.
 
-Defined results: a null text counts as empty and has no spans; positions are
-code points, ends exclusive; a null id or a repeated row is passed on as it is;
+Defined results: a null text counts as empty and has no spans; very long texts and numbers are
+read whole, in time that grows with their length; positions are code points, ends exclusive; a null id or a repeated row is passed on as it is;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NON_DIGIT = re.compile(r"[^0-9]")
+OPENING = re.compile(r"(?:\A|[.!?:\n])\s*\Z")
 
 ASSIGNED = re.compile(r"""[=:][\x20\t]{0,3}["']?([^\s"',;]{8,})""")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}")
@@ -49,7 +51,7 @@ SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NAME = re.compile(r"(?<!\w)[A-ZÀ-Þ][a-zß-ÿ]+\.?\x20[A-ZÀ-Þ][a-zß-ÿ]+(?:\x20[A-ZÀ-Þ][a-zß-ÿ]+)?(?!\w)")
 
 # Word lists of the gazetteer and context labelers.
-SECRET_WORDS = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)[\"']?\s*$")
+SECRET_WORDS = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)[\"']?\Z")
 GIVEN_NAMES = frozenset(
     "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas "
     "Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra Paul Ashley Steven Emily Andrew Donna Hans Peter "
@@ -68,7 +70,10 @@ CONTEXT = {
     "name": re.compile(r"(?i)\b(?:name|named|signed|dear|regards|sincerely|born|nombre|nom|heißt)\b"),
     "secret": re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|key|auth|credential|bearer)"),
 }
+#: Parameter: code points before a span in which context words count.
 WINDOW = 40
+#: Code points that the longest of SECRET_WORDS and a quote take up.
+SECRET_REACH = 16
 
 
 def luhn(digits: str) -> bool:
@@ -98,7 +103,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the base rules by kind, then start."""
     found = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split(".")):
             found.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = NON_DIGIT.sub("", m[0])
@@ -116,7 +121,10 @@ def further_spans(text: str) -> list[tuple[str, int, int]]:
     found: set[tuple[str, int, int]] = set()
     if "=" in text or ":" in text:
         for m in ASSIGNED.finditer(text):
-            if SECRET_WORDS.search(text, max(0, m.start() - 24), m.start()):
+            at = m.start()
+            while at and text[at - 1].isspace():
+                at -= 1
+            if SECRET_WORDS.search(text[max(0, at - SECRET_REACH) : at]):
                 found.add(("secret", m.start(1), m.end(1)))
     for m in TOKEN.finditer(text):
         s = m[0]
@@ -127,9 +135,7 @@ def further_spans(text: str) -> list[tuple[str, int, int]]:
     for m in SSN.finditer(text):
         found.add(("ssn", m.start(), m.end()))
     for m in NAME.finditer(text):
-        first = m[0].split(" ")[0].rstrip(".")
-        if first in GIVEN_NAMES or first in TITLES:
-            found.add(("name", m.start(), m.end()))
+        found.add(("name", m.start(), m.end()))
     return sorted(found)
 
 
@@ -159,8 +165,11 @@ def _gazetteer(kind: str, s: str) -> int:
     return -1
 
 
-def _context(kind: str, before: str, after: str) -> int:
-    return 1 if CONTEXT[kind].search(before) else -1
+def _context(kind: str, before: str) -> int:
+    """1 if a word before the span says what it is; for a name, 0 if it opens a sentence, where any word is capitalised."""
+    if CONTEXT[kind].search(before):
+        return 1
+    return 0 if kind == "name" and OPENING.search(before) else -1
 
 
 def _shape(kind: str, s: str) -> int:
@@ -177,15 +186,32 @@ def _shape(kind: str, s: str) -> int:
 
 def votes(kind: str, text: str, start: int, end: int) -> tuple[int, int, int, int]:
     s = text[start:end]
-    around = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    return _pattern(kind, s), _gazetteer(kind, s), _context(kind, *around), _shape(kind, s)
+    return _pattern(kind, s), _gazetteer(kind, s), _context(kind, text[max(0, start - WINDOW) : start]), _shape(kind, s)
+
+
+def _union(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
     """(kind, start, end, base, vote pattern) of all candidates; further ones never overlap base ones."""
     base = base_spans(text)
-    taken = [(a, b) for _, a, b in base]
-    further = [(k, a, b) for k, a, b in further_spans(text) if not any(a < y and x < b for x, y in taken)]
+    starts, ends = _union(base)
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_left(ends, a + 1)  # the first stretch that ends after a
+        return at == len(ends) or starts[at] >= b
+
+    further = [(k, a, b) for k, a, b in further_spans(text) if free(a, b)]
     out = []
     for is_base, spans in ((True, base), (False, further)):
         for k, a, b in spans:

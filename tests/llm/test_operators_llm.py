@@ -330,6 +330,81 @@ def test_reliabilities_follow_agreement():
     assert post["secret|1,-1,1,1|2"] > 0.9 and post["secret|0,-1,-1,0|2"] < 0.1
 
 
+def plain_em(patterns, kind):
+    """Expectation-maximisation with loops, one candidate pattern and labeler at a time."""
+    own = {p: ([int(x) for x in p.split("|")[1].split(",")], n) for p, n in patterns.items() if p.startswith(kind + "|")}
+    q = {p: (0.5 + v.count(1)) / (1 + max(1, sum(x >= 0 for x in v))) if max(v) >= 0 else 0.5 for p, (v, _) in own.items()}
+    for _ in range(50):
+        total = sum(n for _, n in own.values())
+        prior = (sum(q[p] * n for p, (_, n) in own.items()) + 1) / (total + 2)
+        rate = []
+        for i in range(4):
+            cast = [(q[p], v[i], n) for p, (v, n) in own.items() if v[i] >= 0]
+            yes = (sum(n * a for a, x, n in cast if x == 1) + 4) / (sum(n * a for a, _, n in cast) + 5)
+            no = (sum(n * (1 - a) for a, x, n in cast if x == 1) + 1) / (sum(n * (1 - a) for a, _, n in cast) + 5)
+            rate.append((yes, no))
+        for p, (v, _) in own.items():
+            true, false = prior, 1 - prior
+            for x, (yes, no) in zip(v, rate):
+                if x >= 0:
+                    true, false = true * (yes if x else 1 - yes), false * (no if x else 1 - no)
+            q[p] = true / (true + false)
+    return q
+
+
+def test_reliabilities_and_classifier_by_plain_loops():
+    rng = random.Random(12)
+    patterns = {f"{k}|{','.join(str(rng.choice([-1, 0, 1])) for _ in range(4))}|{rng.randrange(6)}": rng.randrange(1, 200) for k in ("secret", "name", "card") for _ in range(12)}
+    got = personal_data.reliabilities(patterns)
+    for kind in ("secret", "name", "card"):
+        for p, q in plain_em(patterns, kind).items():
+            assert got[p] == pytest.approx(q, abs=1e-6)
+    chance = personal_data.span_classifier(patterns)
+    # At the optimum of the logistic loss with ridge 1 the gradient vanishes.
+    names = sorted(patterns)
+    x = np.array([personal_data._features(p) for p in names])
+    p = np.array([chance[n] for n in names])
+    w, *_ = np.linalg.lstsq(np.vstack((x, 1e-9 * np.eye(x.shape[1]))), np.append(np.log(p / (1 - p)), np.zeros(x.shape[1])), rcond=None)
+    pull = x.T @ (np.array([patterns[n] for n in names]) * (np.array([got[n] for n in names]) - p))
+    assert np.allclose(x @ w, np.log(p / (1 - p)), atol=1e-6) and np.abs(x @ (pull - w)).max() < 0.05
+
+
+def test_names_are_decided_by_votes():
+    clean = "The Street was long. A House stood there.\nIn Summer Rain came. "
+    found = Counter(c[4] for t in [clean * 30] * 20 + ["My name is James Smith and I call. Regards Mary Jones"] * 9 for c in personal_data.candidates(t))
+    chance = personal_data.span_classifier(dict(found))
+    kept = {t[a:b] for t in (clean, "My name is James Smith and I call. Regards Mary Jones") for _, a, b, _, v in personal_data.candidates(t) if chance.get(v, 0) >= 0.5}
+    assert "James Smith" in kept and not kept & {"The Street", "In Summer Rain", "Summer Rain", "House"}
+
+
+def test_personal_data_in_very_long_texts():
+    zeros = "0" * 5000
+    assert personal_data.base_spans(f"{zeros}.1.1.1 x") == [("ip", 0, 5006)] and not personal_data.base_spans(zeros + "9" * 4000 + ".1.1.1")
+    many = "a@b.c token = abcdefgh12345 " * 20_000
+    spans = personal_data.candidates(many)
+    assert Counter(k for k, *_ in spans) == {"email": 20_000, "secret": 20_000}
+    spaced = "password" + " " * 500 + "= hunter2hunter2"
+    assert [(k, spaced[a:b]) for k, a, b in personal_data.further_spans(spaced)] == [("secret", "hunter2hunter2")]
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [("x", a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        starts, ends = personal_data._union(spans)
+        covered = {i for _, a, b in spans for i in range(a, b)}
+        assert {i for a, b in zip(starts, ends) for i in range(a, b)} == covered and starts == sorted(starts) and ends == sorted(ends)
+
+
+def test_personal_data_query(spark):
+    d = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = personal_data.query(spark, d).collect()
+    assert len(got) == len(text)
+    for r in got:
+        base = plain_spans(text[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in personal_data.BASE]
+        assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
 # --- models
 
 
