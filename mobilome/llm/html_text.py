@@ -11,7 +11,8 @@ block takes the label of the nearest decided block, inside an article of that ar
 (of two equally near ones the earlier), or is good if none is decided.
 
 Defined results: null or empty html, and pages without text, give an empty
-string and n_chars 0; unclosed and stray tags are tolerated as browsers do; null ids and
+string and n_chars 0; very long pages are read whole, in time that grows with their length;
+unclosed and stray tags are tolerated as browsers do; null ids and
 urls are passed on; a repeated row is answered alike; an empty table gives an
 empty result.
 """
@@ -52,6 +53,8 @@ OWN = frozenset("article entry post content main story body text".split())
 #: Containers whose class or id is looked at.
 CONTAINERS = frozenset("div section ul ol dl table p span figure header details article fieldset center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The open blocks that a new block of each name closes, besides a paragraph.
+IMPLIED = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could for from had has have he her his how i if in into is it its more no "
     "not of on one or our out she so than that the their them there they this to up was we were what when which who will with would you "
@@ -90,18 +93,25 @@ def _role(attributes: str) -> str:
 
 
 class _Page:
-    """The blocks of one page: (text, characters inside links, heading, innermost article or main or 0, left-out containers around it)."""
+    """The blocks of one page: (text, characters inside links, heading, innermost article or main or 0, innermost left-out container or 0).
+
+    Every tag takes constant time on average: the stack of open elements knows where its blocks and its elements of each name are.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, int, bool, int, int]] = []
         self.text: list[str] = []
         self.linked = 0
-        #: Elements so far; of those left out, the ones that were closed, and the ones left out by class alone.
+        #: Elements so far; of those left out, the ones that were closed, the ones left out by class alone, and the one around each.
         self.count = 0
         self.closed: set[int] = set()
         self.by_class: set[int] = set()
-        #: Open elements: (tag, why left out, article or main around, in link, number, left-out containers around).
-        self.open: list[tuple[str, str, int, bool, int, tuple[int, ...]]] = [("", "", 0, False, 0, ())]
+        self.outer: dict[int, int] = {}
+        #: Open elements: (tag, why left out, article or main around, in link, number, innermost left-out container).
+        self.open: list[tuple[str, str, int, bool, int, int]] = [("", "", 0, False, 0, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.headings = 0
         at = 0
         while m := MARKUP.search(html, at):
             self.words(html[at : m.start()])
@@ -129,10 +139,26 @@ class _Page:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                tags = {e[0] for e in self.open}
-                self.blocks.append((text, self.linked, bool(tags & HEADINGS), self.open[-1][2], self.open[-1][5]))
+                self.blocks.append((text, self.linked, self.headings > 0, self.open[-1][2], self.open[-1][5]))
             self.text, self.linked = [], 0
 
+    def push(self, element: tuple[str, str, int, bool, int, int]) -> None:
+        tag = element[0]
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.block_places.append(len(self.open))
+            self.headings += tag in HEADINGS
+        self.open.append(element)
+
+    def pop_to(self, place: int) -> None:
+        """Close the open element at ``place`` and all inside it."""
+        while len(self.open) > place:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.block_places.pop()
+                self.headings -= tag in HEADINGS
+
     def start(self, tag: str, attributes: str, html: str, at: int) -> int:
         if tag in BLOCKS:
             self.cut()
@@ -153,33 +179,37 @@ class _Page:
             main = self.count
             why = why if why == "comments" else ""  # whether a container around it swallows the article shows at its end
         elif own and tag != "form":
-            around = (*around, self.count)
+            self.outer[self.count] = around
+            around = self.count
             if tag not in NEVER and not _unwanted(tag, _role(attributes), True):
                 self.by_class.add(self.count)
-        self.open.append((tag, why or own, main, link or tag == "a", self.count, around))
+        self.push((tag, why or own, main, link or tag == "a", self.count, around))
         return at
 
     def imply(self, tag: str) -> None:
         """Close what a new block closes by itself: a paragraph, and a list item or cell by its like."""
-        like = {"li": "li", "td": "td th", "th": "td th", "tr": "tr", "dt": "dt dd", "dd": "dt dd", "option": "option"}.get(tag, "").split()
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name == "p" or name in like:
-                del self.open[i:]
-                return
-            if name in BLOCKS:
-                return
+        if self.block_places:
+            place = self.block_places[-1]
+            name = self.open[place][0]
+            if name == "p" or name in IMPLIED.get(tag, ()):
+                self.pop_to(place)
 
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
             self.cut()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self.closed.add(self.open[i][4])
-                del self.open[i:]
-                return
-            if tag not in BLOCKS and self.open[i][0] in BLOCKS:
-                return
+        places = self.places.get(tag)
+        if not places or tag not in BLOCKS and self.block_places and places[-1] < self.block_places[-1]:
+            return
+        self.closed.add(self.open[places[-1]][4])
+        self.pop_to(places[-1])
+
+    def swallowed(self, closed: set[int]) -> set[int]:
+        """The left-out containers that are among ``closed`` or inside one that is."""
+        out: set[int] = set()
+        for number, around in self.outer.items():  # from the outermost in
+            if number in closed or around in out:
+                out.add(number)
+        return out
 
 
 def _first_pass(text: str, linked: int, heading: bool, main: int) -> int:
@@ -215,7 +245,7 @@ def _second_pass(first: list[int], headings: list[bool]) -> list[int]:
     return out
 
 
-def classify(blocks: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> list[int]:
+def classify(blocks: list[tuple[str, int, bool, int, int]]) -> list[int]:
     """GOOD or BAD for each block."""
     first = [_first_pass(*b[:4]) for b in blocks]
     headings = [b[2] for b in blocks]
@@ -230,7 +260,7 @@ def classify(blocks: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> list[
     return out
 
 
-def _good(blocks: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> str:
+def _good(blocks: list[tuple[str, int, bool, int, int]]) -> str:
     return " ".join([b[0] for b, label in zip(blocks, classify(blocks)) if label == GOOD])
 
 
@@ -239,11 +269,12 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
-    free = [b for b in page.blocks if page.closed.isdisjoint(b[4])]
+    swallowed = page.swallowed(page.closed)
+    free = [b for b in page.blocks if b[4] not in swallowed]
     if len(free) == len(page.blocks):
         return _good(free)
-    strict = page.closed - page.by_class
-    return _good(free) or _good([b for b in page.blocks if strict.isdisjoint(b[4])])
+    swallowed = page.swallowed(page.closed - page.by_class)
+    return _good(free) or _good([b for b in page.blocks if b[4] not in swallowed])
 
 
 def extract_pages(

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -516,6 +517,46 @@ def test_article_is_one_feature_of_many():
         assert html_text.extract(source) == want, source
 
 
+def test_second_pass_by_looking_at_every_block():
+    def plain(first, headings):
+        decided = [i for i, x in enumerate(first) if x != html_text.OPEN]
+        out = []
+        for i, x in enumerate(first):
+            before, after = [j for j in decided if j < i], [j for j in decided if j > i]
+            if x != html_text.OPEN or not decided:
+                out.append(x if decided else html_text.GOOD)
+            elif not after or before and i - before[-1] <= after[0] - i:
+                out.append(first[after[0]] if headings[i] and after else first[before[-1]])
+            else:
+                out.append(first[after[0]])
+        return out
+
+    rng = random.Random(13)
+    for _ in range(500):
+        first = [rng.choice([html_text.GOOD, html_text.BAD, html_text.OPEN, html_text.OPEN]) for _ in range(rng.randrange(12))]
+        headings = [rng.random() < 0.3 for _ in first]
+        assert html_text._second_pass(first, headings) == plain(first, headings)
+
+
+def test_first_pass_by_the_three_measures():
+    stop, rare = "the of and in to was " * 20, "zebra quartz violin " * 20
+    cases = [
+        (stop, 0, False, 0, html_text.GOOD), (rare, 0, False, 0, html_text.BAD), (stop, len(stop) // 2, False, 0, html_text.BAD), ("the of", 0, False, 0, html_text.OPEN),
+        ("the of", 2, False, 0, html_text.BAD), (stop, 0, True, 0, html_text.OPEN), (rare, 0, False, 7, html_text.OPEN), (stop, len(stop), True, 7, html_text.OPEN),
+        ("zebra the quartz of " * 5, 0, False, 0, html_text.OPEN), ("zebra quartz the " * 10, 0, False, 7, html_text.GOOD),
+    ]
+    for text, linked, heading, main, want in cases:
+        assert html_text._first_pass(text.strip(), linked, heading, main) == want, text[:30]
+
+
+def test_very_long_pages_take_time_in_proportion():
+    m = 30_000
+    pages = ["<b>" * m + "<p>x</p>" * m, "<aside>" * m + "<div>x</div>" * m, "<div>" * m + "</section>" * m, "<div>" + "<b>" * m + "<hr>" * m, "<i><div>" + "<b>" * m + "</i>" * m, f"<article><p>{'word ' * 400_000}</p></article>"]
+    began = time.time()
+    found = [html_text.extract(h) for h in pages]
+    assert time.time() - began < 20 and found[-1] == ("word " * 400_000).strip() and len(found[0]) == 2 * m - 1
+
+
 def test_pages_of_the_tables(spark):
     def plain(h):
         m = re.search(r"<article>(.*)</article>", h, re.S)
