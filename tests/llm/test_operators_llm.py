@@ -115,8 +115,9 @@ def test_exact_dedup_by_brute_force(docs):
     for norm, own in groups.items():
         best = min(own, key=lambda r: (-len(r.text or ""), r.doc_id is None, r.doc_id or 0))
         want += [(r.doc_id, best.doc_id, len(own), r.doc_id == best.doc_id, hashlib.sha256(norm.encode()).hexdigest()) for r in own]
-    got = exact_dedup.exact_duplicates(docs)
-    assert sorted_rows(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
+    for options in ({}, {"listed": 0, "bits": 1 << 16}, {"listed": 0, "bits": 64}):
+        got = exact_dedup.exact_duplicates(docs, **options)
+        assert sorted_rows(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
 
 
 def test_quotient_filters_merge_losslessly():
@@ -127,6 +128,12 @@ def test_quotient_filters_merge_losslessly():
     want = Counter(np.concatenate(parts).tolist())
     assert dict(zip(fps.tolist(), counts.tolist())) == want and (np.diff(fps.astype(object)) > 0).all()
     assert quotient_filter.entries(quotient_filter.merge([]))[0].size == 0
+    ladder = quotient_filter.Ladder()
+    for a in range(0, 20_000, 100):
+        ladder.add(quotient_filter.build(rng.integers(0, 4_000, 100, dtype=np.uint64) << np.uint64(38)))
+        assert all(quotient_filter.size(x) >= 2 * quotient_filter.size(y) for x, y in zip(ladder.steps, ladder.steps[1:]))
+    fps, counts = quotient_filter.entries(ladder.whole())
+    assert counts.sum() == 20_000 and (np.diff(fps.astype(object)) > 0).all() and quotient_filter.merge([ladder.whole()]) == ladder.whole()
 
 
 # --- SimHash
