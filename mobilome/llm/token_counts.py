@@ -2,13 +2,14 @@
 
 Documents are read once, in blocks of bounded size.  A block keeps, for each of
 its documents, how often each of the block's distinct pre-tokens occurs.  The
-distinct pre-tokens of all blocks, dealt by hash, meet in one place each; there
+distinct pre-tokens of all blocks, dealt by ranges of their hash, meet in one place each; there
 every pre-token is tokenised once and its number of pieces is joined back to
 the blocks that hold it, where counts times frequencies are summed by document.
 What is shuffled is a block's vocabulary, not its words, and a word that all
-texts share is one entry per block.
+texts share is one entry per block.  The number of ranges follows the measured size of
+all vocabularies, so that a range holds about BUCKET_WORDS of their entries at any scale.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); special
+Defined results: a null text counts as empty (0 bytes, 0 tokens); a very long text is read whole and closes its block; special
 strings inside a text count as the one token that the library makes of them; a
 null id or a repeated row is passed on as it is; an empty table gives an empty
 result.
@@ -35,11 +36,10 @@ from mobilome.storage import materialize
 
 #: A block is closed when its texts reach this many characters.
 BLOCK_CHARS = 24_000_000
+#: Entries of all vocabularies that one range of hashes holds on average.
+BUCKET_WORDS = 500_000
 
-_BLOCK = (
-    "block long, doc_ids array<long>, n_bytes array<long>, special array<long>, "
-    "entries array<binary>, n_words long, vocabulary array<struct<bucket:int,words:binary>>"
-)
+_BLOCK = "block long, doc_ids array<long>, n_bytes array<long>, special array<long>, entries array<binary>, n_words long, vocabulary binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -68,6 +68,10 @@ def _unpack_words(b: bytes) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+
+
 def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(_unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
@@ -75,8 +79,8 @@ def _unplanes(b: bytes) -> np.ndarray:
 class _Block:
     """Documents gathered until they are closed into one row."""
 
-    def __init__(self, tok, marks, buckets: int):
-        self.tok, self.buckets = tok, buckets
+    def __init__(self, tok, marks):
+        self.tok = tok
         self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         self.number: defaultdict = defaultdict(count().__next__)
         self.ids, self.n_bytes, self.special = [], [], []
@@ -105,12 +109,11 @@ class _Block:
         cuts = np.searchsorted(owner[by_owner], np.arange(len(self.number) + 1))
         words: defaultdict = defaultdict(count().__next__)
         flat_words = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))[by_owner]
-        # Order the vocabulary by bucket, then by word, so that counts can be laid end to end.
+        # Order the vocabulary by hash, then by word, so that counts of ranges of hashes can be laid end to end.
         names = sorted(words)
-        bucket = np.fromiter((zlib.crc32(w.encode()) % self.buckets for w in names), np.int64, len(names))
-        by_bucket = np.argsort(bucket, kind="stable")
+        by_hash = np.argsort(_hashes(names), kind="stable")
         place = np.empty(len(names), np.int64)
-        place[np.fromiter(map(words.__getitem__, names), np.int64, len(names))[by_bucket]] = np.arange(len(names))
+        place[np.fromiter(map(words.__getitem__, names), np.int64, len(names))[by_hash]] = np.arange(len(names))
         flat_words = place[flat_words]
         # Pieces of documents become pre-tokens of documents.
         at = np.concatenate(self.at)
@@ -124,39 +127,50 @@ class _Block:
         # Ascending (document, word) keys, kept as steps.
         steps = np.diff(key[new], prepend=0)
         freq = np.add.reduceat(freq, new) if len(new) else freq
-        ends = np.cumsum(np.bincount(bucket, minlength=self.buckets))
-        vocabulary = [
-            {"bucket": b, "words": _pack_words([names[i] for i in by_bucket[a:z]])}
-            for b, (a, z) in enumerate(zip([0, *ends[:-1]], ends))
-            if z > a
-        ]
         entries = [_planes(steps & 0xFFFFFFFF), _planes(steps >> 32), _planes(freq)]
         return {
             "block": block, "doc_ids": self.ids, "n_bytes": self.n_bytes, "special": self.special,
-            "entries": entries, "n_words": len(names), "vocabulary": vocabulary,
+            "entries": entries, "n_words": len(names), "vocabulary": _pack_words([names[i] for i in by_hash]),
         }
 
 
-def _blocks(path: str, buckets: int, block_chars: int):
+def _blocks(path: str, block_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(path)
         marks = specials(tok)
         number = TaskContext.get().partitionId() << 32
-        block = _Block(tok, marks, buckets)
+        block = _Block(tok, marks)
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array):
                 block.add(None if pd.isna(doc_id) else int(doc_id), "" if pd.isna(text) else text)
                 if block.chars >= block_chars:
                     yield pd.DataFrame([block.close(number)])
-                    number, block = number + 1, _Block(tok, marks, buckets)
+                    number, block = number + 1, _Block(tok, marks)
         if block.ids:
             yield pd.DataFrame([block.close(number)])
 
     return run
 
 
+def _ranges(buckets: int):
+    """The vocabulary of each block, cut where one range of hashes ends and the next begins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, packed in zip(pdf["block"], pdf["vocabulary"]):
+                words = _unpack_words(packed)
+                bucket = _hashes(words) * buckets >> 32
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                cuts = [*first.tolist(), len(words)]
+                yield pd.DataFrame(
+                    {"block": block, "bucket": bucket[first].astype(np.int32), "words": [_pack_words(words[a:z]) for a, z in zip(cuts, cuts[1:])]}
+                )
+
+    return run
+
+
 def _piece_counts(path: str):
-    """For one bucket: tokenise each distinct pre-token once, and answer every block."""
+    """For one range of hashes: tokenise each distinct pre-token once, and answer every block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tok = tokenizer(path)
@@ -206,18 +220,19 @@ def count_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_chars: int = BLOCK_CHARS,
+    bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """Per document: doc_id, n_bytes (UTF-8) and n_tokens.
 
     ``vocabulary`` is the path of a byte-level BPE ``tokenizer.json``.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = materialize(rows.mapInPandas(_blocks(path, buckets, block_chars), _BLOCK), "token-blocks")
+    blocks = materialize(rows.mapInPandas(_blocks(path, block_chars), _BLOCK), "token-blocks")
+    entries = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     answers = (
-        blocks.select("block", F.explode("vocabulary").alias("v"))
-        .select("block", "v.bucket", "v.words")
+        blocks.select("block", "vocabulary")
+        .mapInPandas(_ranges(int(entries // bucket_words) + 1), "block long, bucket int, words binary")
         .groupBy("bucket")
         .applyInPandas(_piece_counts(path), "block long, bucket int, counts binary")
     )

@@ -63,8 +63,9 @@ def sorted_rows(df, *columns):
 def test_token_counts_are_the_library_s(docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = [(r.doc_id, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()]
-    got = token_counts.count_tokens(docs, block_chars=2000)
-    assert sorted_rows(got, "doc_id", "n_bytes", "n_tokens") == sorted(want, key=repr)
+    for bucket_words in (50, 10**6):
+        got = token_counts.count_tokens(docs, block_chars=2000, bucket_words=bucket_words)
+        assert sorted_rows(got, "doc_id", "n_bytes", "n_tokens") == sorted(want, key=repr)
 
 
 def test_bpe_is_the_library_s_and_decodes(docs):
