@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mobilome.storage import materialize
+
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text, modulo ``parts``, is ``part``."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+#: Characters of a class that are learnt from at most, each line counting as so many more; a document with more than a twentieth of them is not learnt from.
+MOST_CHARS, PER_LINE = 20_000_000, 50
+
+
 def training_sample(
-    docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], per_class: int
+    docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], per_class: int, most_chars: int = MOST_CHARS
 ) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of at most ``per_class`` documents a class, and how many each class has.
+    """(doc_id, text, y) of at most ``per_class`` documents and about ``most_chars`` characters a class, and how many each class has.
 
     Only rows outside the held-out fold are learnt from; of those, the ones with
-    the smallest hashes are taken.  The ids are at most 2 x per_class rows, so
-    they may be broadcast.
+    the smallest hashes are taken, while their texts together stay within ``most_chars``.  The ids are
+    at most 2 x per_class rows, so they may be broadcast.  Of rows with one id the least text counts, so
+    that an id is one document however often it is repeated.
     """
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -32,5 +39,14 @@ def training_sample(
     order = F.xxhash64("doc_id")
     parts = [usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = parts[0].union(parts[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(ids), "doc_id"), sizes
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    chosen = materialize(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")), f"{label}-sample")
+    # At most 2 x per_class rows of three numbers meet in this window.
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    length = F.coalesce(F.length("text") + PER_LINE * lines, F.lit(0))
+    upto = F.sum("length").over(Window.partitionBy("y").orderBy(order, "doc_id"))
+    inside = (
+        chosen.select("doc_id", "y", length.alias("length")).filter(F.col("length") <= most_chars // 20)
+        .withColumn("upto", upto).filter(F.col("upto") <= most_chars).select("doc_id")
+    )
+    return chosen.join(F.broadcast(inside), "doc_id", "left_semi"), sizes

@@ -5,8 +5,9 @@ features and those of the lines before and after it; transitions join
 neighbouring labels.  The chain is fitted to document labels, given to all
 lines.  For a document, the forward-backward marginals of its lines, weighted by
 length, give the share of good text, which a logistic curve turns into a score.
+It is fitted to a bounded sample, at most PER_CLASS documents and MOST_CHARS characters a class.
 
-Defined results: lines without a word are left out; null and empty texts have
+Defined results: lines without a word are left out; very long texts are scored whole; null and empty texts have
 none and get the score of a document half good; a null id is never held out; a
 document with contradicting labels is not learnt from; with no usable label of
 either class every score is 0.5; a repeated row is scored alike; an empty table

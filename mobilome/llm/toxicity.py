@@ -5,7 +5,9 @@ logistic function of its words and their beginnings; a document is toxic if any
 sentence is (noisy-or), and the weights are fitted to document labels through
 that noisy-or alone.  The same weights then point out the offending sentences.
 
-Defined results: null and empty texts have no sentence and score 0; a null id is
+It is fitted to a bounded sample, at most PER_CLASS documents and MOST_CHARS characters a class.
+
+Defined results: null and empty texts have no sentence and score 0; very long texts are scored whole; a null id is
 never held out; a document with contradicting labels is not learnt from; with no
 usable label of either class every score is 0; a repeated row is scored alike; an
 empty table gives an empty result.
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.llm.labelled import held_out, training_sample
-from mobilome.storage import materialize
 
 FOLD = (3, 1)
 #: Labelled documents of each class that are fitted at most.
@@ -132,7 +133,6 @@ def fit_bags(
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[dict[int, float], float] | None:
     """Fit the sentence scorer on a bounded sample; None if a class has no document."""
     sample, sizes = training_sample(docs, labels, "toxic", FOLD, per_class)
-    sample = materialize(sample, "toxicity-sample")
     n = {int(r["y"]): int(r["count"]) for r in sample.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return None

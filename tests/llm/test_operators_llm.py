@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from mobilome.llm.labelled import training_sample
 from mobilome.llm import (
     bpe, embedding_dedup, exact_dedup, golay, html_text, mixing, personal_data, pretokens, quality, quotient_filter, simhash, token_counts, toxicity,
 )
@@ -465,6 +466,105 @@ def test_quality_learns(spark, none, labels):
     assert quality.quality(none, labels).count() == 0 and {r.score for r in quality.quality(docs, labels).collect()} == {0.5}
 
 
+def test_training_samples_are_bounded(spark):
+    rows = [(1, "a b c")] * 500 + [(1, "z")] + [(i, "x" * 1000) for i in range(2, 80)] + [(500, "y" * 5000), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 80)] + [(500, 0), (501, 0), (502, 1)], "doc_id long, quality int")
+    sample, sizes = training_sample(docs, marks, "quality", (4, 9), 30, 20_000)
+    found = sample.collect()
+    assert Counter(r.doc_id for r in found).most_common(1)[0][1] == 1 and sizes == {0: 41, 1: 41}
+    for y in (0, 1):
+        own = [len(r.text or "") for r in found if r.y == y]
+        assert own and len(own) <= 30 and sum(own) <= 20_000 and max(own) <= 1000
+    again, _ = training_sample(docs.repartition(7), marks, "quality", (4, 9), 30, 20_000)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found))
+    lines, _ = training_sample(spark.createDataFrame([(i, "\n" * 100) for i in range(1, 80)], docs.schema), marks, "quality", (4, 9), 30, 20_000)
+    assert lines.count() == 0  # 100 characters and 100 lines are more than 1000
+
+
+def test_toxicity_by_plain_noisy_or(spark):
+    """The registered query against loops over sentences, words and beginnings of words with the fitted weights."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    weights, bias = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.query(spark, d).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        clean, n = 1.0, 0
+        for part in re.split(r"[.!?\n]", r.text or ""):
+            words = {w for w in re.findall(r"\w+", part.lower())}
+            if words:
+                z = bias + sum(weights.get(zlib.crc32(k.encode()), 0.0) for w in words for k in [w] + [w[:i] + "*" for i in (4, 5, 6) if len(w) > i])
+                p = 1 / (1 + np.exp(-min(max(z, -50), 50)))
+                clean, n = clean * (1 - p), n + (p >= 0.5)
+        own = got[r.doc_id]
+        assert own.score == pytest.approx(1 - clean, abs=1e-6) and own.n_flagged == n
+        assert own.predicted == int(own.score >= 0.7) and own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_noisy_or_gradient_step_lowers_the_loss():
+    rng = np.random.default_rng(5)
+    n_docs, n_bags, k = 60, 200, 12
+    doc_of_bag = np.sort(rng.integers(0, n_docs, n_bags))
+    bag, place = rng.integers(0, n_bags, 700), rng.integers(0, k, 700)
+    toxic_bags = np.unique(bag[place == 0])
+    y = np.isin(np.arange(n_docs), doc_of_bag[toxic_bags]).astype(int)
+
+    def loss(theta):
+        z = theta[-1] + np.array([theta[:-1][place[bag == b]].sum() for b in range(n_bags)])
+        clean = [np.prod(1 / (1 + np.exp(z[doc_of_bag == i]))) for i in range(n_docs)]
+        return -np.mean([np.log(max(1e-12, 1 - c)) if t else np.log(c) for c, t in zip(clean, y)])
+
+    losses = [loss(toxicity.fit_bags(bag, place, np.zeros(k), doc_of_bag, y, np.ones(n_docs), rounds=r)) for r in (1, 30, 300)]
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.2
+    theta = toxicity.fit_bags(bag, place, np.zeros(k), doc_of_bag, y, np.ones(n_docs))
+    assert theta[:-1].argmax() == 0
+
+
+def test_line_features_by_plain_counts():
+    lines = ["The cat, the dog.", "BUY NOW!! BUY NOW!!", "12 | 34 | 56", "The cat, the dog.", "x"]
+    own = quality.line_features(lines)
+    for i, line in enumerate(lines):
+        words = line.split()
+        letters = sum(map(len, words))
+        assert own[i, 0] == pytest.approx(sum(c.isupper() for c in line) / letters) and own[i, 1] == pytest.approx(sum(not c.isalnum() and not c.isspace() and c != "_" for c in line) / letters)
+        assert own[i, 2] == pytest.approx(sum(c.isdigit() for c in line) / letters) and own[i, 5] == pytest.approx(1 - len(set(words)) / len(words))
+        assert own[i, 10] == (lines.count(line) > 1) and own[i, 12] == (line[-1] in ".!?") and own[i, 13] == (len(line) < 40)
+        assert own[i, 11] == pytest.approx(len(set(words) & {w for x in lines[:i] for w in x.split()}) / len(set(words)))
+    x = quality.chain_features(own)
+    assert x.shape == (5, 3 * quality.N_OWN + 3) and (x[1, quality.N_OWN : 2 * quality.N_OWN] == own[0]).all() and (x[1, 2 * quality.N_OWN : 3 * quality.N_OWN] == own[2]).all()
+    assert not x[0, quality.N_OWN : 2 * quality.N_OWN].any() and x[0, -3] == 1 and x[-1, -2] == 1 and (x[:, -1] == 1).all()
+
+
+def test_quality_query_by_enumerating_labels(spark):
+    """Scores of short documents from all labellings of their lines under the fitted chain."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    theta, transition, slope, offset = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.query(spark, d).collect()}
+    assert len(got) == docs.count()
+    checked = 0
+    for r in docs.collect():
+        own = got[r.doc_id]
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and own.predicted == int(own.score >= 0.7)
+        lines = [x for x in (r.text or "").split("\n") if x.strip()]
+        if len(lines) > 8:
+            continue
+        share = 0.5
+        if lines:
+            e = quality.chain_features(quality.line_features(lines)) @ theta
+            mass, good = 0.0, np.zeros(len(lines))
+            for marks in np.ndindex(*(2,) * len(lines)):
+                w = np.exp(sum(e[i] * y for i, y in enumerate(marks)) + sum(transition[a, b] for a, b in zip(marks, marks[1:])))
+                mass, good = mass + w, good + w * np.array(marks)
+            size = np.array([len(x) for x in lines])
+            share = (good / mass @ size) / size.sum()
+        share = min(max(share, 1e-4), 1 - 1e-4)
+        assert own.score == pytest.approx(1 / (1 + np.exp(-(slope * np.log(share / (1 - share)) + offset))), abs=1e-6)
+        checked += 1
+    assert checked > 20
+
+
 def test_chain_marginals_by_enumeration():
     rng = np.random.default_rng(7)
     lengths = np.array([3, 1, 0, 4])
@@ -575,6 +675,46 @@ def test_pages_of_the_tables(spark):
     assert {r.page_id: r.text for r in html_text.query(spark, "/root/testdata/sf0.001").collect()} == want
 
 
+# --- digests of the registered queries
+
+
+def test_token_and_byte_digests_are_the_library_s(spark):
+    d = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    plain, word = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in token_counts.query(spark, d).collect():
+        n = len(plain.encode(text[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text[r.doc_id].encode()), n, n > 512)
+    found = bpe.query(spark, d).collect()
+    assert len(found) == len(text)
+    for r in found:
+        ids = word.encode(text[r.doc_id], add_special_tokens=False).ids
+        shown = word.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), shown)))
+
+
+def test_very_long_texts(spark):
+    """One text of about two million characters through every operator on texts, beside an empty one."""
+    rng = random.Random(21)
+    long = "\n".join(" ".join(rng.choice(["the", "and", "cat", "Über", "x1", "of,"]) for _ in range(40)) + "." for _ in range(11_000))
+    rows = [(1, long, "en", "a", 1), (2, long + " ", "en", "a", 1), (3, "", "en", "b", 0), (4, "word " * 30, "en", "b", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (3, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    n = {r.doc_id: r for r in token_counts.count_tokens(frame).collect()}
+    want = len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(long, add_special_tokens=False).ids)
+    assert n[1].n_tokens == want and n[1].n_bytes == len(long.encode()) and n[3].n_tokens == 0
+    ids = {r.doc_id: r.ids for r in bpe.encode_documents(frame).collect()}
+    assert ids[1] == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids and ids[3] == []
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_duplicates(frame).collect()} == {1: 2, 2: 2, 3: 3, 4: 4}
+    near = {r.doc_id: r for r in simhash.near_duplicates(frame).collect()}
+    assert near[1].fingerprint == f"{plain_fingerprint(long):016x}" and near[2].component_id == 1
+    mixed = {r.doc_id: r.size for r in mixing.mix_sources(frame).collect()}
+    assert mixed == {1: 440_000, 2: 440_000, 3: 0, 4: 30}
+    assert personal_data.personal_spans(frame).count() == 4
+    for scored in (quality.quality(frame, marks), toxicity.toxicity(frame, marks)):
+        assert scored.count() == 4 and scored.filter("score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
 # --- empty tables and awkward rows everywhere
 
 
