@@ -27,10 +27,13 @@ QUALITY = 0.7
 def _numbered(docs: DataFrame, label: str, ordered: bool = True) -> DataFrame:
     """``docs`` with a distinct number ``row`` for each row, if ``ordered`` in the order of the ids, null ids last.
 
-    The numbers are written with the rows, so that they are the same in every use.
-    The hash spreads rows of one id over the ranges.
+    Distinct ids are their own numbers, at the price of counting them.  Else the rows are numbered and
+    written with their numbers, so that they are the same in every use; the hash spreads rows of one id over the ranges.
     """
     rows = docs.select(COLUMNS)
+    n, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        return rows.withColumn("row", F.col("doc_id").cast("long"))
     if ordered:
         rows = rows.sort(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     return materialize(rows.withColumn("row", F.monotonically_increasing_id()), label)
@@ -38,7 +41,7 @@ def _numbered(docs: DataFrame, label: str, ordered: bool = True) -> DataFrame:
 
 def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows whose number is among the distinct ``kept``."""
-    kept = kept.select(F.col("doc_id").alias("kept_row")).hint("shuffle_hash")
+    kept = kept.select(F.col("doc_id").alias("kept_row"))
     return rows.join(kept, F.col("row") == F.col("kept_row"), "left_semi").select(COLUMNS)
 
 
