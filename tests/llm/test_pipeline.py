@@ -105,3 +105,27 @@ def test_quality_stage_without_a_model_keeps_all(spark, tmp_path):
     for place, labels in (("none", []), ("one-class", [(r.doc_id, 1, 0) for r in docs.select("doc_id").limit(50).collect()])):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{place}/labels.parquet")
         assert P.quality_stage(spark, docs, f"{tmp_path}/{place}").count() == docs.count()
+
+
+def test_stages_pass_clashing_columns_ties_and_long_texts(spark):
+    """Names that the operators use inside, rows repeated whole, equal texts under many ids, and one very long text."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").select(P.COLUMNS)
+    own = [r for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(6).collect()]
+    long = "\n".join(r.text for r in own) * 300
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in own for _ in range(2)]
+    rows += [(9000 + i, own[0].text, "en", None, 1) for i in range(5)] + [(9100, long, "en", "s", 1), (9101, long + " ", "en", "s", 1)]
+    names = ["row", "kept_row", "kept", "fp", "norm", "size", "copies", "h", "low", "score", "label", "key", "node", "component"]
+    given = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` int" for n in names)]))
+    assert P.quality_stage(spark, given, D).columns == P.COLUMNS
+    exact = P.exact_stage(spark, given, D)
+    assert sorted(r.doc_id for r in exact.collect()) == sorted([*(r.doc_id for r in own), 9101]) and exact.columns == P.COLUMNS
+    near = P.near_stage(spark, given, D).collect()
+    prints = {i: plain_fingerprint(t) for i, t, *_ in rows}
+    ids = sorted(prints)
+    roots = components(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (prints[ids[i]] ^ prints[ids[j]]).bit_count() <= 4])
+    assert sorted(r.doc_id for r in near) == [ids[i] for i, c in enumerate(roots) if i == c]
+    mixed = P.mixing_stage(spark, given, D)
+    assert mixed.columns == P.COLUMNS and mixed.count() <= 2 * len(rows)
+    assert P.mixing_stage(spark, given, D).exceptAll(mixed).count() == 0
+    encoded = P.encoding_stage(spark, given, D)
+    assert encoded.count() == len(rows) and encoded.filter("n_tokens <> size(ids)").count() == 0
