@@ -191,7 +191,7 @@ def links(distinct: DataFrame, crowd: int = CROWD, tile: int = TILE) -> DataFram
     )
     pairs = x.join(y, match).select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst"))
     grid = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    dealt = keyed.join(large, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), grid).cast("int").alias("tile"), grid.alias("g"))
+    dealt = keyed.hint("merge").join(large, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), grid).cast("int").alias("tile"), grid.alias("g"))
     paired = dealt.select("key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")).select(
         "key", "fp", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")
     )
