@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.functions import boundary_kernels as K
-from mobilome.functions.sequence import hamming
 
 #: Bases on either side that any engine looks at, with room for direct repeats.
 FLANK = 620
@@ -55,7 +54,8 @@ def _predict(engine: str, left: str, right: str, shift: int, start: int, end: in
 def predict_boundaries(
     genes: DataFrame, contig: str, start: str, end: str, family: str, engine: str = "plan_a", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``keep`` columns and the predicted boundary (columns of BOUNDARY) of every interval."""
+    """``keep`` columns and the predicted boundary (columns of BOUNDARY) of every interval; an unknown engine's name means ``plan_b``."""
+    engine = engine if engine in K.ENGINES else "plan_b"
     rows = genes.select(*keep, F.col(start).cast("int").alias("_s"), F.col(end).cast("int").alias("_e"), F.col(family).alias("_f"), flanks(F.col(contig), F.col(start), F.col(end)).alias("_x"))
     # The search costs milliseconds a row and a row is two short flanks: spread them over all cores first.
     rows = spread(rows.select(*keep, "_s", "_e", "_f", "_x.*"))
@@ -74,32 +74,29 @@ def predict_boundaries(
 
 
 def direct_repeats(rows: DataFrame, contig: str, left: str, right: str, keep: tuple[str, ...], least: int = 2, most: int = 14, shift: int = 3) -> DataFrame:
-    """Native form of the direct-repeat search: ``keep`` columns, refined ends, repeat and score; null where none scores.
+    """The best direct repeat of every row where one scores: ``keep`` columns, refined ends, repeat, length, mismatches and score.
 
-    The grid of moves and lengths is a constant of 637 rows at most, and lives inside each row's expression.
+    Only the two windows that the ends can move in leave the contig; a row is answered in place, so equal rows stay
+    apart and nothing is shuffled.
     """
-    window = most + shift
     l, r = F.col(left), F.col(right)
-    base = rows.select(
-        *keep, l.alias("l"), r.alias("r"), F.length(contig).alias("n"),
-        F.upper(F.substr(F.col(contig), F.greatest(l - window, F.lit(0)) + 1, l + shift - F.greatest(l - window, F.lit(0)))).alias("a"),
-        F.greatest(l - window, F.lit(0)).alias("a0"),
-        F.upper(F.substr(F.col(contig), F.greatest(r - shift, F.lit(0)) + 1, F.lit(window + shift))).alias("b"), F.greatest(r - shift, F.lit(0)).alias("b0"),
+    a, b = F.greatest(F.lit(0), l - shift - most), F.greatest(F.lit(0), r - shift)
+    cut = rows.select(
+        *keep, l.cast("int").alias("_l"), r.cast("int").alias("_r"), F.length(contig).alias("_n"),
+        F.substr(F.col(contig), a + 1, F.greatest(l + shift - a, F.lit(0))).alias("_a"),
+        F.substr(F.col(contig), b + 1, F.greatest(r + shift + most - b, F.lit(0))).alias("_b"),
     )
-    moves = F.sequence(F.lit(-shift), F.lit(shift))
-    grid = base.select("*", F.explode(moves).alias("dl")).select("*", F.explode(moves).alias("dr")).filter(
-        (F.col("l") + F.col("dl") - most >= 0) & (F.col("r") + F.col("dr") + most <= F.col("n")) & (F.col("r") + F.col("dr") > F.col("l") + F.col("dl"))
-    )
-    grid = grid.select("*", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("k"))
-    one = F.substr("a", F.col("l") + F.col("dl") - F.col("k") - F.col("a0") + 1, F.col("k"))
-    two = F.substr("b", F.col("r") + F.col("dr") - F.col("b0") + 1, F.col("k"))
-    scored = grid.select(*keep, "l", "r", "dl", "dr", "k", one.alias("one"), two.alias("two"))
-    scored = scored.withColumn("mm", F.when(F.col("one") == F.col("two"), 0).otherwise(hamming(F.col("one"), F.col("two"))))
-    cost = 1.5 * F.abs("dl") + 1.5 * F.abs("dr")
-    score = F.when(F.col("mm") == 0, F.col("k") * 2.5 - cost).when((F.col("mm") == 1) & (F.col("k") >= 6), (F.col("k") - 1) * 1.8 - cost)
-    scored = scored.withColumn("score", score).filter("score > -1.0")
-    order = F.struct(F.col("score"), -F.col("dl"), -F.col("dr"), -F.col("k"))
-    best = scored.groupBy(*keep).agg(
-        F.max_by(F.struct((F.col("l") + F.col("dl")).alias("left"), (F.col("r") + F.col("dr")).alias("right"), F.col("one").alias("repeat"), F.col("k").alias("length"), F.col("mm").alias("mismatches"), F.bround("score", 2).alias("score")), order).alias("b")
-    )
-    return best.select(*keep, "b.*")
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in keep), '`left` int', '`right` int', "repeat string", "length int", "mismatches int", "score double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            places, found = [], []
+            for i, (x, y, n, before, after) in enumerate(zip(pdf["_l"], pdf["_r"], pdf["_n"], pdf["_a"], pdf["_b"])):
+                hit, x, y = K.direct_repeat_in_windows(before, after, int(n), int(x), int(y), least, most, True, shift)
+                if hit:
+                    places.append(i)
+                    found.append((x, y, hit.sequence, hit.length, hit.mismatches, hit.score))
+            out = pd.DataFrame(found, columns=["left", "right", "repeat", "length", "mismatches", "score"])
+            yield pd.concat([pdf[list(keep)].iloc[places].reset_index(drop=True), out], axis=1)
+
+    return spread(cut.filter("_l IS NOT NULL AND _r IS NOT NULL AND _n IS NOT NULL")).mapInPandas(run, kinds)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mobilome.operators.components import connected_components
+from mobilome.storage import materialize
 
 
 def exact_groups(rows: DataFrame, key: Column, family: str, prefer: Sequence[Column], id_col: str) -> DataFrame:
@@ -27,19 +28,25 @@ def exact_groups(rows: DataFrame, key: Column, family: str, prefer: Sequence[Col
     return keyed.join(groups, "_key").withColumn("is_representative", F.col(id_col) == F.col("representative")).withColumnRenamed("_key", "sequence_key")
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], template: str, name: str) -> DataFrame:
-    """Ids such as tpase_000001 in a global order.
+def ranked(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``rows`` with their place ``name`` in a global order, from 1.
 
-    Range partitions are numbered separately and shifted by the sizes of those
-    before, so no single task sees all rows.
+    The rows are dealt by ranges of the order and written once, sorted; a range's places are
+    shifted by the sizes of those before, which is one number a range.  No single task sees all rows.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "ranked")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    joined = ranged.join(shift, F.col("_part") == F.col("_p"))
-    return joined.withColumn(name, F.format_string(template, (F.col("_shift") + F.col("_in")).cast("long"))).drop("_part", "_in", "_p", "_shift")
+    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    joined = dealt.withColumn("_part", part).join(F.broadcast(shift), "_part")
+    return joined.withColumn(name, F.col("_shift") + inside + 1).drop("_at", "_part", "_shift")
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], template: str, name: str) -> DataFrame:
+    """Ids such as tpase_000001 in a global order."""
+    return ranked(rows, order, "_place").withColumn(name, F.format_string(template, F.col("_place"))).drop("_place")
 
 
 def cluster_table(vertices: DataFrame, edges: DataFrame, id_col: str, length: str, prefix: str = "cluster30_") -> DataFrame:
@@ -141,12 +148,33 @@ def shared_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, stratum: str, id_col: str, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: str = "42") -> DataFrame:
-    """``rows`` with ``split`` by rank in MD5 order within the stratum against rounded cut-offs; test takes the rest."""
+    """``rows`` with ``split`` by rank in MD5 order within the stratum against rounded cut-offs; test takes the rest.
+
+    Ranks come from one global order by stratum, less the sizes of the strata before, so a stratum
+    that holds a third of all rows is many ranges, not one task.
+    """
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    w = Window.partitionBy(stratum)
-    rank, n = F.row_number().over(w.orderBy(order, id_col)), F.count(F.lit(1)).over(w)
+    placed = ranked(rows, [F.col(stratum), order, F.col(id_col)], "_place")
+    sizes = placed.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    joined = placed.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    rank, n = F.col("_place") - F.col("_first") + 1, F.col("_n")
     first, second = F.bround(n * F.lit(ratios[0])), F.bround(n * F.lit(ratios[1]))
-    return rows.withColumn("split", F.when(rank <= first, "train").when(rank <= first + second, "val").otherwise("test"))
+    split = F.when(rank <= first, "train").when(rank <= first + second, "val").otherwise("test")
+    return joined.withColumn("split", split).drop("_place", "_stratum", "_n", "_first")
+
+
+def quotas(share: DataFrame, total: int, key: str, weight: str) -> DataFrame:
+    """(``key``, want): ``total`` dealt in proportion to ``weight`` by largest remainders, the smaller key first among equals.
+
+    The windows run over one row per key.
+    """
+    every = Window.partitionBy(F.lit(0))
+    exact = F.col(weight) * total / F.sum(weight).over(every)
+    floor = F.floor(exact).cast("long")
+    left = F.lit(total) - F.sum("_floor").over(every)
+    turn = F.row_number().over(every.orderBy(F.round(F.col("_exact") - F.col("_floor"), 9).desc(), key))
+    dealt = share.withColumn("_exact", exact).withColumn("_floor", floor).withColumn("_left", left).withColumn("_turn", turn)
+    return dealt.select(key, (F.col("_floor") + F.when(F.col("_turn") <= F.col("_left"), 1).otherwise(0)).alias("want"))
 
 
 def sample_negatives(
@@ -155,36 +183,41 @@ def sample_negatives(
 ) -> DataFrame:
     """``target`` negatives: hard ones, length-matched general ones, and easy ones, with ``negative_type``.
 
-    Length-matched ones are taken bin by bin: positives, taken in turn, ask for a bin, and
-    what a bin lacks is asked of its neighbours in the order of ``offsets``.  Ranks within
-    bins replace drawing one by one.
+    The length-matched ones are dealt to bins of length in proportion to the positives; what a bin lacks is asked of its
+    neighbours in the order of ``offsets``, and what they lack is filled from the rest of the general pool
+    in hash order.  As many are chosen as are asked for, unless the pools hold fewer.  Ranks in one global order
+    replace drawing one by one, so no pool is gathered.
     """
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
     n_hard, n_matched = int(hard * target), int(matched * target)
-    n_easy = target - n_hard - n_matched
+    asked_for = {"hard": n_hard, "easy": target - n_hard - n_matched}
     columns = pool.columns
-
-    def take(k: str, n: int) -> DataFrame:
-        return pool.filter(F.col(kind) == k).orderBy(order, id_col).limit(n)
-
-    chosen_hard = take("hard", n_hard).withColumn("negative_type", F.lit("hard"))
-    easy = take("easy", n_easy).withColumn("negative_type", F.lit("easy"))
-    stock = pool.filter(F.col(kind) == "general").withColumn("_bin", F.floor(F.col(length) / width))
-    stock = stock.withColumn("_rank", F.row_number().over(Window.partitionBy("_bin").orderBy(order, id_col)).cast("long"))
-    supply = stock.groupBy("_bin").agg(F.count(F.lit(1)).alias("left"))
+    cell = F.when(F.col(kind) == "general", F.floor(F.col(length) / width))
+    stock = pool.filter(F.col(kind).isin("hard", "easy", "general")).withColumn("_bin", cell).withColumn("_order", order)
+    stock = ranked(stock, [F.col(kind), F.col("_bin"), F.col("_order"), F.col(id_col)], "_place")
+    # From here on one row per kind and bin of lengths: bounded by the longest sequence, not by the pool.
+    supply = stock.groupBy(F.col(kind).alias("_kind"), "_bin").agg(F.count(F.lit(1)).alias("left"), F.min("_place").alias("_first"))
     share = positives.groupBy(F.floor(F.col(length) / width).alias("_bin")).agg(F.count(F.lit(1)).alias("p"))
-    every = Window.partitionBy(F.lit(0))
-    quota = share.select("_bin", F.floor(F.col("p") * n_matched / F.sum("p").over(every)).alias("want"))
-    used = supply.select("_bin", F.col("left"), F.lit(0).cast("long").alias("used"))
-    need = quota
+    need = quotas(share, n_matched, "_bin", "p")
+    supply = materialize(supply, "negatives-supply")
+    used = supply.filter("_kind = 'general'").select("_bin", "left", F.lit(0).cast("long").alias("used"))
     for o in offsets:
         asked = need.select((F.col("_bin") + o).alias("_bin"), F.col("want"), F.col("_bin").alias("_home"))
-        met = asked.join(used, "_bin", "left").withColumn("got", F.least(F.col("want"), F.coalesce(F.col("left") - F.col("used"), F.lit(0))))
+        room = F.coalesce(F.col("left") - F.col("used"), F.lit(0))
+        met = materialize(asked.join(used, "_bin", "left").withColumn("got", F.least(F.col("want"), room)), "negatives-met")
         used = used.join(met.select("_bin", "got"), "_bin", "left").select("_bin", "left", (F.col("used") + F.coalesce("got", F.lit(0))).alias("used"))
         need = met.select(F.col("_home").alias("_bin"), (F.col("want") - F.col("got")).alias("want"))
-    picked = stock.join(used.select("_bin", "used"), "_bin").filter(F.col("_rank") <= F.col("used"))
-    picked = picked.select(*columns, F.lit("length_matched").alias("negative_type"))
-    return chosen_hard.unionByName(picked).unionByName(easy)
+    used = materialize(used.select(F.col("_bin").alias("_b"), "used"), "negatives-used")
+    whole = F.when(F.col("_kind") == "hard", asked_for["hard"]).when(F.col("_kind") == "easy", asked_for["easy"])
+    cells = supply.join(used, F.col("_bin") == F.col("_b"), "left").select("_kind", F.col("_bin").alias("_b"), "_first", F.coalesce("used", whole, F.lit(0)).alias("_most"))
+    placed = stock.join(F.broadcast(cells), (F.col(kind) == F.col("_kind")) & F.col("_bin").eqNullSafe(F.col("_b")))
+    placed = placed.withColumn("_rank", F.col("_place") - F.col("_first") + 1).drop("_place")
+    picked = placed.filter(F.col("_rank") <= F.col("_most"))
+    missing = n_matched - int(used.agg(F.coalesce(F.sum("used"), F.lit(0))).first()[0])
+    if missing > 0:
+        rest = placed.filter((F.col(kind) == "general") & (F.col("_rank") > F.col("_most")))
+        picked = picked.unionByName(ranked(rest, [F.col("_order"), F.col(id_col)], "_place").filter(F.col("_place") <= missing).drop("_place"))
+    return picked.select(*columns, F.when(F.col(kind) == "general", "length_matched").otherwise(F.col(kind)).alias("negative_type"))
 
 
 def leave_one_out_folds(rows: DataFrame, family: str, label: str, split: str, families: Sequence) -> DataFrame:

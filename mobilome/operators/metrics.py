@@ -1,8 +1,8 @@
 """Evaluation of scored, labelled rows: thresholds, areas, rates, strata and bootstrap intervals.
 
 Inputs have a label column (0 or 1) and a score column.  Curves are built from
-one row per distinct score, so what a window sees is the number of distinct
-scores, pre-aggregated.
+one row per distinct score, dealt by ranges of the score, so that a window never
+sees more than one range.
 """
 
 from __future__ import annotations
@@ -10,17 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mobilome.operators.datasets import ranked
+
+
+def _parts(steps: DataFrame, column: str) -> Column:
+    """Which of a bounded number of ranges a value lies in; the bounds are constants, so every use agrees."""
+    most = min(1_000, int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(steps.stat.approxQuantile(column, [i / most for i in range(1, most)], 0.1 / most))) if most > 1 else []
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(column)))
+
 
 def curve(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score, descending: cumulative true and false positives, precision, recall and FDR."""
+    """Per distinct score, descending: cumulative true and false positives, precision, recall and FDR.
+
+    Distinct scores can be as many as rows, so they are summed by ranges: within a range by a window, and
+    over the ranges before by one number each.
+    """
     steps = rows.groupBy(F.col(score).alias("threshold")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg")
     )
-    down = Window.partitionBy(F.lit(0)).orderBy(F.col("threshold").desc())
-    whole = Window.partitionBy(F.lit(0))
-    out = steps.select(
-        "threshold", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(whole).alias("positives"), F.sum("neg").over(whole).alias("negatives"),
+    steps = steps.withColumn("_part", _parts(steps, "threshold"))
+    sizes = steps.groupBy("_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    above, whole = Window.partitionBy(F.lit(0)).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    shift = sizes.select(
+        F.col("_part").alias("_p"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("fp0"),
+        F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"),
+    )
+    down = Window.partitionBy("_part").orderBy(F.col("threshold").desc())
+    out = steps.select("_part", "threshold", "pos", "neg", F.sum("pos").over(down).alias("tp1"), F.sum("neg").over(down).alias("fp1"))
+    out = out.join(F.broadcast(shift), F.col("_part") == F.col("_p")).select(
+        "threshold", "pos", "neg", (F.col("tp0") + F.col("tp1")).alias("tp"), (F.col("fp0") + F.col("fp1")).alias("fp"), "positives", "negatives"
     )
     n = F.col("tp") + F.col("fp")
     return out.select(
@@ -37,11 +58,12 @@ def fdr_threshold(rows: DataFrame, label: str, score: str, target: float, varian
     with the top score as fallback.
     """
     c = curve(rows, label, score)
+    ok = F.col("fdr") <= target
     if variant == "first_break":
-        down = Window.partitionBy(F.lit(0)).orderBy(F.col("threshold").desc())
-        c = c.withColumn("ok", F.max((F.col("fdr") > target).cast("int")).over(down) == 0)
+        broken = c.agg(F.max(F.when(~ok, F.col("threshold"))).alias("broken"))
+        c = c.join(F.broadcast(broken)).withColumn("ok", F.coalesce(F.col("threshold") > F.col("broken"), F.lit(True)))
     else:
-        c = c.withColumn("ok", F.col("fdr") <= target)
+        c = c.withColumn("ok", ok)
     best = F.max(F.when(F.col("ok"), F.struct("recall", "threshold", "fdr")))
     fallback = F.lit(float("inf")) if variant == "max_recall" else F.max("threshold")
     return c.agg(best.alias("best"), fallback.alias("fallback")).select(
@@ -58,10 +80,10 @@ def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def pr_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Trapezoids under precision over recall, from the point (0, 1)."""
+    """Trapezoids under precision over recall, from the point (0, 1); the point before a step is the step less its own counts."""
     c = curve(rows, label, score)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.col("threshold").desc())
-    r0, p0 = F.coalesce(F.lag("recall").over(down), F.lit(0.0)), F.coalesce(F.lag("precision").over(down), F.lit(1.0))
+    tp, n = F.col("tp") - F.col("pos"), F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
+    r0, p0 = F.coalesce(F.try_divide(tp, F.col("positives")), F.lit(0.0)), F.coalesce(F.try_divide(tp, n), F.lit(1.0))
     return c.withColumn("area", (F.col("recall") - r0) * (F.col("precision") + p0) / 2).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("pr_auc"))
 
 
@@ -147,24 +169,49 @@ def bootstrap_recall(
 ) -> DataFrame:
     """Percentile interval (2.5, 97.5) of recall, or of its difference from a second method's, over resampled units.
 
-    Positives are first summed by unit.  Draw d of replicate r takes the unit whose
-    rank is an MD5 number of (seed, r, d) modulo the number of units, so
-    the result is the same in any engine and on any partitioning.
+    All units are drawn from, those without positives too, and a replicate without positives has no value.  Positives are first summed by
+    unit.  Draw d of replicate r takes the unit whose rank is an MD5 number of (seed, r, d) modulo the number
+    of units, so the result is the same in any engine and on any partitioning.
     """
-    spark = rows.sparkSession
     gain = hit.cast("long") - (other.cast("long") if other is not None else F.lit(0))
-    units = rows.filter(F.col(label) == 1).groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.sum(gain).alias("g"))
-    everything = Window.partitionBy(F.lit(0))
-    ranked = units.select(
-        "n", "g", (F.row_number().over(everything.orderBy(unit)) - 1).cast("long").alias("rank"), F.count(F.lit(1)).over(everything).alias("units")
-    )
-    total = ranked.agg(F.max("units").alias("units"))
+    positive = F.col(label) == 1
+    units = rows.groupBy(unit).agg(F.count_if(positive).alias("n"), F.coalesce(F.sum(F.when(positive, gain)), F.lit(0)).alias("g"))
+    values = unit_draws(units, unit, replicates, seed).groupBy("r").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    return percentile_interval(values.filter("n > 0").select((F.col("g") / F.col("n")).alias("value")))
+
+
+def unit_draws(units: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
+    """The units' columns once for each draw that takes them, with the replicate ``r``: as many draws as units in each."""
+    spark = units.sparkSession
+    placed = ranked(units, [F.col(unit)], "_place")
+    total = placed.count()
     draws = (
-        spark.range(replicates).withColumnRenamed("id", "r").crossJoin(F.broadcast(total))
-        .select("r", "units", F.explode(F.sequence(F.lit(1).cast("long"), F.col("units"))).alias("d"))
-        .withColumn("pick", F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), "r", "d")), F.lit(1), F.lit(12)), 16, 10).cast("long") % F.col("units"))
+        spark.range(replicates * total).select(F.expr(f"id div {max(1, total)}").alias("r"), (F.col("id") % max(1, total) + 1).alias("d"))
+        .withColumn("pick", F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), "r", "d")), F.lit(1), F.lit(12)), 16, 10).cast("long") % max(1, total) + 1)
     )
-    values = draws.join(ranked.select("rank", "n", "g"), F.col("pick") == F.col("rank")).groupBy("r").agg((F.sum("g") / F.sum("n")).alias("value"))
+    counted = draws.groupBy("r", "pick").agg(F.count(F.lit(1)).alias("_times"))
+    return counted.join(placed, F.col("pick") == F.col("_place")).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("pick", "_place", "_times", "_t")
+
+
+def percentile_interval(values: DataFrame) -> DataFrame:
+    """One row (mean, low, high) of the column ``value``."""
     return values.agg(
         F.avg("value").alias("mean"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high")
     )
+
+
+def bootstrap_average_precision(rows: DataFrame, label: str, score: str, unit: str, replicates: int, seed: str, bins: int = 10_000) -> DataFrame:
+    """Percentile interval (2.5, 97.5) of the average precision over resampled units; ``score`` lies in [0, 1].
+
+    Scores are taken in ``bins`` equal steps, so that a unit is a short histogram and a replicate is summed by step; scores that are
+    multiples of 1 / bins are exact.
+    """
+    step = F.round(F.col(score) * bins).cast("int")
+    cells = rows.groupBy(unit, step.alias("step")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    units = cells.groupBy(unit).agg(F.collect_list(F.struct("step", "pos", "neg")).alias("cells"))
+    drawn = unit_draws(units, unit, replicates, seed).select("r", F.inline("cells"))
+    steps = drawn.groupBy("r", "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    down = Window.partitionBy("r").orderBy(F.col("step").desc())
+    tp, n = F.sum("pos").over(down), F.sum(F.col("pos") + F.col("neg")).over(down)
+    values = steps.withColumn("part", F.col("pos") * tp / n).groupBy("r").agg(F.try_divide(F.sum("part"), F.sum("pos")).alias("value"))
+    return percentile_interval(values.filter("value IS NOT NULL"))

@@ -87,23 +87,43 @@ def stratified_split(spark, d):
     return datasets.stratified_split(table(spark, d, "documents"), "lang", "doc_id").select("doc_id", "lang", "split")
 
 
-@query("""
-WITH RECURSIVE n AS (SELECT 100 AS target),
-pool AS (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'easy' ELSE 'general' END AS kind, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents)
-SELECT doc_id, 'hard' AS negative_type FROM (SELECT * FROM pool WHERE kind = 'hard' ORDER BY h, doc_id LIMIT 50)
-UNION ALL SELECT doc_id, 'easy' FROM (SELECT * FROM pool WHERE kind = 'easy' ORDER BY h, doc_id LIMIT 20)""")
+def _negatives_sql(positives: str, target: int = 100, width: int = 50, offsets=(0, -1, 1, -2, 2)) -> str:
+    """All three strata; a bin's wants go to its neighbours one offset after the other, then the rest is filled."""
+    matched = int(0.3 * target)
+    rounds, used, need = [], "u0", "w0"
+    for i, o in enumerate(offsets):
+        rounds.append(f"""g{i} AS (SELECT w.bin AS home, w.want, u.bin, least(w.want, coalesce(u.n - u.used, 0)) AS got FROM {need} w LEFT JOIN {used} u ON u.bin = w.bin + {o}),
+u{i + 1} AS (SELECT u.bin, u.n, u.used + coalesce(g.got, 0) AS used FROM {used} u LEFT JOIN g{i} g ON g.bin = u.bin), w{i + 1} AS (SELECT home AS bin, want - got AS want FROM g{i})""")
+        used, need = f"u{i + 1}", f"w{i + 1}"
+    return f"""
+WITH pool AS (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'easy' ELSE 'general' END AS kind, md5('42:' || CAST(doc_id AS VARCHAR)) AS h, n_chars // {width} AS bin FROM documents),
+pos AS (SELECT n_chars // {width} AS bin, count(*) AS p FROM {positives} GROUP BY 1), q AS (SELECT *, p * {matched} / sum(p) OVER () AS x FROM pos),
+q2 AS (SELECT *, CAST(floor(x) AS BIGINT) AS f, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, bin) AS turn FROM q), w0 AS (SELECT bin, CAST(f + CASE WHEN turn <= {matched} - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS want FROM q2),
+u0 AS (SELECT bin, count(*) AS n, 0::BIGINT AS used FROM pool WHERE kind = 'general' GROUP BY bin), {", ".join(rounds)},
+r AS (SELECT p.*, row_number() OVER (PARTITION BY p.kind, p.bin ORDER BY h, doc_id) AS rk FROM pool p WHERE kind = 'general'),
+m AS (SELECT r.*, rk <= coalesce(u.used, 0) AS taken FROM r LEFT JOIN {used} u ON u.bin = r.bin),
+filled AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY h, doc_id) AS k FROM m WHERE NOT taken)
+SELECT doc_id, n_chars, 'length_matched' AS negative_type FROM m WHERE taken
+UNION ALL SELECT doc_id, n_chars, 'length_matched' FROM filled WHERE k <= {matched} - (SELECT count(*) FROM m WHERE taken)
+UNION ALL SELECT doc_id, n_chars, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h, doc_id) AS k FROM pool WHERE kind <> 'general')
+WHERE k <= CASE kind WHEN 'hard' THEN {int(0.5 * target)} ELSE {target - int(0.5 * target) - matched} END"""
+
+
+def _negative_pool(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, "hard").when(F.col("doc_id") % 3 == 1, "easy").otherwise("general")
+    return table(spark, d, "documents").select("doc_id", "n_chars").withColumn("kind", kind)
+
+
+@query(_negatives_sql("(SELECT length(text) AS n_chars FROM benchmark)"))
 def negatives_quota(spark, d):
-    docs = table(spark, d, "documents").withColumn("kind", F.when(F.col("doc_id") % 3 == 0, "hard").when(F.col("doc_id") % 3 == 1, "easy").otherwise("general"))
     positives = table(spark, d, "benchmark").select(F.length("text").alias("n_chars"))
-    picked = datasets.sample_negatives(docs, positives, 100, "doc_id", "kind", "n_chars")
-    return picked.filter("negative_type <> 'length_matched'").select("doc_id", "negative_type")
+    return datasets.sample_negatives(_negative_pool(spark, d), positives, 100, "doc_id", "kind", "n_chars").select("doc_id", "n_chars", "negative_type")
 
 
-@query()
+@query(_negatives_sql("(SELECT n_chars FROM pool WHERE kind = 'easy')"))
 def negatives_length_matched(spark, d):
-    docs = table(spark, d, "documents").withColumn("kind", F.when(F.col("doc_id") % 3 == 0, "hard").when(F.col("doc_id") % 3 == 1, "easy").otherwise("general"))
-    positives = docs.filter("kind = 'easy'").select("n_chars")
-    return datasets.sample_negatives(docs, positives, 100, "doc_id", "kind", "n_chars").filter("negative_type = 'length_matched'").select("doc_id", "n_chars", "negative_type")
+    pool = _negative_pool(spark, d)
+    return datasets.sample_negatives(pool, pool.filter("kind = 'easy'").select("n_chars"), 100, "doc_id", "kind", "n_chars").select("doc_id", "n_chars", "negative_type")
 
 
 @query("""
@@ -117,53 +137,42 @@ def lofo_folds(spark, d):
     return datasets.leave_one_out_folds(v, "label", "y", "split", range(10)).select("vec_id", "fold", "role")
 
 
-_SIGNATURE = "(SELECT doc_id, substr(text, 1, 40) AS a, right(text, 40) AS b FROM documents WHERE text IS NOT NULL AND length(text) >= 40)"
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+#: Clusters of whole texts: five-word grams, identity at least 0.3, both coverages at least 0.8; equal words are one class.
+_CLUSTERED = f"""
+WITH RECURSIVE q AS (SELECT doc_id AS id, array_to_string(w, ' ') AS plain, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+e AS (SELECT id, len(g) AS n, unnest(g) AS gram FROM q),
+p AS (SELECT a.id AS x, b.id AS y, a.n AS xn, b.n AS yn, count(*) AS shared FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL),
+k AS (SELECT x, y FROM p WHERE shared / least(xn, yn) >= 0.3 AND shared / greatest(xn, yn) >= 0.8 UNION SELECT min(id) OVER (PARTITION BY plain), id FROM q),
+both_ways AS (SELECT x, y FROM k WHERE x <> y UNION SELECT y, x FROM k WHERE x <> y),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x),
+c AS (SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x)"""
 
 
-def _document_edges(spark, d):
-    docs = table(spark, d, "documents").filter("text IS NOT NULL AND length(text) >= 40")
-    a = similarity.equal_signature_edges(docs, "doc_id", F.substring("text", 1, 40))
-    return a.union(similarity.equal_signature_edges(docs, "doc_id", F.right("text", F.lit(40))))
+def _text_edges(spark, d):
+    return similarity.similar_text_edges(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(f"""
-WITH RECURSIVE s AS {_SIGNATURE},
-e AS (
-  SELECT doc_id AS x, min(doc_id) OVER (PARTITION BY a) AS y FROM s UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY b) FROM s),
-both_ways AS (SELECT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y),
-r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x)
-SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x""")
+@query(f"{_CLUSTERED} SELECT doc_id, root AS component FROM c")
 def components_documents(spark, d):
-    stars = connected_components(_document_edges(spark, d))
+    stars = connected_components(_text_edges(spark, d))
     docs = table(spark, d, "documents").select("doc_id")
     return docs.join(stars, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
-def _clustered(spark, d):
-    """The clusters of the SQL of components_documents."""
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source")
-    return datasets.cluster_table(docs, _document_edges(spark, d), "doc_id", "n_chars")
-
-
 def _similar(spark, d):
     """Clusters of whole texts by word grams."""
-    docs = table(spark, d, "documents")
-    edges = similarity.similar_text_edges(docs.select(F.col("doc_id").alias("id"), "text"))
-    return datasets.cluster_table(docs.select("doc_id", "n_chars", "lang", "source"), edges, "doc_id", "n_chars")
+    return datasets.cluster_table(table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source"), _text_edges(spark, d), "doc_id", "n_chars")
 
 
-@query(f"""
-WITH RECURSIVE s AS {_SIGNATURE},
-e AS (SELECT doc_id AS x, min(doc_id) OVER (PARTITION BY a) AS y FROM s UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY b) FROM s),
-both_ways AS (SELECT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y),
-r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x),
-c AS (SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x),
-k AS (SELECT root, count(*) AS size, min(lang) <> max(lang) AS mixed FROM c JOIN documents USING (doc_id) GROUP BY root)
+@query(f"""{_CLUSTERED},
+k2 AS (SELECT root, count(*) AS size, min(lang) <> max(lang) AS mixed FROM c JOIN documents USING (doc_id) GROUP BY root)
 SELECT CAST(sum(size) AS BIGINT) AS n_sequences, count(*) AS n_clusters, CAST(count(*) FILTER (size = 1) AS BIGINT) AS n_singletons,
        round(count(*) FILTER (size = 1) / count(*), 6) AS singleton_fraction, list_sort(list(size))[count(*) // 2 + 1] AS median_size, max(size) AS max_size,
-       CAST(count(*) FILTER (mixed) AS BIGINT) AS n_mixed FROM k""")
+       CAST(count(*) FILTER (mixed) AS BIGINT) AS n_mixed FROM k2""")
 def cluster_statistics(spark, d):
-    return datasets.cluster_statistics(_clustered(spark, d), "cluster_id", "lang").withColumn("singleton_fraction", r("singleton_fraction"))
+    return datasets.cluster_statistics(_similar(spark, d), "cluster_id", "lang").withColumn("singleton_fraction", r("singleton_fraction"))
 
 
 @query()
@@ -171,9 +180,18 @@ def cluster_split(spark, d):
     return datasets.cluster_split(_similar(spark, d), "cluster_id", "lang").select("doc_id", "cluster_id", "split")
 
 
-@query()
+@query(f"""{_CLUSTERED},
+m AS (SELECT c.root, d.doc_id, d.n_chars, d.source FROM c JOIN documents d USING (doc_id)),
+s AS (SELECT root, count(*) AS size, arg_max(doc_id, n_chars * 1000000000000 + doc_id) AS rep, min(n_chars) AS min_length, max(n_chars) AS max_length FROM m GROUP BY root),
+named AS (SELECT *, 'cluster30_' || lpad(CAST(row_number() OVER (ORDER BY size DESC, rep) AS VARCHAR), 6, '0') AS cluster_id FROM s),
+f AS (SELECT root, source, count(*) AS k FROM m GROUP BY root, source),
+o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY k DESC, source NULLS FIRST) AS rn FROM f),
+t AS (SELECT root, count(*) AS n_families, max(k) AS top_k, string_agg(concat_ws(':', source, CAST(k AS VARCHAR)), ', ' ORDER BY rn) FILTER (rn <= 4) AS families FROM o GROUP BY root)
+SELECT cluster_id, size, min_length, max_length, n_families, families, round(top_k / size, 6) AS top_share,
+  CASE WHEN n_families = 1 THEN 'low' WHEN top_k / size >= 0.95 THEN 'moderate' ELSE 'high' END AS risk
+FROM named JOIN t USING (root) ORDER BY size DESC, cluster_id LIMIT 20""")
 def family_purity(spark, d):
-    return datasets.family_purity(_similar(spark, d), "cluster_id", "source", "n_chars")
+    return datasets.family_purity(_similar(spark, d), "cluster_id", "source", "n_chars").withColumn("top_share", r("top_share"))
 
 
 # --- hits ---------------------------------------------------------------------------------------------------------
@@ -238,7 +256,6 @@ def cluster_schemes(spark, d):
 _GRAMS = """
   SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 8 THEN [array_to_string(w, ' ')]
          ELSE list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) END) AS g FROM"""
-_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
 @query(f"""
@@ -341,7 +358,20 @@ def homology_strata(spark, d):
     return _rounded(metrics.confusion(s, "y", "score", F.lit(0.5), ("stratum",)))
 
 
-@query()
+def _overall_sql() -> str:
+    """Areas on odd documents, and their recall at the thresholds fixed on even ones."""
+    steps = "SELECT score AS t, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM scored WHERE y IS NOT NULL AND doc_id % 2 = {} GROUP BY score"
+    curve = "SELECT *, sum(pos) OVER (ORDER BY t DESC) AS tp, sum(neg) OVER (ORDER BY t DESC) AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM {}"
+    at = "coalesce((SELECT t FROM v WHERE fp / (tp + fp) <= {} ORDER BY tp / np DESC, t DESC LIMIT 1), 'Infinity'::DOUBLE)"
+    parts = [
+        f"round({at.format(t)}, 6) AS threshold_{n}, round(coalesce((SELECT count(*) FILTER (score >= {at.format(t)}) / nullif(count(*), 0) FROM scored WHERE y = 1 AND doc_id % 2 = 1), 0), 6) AS recall_{n}"
+        for n, t in (("1fdr", 0.01), ("5fdr", 0.05), ("10fdr", 0.10))
+    ]
+    return f"""WITH {SQL_SCORED}, a AS ({steps.format(0)}), b AS ({steps.format(1)}), v AS ({curve.format("a")}), w AS ({curve.format("b")})
+SELECT (SELECT round(sum(pos * (nn - fp + neg / 2)) / max(np * nn), 6) FROM w) AS auroc, (SELECT round(sum(tp / (tp + fp) * pos / np), 6) FROM w) AS average_precision, {", ".join(parts)}"""
+
+
+@query(_overall_sql())
 def overall_metrics(spark, d):
     s = _labelled(spark, d)
     valid, test = s.filter("doc_id % 2 = 0"), s.filter("doc_id % 2 = 1")
@@ -350,10 +380,11 @@ def overall_metrics(spark, d):
 
 
 @query(f"""
-WITH {SQL_SCORED}, u AS (SELECT lang, count(*) AS n, count(*) FILTER (score >= 0.5) - count(*) FILTER (score >= 0.6) AS g, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rk, count(*) OVER () AS k FROM scored WHERE y = 1 GROUP BY lang),
+WITH {SQL_SCORED}, u AS (SELECT lang, count(*) FILTER (y = 1) AS n, count(*) FILTER (y = 1 AND score >= 0.5) - count(*) FILTER (y = 1 AND score >= 0.6) AS g, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rk, count(*) OVER () AS k
+  FROM scored WHERE y IS NOT NULL GROUP BY lang),
 t AS (SELECT max(k) AS k FROM u), dr AS (
   SELECT r, CAST('0x' || substr(md5('42:' || r || ':' || i), 1, 12) AS BIGINT) % k AS pick FROM (SELECT unnest(range(200)) AS r) CROSS JOIN t CROSS JOIN LATERAL (SELECT unnest(range(1, k + 1)) AS i)),
-v AS (SELECT r, sum(g) / sum(n) AS value FROM dr JOIN u ON pick = rk GROUP BY r)
+v AS (SELECT r, sum(g) / sum(n) AS value FROM dr JOIN u ON pick = rk GROUP BY r HAVING sum(n) > 0)
 SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v""")
 def bootstrap_ci(spark, d):
     s = _labelled(spark, d)
@@ -668,7 +699,7 @@ def logistic_fit(spark, d):
 
 
 def _scan_inputs(spark, d):
-    c = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("contig_id"), dna(F.col("text")).alias("sequence")).filter(F.length("sequence") >= 500)
+    c = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("contig_id"), dna(F.col("text")).alias("sequence"))
     genes = materialize(scan.find_genes(c), "genes")
     k = F.length("protein")
     hits_ = genes.select("gene_id", F.when(k % 2 == 0, "IS3").otherwise("IS110").alias("family"), (k / 2.0).alias("bits"), F.pow(F.lit(10.0), -k / 10.0).alias("evalue"))

@@ -37,12 +37,12 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq, n, ts, te): a document's DNA with a gene over its middle 40 percent."""
     d = table(spark, sf_dir, "documents").select("doc_id", dna(F.col("text")).alias("seq"), F.lit("IS3").alias("family"))
     n = F.length("seq")
-    return d.select("doc_id", "seq", n.alias("n"), F.floor(n * 3 / 10).cast("int").alias("ts"), F.floor(n * 7 / 10).cast("int").alias("te"), "family").filter("n >= 100")
+    return d.select("doc_id", "seq", n.alias("n"), F.floor(n * 3 / 10).cast("int").alias("ts"), F.floor(n * 7 / 10).cast("int").alias("te"), "family")
 
 
 SQL_CONTIGS = f"""contigs AS (
   SELECT doc_id, seq, n, CAST(floor(n * 3 / 10) AS INT) AS ts, CAST(floor(n * 7 / 10) AS INT) AS te
-  FROM (SELECT doc_id, seq, length(seq) AS n FROM (SELECT doc_id, {SQL_DNA} AS seq FROM documents)) WHERE n >= 100)"""
+  FROM (SELECT doc_id, seq, length(seq) AS n FROM (SELECT doc_id, {SQL_DNA} AS seq FROM documents)))"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
