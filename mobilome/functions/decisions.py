@@ -229,15 +229,18 @@ def final_status(truncation: Column, composite_status: Column, bitscore: Column)
 
 
 def fold_score(n: Column, radius: Column, plddt: Column) -> Column:
-    """struct(bitscore, evalue, hit) of a fold from its radius of gyration against the expected one."""
+    """struct(bitscore, evalue, hit) of a fold from its radius of gyration against the expected one; nulls below ten residues.
+
+    Bits are rounded to one place before they are judged, the e-value to eight.
+    """
     expected = 2.8 * F.pow(F.greatest(n, F.lit(1)).cast("double"), F.lit(0.33))
     ratio = F.least(radius, expected) / F.greatest(radius, expected)
-    bits = 100.0 * ratio * plddt / 100.0 + 20.0
-    evalue = F.greatest(F.lit(1e-30), F.pow(F.lit(10.0), -bits / 15.0))
+    bits = rounded(100.0 * ratio * plddt / 100.0 + 20.0, 1)
+    evalue = F.round(F.greatest(F.lit(1e-30), F.pow(F.lit(10.0), -bits / 15.0)), 8)
     enough = n >= 10
     return F.struct(
-        F.when(enough, bits).otherwise(0.0).alias("bitscore"), F.when(enough, evalue).otherwise(999.0).alias("evalue"),
-        (enough & (bits >= 40)).alias("hit"),
+        F.when(enough, bits).alias("bitscore"), F.when(enough, evalue).alias("evalue"),
+        F.coalesce(enough & (bits >= 40), F.lit(False)).alias("hit"),
     )
 
 

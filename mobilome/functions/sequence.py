@@ -148,6 +148,17 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def bit_sigmoid(bits: Column, middle: float = 30.0, scale: float = 10.0) -> Column:
+    """A bit score as a chance: one half at ``middle``."""
+    return sigmoid((bits - F.lit(middle)) / F.lit(scale))
+
+
+def invalid_letters(s: Column, allowed: str) -> Column:
+    """The distinct letters of a sequence that are not allowed, in order."""
+    letters = F.array_distinct(F.filter(F.split(F.coalesce(s, F.lit("")), ""), lambda c: c != ""))
+    return F.array_sort(F.array_except(letters, F.array(*[F.lit(c) for c in allowed])))
+
+
 def model_input(s: Column, layout: str) -> Column:
     """A protein as a model wants it: "standard", "hashed" (every residue followed by #) or "spaced"."""
     if layout == "hashed":

@@ -99,10 +99,10 @@ def compare_methods(a: DataFrame, b: DataFrame, metrics: list[str], places: int
 
 def synthetic_contigs(elements: DataFrame, key: str, sequence: str, flank: int = 600, repeat: int = 5) -> DataFrame:
     """Elements set into random flanks of their own GC share, their insertion site doubled: contig, true ends and repeat."""
-    seed = F.md5(F.col(key).cast("string"))
-    gc = gc_fraction(F.col(sequence))
-    parts = elements.select(
-        key, F.col(sequence).alias("_e"), random_dna(F.concat(seed, F.lit("l")), flank, gc).alias("_l"), random_dna(F.concat(seed, F.lit("r")), flank, gc).alias("_r")
+    given = elements.select(key, F.col(sequence).alias("_e"), F.md5(F.col(key).cast("string")).alias("_seed"), gc_fraction(F.col(sequence)).alias("_gc"))
+    seed, gc = F.col("_seed"), F.col("_gc")  # computed once a row, not once for every base drawn
+    parts = given.select(
+        key, "_e", random_dna(F.concat(seed, F.lit("l")), flank, gc).alias("_l"), random_dna(F.concat(seed, F.lit("r")), flank, gc).alias("_r")
     )
     site = F.right("_l", F.lit(repeat))
     start = F.lit(flank)

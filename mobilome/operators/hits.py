@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mobilome.storage import discard, materialize
+
 #: A query without a hit.
 NO_HIT = {"score": 0.0, "target_id": "None", "pident": 0.0, "coverage": 0.0, "evalue": 999.0}
 
@@ -91,3 +93,78 @@ def homology_classes(queries: DataFrame, hits: DataFrame, identity: float = 0.30
         F.when(some, F.col("by_bits.target")).alias("bits_target"), F.when(some, F.col("by_bits.fident")).alias("bits_identity"),
         b.alias("best_local_identity"),
     )
+
+
+def best_similarity(hits: DataFrame) -> DataFrame:
+    """Per query its best hit by bits, then smaller e-value, then earlier line."""
+    return best_hit(hits, "query", [F.col("bits"), -F.col("evalue"), -F.col("line_no")], ["target", "fident", "qcov", "tcov", "evalue", "bits"])
+
+
+def nearest_identity(hits: DataFrame) -> DataFrame:
+    """Per query the largest identity and the target that has it, the earlier line of equals."""
+    return hits.groupBy("query").agg(F.max("fident").alias("max_identity"), F.max_by("target", F.struct(F.col("fident"), -F.col("line_no"))).alias("target"))
+
+
+def reciprocal_audit(queries: DataFrame, hits: DataFrame, coverage: float = 0.80, exact: float = 0.99) -> DataFrame:
+    """Per query (seq_id, label) its best local hit and its best hit of reciprocal coverage, both by bits, and a homology class.
+
+    Reciprocal coverage is the smaller of both coverages.
+    """
+    both = F.least("qcov", "tcov")
+    hit = F.struct("target", "fident", "qcov", "tcov", both.alias("rcov"), "bits", "evalue")
+    by_bits = F.struct(F.col("bits"), -F.col("line_no"))
+    best = hits.groupBy("query").agg(F.max_by(hit, by_bits).alias("local"), F.max_by(hit, F.when(both >= coverage, by_bits)).alias("strict"), F.count_if(both >= coverage).alias("n_strict"))
+    joined = queries.select("seq_id", "label").join(best, F.col("seq_id") == F.col("query"), "left")
+    some = F.coalesce(F.col("n_strict") > 0, F.lit(False))
+    i = F.col("strict.fident")
+    kind = (
+        F.when(F.col("local").isNull(), "NO_HOMOLOG_FOUND").when(~some, "DOMAIN_OVERLAP").when((i >= exact) & (F.col("strict.rcov") >= exact), "L1_EXACT")
+        .when(i >= 0.30, "L2_CLOSE").when(i >= 0.20, "REMOTE_30").otherwise("REMOTE_20")
+    )
+    return joined.select(
+        "seq_id", "label", F.coalesce("local.target", F.lit(-1)).alias("nearest"), F.coalesce("local.fident", F.lit(0.0)).alias("local_identity"), F.coalesce("local.bits", F.lit(0.0)).alias("bits"),
+        F.when(some, i).otherwise(0.0).alias("strict_identity"), kind.alias("homology_class"),
+    )
+
+
+def audit_counts(audited: DataFrame) -> DataFrame:
+    """Per class of ``reciprocal_audit`` the queries, and those of them that are positives."""
+    return audited.groupBy("homology_class").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("label") == 1).alias("positives"))
+
+
+def greedy_clusters(vertices: DataFrame, edges: DataFrame, id_col: str, priority: list[Column], most: int = 200) -> DataFrame:
+    """(id, representative) of greedy clustering: taken in order of ``priority`` (larger first, then smaller id), a vertex
+    that no representative has taken represents itself and takes all its free neighbours.
+
+    Rounds over edges: a free vertex that outranks all its free neighbours represents, and its neighbours are free no more.  At the
+    end every other vertex joins the best representative next to it.  The result is that of going
+    through the vertices one by one.  Each round is written, so lost executors cost one round.
+    """
+    rank = F.struct(*priority, (-F.col(id_col)).alias("_low"))
+    named = vertices.select(F.col(id_col).alias("v"), rank.alias("r"))
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b")
+    both = both.union(both.select("b", "a")).distinct()
+    linked = both.join(named.withColumnsRenamed({"v": "a", "r": "ra"}), "a").join(named.withColumnsRenamed({"v": "b", "r": "rb"}), "b")
+    linked = materialize(linked, "greedy-edges")
+    free, rounds = materialize(named, "greedy-free"), []
+    while len(rounds) < most and not free.isEmpty():
+        live = linked.join(free.select(F.col("v").alias("a")), "a", "left_semi").join(free.select(F.col("v").alias("b")), "b", "left_semi")
+        best = live.groupBy("a").agg(F.max("rb").alias("top"))
+        chosen = materialize(free.join(best, F.col("v") == F.col("a"), "left").filter("top IS NULL OR r > top").select("v"), "greedy-chosen")
+        rounds.append(chosen)
+        done = chosen.union(live.join(chosen.select(F.col("v").alias("b")), "b", "left_semi").select("a")).distinct()
+        before, free = free, materialize(free.join(done, "v", "left_anti"), "greedy-free")
+        discard(before)
+    if not free.isEmpty():
+        raise RuntimeError(f"clusters are open after {most} rounds")
+    chosen = rounds[0] if rounds else named.select("v")
+    for more in rounds[1:]:
+        chosen = chosen.union(more)
+    own = linked.join(chosen.select(F.col("v").alias("b")), "b", "left_semi").groupBy("a").agg(F.max_by("b", "rb").alias("to"))
+    own = own.join(chosen.select(F.col("v").alias("a")), "a", "left_anti")
+    return vertices.select(F.col(id_col)).join(own, F.col(id_col) == F.col("a"), "left").select(id_col, F.coalesce("to", id_col).alias("representative"))
+
+
+def family_clusters(rows: DataFrame, family: str, cluster: str) -> DataFrame:
+    """Per family its members and its distinct clusters, the largest family first."""
+    return rows.groupBy(family).agg(F.count(F.lit(1)).alias("members"), F.count_distinct(cluster).alias("clusters")).orderBy(F.col("members").desc(), family)

@@ -98,6 +98,9 @@ def annotate(contigs: DataFrame, genes: DataFrame, hits: DataFrame, engine: str
         down = D.lookup(F.col("family"), K.DISTANCES, 2, K.DEFAULT_DISTANCES[2])
         truncation = D.truncation_class(touch["left"], touch["right"], F.col("orf_start"), F.col("orf_end"), F.col("start"), F.col("end"), end, up, down, supported, F.col("complete"))
     bounded = bounded.withColumn("truncation", truncation)
+    if edges:  # a reading frame that reaches both ends is the whole contig, whatever the search says
+        whole = touch["left"] & touch["right"]
+        bounded = bounded.withColumn("confidence", F.when(whole, 0.45).otherwise(F.col("confidence"))).withColumn("complete", F.col("complete") & ~whole)
     bounded = bounded.withColumn("start", F.when(F.col("truncation").isin("edge_both_truncated", "edge_5p_truncated"), 0).otherwise(F.col("start")))
     bounded = bounded.withColumn("end", F.when(F.col("truncation").isin("edge_both_truncated", "edge_3p_truncated"), end).otherwise(F.col("end")))
     scores = D.element_scores(

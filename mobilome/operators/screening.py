@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.functions import decisions as D
+from mobilome.functions.sequence import invalid_letters
+from mobilome.storage import materialize
 
 LETTERS = "ABCDEFGHIKLMNOPQRSTUVWXYZ"
 
@@ -26,7 +28,7 @@ def protein_qc(proteins: DataFrame, least: int = 50, most: int = 2000) -> tuple[
     reasons = F.array_compact(
         F.array(
             F.when(F.col("copies") > 1, "duplicate_id"), F.when(F.coalesce(n, F.lit(0)) == 0, "empty"),
-            F.when(~F.col("sequence").rlike(f"^[{LETTERS}]*$"), "invalid_residue"), F.when(~n.between(least, most), "length"),
+            F.when(F.size(invalid_letters(F.col("sequence"), LETTERS)) > 0, "invalid_residue"), F.when(~n.between(least, most), "length"),
         )
     )
     status = F.when(F.col("raw") != F.col("sequence"), "stop_symbol_normalized").otherwise("ok")
@@ -75,23 +77,86 @@ def screen(evidence: DataFrame, score: str, fast: Column, similarity: Column, fu
     return routed.withColumn("f", fused).select("*", "f.*").drop("f")
 
 
-def closed_loop(elements: DataFrame, screened: DataFrame) -> DataFrame:
+#: Length of the pieces by which loose keys look for the ids that hold them.
+PIECE = 8
+
+
+def holding_ids(keys: DataFrame, key: str, ids: DataFrame, id_col: str, piece: int = PIECE) -> DataFrame:
+    """(key, id) of all ids that hold a key as a substring; empty keys hold nowhere.
+
+    Keys and ids meet by equality of pieces: of a key's pieces of length ``piece`` (itself, if it is shorter) the one that
+    the fewest ids hold stands for it, so that few ids are looked at for each key.
+    """
+    k = keys.select(F.col(key).alias("key")).filter(F.length("key") > 0).distinct()
+    k = k.withColumn("size", F.least(F.length("key"), F.lit(piece)))
+    sizes = sorted(r["size"] for r in k.select("size").distinct().collect())  # at most ``piece`` numbers
+
+    def pieces(text: Column, size: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, size)))
+
+    held = ids.select(F.col(id_col).alias("id")).distinct().select("id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")) if sizes else None
+    if held is None:
+        return k.select("key", F.lit(None).cast(ids.schema[id_col].dataType).alias("id")).limit(0)
+    held = materialize(held.filter(F.length("id") >= F.col("n")).select("id", F.explode(pieces(F.col("id"), F.col("n"))).alias("piece")), "id-pieces")
+    often = held.groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
+    asked = k.select("key", F.explode(pieces(F.col("key"), F.col("size"))).alias("piece"))
+    met = asked.join(often, "piece", "left").groupBy("key").agg(F.min_by(F.struct("piece", "times"), F.struct(F.coalesce("times", F.lit(0)), "piece")).alias("p"))
+    rare = met.filter("p.times IS NOT NULL").select("key", F.col("p.piece").alias("piece"))
+    return rare.join(held, "piece").filter(F.contains("id", "key")).select("key", "id")
+
+
+def closed_loop(elements: DataFrame, screened: DataFrame, order: str = "protein_id") -> DataFrame:
     """Elements with the category of their protein, found under "<element>_tpase", the element, or the gene id, in
-    that order; else under the first protein id that contains either.  A hit score above 1 is normalised.
+    that order; else under the first protein, by ``order``, whose id contains either, empty ids being contained in none.  A hit score above 1 is normalised.
     """
-    p = screened.select("protein_id", "final_category", "transposase_score")
+    p = screened.select("protein_id", "final_category", "transposase_score", F.col(order).alias("_order"))
     keys = F.array(F.concat("element_id", F.lit("_tpase")), F.col("element_id"), F.col("tpase_gene_id"))
     asked = elements.select("element_id", F.posexplode(keys).alias("rank", "key"))
-    exact = asked.join(p, F.col("key") == F.col("protein_id")).groupBy("element_id").agg(F.min_by(F.struct("final_category", "transposase_score"), "rank").alias("hit"))
-    open_ = elements.join(exact, "element_id", "left_anti").select("element_id", "tpase_gene_id")
+    result = F.struct("final_category", "transposase_score")
+    exact = asked.join(p, F.col("key") == F.col("protein_id")).groupBy("element_id").agg(F.min_by(result, "rank").alias("hit"))
+    exact = materialize(exact, "loop-exact")
+    open_ = elements.join(exact, "element_id", "left_anti").select("element_id", F.explode(F.array("element_id", "tpase_gene_id")).alias("key")).filter(F.length("key") > 0)
+    held = holding_ids(open_, "key", p, "protein_id")
     loose = (
-        open_.join(p, F.contains("protein_id", "element_id") | F.contains("protein_id", "tpase_gene_id"))
-        .groupBy("element_id").agg(F.min_by(F.struct("final_category", "transposase_score"), "protein_id").alias("hit"))
+        open_.join(held, "key").join(p, F.col("id") == F.col("protein_id"))
+        .groupBy("element_id").agg(F.min_by(result, F.struct("_order", "protein_id")).alias("hit"))
     )
     found = elements.join(exact.unionByName(loose), "element_id", "left")
     fallback = F.least(F.lit(1.0), F.when(F.col("tpase_score") > 1, F.col("tpase_score") / 150.0).otherwise(F.col("tpase_score")))
     category = F.coalesce("hit.final_category", F.lit("Uncertain"))
     return found.select(
         elements["*"], category.alias("protein_category"), D.dual_category(F.col("status"), category).alias("dual_category"),
-        D.dual_confidence(F.col("composite_score"), F.coalesce("hit.transposase_score", fallback)).alias("dual_confidence"),
+        D.rounded(D.dual_confidence(F.col("composite_score"), F.coalesce("hit.transposase_score", fallback)), 4).alias("dual_confidence"),
     )
+
+
+# The columns of the three result layouts, in order.
+STAGE1_COLUMNS = (
+    "protein_id", "length", "sequence_sha256", "qc_status", "profile", "model_key", "classifier_id", "tpase_score", "top_family", "family_score",
+    "final_category", "routing_stage", "notes",
+)
+COMBINED_COLUMNS = (
+    *STAGE1_COLUMNS, "mmseqs_hit", "mmseqs_target_id", "mmseqs_identity_percent", "mmseqs_alignment_length", "mmseqs_query_coverage_percent",
+    "mmseqs_target_coverage_percent", "mmseqs_evalue", "mmseqs_bitscore", "hmmer_hit", "hmmer_profile_id", "hmmer_full_evalue", "hmmer_full_bitscore",
+    "hmmer_domain_evalue", "hmmer_domain_bitscore", "route", "reason_code",
+)
+RESEARCH_COLUMNS = (
+    *COMBINED_COLUMNS, "prostt5_evaluated", "prostt5_score", "prostt5_structure_similarity", "predicted_3di", "structure_evaluated", "mean_plddt",
+    "foldseek_hit", "foldseek_target_id", "foldseek_score", "foldseek_evalue", "saprot_score", "transposase_score", "novelty_score",
+)
+
+
+def flattened(records: DataFrame, layout: str = "research") -> DataFrame:
+    """Nested records (stage1, search, profile, routing, structure, fusion) as the flat columns of a layout, in its order.
+
+    In the research layout the fused category, stage and notes take the place of the first ones.
+    """
+    columns = {"stage1": STAGE1_COLUMNS, "combined": COMBINED_COLUMNS, "research": RESEARCH_COLUMNS}[layout]
+    fused = ("final_category", "routing_stage", "notes", "transposase_score", "novelty_score")
+    parts = {
+        **{c: f"stage1.{c}" for c in STAGE1_COLUMNS}, **{c: f"search.{c}" for c in COMBINED_COLUMNS[13:21]}, **{c: f"profile.{c}" for c in COMBINED_COLUMNS[21:27]},
+        **{c: f"routing.{c}" for c in COMBINED_COLUMNS[27:]}, **{c: f"structure.{c}" for c in RESEARCH_COLUMNS[29:40]},
+    }
+    if layout == "research":
+        parts |= {c: f"fusion.{c}" for c in fused}
+    return records.select(*[F.col(parts[c]).alias(c) for c in columns])

@@ -782,3 +782,14 @@ def synthetic_contigs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
     out = evaluation.synthetic_contigs(docs, "doc_id", "seq", 30, 5)
     return out.select("doc_id", F.sha2("contig", 256).alias("contig_sha256"), "true_start", "true_end", "true_tsd")
+
+
+def _register() -> None:
+    from mobilome.plans import files, more
+
+    for module in (files, more):
+        QUERIES.update(module.QUERIES)
+        ORACLE.update(module.ORACLE)
+
+
+_register()

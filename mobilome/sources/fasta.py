@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mobilome.operators.boundaries import spread
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, sequence) of every record; gzip files are read as they are.
+    """(id, description, sequence) of every record; gzip files are read as they are; bytes that are no UTF-8 are replaced.
 
     Records are split by the reader itself, so a large file is read by many
-    tasks (a gzip file by one, and spread afterwards by the caller).
+    tasks; gzip files cannot be split and are spread over all cores after reading.
     """
-    raw = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^>", "").alias("r"))
-    return records(raw, F.col("r"))
+    raw = spark.read.text(path, lineSep="\n>")
+    if any(name.endswith((".gz", ".gzip")) for name in raw.inputFiles()):
+        raw = spread(raw)
+    return records(raw.select(F.regexp_replace(F.make_valid_utf8("value"), r"^>", "").alias("r")), F.col("r"))
 
 
 def records(raw: DataFrame, record: Column) -> DataFrame:

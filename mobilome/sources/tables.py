@@ -7,19 +7,41 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mobilome.operators.datasets import ranked
+from mobilome.sources.fasta import write_fasta
+
 HIT_SCHEMA = "query string, target string, fident double, alnlen int, qcov double, tcov double, evalue double, bits double"
 BLAST_SCHEMA = "query string, target string, pident double, alnlen int, qcovs double, evalue double, bits double"
 
 
+def in_file_order(rows: DataFrame, name: str = "line_no") -> DataFrame:
+    """Rows just read from files with their place in the files, from 1, files in the order of their names.
+
+    A task may read parts of files in any order, so places come from file, offset of the part, and place in the task.
+    """
+    at = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return ranked(at, [F.col("_f"), F.col("_b"), F.col("_i")], name).drop("_f", "_b", "_i")
+
+
 def read_hits(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Eight tab-separated columns without a header; strict fails on a bad line, lax skips it."""
     mode = "FAILFAST" if strict else "DROPMALFORMED"
-    rows = spark.read.csv(path, sep="\t", schema=HIT_SCHEMA, mode=mode)
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+    return in_file_order(spark.read.csv(path, sep="\t", schema=HIT_SCHEMA, mode=mode))
 
 
 def read_blast(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=BLAST_SCHEMA, mode="DROPMALFORMED").withColumn("line_no", F.monotonically_increasing_id())
+    return in_file_order(spark.read.csv(path, sep="\t", schema=BLAST_SCHEMA, mode="DROPMALFORMED"))
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Cleaned element metadata of a CSV file with a header; the last row of a name wins."""
+    return element_metadata(in_file_order(spark.read.csv(path, header=True, inferSchema=False), "row_no"))
+
+
+def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
+    """Insertion sequences of annotation feature tables; every file is a source of its own."""
+    at = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return feature_table(at.select("source", F.struct("_b", "_i").alias("pos"), "value"))
 
 
 def read_profile_hits(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -43,6 +65,11 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="representative string, member_id string")
 
 
+def write_lines_of(frame: DataFrame, path: str) -> None:
+    """Tab-separated rows without a header."""
+    frame.write.mode("errorifexists").csv(path, sep="\t", header=False)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
 
@@ -137,6 +164,20 @@ def gff3_lines(elements: DataFrame, source: str = "mobilome") -> DataFrame:
     return head.unionByName(rows)
 
 
+def write_elements(elements: DataFrame, contigs: DataFrame, path: str) -> None:
+    """Elements as FASTA wrapped at 80 with rich headers: id, place, family, status and score."""
+    s = contigs.select(F.col("contig_id").alias("_c"), F.col("sequence").alias("_s"))
+    cut = elements.join(s, F.col("contig_id") == F.col("_c")).withColumn("_e", F.substr("_s", F.col("start") + 1, F.col("end") - F.col("start")))
+    write_fasta(cut, path, "element_id", "_e", element_header(), 80)
+
+
+def element_header() -> Column:
+    return F.concat(
+        F.col("element_id"), F.lit(" "), F.col("contig_id"), F.lit(":"), (F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string"),
+        F.lit(" family="), F.col("family"), F.lit(" status="), F.col("status"), F.lit(" score="), F.format_string("%.4f", F.col("composite_score").cast("double")),
+    )
+
+
 def write_gff3(elements: DataFrame, path: str) -> None:
     gff3_lines(elements).orderBy("contig_id", "start", "value").select("value").write.mode("errorifexists").text(path)
 

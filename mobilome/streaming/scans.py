@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def incremental(
@@ -28,6 +29,39 @@ def incremental(
     return reader.load(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def numbered(
+    spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], order: Sequence[str], template: str, target: str, checkpoint: str,
+    fmt: str = "parquet", files_per_trigger: int = 1,
+):
+    """``incremental`` with running ``element_id``s across batches: a batch goes on where the ones before it ended.
+
+    The state is one number a batch, written beside the result under the batch's own number, so a retried
+    batch numbers its rows as before.  Within a batch the ids follow ``order``.
+    """
+    from mobilome.operators.datasets import ranked
+
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = 0
+        if number:
+            counts = session.read.schema("n long, batch int").parquet(f"{target}/counts")
+            before = counts.filter(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        placed = ranked(work(batch), [F.col(c) for c in order], "_place")
+        rows = placed.withColumn("element_id", F.format_string(template, F.col("_place") + before)).drop("_place")
+        rows.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        placed.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{target}/counts/batch={number}")
+
+    return reader.load(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rates(query, bases: int, contigs: int) -> dict:
+    """What a finished run took: seconds, million bases and contigs a second."""
+    seconds = sum(p["durationMs"].get("triggerExecution", 0) for p in query.recentProgress) / 1000
+    return {"seconds": seconds, "mbp_per_second": bases / 1e6 / max(seconds, 1e-9), "contigs_per_second": contigs / max(seconds, 1e-9)}
+
+
 def progress(query) -> list[dict]:
     """Rows and rates of every finished batch."""
     return [
