@@ -139,13 +139,13 @@ def align_families(proteins: DataFrame, family: str, id_col: str, sequence: str,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < least:
-            return pd.DataFrame({"family": [], "id": [], "aligned": []})
+            return pd.DataFrame({"family": [], "id": [], "aligned": []}, dtype=object)
         with tempfile.TemporaryDirectory() as folder:
             pdf = pdf.sort_values("i")
             Path(folder, "members.fa").write_text("".join(f">{i}\n{s}\n" for i, s in zip(pdf["i"], pdf["s"])))
             text = call(tool, [resolve(tool, explicit), "--auto", "--quiet", f"{folder}/members.fa"], folder, seconds)
         records = [r.split("\n", 1) for r in text.split(">") if r.strip()]
-        return pd.DataFrame({"family": pdf["f"].iloc[0], "id": [r[0].split()[0] for r in records], "aligned": [r[1].replace("\n", "") for r in records]})
+        return pd.DataFrame({"family": [pdf["f"].iloc[0]] * len(records), "id": [r[0].split()[0] for r in records], "aligned": [r[1].replace("\n", "") for r in records]})
 
     rows = proteins.select(proteins[family].alias("f"), proteins[id_col].cast("string").alias("i"), proteins[sequence].alias("s"))
     return rows.groupBy("f").applyInPandas(run, "family string, id string, aligned string")

@@ -75,8 +75,10 @@ def find_genes(contigs: DataFrame, least: int = 90) -> DataFrame:
 def annotate(contigs: DataFrame, genes: DataFrame, hits: DataFrame, engine: str = "plan_a", primary: str = "best", least_bits: float = 10.6, gap: int = 250, edges: bool = False) -> DataFrame:
     """Elements of (contig_id, sequence) from genes and their best profile hits (gene_id, family, bits, evalue).
 
-    With ``edges``, elements are classed by truncation at contig ends as well.
+    With ``edges``, elements are classed by truncation at contig ends as well.  An unknown engine's name means
+    ``plan_a`` then, and ``plan_b`` else.
     """
+    engine = engine if engine in K.ENGINES else "plan_a" if edges else "plan_b"
     strong = hits.filter(F.col("bits") >= least_bits).groupBy("gene_id").agg(F.max_by(F.struct("family", "bits", "evalue"), F.struct(F.col("bits"), -F.col("evalue"), "family")).alias("h"))
     found = genes.join(strong, "gene_id").select("contig_id", "gene_id", "start", "end", "strand", "partial_left", "partial_right", "h.*")
     grouped = materialize(islands(found, "contig_id", "start", "end", "family", gap, ("end", "gene_id")), "islands")

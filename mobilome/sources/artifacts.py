@@ -79,7 +79,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(pdf["path"], pdf["content"]):
                 m = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float32)
                 for a in range(0, len(m), 10_000):
-                    yield pd.DataFrame({"path": name, "row": np.arange(a, a + len(m[a : a + 10_000])), "vector": list(m[a : a + 10_000])})
+                    yield pd.DataFrame({"path": [name] * len(m[a : a + 10_000]), "row": np.arange(a, a + len(m[a : a + 10_000])), "vector": list(m[a : a + 10_000])})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, row long, vector array<float>")

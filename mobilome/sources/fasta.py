@@ -14,19 +14,24 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     Records are split by the reader itself, so a large file is read by many
     tasks; gzip files cannot be split and are spread over all cores after reading.
     """
-    raw = spark.read.text(path, lineSep="\n>")
+    raw = raw_records(spark, path)
     if any(name.endswith((".gz", ".gzip")) for name in raw.inputFiles()):
         raw = spread(raw)
-    return records(raw.select(F.regexp_replace(F.make_valid_utf8("value"), r"^>", "").alias("r")), F.col("r"))
+    return records(raw, F.col("r"))
 
 
-def records(raw: DataFrame, record: Column) -> DataFrame:
-    """Split records without their leading ">" into id, description and sequence."""
+def raw_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of files as text ``r`` without their leading ">"."""
+    return spark.read.text(path, lineSep="\n>").select(F.regexp_replace(F.make_valid_utf8("value"), r"^>", "").alias("r"))
+
+
+def records(raw: DataFrame, record: Column, *keep: str) -> DataFrame:
+    """Split records without their leading ">" into id, description and sequence, with the ``keep`` columns."""
     lines = F.regexp_replace(record, r"\r", "")
     description = F.trim(F.substring_index(lines, "\n", 1))
     sequence = F.regexp_replace(F.substr(lines, F.length(F.substring_index(lines, "\n", 1)) + 1), r"\s+", "")
     return raw.filter(F.length(F.trim(record)) > 0).select(
-        F.regexp_extract(description, r"^(\S*)", 1).alias("id"), description.alias("description"), sequence.alias("sequence")
+        F.regexp_extract(description, r"^(\S*)", 1).alias("id"), description.alias("description"), sequence.alias("sequence"), *keep
     )
 
 
