@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from mobilome.functions import boundary_kernels as K
 from mobilome.functions import decisions as D
-from mobilome.operators.boundaries import predict_boundaries, spread
+from mobilome.operators.boundaries import predict_boundaries
 from mobilome.operators.intervals import islands, reduce_islands, resolve_overlaps
-from mobilome.storage import materialize
+from mobilome.storage import deal_small, materialize
 
 STARTS = ("ATG", "GTG", "TTG")
 STOPS = ("TAA", "TAG", "TGA")
@@ -69,7 +69,7 @@ def find_genes(contigs: DataFrame, least: int = 90) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["contig_id", "gene_id", "start", "end", "strand", "partial_left", "partial_right", "protein"])
 
-    return spread(contigs.select("contig_id", "sequence")).mapInPandas(run, ORFS)
+    return deal_small(contigs.select("contig_id", "sequence")).mapInPandas(run, ORFS)
 
 
 def annotate(contigs: DataFrame, genes: DataFrame, hits: DataFrame, engine: str = "plan_a", primary: str = "best", least_bits: float = 10.6, gap: int = 250, edges: bool = False) -> DataFrame:

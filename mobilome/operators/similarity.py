@@ -38,12 +38,18 @@ def gram_hits(queries: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """(query, target, shared, fident, qcov, tcov) of pairs that share a gram; both inputs have (id, text).
 
     Identity is the shared grams over those of the smaller side, coverages are
-    over each side.  Grams meet by equality; a gram that is frequent on both sides is a skewed
+    over each side.  Grams meet by equality of 128-bit digests; a gram that is frequent on both sides is a skewed
     key that adaptive execution splits, and pairs are summed by pair.
     """
     def exploded(df: DataFrame, p: str) -> DataFrame:
-        grams = df.select(F.col("id").alias(f"{p}_id"), word_grams(F.col("text"), n).alias("g"))
-        return grams.select(f"{p}_id", F.size("g").alias(f"{p}_n"), F.explode("g").alias(f"{p}_gram"))
+        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = [_gram_digests(t, n) for t in pdf["plain"]]
+                yield pd.DataFrame({"id": pdf["id"], "n": [len(g) for g in found], "gram": found})
+
+        kind = df.schema["id"].dataType.simpleString()
+        rows = df.select("id", _plain(F.col("text")).alias("plain")).mapInPandas(grams, f"id {kind}, n int, gram array<binary>")
+        return rows.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.explode("gram").alias(f"{p}_gram"))
 
     q, t = exploded(queries, "q"), exploded(targets, "t")
     shared = q.join(t, F.col("q_gram") == F.col("t_gram")).groupBy("q_id", "t_id", "q_n", "t_n").agg(F.count(F.lit(1)).alias("shared"))
@@ -60,17 +66,25 @@ def equal_signature_edges(rows: DataFrame, id_col: str, signature: Column) -> Da
     return keyed.join(least, "sig").filter("id <> dst").select(F.col("id").alias("src"), "dst")
 
 
-def _gram_hashes(plain: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the grams of ``word_grams`` of a text as ``_plain`` gives it."""
+def _each_gram(plain: str, n: int, digest) -> list:
+    """``digest`` of the bytes of every gram of ``word_grams``, repeats included, of a text as ``_plain`` gives it."""
     if not plain:
-        return np.zeros(0, np.int64)
+        return []
     text = plain.encode("utf-8", "surrogatepass")
     ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text))
     starts = np.append(0, ends[:-1] + 1)
     k = min(n, len(ends))
-    digest = xxhash.xxh64_intdigest
-    found = [digest(text[i:j]) for i, j in zip(starts[: len(ends) - k + 1].tolist(), ends[k - 1 :].tolist())]
-    return np.unique(np.array(found, np.uint64).view(np.int64))
+    return [digest(text[i:j]) for i, j in zip(starts[: len(ends) - k + 1].tolist(), ends[k - 1 :].tolist())]
+
+
+def _gram_digests(plain: str, n: int) -> list[bytes]:
+    """Distinct 128-bit digests of the grams."""
+    return list(set(_each_gram(plain, n, xxhash.xxh3_128_digest)))
+
+
+def _gram_hashes(plain: str, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the grams."""
+    return np.unique(np.array(_each_gram(plain, n, xxhash.xxh64_intdigest), np.uint64).view(np.int64))
 
 
 def _leading_grams(texts: DataFrame, sample: DataFrame, n: int, coverage: float) -> DataFrame:

@@ -12,7 +12,7 @@ from mobilome.operators import hits as H
 from mobilome.operators.components import connected_components
 from mobilome.plans.derived import (
     SQL_CONTIGS, SQL_DNA, SQL_EVIDENCE, SQL_HITS, SQL_INTERVALS, SQL_PROTEIN, SQL_SCORED,
-    contigs, dna, evidence, hits, protein, scored, table,
+    contigs, dna, evidence, hits, protein, scored, table, texts,
 )
 from mobilome.plans.derived import intervals as event_intervals
 from mobilome.storage import materialize
@@ -151,7 +151,7 @@ c AS (SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x)"""
 
 
 def _text_edges(spark, d):
-    return similarity.similar_text_edges(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return similarity.similar_text_edges(texts(spark, d).select(F.col("doc_id").alias("id"), "text"))
 
 
 @query(f"{_CLUSTERED} SELECT doc_id, root AS component FROM c")
@@ -264,7 +264,7 @@ qe AS (SELECT id, len(g) AS n, unnest(g) AS gram FROM q), te AS (SELECT id, len(
 p AS (SELECT qe.id AS query, te.id AS target, qe.n AS qn, te.n AS tn, count(*) AS shared FROM qe JOIN te ON qe.gram = te.gram GROUP BY ALL)
 SELECT query, target, shared, round(shared / least(qn, tn), 6) AS fident, round(shared / qn, 6) AS qcov, round(shared / tn, 6) AS tcov FROM p""")
 def contamination_audit(spark, d):
-    q = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = texts(spark, d).select(F.col("doc_id").alias("id"), "text")
     t = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     return similarity.gram_hits(q, t, 8).select("query", "target", "shared", r("fident").alias("fident"), r("qcov").alias("qcov"), r("tcov").alias("tcov"))
 
@@ -558,7 +558,7 @@ def truncation_class(spark, d):
 WITH s AS (SELECT doc_id, {SQL_DNA} AS seq FROM documents)
 SELECT doc_id, sha256(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_sha256, round(CASE WHEN seq = '' THEN 0.5 ELSE (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) END, 6) AS gc FROM s""")
 def revcomp_gc(spark, d):
-    s = table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
+    s = texts(spark, d).select("doc_id", dna(F.col("text")).alias("seq"))
     return s.select("doc_id", F.sha2(S.reverse_complement(F.col("seq")), 256).alias("rc_sha256"), r(S.gc_fraction(F.col("seq"))).alias("gc"))
 
 
@@ -566,7 +566,7 @@ def revcomp_gc(spark, d):
 WITH s AS (SELECT doc_id, {SQL_DNA} AS seq FROM documents), k AS (SELECT substr(seq, i, 6) AS kmer FROM s, LATERAL (SELECT unnest(range(1, length(seq) - 4)) AS i) WHERE length(seq) >= 6)
 SELECT kmer, count(*) AS n FROM k WHERE length(replace(kmer, kmer[1], '')) > 0 GROUP BY kmer""")
 def kmer_counts(spark, d):
-    k = table(spark, d, "documents").select(F.explode(S.kmers(dna(F.col("text")), 6)).alias("kmer"))
+    k = texts(spark, d).select(F.explode(S.kmers(dna(F.col("text")), 6)).alias("kmer"))
     return k.filter(~S.is_homopolymer(F.col("kmer"))).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -574,7 +574,7 @@ def kmer_counts(spark, d):
 WITH s AS (SELECT doc_id, {SQL_DNA} AS seq FROM documents), t AS (SELECT doc_id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM s)
 SELECT doc_id, CAST(len(list_filter(range(1, length(seq) + 1), lambda i: seq[i] <> rc[i])) AS BIGINT) AS mismatches FROM t""")
 def hamming(spark, d):
-    s = table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
+    s = texts(spark, d).select("doc_id", dna(F.col("text")).alias("seq"))
     return s.select("doc_id", S.hamming(F.col("seq"), S.reverse_complement(F.col("seq"))).cast("long").alias("mismatches"))
 
 
@@ -658,7 +658,7 @@ w AS (SELECT *, least(1.0, hits / greatest(n - 3, 1) * 15.0::DOUBLE) AS dens, le
 SELECT doc_id, sha256(tok) AS tokens_sha256, round(CASE WHEN n < 4 THEN 0.5 ELSE 1 / (1 + exp(-(6.0::DOUBLE * (0.5::DOUBLE * dens + 0.5::DOUBLE * dde - 0.45::DOUBLE)))) END, 6) AS score,
   round(CASE WHEN n < 4 THEN 0.5 ELSE least(1.0, greatest(0.1, dens * 0.8::DOUBLE + 0.2::DOUBLE)) END, 6) AS similarity FROM w""")
 def threedi_score(spark, d):
-    p = table(spark, d, "documents").select("doc_id", protein(F.col("text")).alias("aa")).withColumn("tok", S.structure_tokens(F.col("aa")))
+    p = texts(spark, d).select("doc_id", protein(F.col("text")).alias("aa")).withColumn("tok", S.structure_tokens(F.col("aa")))
     p = p.withColumn("x", S.structure_scores(F.col("aa"), F.col("tok")))
     return p.select("doc_id", F.sha2("tok", 256).alias("tokens_sha256"), r("x.score").alias("score"), r("x.similarity").alias("similarity"))
 
@@ -670,7 +670,7 @@ SELECT doc_id, sha256(array_to_string(list_transform(range(1, n + 1), lambda i:
   round(1 / (1 + exp(-(5.0::DOUBLE * (coalesce(list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN aa[i] IN ('D', 'E') AND tok[i] IN ('d', 'e', 'p') THEN 2.0 WHEN aa[i] IN ('V', 'L', 'I', 'A') AND tok[i] IN ('v', 'l', 'i', 'a') THEN 1.0
     WHEN aa[i] IN ('K', 'R') AND tok[i] IN ('k', 'r', 'p') THEN 1.0 ELSE 0.0 END)), 0) / greatest(n, 1) - 0.35::DOUBLE)))), 6) AS score FROM u""")
 def bimodal_score(spark, d):
-    p = table(spark, d, "documents").select("doc_id", protein(F.col("text")).alias("aa")).withColumn("tok", S.structure_tokens(F.col("aa")))
+    p = texts(spark, d).select("doc_id", protein(F.col("text")).alias("aa")).withColumn("tok", S.structure_tokens(F.col("aa")))
     return p.select("doc_id", F.sha2(S.bimodal_tokens(F.col("aa"), F.col("tok")), 256).alias("pairs_sha256"), r(S.bimodal_score(F.col("aa"), F.col("tok"))).alias("score"))
 
 
@@ -699,7 +699,7 @@ def logistic_fit(spark, d):
 
 
 def _scan_inputs(spark, d):
-    c = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("contig_id"), dna(F.col("text")).alias("sequence"))
+    c = texts(spark, d).select(F.col("doc_id").cast("string").alias("contig_id"), dna(F.col("text")).alias("sequence"))
     genes = materialize(scan.find_genes(c), "genes")
     k = F.length("protein")
     hits_ = genes.select("gene_id", F.when(k % 2 == 0, "IS3").otherwise("IS110").alias("family"), (k / 2.0).alias("bits"), F.pow(F.lit(10.0), -k / 10.0).alias("evalue"))
@@ -779,7 +779,7 @@ n AS (SELECT *, unnest(range(1, 31)) AS i FROM g), u AS (SELECT *, {_BASE.format
 f AS (SELECT doc_id, seq, string_agg({_PICK.format(b="ul")}, '' ORDER BY i) AS l, string_agg({_PICK.format(b="ur")}, '' ORDER BY i) AS r FROM u GROUP BY doc_id, seq)
 SELECT doc_id, sha256(l || seq || right(l, 5) || r) AS contig_sha256, 30 AS true_start, CAST(30 + length(seq) AS INT) AS true_end, right(l, 5) AS true_tsd FROM f""")
 def synthetic_contigs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
+    docs = texts(spark, d).select("doc_id", dna(F.col("text")).alias("seq"))
     out = evaluation.synthetic_contigs(docs, "doc_id", "seq", 30, 5)
     return out.select("doc_id", F.sha2("contig", 256).alias("contig_sha256"), "true_start", "true_end", "true_tsd")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mobilome.storage import deal_small
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = ("ACGT" * 7)[:26] * 2
 RESIDUES = ("ACDEFGHIKLMNPQRSTVWY" * 2)[:26] * 2
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that costs much more than reading them."""
+    return deal_small(table(spark, sf_dir, "documents"))
+
+
 def letters(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "")
 
@@ -35,7 +42,7 @@ SQL_PROTEIN = f"translate({SQL_LETTERS}, '{ALPHABET}', '{RESIDUES}')"
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq, n, ts, te): a document's DNA with a gene over its middle 40 percent."""
-    d = table(spark, sf_dir, "documents").select("doc_id", dna(F.col("text")).alias("seq"), F.lit("IS3").alias("family"))
+    d = texts(spark, sf_dir).select("doc_id", dna(F.col("text")).alias("seq"), F.lit("IS3").alias("family"))
     n = F.length("seq")
     return d.select("doc_id", "seq", n.alias("n"), F.floor(n * 3 / 10).cast("int").alias("ts"), F.floor(n * 7 / 10).cast("int").alias("te"), "family")
 

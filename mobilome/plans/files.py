@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.operators import filters, hits, screening, structures
-from mobilome.plans.derived import SQL_DNA, SQL_HITS, SQL_INTERVALS, SQL_PROTEIN, dna, protein, table
+from mobilome.plans.derived import SQL_DNA, SQL_HITS, SQL_INTERVALS, SQL_PROTEIN, dna, protein, table, texts
 from mobilome.plans.derived import hits as derived_hits
 from mobilome.plans.derived import intervals as event_intervals
 from mobilome.sources import artifacts, fasta, tables
@@ -215,7 +215,7 @@ e AS (SELECT *, 2.8::DOUBLE * pow(n, 0.33::DOUBLE) AS expected FROM m)
 SELECT doc_id, CAST(n AS INT) AS residues, round(plddt, 4) AS plddt, round(radius, 4) AS radius, n >= 10 AND 100.0 * least(radius, expected) / greatest(radius, expected) * plddt / 100.0 + 20.0 >= 39.95 AS hit,
   CASE WHEN n >= 10 THEN round(100.0::DOUBLE * least(radius, expected) / greatest(radius, expected) * plddt / 100.0 + 20.0, 0) END AS bits FROM e""")
 def simulated_folds(spark, d):
-    p = table(spark, d, "documents").select("doc_id", protein(F.col("text")).alias("aa")).filter("length(aa) > 0")
+    p = texts(spark, d).select("doc_id", protein(F.col("text")).alias("aa")).filter("length(aa) > 0")
     f = structures.predicted_folds(p, "doc_id", "aa")
     bits = F.when(F.col("residues") >= 10, F.round(100.0 * F.least("radius", 2.8 * F.pow("residues", F.lit(0.33))) / F.greatest("radius", 2.8 * F.pow("residues", F.lit(0.33))) * F.col("plddt") / 100.0 + 20.0, 0))
     return f.select("doc_id", "residues", F.round("plddt", 4).alias("plddt"), F.round("radius", 4).alias("radius"), "hit", bits.alias("bits"))
@@ -226,7 +226,7 @@ WITH p AS (SELECT doc_id, {SQL_PROTEIN} AS aa FROM documents WHERE doc_id IS NOT
 SELECT count(*) AS atoms, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, round(avg(plddt), 4) AS plddt, CAST(max(i) AS INT) AS last FROM a""")
 def structure_file(spark, d):
     """Predicted structures as fixed-width atom lines, written and read.  Longer chains do not fit the format, which has eight columns for a coordinate."""
-    p = table(spark, d, "documents").select(protein(F.col("text")).alias("aa")).filter("length(aa) BETWEEN 1 AND 6500")
+    p = texts(spark, d).select(protein(F.col("text")).alias("aa")).filter("length(aa) BETWEEN 1 AND 6500")
     at = _place(spark, "structures")
     p.select(F.explode(structures.structure_lines(F.col("aa"))).alias("value")).write.text(at)
     a = tables.alpha_carbons(spark.read.text(at))

@@ -48,3 +48,13 @@ def discard(table: DataFrame | None) -> None:
     spark = table.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A table below this size, half of one split, may lie in a single row group and so be read by a single task.
+SMALL_BYTES = 64 << 20
+
+
+def deal_small(frame: DataFrame) -> DataFrame:
+    """``frame``, its rows dealt over all cores if it is smaller than SMALL_BYTES; larger tables are read as they lie, without a shuffle."""
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else frame
