@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.storage import materialize
@@ -41,12 +41,11 @@ def training_sample(
     ids = parts[0].union(parts[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     chosen = materialize(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")), f"{label}-sample")
-    # At most 2 x per_class rows of three numbers meet in this window.
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    length = F.coalesce(F.length("text") + PER_LINE * lines, F.lit(0))
-    upto = F.sum("length").over(Window.partitionBy("y").orderBy(order, "doc_id"))
-    inside = (
-        chosen.select("doc_id", "y", length.alias("length")).filter(F.col("length") <= most_chars // 20)
-        .withColumn("upto", upto).filter(F.col("upto") <= most_chars).select("doc_id")
-    )
-    return chosen.join(F.broadcast(inside), "doc_id", "left_semi"), sizes
+    length = F.coalesce(F.length("text") + PER_LINE * lines, F.lit(0)).alias("length")
+    # At most 2 x per_class rows of four numbers come to the driver.
+    found = chosen.select("doc_id", "y", order.alias("order"), length).filter(F.col("length") <= most_chars // 20).toPandas()
+    found = found.sort_values(["order", "doc_id"])
+    inside = found[found.groupby("y")["length"].cumsum() <= most_chars]["doc_id"]
+    few = docs.sparkSession.createDataFrame([(int(i),) for i in inside], "doc_id long")
+    return chosen.join(F.broadcast(few), "doc_id", "left_semi"), sizes
