@@ -6,7 +6,7 @@ over the sorted pair keys of the vocabulary, takes the lowest rank in each word
 and merges it there; words without a known pair leave.  Words that were encoded
 before are taken from a table of bounded size.
 
-Defined results: a null text counts as empty and gives no ids and an empty
+Defined results: a very long text is encoded whole, by itself; a null text counts as empty and gives no ids and an empty
 decoded text; special strings inside a text become their single id; a null id
 or a repeated row is passed on as it is; an empty table gives an empty result.
 """
@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilome.llm import tables
 from mobilome.llm.pretokens import specials, tokenizer
 
 #: Chunks remembered between batches of a task; beyond it the table starts anew.
@@ -255,7 +256,7 @@ def decode_ids(frame: DataFrame, vocabulary: str | None = None, ids_col: str = "
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    encoded = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    encoded = encode_documents(tables.read(spark, sf_dir, "documents"))
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

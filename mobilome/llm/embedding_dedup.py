@@ -17,7 +17,7 @@ overflow.
 
 Defined results: a vector whose label is null, or that is null, empty, zero or
 holds a null or non-finite component, links with nothing; vectors of unequal
-length never link; equal rows count as other vectors of each other; null ids
+length never link, and length is bounded by the d x d moments alone; equal rows count as other vectors of each other; null ids
 are never a ``component_id`` unless the component has no other; an empty table
 gives an empty result.
 """
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilome.llm import tables
 from mobilome.operators.components import connected_components
 from mobilome.operators.joins import join_answers
 from mobilome.storage import materialize
@@ -255,7 +256,7 @@ def similar_vectors(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return similar_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return similar_vectors(tables.read(spark, sf_dir, "embeddings"))
 
 
 ORACLE = """

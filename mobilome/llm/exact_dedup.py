@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.llm import quotient_filter as cqf
+from mobilome.llm import tables
 from mobilome.operators.joins import join_answers
 from mobilome.storage import materialize
 
@@ -126,7 +127,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_duplicates(tables.read(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

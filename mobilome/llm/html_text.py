@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilome.llm import tables
+
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S,
@@ -292,4 +294,4 @@ def extract_pages(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_pages(tables.read(spark, sf_dir, "pages"))

@@ -7,7 +7,7 @@ is histogrammed again by the next bits, until the single hash value at the
 boundary is known.  A document is then taken by comparing its hash with its
 source's threshold, so nothing is sorted and no group is collected.
 
-Defined results: a null text has size 0; a null source is a source of its own
+Defined results: a null text has size 0; a very long text is counted whole and taken or left whole; a null source is a source of its own
 and orders last; rows that agree in id and text share a hash and are taken
 alike; an empty table gives an empty result.  Columns of the input other than
 the three named are ignored, whatever their names.
@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mobilome.llm import tables
 from mobilome.storage import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -155,7 +156,7 @@ def mix_sources(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.read(spark, sf_dir, "documents")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

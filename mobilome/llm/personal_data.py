@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilome.llm import tables
 from mobilome.storage import materialize
 
 BASE = ("email", "ip", "card", "phone")
@@ -314,7 +315,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    spans = personal_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    spans = personal_spans(tables.read(spark, sf_dir, "documents"))
 
     def joined(of):
         return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

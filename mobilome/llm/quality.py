@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilome.llm import tables
 from mobilome.llm.labelled import held_out, training_sample
 
 FOLD = (4, 2)
@@ -239,7 +240,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.read(spark, sf_dir, "documents")
     scored = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select(
         "doc_id",

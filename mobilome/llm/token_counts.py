@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilome.llm import tables
 from mobilome.llm.pretokens import cut_all, pieces, specials, tokenizer
 from mobilome.storage import materialize
 
@@ -245,5 +246,5 @@ def count_tokens(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    counts = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    counts = count_tokens(tables.read(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
