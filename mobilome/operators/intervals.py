@@ -44,8 +44,8 @@ def resolve_overlaps(
 
     In order of start, an element is compared with the last kept one alone.  If they
     overlap by more than ``share`` of the shorter, the better score stays in that
-    place, the earlier one of equals.  The state is one element, so this is an
-    ordered fold over the elements of a contig.
+    place, the earlier one of equals.  Elements on either side of a place that none of them covers never meet, so the
+    fold runs over the stretches between such places: a contig's elements pass one sorted window, and are never gathered.
     """
     item = F.struct(
         F.col(start).cast("long").alias("start"), F.col(key).cast("string").alias("key"),
@@ -61,7 +61,11 @@ def resolve_overlaps(
         swap = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(x))
         return F.when(~clash, F.concat(kept, F.array(x))).when(x["score"] > last["score"], swap).otherwise(kept)
 
-    folded = elements.groupBy(contig).agg(F.array_sort(F.collect_list(item)).alias("items")).select(
+    before = Window.partitionBy(contig).orderBy(F.col("_item.start"), F.col("_item.key")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(contig).orderBy(F.col("_item.start"), F.col("_item.key")).rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.coalesce(F.col("_item.start") >= F.max("_item.end").over(before), F.lit(True)).cast("long")
+    stretches = elements.select(contig, item.alias("_item")).withColumn("_apart", apart).withColumn("_stretch", F.sum("_apart").over(upto))
+    folded = stretches.groupBy(contig, "_stretch").agg(F.array_sort(F.collect_list("_item")).alias("items")).select(
         contig, F.aggregate("items", F.array().cast(kind), step).alias("kept")
     )
     return folded.select(contig, F.explode("kept").alias("e")).select(contig, "e.start", "e.end", "e.score", "e.key")
