@@ -412,7 +412,7 @@ def test_personal_data_query(spark):
         base = plain_spans(text[r.doc_id])
         line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in personal_data.BASE]
-        assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+        assert set(filter(None, line.split(","))) <= set(r.spans.split(",")) and r.n_spans == len([x for x in r.spans.split(",") if x])
 
 
 # --- models
