@@ -103,7 +103,7 @@ def test_negatives(spark):
     positives = spark.range(40).select((300 + F.col("id") * 5).alias("n"))
     got = datasets.sample_negatives(pool, positives, 20, "id", "kind", "n")
     counts = {r.negative_type: r["count"] for r in got.groupBy("negative_type").count().collect()}
-    assert counts["hard"] == 10 and counts["easy"] == 4 and 3 <= counts["length_matched"] <= 6 and got.select("id").distinct().count() == got.count()
+    assert counts["hard"] == 10 and counts["easy"] == 4 and counts["length_matched"] == 6 and got.select("id").distinct().count() == got.count()
 
 
 def test_numbers_are_dense_whatever_the_partitions(spark):
