@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mobilome.llm import golay
+from mobilome.llm import golay, tables
 from mobilome.operators.components import connected_components
 from mobilome.operators.joins import join_answers
 from mobilome.storage import materialize
@@ -176,12 +176,14 @@ def links(distinct: DataFrame, crowd: int = CROWD, tile: int = TILE) -> DataFram
     a key.  The members of a larger key are dealt into tiles; every pair
     of tiles is compared whole, and leaves a forest, fewer edges than it has members.
     """
-    # A fingerprint becomes about 96 rows, which the size of the table does not show: never broadcast them.
-    keyed = _keyed(distinct)
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _keyed(distinct.select("fp").repartition(parts, "fp"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    small, large = sizes.filter(F.col("n") <= crowd), sizes.filter(F.col("n") > crowd)
-    x = keyed.join(small.select("key").hint("merge"), "key", "left_semi").alias("x")
-    y = keyed.hint("merge").alias("y")
+    # A fingerprint becomes about 96 rows, which the size of the table does not show: never broadcast them.
+    # Few keys have two members, so all that follows reads a small table.
+    met = materialize(keyed.hint("merge").join(sizes, "key"), "simhash-met")
+    small, large = met.filter(F.col("n") <= crowd), met.filter(F.col("n") > crowd)
+    x, y = small.alias("x"), small.alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     match = (
         (F.col("x.key") == F.col("y.key"))
@@ -191,7 +193,7 @@ def links(distinct: DataFrame, crowd: int = CROWD, tile: int = TILE) -> DataFram
     )
     pairs = x.join(y, match).select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst"))
     grid = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    dealt = keyed.hint("merge").join(large, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), grid).cast("int").alias("tile"), grid.alias("g"))
+    dealt = large.select("key", "fp", F.pmod(F.xxhash64("fp"), grid).cast("int").alias("tile"), grid.alias("g"))
     paired = dealt.select("key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")).select(
         "key", "fp", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")
     )
@@ -221,4 +223,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(tables.read(spark, sf_dir, "documents"))
