@@ -9,7 +9,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from math import erf
 from typing import Protocol
 
 import numpy as np
@@ -32,15 +31,25 @@ class EmbeddingClassifier(Protocol):
 
 # --- layers: each keeps what its backward step needs, and its parameters in ``p`` with gradients in ``g``
 
-_ERF = np.vectorize(erf, otypes=[float])
+# The rational approximation of the error function, right to 1.5e-7.
+ERF_SCALE = 0.3275911
+ERF_TERMS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def error_function(x: np.ndarray) -> np.ndarray:
+    t = 1 / (1 + ERF_SCALE * np.abs(x))
+    total = np.zeros_like(t)
+    for term in reversed(ERF_TERMS):
+        total = (total + term) * t
+    return np.sign(x) * (1 - total * np.exp(-x * x))
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + _ERF(x / np.sqrt(2)))
+    return 0.5 * x * (1 + error_function(x / np.sqrt(2)))
 
 
 def _gelu_slope(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + _ERF(x / np.sqrt(2))) + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+    return 0.5 * (1 + error_function(x / np.sqrt(2))) + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
 
 
 class Dense:
@@ -357,6 +366,140 @@ def refiner_windows(elements: DataFrame, contig: str, place: str, key: str, per_
     return cut.select(key, F.substr("_c", F.col("_m") - half + 1, F.lit(window)).alias("sequence"), (F.col("offset") + half).alias("junction"), "offset")
 
 
+class Convolution:
+    """(batch, channels, n) to (batch, out, n)."""
+
+    def __init__(self, rng: np.random.Generator, channels: int, out: int, k: int, dilation: int = 1):
+        bound = 1 / np.sqrt(channels * k)
+        self.p = {"w": rng.uniform(-bound, bound, (out, channels, k)), "b": rng.uniform(-bound, bound, out)}
+        self.k, self.dilation = k, dilation
+
+    def forward(self, x: np.ndarray, rng=None) -> np.ndarray:
+        pad, n = (self.k - 1) * self.dilation // 2, x.shape[2]
+        wide = np.pad(x, ((0, 0), (0, 0), (pad, pad)))
+        self.columns = np.stack([wide[:, :, i * self.dilation : i * self.dilation + n] for i in range(self.k)], axis=2)
+        return np.einsum("ock,bckn->bon", self.p["w"], self.columns, optimize=True) + self.p["b"][:, None]
+
+    def backward(self, d: np.ndarray) -> np.ndarray:
+        self.g = {"w": np.einsum("bon,bckn->ock", d, self.columns, optimize=True), "b": d.sum((0, 2))}
+        back = np.einsum("ock,bon->bckn", self.p["w"], d, optimize=True)
+        pad, n = (self.k - 1) * self.dilation // 2, d.shape[2]
+        wide = np.zeros((d.shape[0], back.shape[1], n + 2 * pad))
+        for i in range(self.k):
+            wide[:, :, i * self.dilation : i * self.dilation + n] += back[:, :, i]
+        return wide[:, :, pad : pad + n]
+
+
+class BatchNormed:
+    """Normalisation of every channel over batch and places; running moments are kept for use."""
+
+    def __init__(self, channels: int):
+        self.p = {"weight": np.ones(channels), "bias": np.zeros(channels)}
+        self.mean, self.var = np.zeros(channels), np.ones(channels)
+
+    def forward(self, x: np.ndarray, rng=None) -> np.ndarray:
+        mean, var = x.mean((0, 2)), x.var((0, 2))
+        self.mean, self.var = 0.9 * self.mean + 0.1 * mean, 0.9 * self.var + 0.1 * var
+        self.sd = np.sqrt(var + 1e-5)[:, None]
+        self.z = (x - mean[:, None]) / self.sd
+        return self.z * self.p["weight"][:, None] + self.p["bias"][:, None]
+
+    def backward(self, d: np.ndarray) -> np.ndarray:
+        self.g = {"weight": (d * self.z).sum((0, 2)), "bias": d.sum((0, 2))}
+        d = d * self.p["weight"][:, None]
+        mean = lambda v: v.mean((0, 2), keepdims=True)[0]
+        return (d - mean(d) - self.z * mean(d * self.z)) / self.sd
+
+
+class Residual:
+    """Two convolutions beside a way around them."""
+
+    def __init__(self, rng: np.random.Generator, channels: int, out: int, dilation: int):
+        self.main = [Convolution(rng, channels, out, 5, dilation), BatchNormed(out), Gelu(), Convolution(rng, out, out, 5, dilation), BatchNormed(out)]
+        self.side = [Convolution(rng, channels, out, 1), BatchNormed(out)] if channels != out else []
+        self.end = Gelu()
+
+    def layers(self) -> list:
+        return [*self.main, *self.side]
+
+    def forward(self, x: np.ndarray, rng=None) -> np.ndarray:
+        return self.end.forward(_through(self.main, x) + _through(self.side, x))
+
+    def backward(self, d: np.ndarray) -> np.ndarray:
+        d = self.end.backward(d)
+        return _back(self.main, d) + _back(self.side, d)
+
+
+class RefinerTraining:
+    """Fits the weights of ``refiner_network``: cross-entropy of the junction's place and half a Huber loss of the offset."""
+
+    def __init__(self, channels: int = 32, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        c = channels
+        self.stem = [Convolution(rng, 4, c, 7), BatchNormed(c), Gelu()]
+        self.blocks = [Residual(rng, c, c, 1), Residual(rng, c, 2 * c, 2), Residual(rng, 2 * c, 2 * c, 4)]
+        self.junction = Convolution(rng, 2 * c, 1, 1)
+        self.offset = [Dense(rng, 2 * c, 32), Gelu(), Dense(rng, 32, 1)]
+        self.rng = rng
+
+    def layers(self) -> list:
+        return [*self.stem, *(layer for b in self.blocks for layer in b.layers()), self.junction, *self.offset]
+
+    def step(self, x: np.ndarray, place: np.ndarray, offset: np.ndarray) -> float:
+        """The loss of a batch, with gradients left in the layers."""
+        z = _through([*self.stem, *self.blocks], x)
+        n, rows = z.shape[2], np.arange(len(x))
+        q = _softmax(self.junction.forward(z)[:, 0])
+        miss = _through(self.offset, z.mean(2))[:, 0] - offset
+        d = q.copy()
+        d[rows, place] -= 1
+        flat = _back(self.offset, (0.5 * np.clip(miss, -1, 1) / len(x))[:, None])
+        _back([*self.stem, *self.blocks], self.junction.backward(d[:, None] / len(x)) + np.repeat(flat[:, :, None] / n, n, axis=2))
+        huber = np.where(np.abs(miss) <= 1, 0.5 * miss**2, np.abs(miss) - 0.5)
+        return float(-np.log(q[rows, place] + 1e-12).mean() + 0.5 * huber.mean())
+
+    def fit(self, x: np.ndarray, place: np.ndarray, offset: np.ndarray, rounds: int = 20, batch: int = 32, rate: float = 1e-3) -> list[float]:
+        """Mean loss of every round."""
+        optimiser, out = AdamW(self.layers(), rate), []
+        for _ in range(rounds):
+            order, losses = self.rng.permutation(len(x)), []
+            for a in range(0, len(x), batch):
+                i = order[a : a + batch]
+                losses.append(self.step(x[i], place[i], offset[i]))
+                optimiser.step()
+            out.append(float(np.mean(losses)))
+        return out
+
+    def weights(self) -> dict[str, np.ndarray]:
+        """What ``refiner_network`` takes."""
+        out: dict[str, np.ndarray] = {}
+
+        def put(name: str, convolution: Convolution, norm: BatchNormed | None = None) -> None:
+            out.update({f"{name}.w": convolution.p["w"], f"{name}.b": convolution.p["b"]})
+            if norm is not None:
+                at = "stem" if name == "stem" else name
+                out.update({f"{at}.norm.weight": norm.p["weight"], f"{at}.norm.bias": norm.p["bias"], f"{at}.norm.mean": norm.mean, f"{at}.norm.var": norm.var})
+
+        put("stem", self.stem[0], self.stem[1])
+        for name, b in zip(("one", "two", "three"), self.blocks):
+            put(f"{name}.a", b.main[0], b.main[1])
+            put(f"{name}.b", b.main[3], b.main[4])
+            if b.side:
+                put(f"{name}.side", b.side[0], b.side[1])
+        put("junction", self.junction)
+        out.update({f"offset.{n}.{k}": layer.p[k] for n, layer in (("a", self.offset[0]), ("b", self.offset[2])) for k in ("w", "b")})
+        return out
+
+
+def fit_refiner(windows: DataFrame, key: str, most: int = 20_000, channels: int = 32, rounds: int = 20, **options) -> dict[str, np.ndarray]:
+    """Weights of the refiner fitted to at most ``most`` windows of ``refiner_windows``, those with the smallest hashes."""
+    found = windows.orderBy(F.xxhash64(key, "offset"), key, "offset").limit(most).select("sequence", "junction", "offset").toPandas()
+    x = np.array([K.one_hot(s, len(s)) for s in found["sequence"]], float)
+    training = RefinerTraining(channels)
+    training.fit(x, found["junction"].to_numpy(int), found["offset"].to_numpy(float), rounds, **options)
+    return training.weights()
+
+
 # --- profiles of protein families
 
 

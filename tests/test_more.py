@@ -255,6 +255,45 @@ def test_refiner():
     assert K.hybrid(contig, 400, 800, "IS3", peak).start >= 0
 
 
+def test_refiner_training(spark):
+    from math import erf
+
+    x = np.linspace(-5, 5, 401)
+    assert np.abs(models.error_function(x) - np.array([erf(v) for v in x])).max() < 2e-7
+    rng = np.random.default_rng(0)
+    t, place, offset = models.RefinerTraining(3, 1), np.array([3, 9, 12, 5]), np.array([-0.5, 0.3, 4.0, -6.0])
+    x = rng.normal(size=(4, 4, 16))
+    t.step(x, place, offset)
+    kept = [{k: v.copy() for k, v in layer.g.items()} for layer in t.layers()]
+    for layer, g in zip(t.layers(), kept):
+        for k, v in layer.p.items():
+            flat = v.reshape(-1)
+            for i in range(0, flat.size, max(1, flat.size // 3)):
+                old = flat[i]
+                flat[i] = old + 1e-4
+                up = t.step(x, place, offset)
+                flat[i] = old - 1e-4
+                down = t.step(x, place, offset)
+                flat[i] = old
+                assert g[k].reshape(-1)[i] == pytest.approx((up - down) / 2e-4, rel=1e-2, abs=2e-3)
+
+    def contig():  # the end is where the motif begins
+        s = "".join(rng.choice(list("ACGT"), 400))
+        return s[:200] + "GGTTCC" + s[206:]
+
+    rows = spark.createDataFrame([(i, contig(), 200) for i in range(120)], "k int, c string, p int")
+    windows = models.refiner_windows(rows, "c", "p", "k", 3)
+    weights = models.fit_refiner(windows, "k", 360, channels=6, rounds=12, rate=5e-3)
+    refine = models.refiner(lambda z: models.refiner_network(weights, z))
+    found = 0
+    for move in range(-10, 11):
+        c = contig()
+        logits, _ = models.refiner_network(weights, K.one_hot(c[200 + move - 64 : 200 + move + 64], 128))
+        found += abs(int(logits.argmax()) - (64 - move)) <= 1
+        assert -25 <= refine(c, 200 + move, True, 25)[0] <= 25
+    assert found >= 15
+
+
 def test_refiner_windows_hold_the_end(spark):
     contig = "".join(random.Random(2).choice("ACGT") for _ in range(600))
     got = models.refiner_windows(spark.createDataFrame([("a", contig, 300), ("b", contig, 10)], "k string, c string, p int"), "c", "p", "k", 5).collect()
