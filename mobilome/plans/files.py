@@ -253,21 +253,21 @@ def record_headers(spark, d):
 
 
 @query(f"""
-WITH p AS (SELECT CAST(CASE WHEN doc_id % 41 = 0 THEN 1 ELSE doc_id END AS VARCHAR) AS protein_id, lower(substr({SQL_PROTEIN}, 1, CAST(20 + doc_id % 700 AS INT))) || CASE doc_id % 5 WHEN 0 THEN '*' WHEN 1 THEN 'k*v' WHEN 2 THEN 'j' ELSE '' END AS raw FROM documents),
+WITH p AS (SELECT CAST(CASE WHEN doc_id % 41 = 0 THEN 1 ELSE doc_id END AS VARCHAR) AS protein_id, lower({SQL_PROTEIN}) || CASE doc_id % 5 WHEN 0 THEN '*' WHEN 1 THEN 'k*v' WHEN 2 THEN 'j' ELSE '' END AS raw FROM documents),
 u AS (SELECT protein_id, upper(raw) AS raw, replace(regexp_replace(upper(raw), '[*]+$', ''), '*', 'X') AS s, count(*) OVER (PARTITION BY protein_id) AS copies FROM p)
 SELECT CAST(count(*) FILTER (ok) AS BIGINT) AS accepted, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS rejected, CAST(count(*) FILTER (copies > 1) AS BIGINT) AS duplicates, CAST(count(*) FILTER (contains(s, 'J')) AS BIGINT) AS letters,
-  CAST(count(*) FILTER (NOT length(s) BETWEEN 50 AND 400) AS BIGINT) AS lengths, CAST(count(*) FILTER (ok AND raw <> s) AS BIGINT) AS normalised, CAST(sum(length(s)) FILTER (ok) AS BIGINT) AS residues
-FROM (SELECT *, copies = 1 AND s <> '' AND NOT contains(s, 'J') AND length(s) BETWEEN 50 AND 400 AS ok FROM u)""")
+  CAST(count(*) FILTER (NOT length(s) BETWEEN 50 AND 2000) AS BIGINT) AS lengths, CAST(count(*) FILTER (ok AND raw <> s) AS BIGINT) AS normalised, CAST(sum(length(s)) FILTER (ok) AS BIGINT) AS residues
+FROM (SELECT *, copies = 1 AND s <> '' AND NOT contains(s, 'J') AND length(s) BETWEEN 50 AND 2000 AS ok FROM u)""")
 def protein_quality(spark, d):
     """Quality control of proteins as read from FASTA: counts of what is accepted, and of every reason for a rejection."""
     k = F.col("doc_id")
     tail = F.when(k % 5 == 0, "*").when(k % 5 == 1, "k*v").when(k % 5 == 2, "j").otherwise("")
     p = table(spark, d, "documents").select(
-        F.when(k % 41 == 0, 1).otherwise(k).cast("string").alias("id"), F.concat(F.lower(F.substr(protein(F.col("text")), F.lit(1), (k % 700 + 20).cast("int"))), tail).alias("seq")
+        F.when(k % 41 == 0, 1).otherwise(k).cast("string").alias("id"), F.concat(F.lower(protein(F.col("text"))), tail).alias("seq")
     )
     at = _place(spark, "proteins")
     fasta.write_fasta(p, at, "id", "seq")
-    good, bad = screening.protein_qc(fasta.read_fasta(spark, at).select(F.col("id").alias("protein_id"), "sequence"), 50, 400)
+    good, bad = screening.protein_qc(fasta.read_fasta(spark, at).select(F.col("id").alias("protein_id"), "sequence"), 50, 2000)
 
     def has(reason: str):
         return F.count_if(F.array_contains("reasons", reason))

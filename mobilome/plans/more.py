@@ -245,16 +245,16 @@ def final_status(spark, d):
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, ' ' || lower(substr({SQL_PROTEIN}, 1, 40)) || chr(10) || 'mk ' AS p, [CAST(doc_id % 30 AS VARCHAR) || '/' || (doc_id % 25), CAST(doc_id % 9 AS VARCHAR), 'none', NULL][1 + doc_id % 4] AS ir, CASE doc_id % 3 WHEN 0 THEN (doc_id % 28) || ' bp' WHEN 1 THEN 'variable' END AS dr,
+WITH s AS (SELECT doc_id, ' ' || lower({SQL_PROTEIN}) || chr(10) || 'mk ' AS p, [CAST(doc_id % 30 AS VARCHAR) || '/' || (doc_id % 25), CAST(doc_id % 9 AS VARCHAR), 'none', NULL][1 + doc_id % 4] AS ir, CASE doc_id % 3 WHEN 0 THEN (doc_id % 28) || ' bp' WHEN 1 THEN 'variable' END AS dr,
   {sql_pick("doc_id", "IS3", "IS200/IS605", "IS66", "ISX", "IS110")} AS family, coalesce(n_chars, 0) AS n FROM documents),
 t AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(ir, '^\\s*\\d+\\s*/\\s*(\\d+)', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(ir, '(\\d+)', 1), '') AS INT)) AS irn, TRY_CAST(nullif(regexp_extract(dr, '(\\d+)', 1), '') AS INT) AS drn FROM s)
 SELECT doc_id, sha256(upper(replace(replace(p, ' ', ''), chr(10), ''))) AS clean_sha, sha256(upper(p)) AS upper_sha, CASE WHEN irn > 3 THEN irn END AS ir_length,
   CASE WHEN family NOT IN ('IS200/IS605', 'IS110') THEN CASE WHEN drn BETWEEN 2 AND 20 THEN drn ELSE CASE family WHEN 'IS3' THEN 3 WHEN 'IS66' THEN 8 ELSE 4 END END END AS dr_length,
-  regexp_replace(family, '[^A-Za-z0-9]+', '_', 'g') AS clean_family, family AS model_family, regexp_replace(upper(trim(substr(p, 1, 20))), '(.)', '\\1#', 'g') AS hashed,
+  regexp_replace(family, '[^A-Za-z0-9]+', '_', 'g') AS clean_family, family AS model_family, sha256(regexp_replace(upper(trim(replace(p, chr(10), ''))), '(.)', '\\1#', 'g')) AS hashed_sha,
   [CASE WHEN doc_id % 2 = 0 THEN 49 ELSE CAST(floor(n * 0.15::DOUBLE) AS INT) END, CASE WHEN doc_id % 2 = 0 THEN 950 ELSE CAST(floor(n * 0.85::DOUBLE) AS INT) END] AS orf, CASE WHEN doc_id % 2 = 0 THEN '-' ELSE '+' END AS strand FROM t""")
 def sequence_notes(spark, d):
     k = F.col("doc_id")
-    p = F.concat(F.lit(" "), F.lower(F.substr(protein(F.col("text")), F.lit(1), F.lit(40))), F.lit("\nmk "))
+    p = F.concat(F.lit(" "), F.lower(protein(F.col("text"))), F.lit("\nmk "))
     ir = F.when(k % 4 == 0, F.concat(k % 30, F.lit("/"), k % 25)).when(k % 4 == 1, (k % 9).cast("string")).when(k % 4 == 2, "none")
     dr = F.when(k % 3 == 0, F.concat(k % 28, F.lit(" bp"))).when(k % 3 == 1, "variable")
     s = table(spark, d, "documents").select("doc_id", p.alias("p"), ir.alias("ir"), dr.alias("dr"), pick(k, "IS3", "IS200/IS605", "IS66", "ISX", "IS110").alias("family"), F.coalesce("n_chars", F.lit(0)).alias("n"))
@@ -262,7 +262,7 @@ def sequence_notes(spark, d):
     return s.select(
         "doc_id", S.normalised_sha256(F.col("p")).alias("clean_sha"), S.upper_sha256(F.col("p")).alias("upper_sha"), S.inverted_repeat_length(F.col("ir")).alias("ir_length"),
         fragments.family_repeat_length(F.col("dr"), F.col("family")).alias("dr_length"), S.clean_family(F.col("family")).alias("clean_family"), S.strip_model_prefix(F.concat(F.lit("Tpase_"), F.col("family"))).alias("model_family"),
-        S.model_input(F.upper(F.trim(F.substr("p", F.lit(1), F.lit(20)))), "hashed").alias("hashed"), F.array(orf["start"], orf["end"]).alias("orf"), orf["strand"].alias("strand"),
+        F.sha2(S.model_input(F.upper(F.trim(F.replace("p", F.lit("\n"), F.lit("")))), "hashed"), 256).alias("hashed_sha"), F.array(orf["start"], orf["end"]).alias("orf"), orf["strand"].alias("strand"),
     )
 
 
@@ -358,14 +358,14 @@ def class_metrics(spark, d):
 
 @query("""
 WITH t AS (SELECT 'c' || o_orderkey AS contig_id, o_orderkey % 3 <> 0 AS pos, ['complete', 'edge_5p_truncated', 'edge_3p_truncated'][1 + o_orderkey % 3] AS gold FROM orders),
-d AS (SELECT 'c' || (l_orderkey) AS contig_id, l_extendedprice + l_linenumber / 100.0 AS score, ['complete', 'edge_5p_truncated', 'internal_partial'][1 + l_linenumber % 3] AS truncation FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 2 = 0),
+d AS (SELECT 'c' || (l_orderkey) AS contig_id, l_extendedprice + l_linenumber / 100.0 AS score, ['complete', 'edge_5p_truncated', 'internal_partial'][1 + l_linenumber % 3] AS truncation FROM lineitem WHERE l_quantity >= 45),
 b AS (SELECT contig_id, arg_max(truncation, score) AS truncation, count(*) AS found FROM d GROUP BY contig_id), j AS (SELECT * FROM t LEFT JOIN b USING (contig_id))
 SELECT round(count(*) FILTER (pos AND found IS NOT NULL) / count(*) FILTER (pos), 6) AS recall, round(1 - sum(CASE WHEN NOT pos THEN coalesce(found, 0) ELSE 0 END) / count(*) FILTER (NOT pos), 6) AS specificity,
   round(count(*) FILTER (pos AND found IS NOT NULL AND (truncation = gold OR (starts_with(truncation, 'edge_') AND starts_with(gold, 'edge_')))) / count(*) FILTER (pos AND found IS NOT NULL), 6) AS truncation_accuracy FROM j""")
 def fragment_summary(spark, d):
     k = F.col("o_orderkey")
     t = table(spark, d, "orders").select(F.concat(F.lit("c"), k).alias("contig_id"), (k % 3 != 0).alias("is_positive"), pick(k, "complete", "edge_5p_truncated", "edge_3p_truncated").alias("gold_truncation"))
-    l = table(spark, d, "lineitem").filter("l_linenumber <= 3 AND l_orderkey % 2 = 0")
+    l = table(spark, d, "lineitem").filter("l_quantity >= 45")
     found = l.select(F.concat(F.lit("c"), F.col("l_orderkey")).alias("contig_id"), (F.col("l_extendedprice") + F.col("l_linenumber") / 100.0).alias("composite_score"), pick(F.col("l_linenumber"), "complete", "edge_5p_truncated", "internal_partial").alias("truncation"))
     out = evaluation.fragment_summary(t, found)
     return out.select(*[r(c).alias(c) for c in out.columns])
@@ -373,13 +373,13 @@ def fragment_summary(spark, d):
 
 @query("""
 WITH t AS (SELECT 'c' || o_orderkey AS contig_id, o_orderkey % 3 <> 0 AS pos, ['complete', 'edge_5p_truncated', 'edge_3p_truncated'][1 + o_orderkey % 3] AS gold FROM orders),
-d AS (SELECT 'c' || l_orderkey AS contig_id, l_extendedprice + l_linenumber / 100.0 AS score, ['complete', 'edge_5p_truncated', 'internal_partial'][1 + l_linenumber % 3] AS truncation FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 2 = 0),
+d AS (SELECT 'c' || l_orderkey AS contig_id, l_extendedprice + l_linenumber / 100.0 AS score, ['complete', 'edge_5p_truncated', 'internal_partial'][1 + l_linenumber % 3] AS truncation FROM lineitem WHERE l_quantity >= 45),
 b AS (SELECT contig_id, arg_max(truncation, score) AS truncation FROM d GROUP BY contig_id), j AS (SELECT gold, coalesce(truncation, 'none') AS x FROM t LEFT JOIN b USING (contig_id) WHERE pos)
 SELECT gold AS gold_truncation, count(*) FILTER (x = 'complete') AS complete, count(*) FILTER (x = 'edge_5p_truncated') AS edge_5p_truncated, count(*) FILTER (x = 'internal_partial') AS internal_partial, count(*) FILTER (x = 'none') AS "none" FROM j GROUP BY gold""")
 def truncation_confusion(spark, d):
     k = F.col("o_orderkey")
     t = table(spark, d, "orders").select(F.concat(F.lit("c"), k).alias("contig_id"), (k % 3 != 0).alias("is_positive"), pick(k, "complete", "edge_5p_truncated", "edge_3p_truncated").alias("gold_truncation"))
-    l = table(spark, d, "lineitem").filter("l_linenumber <= 3 AND l_orderkey % 2 = 0")
+    l = table(spark, d, "lineitem").filter("l_quantity >= 45")
     found = l.select(F.concat(F.lit("c"), F.col("l_orderkey")).alias("contig_id"), (F.col("l_extendedprice") + F.col("l_linenumber") / 100.0).alias("composite_score"), pick(F.col("l_linenumber"), "complete", "edge_5p_truncated", "internal_partial").alias("truncation"))
     return evaluation.truncation_confusion(t, found, ["complete", "edge_5p_truncated", "internal_partial"])
 
@@ -407,12 +407,12 @@ def windowed_embeddings(spark, d):
 
 
 @query(f"""
-WITH p AS (SELECT doc_id, source AS family, upper(substr({SQL_PROTEIN}, 1, 60)) AS s FROM documents WHERE source IS NOT NULL), big AS (SELECT family FROM p GROUP BY family HAVING count(*) >= 3),
+WITH p AS (SELECT doc_id, source AS family, upper({SQL_PROTEIN}) AS s FROM documents WHERE source IS NOT NULL), big AS (SELECT family FROM p GROUP BY family HAVING count(*) >= 3),
 w AS (SELECT family, substr(s, i, 3) AS word FROM p, LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i) WHERE length(s) >= 3), c AS (SELECT family, word, count(*) AS n FROM w GROUP BY ALL),
 o AS (SELECT word, sum(n) AS a FROM c GROUP BY word), z AS (SELECT family, sum(n) AS fn FROM c GROUP BY family), t AS (SELECT sum(a) AS total, count(*) AS words FROM o)
 SELECT family, word, round(log2(((n + 1) / (fn + words)) / ((a + 1) / (total + words))), 6) AS weight FROM c JOIN big USING (family) JOIN o USING (word) JOIN z USING (family) CROSS JOIN t""")
 def family_profiles(spark, d):
-    p = table(spark, d, "documents").filter("source IS NOT NULL").select("doc_id", F.col("source").alias("family"), F.substr(protein(F.col("text")), F.lit(1), F.lit(60)).alias("s"))
+    p = table(spark, d, "documents").filter("source IS NOT NULL").select("doc_id", F.col("source").alias("family"), protein(F.col("text")).alias("s"))
     return models.family_profiles(p, "family", "s").select("family", "word", r("weight").alias("weight"))
 
 
