@@ -10,7 +10,7 @@ from mobilome.functions import decisions as D
 from mobilome.functions import sequence as S
 from mobilome.operators import datasets, evaluation, filters, fragments, learning, metrics, models, screening
 from mobilome.operators import hits as H
-from mobilome.plans.derived import SQL_DNA, SQL_EVIDENCE, SQL_HITS, SQL_INTERVALS, SQL_PROTEIN, SQL_SCORED, dna, evidence, hits, protein, scored, table
+from mobilome.plans.derived import SQL_DNA, SQL_EVIDENCE, SQL_HITS, SQL_INTERVALS, SQL_PROTEIN, SQL_SCORED, dna, evidence, hits, protein, scored, table, texts
 from mobilome.plans.derived import intervals as event_intervals
 
 QUERIES: dict = {}
@@ -275,7 +275,7 @@ x AS (SELECT is_name, family, n, tsd, 40 + coalesce(tsd, 0) AS true_start, 40 +
 
 def _contexts(spark, d):
     k = F.col("doc_id")
-    e = table(spark, d, "documents").select(
+    e = texts(spark, d).select(
         F.concat(F.lit("n"), k).alias("is_name"), pick(k, "IS3", "IS200/IS605", "IS66", "IS110").alias("family"), dna(F.col("text")).alias("dna_sequence"), F.lit("none").alias("orf_annotation"), (k % 25).cast("string").alias("dr_length"), F.lit("12").alias("tir_left")
     )
     return fragments.genomic_contexts(e, 40), e
@@ -412,7 +412,7 @@ w AS (SELECT family, substr(s, i, 3) AS word FROM p, LATERAL (SELECT unnest(rang
 o AS (SELECT word, sum(n) AS a FROM c GROUP BY word), z AS (SELECT family, sum(n) AS fn FROM c GROUP BY family), t AS (SELECT sum(a) AS total, count(*) AS words FROM o)
 SELECT family, word, round(log2(((n + 1) / (fn + words)) / ((a + 1) / (total + words))), 6) AS weight FROM c JOIN big USING (family) JOIN o USING (word) JOIN z USING (family) CROSS JOIN t""")
 def family_profiles(spark, d):
-    p = table(spark, d, "documents").filter("source IS NOT NULL").select("doc_id", F.col("source").alias("family"), protein(F.col("text")).alias("s"))
+    p = texts(spark, d).filter("source IS NOT NULL").select("doc_id", F.col("source").alias("family"), protein(F.col("text")).alias("s"))
     return models.family_profiles(p, "family", "s").select("family", "word", r("weight").alias("weight"))
 
 
