@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mobilome.llm import (
-    bpe, embedding_dedup, exact_dedup, html_text, mixing, personal_data, quality, simhash, token_counts, toxicity,
+    alignment, bpe, embedding_dedup, exact_dedup, html_text, mixing, personal_data, quality, simhash, token_counts, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_html_text": html_text.query,
+    "op11_alignment": alignment.query,
 }
 
 ORACLE_SQL = {
