@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mobilome.llm import (
-    alignment, bpe, embedding_dedup, exact_dedup, html_text, mixing, personal_data, quality, simhash, token_counts, toxicity,
+    alignment, bpe, embedding_dedup, exact_dedup, html_text, mixing, personal_data, quality, simhash, spelling, token_counts, toxicity,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_html_text": html_text.query,
     "op11_alignment": alignment.query,
+    "op12_spelling": spelling.query,
 }
 
 ORACLE_SQL = {
