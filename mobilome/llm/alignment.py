@@ -5,11 +5,13 @@ the text.  Where both end a token, the tokens fall into groups; an A and a B tok
 
 A text is cut before every space that follows a solid character.  No token of either tokenizer runs over such a cut, and
 nothing beyond it changes how the rest is cut, so a stretch between two cuts (a chunk) is encoded once for all its
-occurrences, together with others, and its tokens, groups and links are kept in a table of bounded size.
+occurrences in a block of texts, together with others.  A block is one row: its chunks with their tokens, groups and links, the
+chunk numbers of its texts, and how often each pair is linked in it.  It is closed at a bounded number of characters or chunks, and
+the texts are read once.
 
-The links of the corpus are counted as packed int64 keys, B id first: ``np.unique`` gives a task's partial counts, a range
+The links of the corpus are counted as packed int64 keys, B id first: ``np.unique`` gives a block's partial counts, a range
 partitioning by key sorts them globally, and runs of equal keys are summed into sorted shards in the shared folder.  Every
-task maps the shards into memory and finds the counts of its links by binary search; no worker holds them.  There are at
+task maps the shards into memory and finds the counts of its blocks' links by binary search; no worker holds them.  There are at
 most |A| x |B| keys however large the corpus is, and one number a B id comes to the driver.
 
 Defined results: a text that is null, empty, or whose tokens do not spell a space and the text (one that holds U+2581) has
@@ -36,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.llm import tables
-from mobilome.llm.bpe import gather
-from mobilome.storage import discard, materialize, shared_dir
+from mobilome.llm.packing import packed, packed_texts, unpacked, unpacked_texts
+from mobilome.storage import materialize, shared_dir
 
-#: Chunks remembered between batches; beyond it the table starts anew.
-REMEMBERED = 300_000
+#: A block is closed when its texts reach this many characters, or its chunks this many.
+BLOCK_CHARS, BLOCK_CHUNKS = 32_000_000, 500_000
 #: Characters of new chunks that are encoded in one call.
 CALL_CHARS = 200_000
-#: Characters of text aligned at a time, so that the groups of long texts do not gather in memory.
-SLICE_CHARS = 2_000_000
+#: Characters read, and chunk occurrences answered, at a time.
+SLICE_CHARS, SLICE_CHUNKS = 2_000_000, 500_000
 #: Pairs that a shard of counts holds on average (16 bytes each).
 SHARD_PAIRS = 4_000_000
 
@@ -68,7 +70,7 @@ def chunks(text: str) -> list[str]:
 
 
 class Aligner:
-    """Tokens, groups and links of chunks, in arrays with one stretch a chunk."""
+    """Tokens, groups and links of the chunks of a block, in arrays with one stretch a chunk."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -88,7 +90,6 @@ class Aligner:
             np.array([[f"{i}{end}" for i in range(n)] for end in ends], object)
             for n, ends in ((self.n_a, ",|"), (len(self.b_bytes), ",;"))
         )
-        self.counts = None
         self.forget()
 
     def _piece(self, i: int) -> bytes:
@@ -101,11 +102,6 @@ class Aligner:
         self.facts = np.zeros((4, 0), np.int64)  # n_a, n_b, n_groups and n_links of each chunk
         self.bad = np.zeros(0, bool)
         self.links = np.zeros(0, np.int64)
-        self.found = np.zeros((2, 0), np.int64)  # n_best and count_sum of each chunk, once counts are known
-
-    def use(self, counts: Counts | None) -> None:
-        self.counts = counts
-        self.found = np.zeros((2, 0), np.int64)
 
     def _encode(self, joined: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides for a text that opens with a space; None unless both spell it."""
@@ -180,40 +176,13 @@ class Aligner:
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunk numbers of all texts end to end, how many each text has, and which texts have no tokens."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
         cut = [chunks(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.number) if cut else set()
-        self.learn(list(new))
+        self.learn(list(set().union(*cut).difference(self.number)))
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
         void = (n == 0) | (np.bincount(np.repeat(np.arange(len(n)), n), self.bad[at], len(n)) > 0)
         return at, n, void
 
-    def look(self) -> None:
-        """Give the chunks that have no counts yet theirs."""
-        known = self.found.shape[1]
-        if known == len(self.bad):
-            return
-        n_links = self.facts[3]
-        links = self.links[int(n_links[:known].sum()) :]
-        keys, place = np.unique(links, return_inverse=True)
-        counts = self.counts.of(keys)[place]
-        best = counts == self.counts.best[links // self.n_a]
-        owner = np.repeat(np.arange(len(n_links) - known), n_links[known:])
-        found = np.zeros((2, len(n_links) - known), np.int64)
-        np.add.at(found[0], owner, best)
-        np.add.at(found[1], owner, counts)
-        self.found = np.hstack((self.found, found))
-
-    def partial_counts(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys of the links of chunks that occur so many times, and their counts."""
-        n_links = self.facts[3, : len(times)]
-        keys, place = np.unique(self.links[: int(n_links.sum())], return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, place, np.repeat(times, n_links))
-        return keys[counts > 0], counts[counts > 0]
-
 
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the rest from U+0100 on in order."""
@@ -222,37 +191,11 @@ def _byte_of() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(0x100 + i): x for i, x in enumerate(rest)}
 
 
-class Counts:
-    """The sorted shards, mapped into memory, and the highest count of each B id."""
-
-    def __init__(self, shards: list[tuple[int, str]], best: np.ndarray):
-        self.first = np.array([f for f, _ in shards], np.int64)
-        self.paths = [p for _, p in shards]
-        self.best = best
-        self.open: dict[int, np.ndarray] = {}
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """The counts of sorted keys; 0 for those of chunks that only other corpora or texts without tokens hold."""
-        out = np.zeros(len(keys), np.int64)
-        if not self.paths:
-            return out
-        shard = np.maximum(np.searchsorted(self.first, keys, "right") - 1, 0)
-        cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
-        for x, y in zip(cuts, [*cuts[1:], len(keys)]):
-            s = int(shard[x])
-            if s not in self.open:
-                self.open[s] = np.load(self.paths[s], mmap_mode="r")
-            pairs = self.open[s]
-            place = np.minimum(np.searchsorted(pairs[0], keys[x:y]), pairs.shape[1] - 1)
-            out[x:y] = np.where(pairs[0][place] == keys[x:y], pairs[1][place], 0)
-        return out
-
-
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
 def _aligner(paths: tuple[str, str]) -> Aligner:
-    """One for each pair of tokenizers and process; what it remembers serves later tasks as well."""
+    """One for each pair of tokenizers and process."""
     if paths not in _aligners:
         _aligners[paths] = Aligner(*paths)
     return _aligners[paths]
@@ -269,31 +212,62 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         a = z
 
 
-def _counting(paths: tuple[str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths)
-        times = np.zeros(len(aligner.bad), np.int64)
+_BLOCK = "doc_ids array<long>, n_chunks binary, void binary, at binary, facts binary, links binary, shown binary, pairs binary, counts binary, n_pairs long"
+
 
-        def flush():
-            keys, counts = aligner.partial_counts(times)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n"])
+class _Block:
+    """Texts gathered until they are closed into one row."""
 
+    def __init__(self, aligner: Aligner):
+        aligner.forget()
+        self.aligner, self.ids, self.chars = aligner, [], 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: list, texts: list[str | None]) -> bool:
+        """Whether the block is full now."""
+        at, n, void = self.aligner.read(texts)
+        self.parts.append((at.astype(np.int32), n, void))
+        self.ids += ids
+        self.chars += sum(len(t or "") for t in texts)
+        return self.chars >= BLOCK_CHARS or len(self.aligner.bad) >= BLOCK_CHUNKS
+
+    def close(self) -> pa.RecordBatch:
+        aligner = self.aligner
+        at, n, void = (np.concatenate(x) for x in zip(*self.parts))
+        times = np.bincount(at[~np.repeat(void, n)], minlength=len(aligner.bad))
+        keys, place = np.unique(aligner.links, return_inverse=True)
+        counts = np.bincount(place, np.repeat(times, aligner.facts[3]), len(keys)).astype(np.int64)
+        used = counts > 0
+        row = {
+            "doc_ids": self.ids, "n_chunks": packed(n), "void": packed(void, "u1"), "at": packed(at, "<u4"), "facts": packed(aligner.facts.ravel(), "<u4"),
+            "links": packed(aligner.links), "shown": packed_texts(aligner.shown), "pairs": packed(np.diff(keys[used], prepend=0)), "counts": packed(counts[used]),
+            "n_pairs": int(used.sum()),
+        }
+        types = [pa.list_(pa.int64()), *[pa.binary()] * 8, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
+
+
+def _blocks(paths: tuple[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(_aligner(paths))
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, z in _slices(texts):
-                if len(aligner.number) > REMEMBERED:
-                    yield flush()
-                    aligner.forget()
-                    times = np.zeros(0, np.int64)
-                at, n, void = aligner.read(texts[a:z])
-                own = np.bincount(at[~np.repeat(void, n)], minlength=len(aligner.bad))
-                own[: len(times)] += times
-                times = own
-        yield flush()
+                if block.add(ids[a:z], texts[a:z]):
+                    yield block.close()
+                    block = _Block(block.aligner)
+        if block.ids:
+            yield block.close()
 
     return run
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpacked(keys))), pa.array(unpacked(n))], ["pair", "n"])
+
+
 def _shards(folder: str, n_a: int):
     """Sum runs of equal keys of one range, write them as a sorted shard, and tell where it is and each B id's highest count."""
 
@@ -324,28 +298,95 @@ def _mounted(uri: str) -> str:
     return at.path
 
 
-def count_pairs(docs: DataFrame, paths: tuple[str, str], text_col: str = "text", shard_pairs: int = SHARD_PAIRS) -> Counts:
-    """The counts of all linked id pairs of the corpus, as sorted shards in the shared folder."""
-    spark = docs.sparkSession
-    aligner = _aligner(paths)
-    partial = materialize(docs.select(F.col(text_col).alias("text")).mapInArrow(_counting(paths), "pair long, n long"), "pair-counts")
-    rows = partial.count()
+class Counts:
+    """The sorted shards, mapped into memory, and the highest count of each B id."""
+
+    def __init__(self, shards: list[tuple[int, str]], best: np.ndarray):
+        self.first = np.array([f for f, _ in shards], np.int64)
+        self.paths = [p for _, p in shards]
+        self.best = best
+        self.open: dict[int, np.ndarray] = {}
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of sorted keys; 0 for those that only texts without tokens hold."""
+        out = np.zeros(len(keys), np.int64)
+        if not self.paths:
+            return out
+        shard = np.maximum(np.searchsorted(self.first, keys, "right") - 1, 0)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+        for x, y in zip(cuts, [*cuts[1:], len(keys)]):
+            s = int(shard[x])
+            if s not in self.open:
+                self.open[s] = np.load(self.paths[s], mmap_mode="r")
+            pairs = self.open[s]
+            place = np.minimum(np.searchsorted(pairs[0], keys[x:y]), pairs.shape[1] - 1)
+            out[x:y] = np.where(pairs[0][place] == keys[x:y], pairs[1][place], 0)
+        return out
+
+
+
+def count_pairs(blocks: DataFrame, n_a: int, n_b: int, shard_pairs: int = SHARD_PAIRS) -> Counts:
+    """The counts of all linked id pairs of written blocks, as sorted shards in the shared folder."""
+    spark = blocks.sparkSession
+    rows = blocks.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0]
     folder = f"{_mounted(shared_dir(spark))}/mobilome/{spark.sparkContext.applicationId}/pairs-{uuid.uuid4().hex}"
     os.makedirs(folder)
     shards = (
-        partial.repartitionByRange(int(rows // shard_pairs) + 1, "pair").sortWithinPartitions("pair")
-        .mapInArrow(_shards(folder, aligner.n_a), "first long, path string, b array<long>, best array<long>")
+        blocks.select("pairs", "counts").mapInArrow(_pairs, "pair long, n long")
+        .repartitionByRange(int(rows // shard_pairs) + 1, "pair").sortWithinPartitions("pair")
+        .mapInArrow(_shards(folder, n_a), "first long, path string, b array<long>, best array<long>")
         .collect()
     )
-    discard(partial)
-    best = np.zeros(len(aligner.b_bytes), np.int64)
+    best = np.zeros(n_b, np.int64)
     for s in shards:
         np.maximum.at(best, np.array(s["b"]), np.array(s["best"]))
     return Counts(sorted((s["first"], s["path"]) for s in shards), best)
 
 
+_FACTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def _answers(shards: list[tuple[int, str]], best: np.ndarray, n_a: int):
+    """Give the links of a block their counts, and add up its chunks by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = Counts(shards, best)
+        for batch in batches:
+            for ids, n, void, at, facts, links, shown in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                n, void, at, links = unpacked(n), unpacked(void, "u1") > 0, unpacked(at, "<u4"), unpacked(links)
+                facts = unpacked(facts, "<u4").reshape(4, -1).astype(np.int64)
+                shown = unpacked_texts(shown, facts.shape[1])
+                keys, place = np.unique(links, return_inverse=True)
+                counts = counted.of(keys)[place]
+                found = np.zeros((2, facts.shape[1]), np.int64)
+                owner = np.repeat(np.arange(facts.shape[1]), facts[3])
+                np.add.at(found[0], owner, counts == best[links // n_a])
+                np.add.at(found[1], owner, counts)
+                every = np.vstack((facts, found))
+                ends = np.cumsum(n)
+                a = 0
+                while a < len(n):
+                    start = int(ends[a] - n[a])
+                    z = max(a + 1, int(np.searchsorted(ends, start + SLICE_CHUNKS)))
+                    own = at[start : ends[z - 1]]
+                    sums = np.zeros((6, z - a), np.int64)
+                    full = np.flatnonzero(n[a:z])
+                    if len(full):
+                        sums[:, full] = np.add.reduceat(every[:, own], (ends[a:z] - n[a:z] - start)[full], axis=1)
+                    sums[:, void[a:z]] = 0
+                    texts = list(map(shown.__getitem__, own.tolist()))
+                    cuts = zip((ends[a:z] - n[a:z] - start).tolist(), (ends[a:z] - start).tolist(), void[a:z].tolist())
+                    groups = ["" if none else "".join(texts[x:y])[:-1] for x, y, none in cuts]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[a:z], pa.int64()), *map(pa.array, sums), pa.array(groups, pa.string())], ["doc_id", *_FACTS, "groups"]
+                    )
+                    a = z
+
+    return run
+
+
 def align(
-    docs: DataFrame, byte_bpe: str | None = None, piece_bpe: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, byte_bpe: str | None = None, piece_bpe: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_pairs: int = SHARD_PAIRS
 ) -> DataFrame:
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (long) and ``groups``, the aligned ids as ``a1,a2|b1;a3|b2,b3``.
 
@@ -353,34 +394,14 @@ def align(
     ``n_best`` counts links whose pair is the most frequent of its B id in the corpus, ``count_sum`` adds up the counts of all links.
     """
     paths = (byte_bpe or public_tokenizers.path("byte_bpe_50k.json"), piece_bpe or public_tokenizers.path("piece_bpe_32k.model"))
-    counts = count_pairs(docs, paths, text_col)
-    shards, best = list(zip(counts.first.tolist(), counts.paths)), counts.best
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths)
-        aligner.use(Counts(shards, best))
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, z in _slices(texts):
-                at, n, void = aligner.read(texts[a:z])
-                aligner.look()
-                facts = np.zeros((6, z - a), np.int64)
-                full = np.flatnonzero(n)
-                if len(full):
-                    every = np.vstack((aligner.facts, aligner.found))[:, at]
-                    facts[:, full] = np.add.reduceat(every, (np.cumsum(n) - n)[full], axis=1)
-                facts[:, void] = 0
-                shown, groups, start = list(map(aligner.shown.__getitem__, at.tolist())), [], 0
-                for size, none in zip(n.tolist(), void.tolist()):
-                    groups.append("" if none else "".join(shown[start : start + size])[:-1])
-                    start += size
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, z - a), *(pa.array(x) for x in facts), pa.array(groups, pa.string())], ["doc_id", *names, "groups"]
-                )
-
+    aligner = _aligner(paths)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", groups string")
+    blocks = materialize(rows.mapInArrow(_blocks(paths), _BLOCK), "aligned-blocks")
+    counts = count_pairs(blocks, aligner.n_a, len(aligner.b_bytes), shard_pairs)
+    return blocks.select("doc_ids", "n_chunks", "void", "at", "facts", "links", "shown").mapInArrow(
+        _answers(list(zip(counts.first.tolist(), counts.paths)), counts.best, aligner.n_a),
+        "doc_id long, " + ", ".join(f"{x} long" for x in _FACTS) + ", groups string",
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from mobilome.llm import alignment
+from mobilome.storage import materialize
 from tests.llm.test_operators_llm import ODD, SCHEMA
 
 PATHS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -85,34 +87,42 @@ def rows():
     return [*enumerate(texts), (3, texts[3]), (None, texts[40]), (None, None)]
 
 
-def test_equals_the_libraries(spark, rows, monkeypatch):
-    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", 1, "z", 2) for i, t in rows], SCHEMA).repartition(4)
+def frame(spark, rows, parts):
+    return spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", 1, "z", 2) for i, t in rows], SCHEMA).repartition(parts)
+
+
+def test_equals_the_libraries(spark, rows):
     want = expected(rows)
-    assert given(alignment.align(docs)) == want
-    # Small tables, calls, slices and shards change nothing.
-    for name, value in {"REMEMBERED": 20, "CALL_CHARS": 5, "SLICE_CHARS": 400}.items():
+    assert given(alignment.align(frame(spark, rows, 4))) == want
+    assert given(alignment.align(frame(spark, rows, 3), shard_pairs=50)) == want
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK_CHUNKS": 20}, {"BLOCK_CHARS": 700, "SLICE_CHARS": 100}, {"CALL_CHARS": 5, "SLICE_CHUNKS": 3}])
+def test_limits_change_nothing(rows, monkeypatch, limits):
+    for name, value in limits.items():
         monkeypatch.setattr(alignment, name, value)
-    aligner = alignment.Aligner(*PATHS)
-    for some in (rows[:50], rows[50:200]):
-        at, n, void = aligner.read([t for _, t in some])
-        found = plain([t for _, t in some])
-        assert void.tolist() == [f is None for f in found]
-        ends = np.cumsum(n)
-        for k, f in enumerate(found):
-            if f is not None:
-                own = at[ends[k] - n[k] : ends[k]]
-                assert "".join(aligner.shown[x] for x in own)[:-1] == ";".join(f[2])
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in x], pa.int64()), pa.array([t for _, t in x], pa.string())], ["a", "b"]) for x in (rows[:90], rows[90:])]
+    blocks = list(alignment._blocks(PATHS)(batches))
+    used = [pa.RecordBatch.from_arrays(b.columns[:7], b.schema.names[:7]) for b in blocks]
+    got = [r for b in alignment._answers([], np.ones(40_000, np.int64), 50_257)(used) for r in b.to_pylist()]
+    assert len(blocks) > 1 or "CALL_CHARS" in limits
+    found = plain([t for _, t in rows])
+    assert [(r["doc_id"], r["n_links"], r["groups"]) for r in got] == [(i, len(f[3]) if f else 0, ";".join(f[2]) if f else "") for (i, _), f in zip(rows, found)]
 
 
 def test_shards_hold_every_pair_once_and_sorted(spark, rows):
-    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", 1, "z", 2) for i, t in rows], SCHEMA).repartition(3)
-    counts = alignment.count_pairs(docs, PATHS, shard_pairs=50)
+    blocks = materialize(frame(spark, rows, 3).select("doc_id", "text").mapInArrow(alignment._blocks(PATHS), alignment._BLOCK), "test-blocks")
+    size = alignment._aligner(PATHS).n_a
+    counts = alignment.count_pairs(blocks, size, 32_000, shard_pairs=50)
     assert len(counts.paths) > 3
     pairs = np.hstack([np.load(p, mmap_mode="r") for p in counts.paths])
     assert (np.diff(pairs[0]) > 0).all()
     want = Counter((i, j) for f in plain([t for _, t in rows]) if f for i, j in f[3])
-    size = alignment._aligner(PATHS).n_a
     assert {(int(k % size), int(k // size)): int(n) for k, n in pairs.T} == want
+    best = Counter()
+    for (_, b), n in want.items():
+        best[b] = max(best[b], n)
+    assert {b: int(n) for b, n in enumerate(counts.best) if n} == dict(best)
 
 
 def test_no_rows(spark):
