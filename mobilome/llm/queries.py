@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mobilome.llm import (
-    alignment, bpe, embedding_dedup, exact_dedup, html_text, mixing, personal_data, quality, simhash, spelling, token_counts, toxicity,
+    alignment, bpe, embedding_dedup, exact_dedup, html_text, maxent_lm, mixing, personal_data, quality, simhash, spelling, token_counts, toxicity,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_html_text": html_text.query,
     "op11_alignment": alignment.query,
     "op12_spelling": spelling.query,
+    "op13_lm_scores": maxent_lm.query,
 }
 
 ORACLE_SQL = {
