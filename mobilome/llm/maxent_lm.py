@@ -269,7 +269,7 @@ class Model:
     def softmax(self, rows: list[np.ndarray], logits: np.ndarray, wanted: np.ndarray, train: bool) -> np.ndarray:
         """Log chances of what is wanted; ``logits`` are biases and are used up."""
         for r in rows:
-            logits += self.weights[r]
+            logits += self.weights.take(r, 0)
         logits -= logits.max(1, keepdims=True)
         each = np.arange(len(wanted))
         own = logits[each, wanted]
@@ -286,7 +286,7 @@ class Model:
         order = np.argsort(rows, kind="stable")
         found = rows[order]
         first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        row, grad = found[first], np.add.reduceat(slope[order], first, axis=0)
+        row, grad = found[first], np.add.reduceat(slope.take(order, 0), first, axis=0)
         self.touched[row] += np.diff(np.append(first, len(rows)))
         self.mass[row] += np.einsum("ij,ij->i", grad, grad) / SLOTS
         grad *= (-RATE / np.sqrt(self.mass[row]))[:, None]
