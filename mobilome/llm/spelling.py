@@ -37,6 +37,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 DELETED = 199
 #: Words of one segment that a tile of the index holds on average.
 TILE = 2_000
+#: Words whose candidates one task verifies on average: they are few bytes and much work, so Spark would put too many together.
+TASK_WORDS = 15_000
 #: Distinct words that a task adds up before it passes them on.
 HELD_WORDS = 1_000_000
 
@@ -102,7 +104,8 @@ def near_pairs(words: DataFrame, tile: int = TILE) -> DataFrame:
     n_tiles = F.coalesce("tiles", F.lit(1))
     dealt = index.join(tiles, "key", "left").select("a", "n_a", "key", F.pmod(F.xxhash64("a"), n_tiles).cast("int").alias("tile"))
     asked = probe.join(tiles, "key", "left").select("b", "n_b", "key", F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("tile"))
-    met = dealt.join(asked, ["key", "tile"])
+    parts = 1 + words.count() // TASK_WORDS
+    met = dealt.repartition(parts, "key", "tile").join(asked.repartition(parts, "key", "tile"), ["key", "tile"])
     size_a, size_b = F.length("a"), F.length("b")
     half = (size_a / 2).cast("int")
     first = F.substring("a", F.lit(1), half) == F.substring("b", F.lit(1), half)
