@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,49 +95,81 @@ def family_purity(clustered: DataFrame, cluster: str, family: str, length: str,
 SPLITS = ("train", "val", "test")
 
 
-def greedy_assignment(clusters: pd.DataFrame, ratios: Sequence[float], seed: str) -> pd.DataFrame:
-    """Assign clusters to splits one by one, the largest first, equals in hash order.
+class SplitLoads:
+    """What the splits hold while runs of equal clusters are dealt to them.
 
-    A split's cost is how full it is, plus half of how far each member's stratum
-    is over its share; the least cost wins and train wins ties.  ``clusters`` has
-    one row per (cluster, stratum) with its count ``n``.
+    A split's price for the next cluster is how full it would be, plus half of how far it is over its share of each
+    member's stratum.  Prices of one split never fall while clusters of one kind are dealt, so dealing them one by one, always to the
+    cheapest split and to the earlier one among equals, takes the smallest prices of all splits' rising lists;
+    ``deal`` finds the price at which a whole run is used up by bisection, and so how many each split takes.
     """
-    total = clusters.groupby("stratum")["n"].sum().to_dict()
-    size = clusters.groupby("cluster")["n"].sum()
-    strata = {c: list(zip(g["stratum"], g["n"])) for c, g in clusters.groupby("cluster")}
-    order = sorted(size.index, key=lambda c: (-size[c], hashlib.md5(f"{seed}:{c}".encode()).hexdigest()))
-    target = [r * size.sum() for r in ratios]
-    filled = [0] * len(ratios)
-    seen = [dict.fromkeys(total, 0) for _ in ratios]
-    out = []
-    for c in order:
-        costs = []
-        for i, r in enumerate(ratios):
-            over = 0.0
-            for s, n in strata[c]:
-                goal, now = r * total[s], seen[i][s]
-                if now > goal:
-                    over += n * max(0.0, (now - goal) / (goal + 1))
-            costs.append((filled[i] + size[c]) / (target[i] + 1e-5) + 0.5 * over)
-        best = costs.index(min(costs))
-        filled[best] += int(size[c])
-        for s, n in strata[c]:
-            seen[best][s] += int(n)
-        out.append((c, SPLITS[best]))
-    return pd.DataFrame(out, columns=["_cluster", "split"])
+
+    def __init__(self, ratios: Sequence[float], size: int, strata: dict[str, int]):
+        self.ratios, self.strata = ratios, strata
+        self.target = [r * size for r in ratios]
+        self.filled = [0] * len(ratios)
+        self.held = [dict.fromkeys(strata, 0) for _ in ratios]
+
+    def price(self, split: int, taken: int, size: int, members: Sequence[tuple[str, int]]) -> float:
+        """The price of one more cluster after ``taken`` of the run."""
+        over = 0.0
+        for stratum, n in members:
+            share = self.ratios[split] * self.strata[stratum]
+            over += n * max(0.0, (self.held[split][stratum] + taken * n - share) / (share + 1))
+        return (self.filled[split] + (taken + 1) * size) / (self.target[split] + 1e-5) + 0.5 * over
+
+    def deal(self, run: int, size: int, members: Sequence[tuple[str, int]]) -> list[int]:
+        """How many of ``run`` equal clusters each split takes; they are added to the loads."""
+        splits = range(len(self.ratios))
+        prices = [lambda taken, s=s: self.price(s, taken, size, members) for s in splits]
+        below, above = -1.0, max(p(run - 1) for p in prices)
+        # The least price up to which at least ``run`` clusters are taken; halving ends at neighbouring floats.
+        while below < (middle := (below + above) / 2) < above:
+            if sum(bisect_right(range(run), middle, key=p) for p in prices) >= run:
+                above = middle
+            else:
+                below = middle
+        takes = [bisect_left(range(run), above, key=p) for p in prices]
+        for s in splits:
+            tied = bisect_right(range(run), above, key=prices[s]) - takes[s]
+            takes[s] += min(tied, run - sum(takes))
+        for s in splits:
+            self.filled[s] += takes[s] * size
+            for stratum, n in members:
+                self.held[s][stratum] += takes[s] * n
+        return takes
 
 
 def cluster_split(rows: DataFrame, cluster: str, stratum: str, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: str = "42") -> DataFrame:
     """``rows`` with ``split``; clusters are never divided.
 
-    The assignment depends on its own past and runs in one task, over counts by
-    (cluster, stratum) and not over rows.
+    Clusters are dealt greedily, the largest first.  Clusters of the same size and the same counts by stratum are one signature; signatures of one
+    size come in hash order, and of a signature's clusters the first in hash order train.  The driver
+    holds one row a signature, however many clusters share it, and deals each run of equal clusters at once.  A null stratum counts as an empty one.
     """
-    counts = rows.groupBy(F.col(cluster).cast("string").alias("cluster"), F.col(stratum).cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.fillna({"stratum": ""})
-    assigned = counts.groupBy(F.lit(1).alias("_one")).applyInPandas(
-        lambda pdf: greedy_assignment(pdf[["cluster", "stratum", "n"]], ratios, seed), "_cluster string, split string"
-    )
+    names = F.col(cluster).cast("string").alias("_cluster"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")
+    counts = rows.select(*names).groupBy("_cluster", "stratum").agg(F.count(F.lit(1)).alias("n"))
+    members = F.array_sort(F.collect_list(F.struct("stratum", "n")))
+    # A cluster has one entry a stratum.
+    kinds = counts.groupBy("_cluster").agg(F.sum("n").alias("size"), members.alias("members"))
+    shown = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["stratum"], m["n"].cast("string"))), ",")
+    kinds = materialize(kinds.withColumn("signature", shown), "cluster-kinds")
+    hashed = [F.md5(F.concat_ws(":", F.lit(seed), F.col(c))) for c in ("signature", "_cluster")]
+    runs = kinds.groupBy("signature", "size", "members").agg(F.count(F.lit(1)).alias("run")).orderBy(F.desc("size"), hashed[0], "signature").collect()
+    strata: dict[str, int] = {}
+    for r in runs:
+        for m in r["members"]:
+            strata[m["stratum"]] = strata.get(m["stratum"], 0) + m["n"] * r["run"]
+    loads = SplitLoads(ratios, sum(r["size"] * r["run"] for r in runs), strata)
+    cuts = [(r["signature"], *loads.deal(r["run"], r["size"], [tuple(m) for m in r["members"]])) for r in runs]
+    dealt = rows.sparkSession.createDataFrame(cuts, "_signature string, train long, val long, test long")
+    placed = ranked(kinds.select("_cluster", "signature"), [F.col("signature"), hashed[1], F.col("_cluster")], "_place")
+    first = placed.groupBy(F.col("signature").alias("_signature")).agg(F.min("_place").alias("_first"))
+    # As many rows as the driver held: every signature once.
+    rules = F.broadcast(dealt.join(first, "_signature"))
+    rank = F.col("_place") - F.col("_first")
+    split = F.when(rank < F.col("train"), SPLITS[0]).when(rank < F.col("train") + F.col("val"), SPLITS[1]).otherwise(SPLITS[2])
+    assigned = placed.join(rules, F.col("signature") == F.col("_signature")).select("_cluster", split.alias("split"))
     return rows.join(assigned, F.col(cluster).cast("string") == F.col("_cluster")).drop("_cluster")
 
 

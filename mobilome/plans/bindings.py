@@ -175,11 +175,45 @@ def cluster_statistics(spark, d):
     return datasets.cluster_statistics(_similar(spark, d), "cluster_id", "lang").withColumn("singleton_fraction", r("singleton_fraction"))
 
 
-@query()
+def _split_sql(members: str) -> str:
+    """Clusters (doc_id, cluster_id, stratum) dealt one by one, each to the split with the least price."""
+    return f"""
+mem AS ({members}),
+st AS (SELECT list(stratum ORDER BY stratum) AS names, list(n ORDER BY stratum) AS total FROM (SELECT stratum, count(*) AS n FROM mem GROUP BY stratum)),
+kn AS (SELECT cluster_id, stratum, count(*) AS n FROM mem GROUP BY ALL),
+kd AS (SELECT cluster_id, CAST(sum(n) AS BIGINT) AS size, string_agg(stratum || ':' || n, ',' ORDER BY stratum) AS signature, map_from_entries(list((stratum, n))) AS m FROM kn GROUP BY cluster_id),
+od AS (SELECT cluster_id, size, signature, list_transform(names, lambda s: coalesce(m[s], 0)) AS v,
+       row_number() OVER (ORDER BY size DESC, md5('42:' || signature), signature, cluster_id) AS i FROM kd CROSS JOIN st),
+al AS (SELECT CAST(sum(size) AS DOUBLE) AS whole FROM od),
+gr AS (SELECT CAST(0 AS BIGINT) AS i, [0.0::DOUBLE, 0, 0] AS filled, [list_transform(names, lambda s: 0.0::DOUBLE), list_transform(names, lambda s: 0.0::DOUBLE), list_transform(names, lambda s: 0.0::DOUBLE)] AS held, CAST(0 AS BIGINT) AS pick FROM st
+  UNION ALL
+  SELECT i, list_transform(range(1, 4), lambda k: filled[k] + CASE WHEN k = best THEN size ELSE 0 END),
+    list_transform(range(1, 4), lambda k: list_transform(range(1, len(v) + 1), lambda j: held[k][j] + CASE WHEN k = best THEN v[j] ELSE 0 END)), best
+  FROM (SELECT *, CAST(list_position(price, list_min(price)) AS BIGINT) AS best FROM (
+    SELECT od.i, gr.filled, gr.held, od.size, od.v, list_transform([0.7::DOUBLE, 0.15, 0.15], lambda x, k: (gr.filled[k] + od.size) / (x * al.whole + 1e-5)
+      + 0.5 * list_reduce(list_prepend(0.0::DOUBLE, list_transform(od.v, lambda n, j: n * greatest(0.0, (gr.held[k][j] - x * st.total[j]) / (x * st.total[j] + 1)))), lambda a, b: a + b)) AS price
+    FROM gr JOIN od ON od.i = gr.i + 1 CROSS JOIN al CROSS JOIN st))),
+tk AS (SELECT signature, count(*) FILTER (pick = 1) AS tr, count(*) FILTER (pick = 2) AS va FROM gr JOIN od USING (i) GROUP BY signature),
+pl AS (SELECT cluster_id, signature, row_number() OVER (PARTITION BY signature ORDER BY md5('42:' || cluster_id), cluster_id) AS rn FROM od)
+SELECT doc_id, cluster_id, CASE WHEN rn <= tr THEN 'train' WHEN rn <= tr + va THEN 'val' ELSE 'test' END AS split FROM mem JOIN pl USING (cluster_id) JOIN tk USING (signature)"""
+
+
+@query(_CLUSTERED + "," + _split_sql("""
+  SELECT doc_id, coalesce(lang, '') AS stratum, cluster_id FROM c JOIN documents USING (doc_id) JOIN (
+    SELECT root, 'cluster30_' || lpad(CAST(row_number() OVER (ORDER BY size DESC, rep) AS VARCHAR), 6, '0') AS cluster_id FROM (
+      SELECT root, count(*) AS size, arg_max(doc_id, n_chars * 1000000000000 + doc_id) AS rep FROM c JOIN documents USING (doc_id) GROUP BY root)) USING (root)"""))
 def cluster_split(spark, d):
     return datasets.cluster_split(_similar(spark, d), "cluster_id", "lang").select("doc_id", "cluster_id", "split")
 
 
+@query("WITH RECURSIVE " + _split_sql("SELECT l_orderkey * 10 + l_linenumber AS doc_id, CAST(l_suppkey * 10 + l_linenumber AS VARCHAR) AS cluster_id, l_returnflag AS stratum FROM lineitem WHERE l_returnflag <> 'N'"))
+def negative_split(spark, d):
+    """Negatives by type: returned lines, whose lines of one supplier and number stay together."""
+    l = table(spark, d, "lineitem").filter("l_returnflag <> 'N'")
+    named = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("string").alias("cluster_id"), F.col("l_returnflag").alias("kind"))
+    return datasets.cluster_split(named, "cluster_id", "kind").select("doc_id", "cluster_id", "split")
+
+
 @query(f"""{_CLUSTERED},
 m AS (SELECT c.root, d.doc_id, d.n_chars, d.source FROM c JOIN documents d USING (doc_id)),
 s AS (SELECT root, count(*) AS size, arg_max(doc_id, n_chars * 1000000000000 + doc_id) AS rep, min(n_chars) AS min_length, max(n_chars) AS max_length FROM m GROUP BY root),

@@ -1,6 +1,8 @@
 """Operators on small known cases."""
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,69 @@ def test_splits_keep_clusters_together(spark):
     assert sorted(again.collect()) == sorted(split.collect())
 
 
+def one_by_one(clusters, ratios, seed="42"):
+    """{cluster: [(stratum, n)]} dealt one cluster at a time: how many of each signature every split took, in order of the splits."""
+    md5 = lambda *x: hashlib.md5(":".join(x).encode()).hexdigest()
+    text = {c: ",".join(f"{s}:{n}" for s, n in sorted(m)) for c, m in clusters.items()}
+    size = {c: sum(n for _, n in m) for c, m in clusters.items()}
+    total = Counter()
+    for m in clusters.values():
+        total.update(dict(m))
+    filled, held, takes = [0] * len(ratios), [Counter() for _ in ratios], {}
+    for c in sorted(clusters, key=lambda c: (-size[c], md5(seed, text[c]), text[c])):
+        costs = []
+        for i, r in enumerate(ratios):
+            over = sum(n * max(0.0, (held[i][s] - r * total[s]) / (r * total[s] + 1)) for s, n in sorted(clusters[c]))
+            costs.append((filled[i] + size[c]) / (r * sum(size.values()) + 1e-5) + 0.5 * over)
+        best = costs.index(min(costs))
+        filled[best] += size[c]
+        held[best].update(dict(clusters[c]))
+        takes.setdefault(text[c], [0] * len(ratios))[best] += 1
+    return takes, text
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_runs_are_dealt_as_one_by_one(seed):
+    rng = random.Random(seed)
+    kinds = [[(s, rng.randrange(1, 4)) for s in rng.sample("abcd", rng.randrange(1, 4))] for _ in range(rng.randrange(1, 9))]
+    clusters = {f"c{i}": sorted(rng.choice(kinds)) for i in range(rng.randrange(1, 400))}
+    ratios = rng.choice([(0.7, 0.15, 0.15), (0.5, 0.5), (0.8, 0.1, 0.1)])
+    want, text = one_by_one(clusters, ratios)
+    total, run = Counter(), Counter(text.values())
+    for m in clusters.values():
+        total.update(dict(m))
+    loads = datasets.SplitLoads(ratios, sum(total.values()), dict(total))
+    members = {text[c]: m for c, m in clusters.items()}
+    order = sorted(run, key=lambda t: (-sum(n for _, n in members[t]), hashlib.md5(f"42:{t}".encode()).hexdigest(), t))
+    assert {t: loads.deal(run[t], sum(n for _, n in members[t]), members[t]) for t in order} == want
+
+
+def test_a_run_of_a_hundred_million_clusters():
+    loads = datasets.SplitLoads((0.7, 0.15, 0.15), 10**8, {"a": 10**8})
+    takes = loads.deal(10**8, 1, [("a", 1)])
+    assert sum(takes) == 10**8 and abs(takes[0] - 7 * 10**7) < 10
+
+
+def test_cluster_split_is_the_loop_s(spark):
+    rng = random.Random(5)
+    rows = [(i, f"c{rng.randrange(150)}", rng.choice(["x", "y", None])) for i in range(400)]
+    clusters = {}
+    for _, c, s in rows:
+        clusters.setdefault(c, Counter())[s or ""] += 1
+    want, text = one_by_one({c: sorted(m.items()) for c, m in clusters.items()}, (0.7, 0.15, 0.15))
+    got = {}
+    split = datasets.cluster_split(spark.createDataFrame(rows, "id long, cluster string, kind string"), "cluster", "kind")
+    found = {(r.cluster, r.split) for r in split.collect()}
+    assert len(found) == len(clusters)
+    for c, s in found:
+        got.setdefault(text[c], [0, 0, 0])[datasets.SPLITS.index(s)] += 1
+    assert got == want
+
+
+def test_splitting_no_rows(spark):
+    assert datasets.cluster_split(spark.createDataFrame([], "id long, cluster string, kind string"), "cluster", "kind").count() == 0
+
+
 def test_negatives(spark):
     pool = spark.range(130).select(F.col("id"), F.when(F.col("id") < 50, "hard").when(F.col("id") < 80, "easy").otherwise("general").alias("kind"), (100 + F.col("id") * 3).alias("n"))
     positives = spark.range(40).select((300 + F.col("id") * 5).alias("n"))
