@@ -1,25 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks.  Containers that are never article text (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, comments) are left
-out by element, role and class, with the articles inside them; but a container that is
-never closed, or a form, does not swallow an article, nor does one left out by class
-where nothing else is good.  First pass: link density, length and stop-word density
-call a block good or bad, or leave it ambiguous; inside an article or main element the
-density needed is lower, and only links make a block bad.  Second pass: an ambiguous
-block takes the label of the nearest decided block, inside an article of that article
-(of two equally near ones the earlier), or is good if none is decided.
+A page is cut into blocks.  First pass: every block is weighed by its link density, its length and its density of stop words, and by
+the containers around it, whose elements, roles and class names are evidence and no filter: an article speaks for a block,
+a sidebar, a footer or an advert against it, a menu only a little, since its links tell; long and dense prose outweighs what speaks
+against it.  The sum calls a block good or bad, or leaves it ambiguous; short blocks and headings are ambiguous unless links or
+containers are clearly against them.  Second pass: an ambiguous block takes the label of the nearest decided block, inside an
+article of that article (of two equally near ones the earlier; a heading that of the block after it).  Where an article has no decided block, its
+ambiguous blocks are good; where a page has no good block, the ambiguous ones with the best containers are.
+
+Only what is never text is left out before that: head, scripts, styles, templates, embedded objects, form controls, forms (but for articles inside
+them) and sections of reader comments.  A container that is never closed is no evidence.  Stop words are those of four languages; on a page whose
+text holds few of them, its own frequent short words count as well.
 
 Defined results: null or empty html, and pages without text, give an empty
 string and n_chars 0; very long pages are read whole, in time that grows with their length;
 unclosed and stray tags are tolerated as browsers do; null ids and
 urls are passed on; a repeated row is answered alike; an empty table gives an
-empty result.
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -42,14 +45,17 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head nav footer aside form script style title textarea noscript iframe template svg select button menu dialog object canvas".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-UNWANTED = frozenset(
+NEVER = frozenset("head script style title textarea noscript iframe template svg select button object canvas".split())
+AGAINST_ELEMENTS = frozenset("footer aside dialog".split())
+LINKING_ELEMENTS = frozenset("nav menu".split())
+AGAINST_ROLES = frozenset("banner contentinfo complementary search form alert alertdialog dialog".split())
+LINKING_ROLES = frozenset("navigation menu menubar toolbar".split())
+AGAINST_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr "
-    "notice notification alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead social share sharing "
-    "related recommended recommendations newsletter subscribe subscription signup popup modal overlay widget login search pagination "
-    "pager toolbar copyright skip teaser".split()
+    "notice notification alert sidebar footer header masthead social share sharing related recommended recommendations newsletter subscribe "
+    "subscription signup popup modal overlay widget login search copyright skip teaser".split()
 )
+LINKING_WORDS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar".split())
 COMMENTS = frozenset("comment comments disqus respond reply replies discussion".split())
 OWN = frozenset("article entry post content main story body text".split())
 #: Containers whose class or id is looked at.
@@ -67,35 +73,35 @@ STOP_WORDS = frozenset(
     "se ser si sin sobre su sus también un una y ya".split()
 )
 LINKS_BAD, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.20, 0.30
+#: Below this density of the four languages' stop words, a page's own frequent words of at most so many letters count as well.
+FOREIGN, OWN_LETTERS, OWN_WORDS = 0.20, 4, 40
 GOOD, BAD, OPEN = 1, 0, -1
+#: What containers weigh: clearly against, a little against, for, and an article or main element.
+AGAINST, LITTLE, FOR, ARTICLE = -3, -1, 1, 2
 
 
-def _unwanted(tag: str, attributes: str, inside_main: bool) -> str:
-    """Why a container is left out: "never", "comments", or "" if it is not."""
+def _weight(tag: str, attributes: str, inside_main: bool) -> int | None:
+    """What a container says about the text inside it; None for one that holds no text of the page."""
     if tag in NEVER:
-        return "never"
-    if not attributes.strip():
-        return "never" if tag == "header" and not inside_main else ""
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    if found.get("role", "").strip().lower() in ROLES:
-        return "never"
-    if tag in CONTAINERS:
-        words = {w.lower() for w in WORDS_OF_NAME.findall(found.get("class", "") + " " + found.get("id", ""))}
-        if words & COMMENTS:
-            return "comments"
-        bad = words & UNWANTED
-        if bad and not (bad <= {"header", "banner", "text"} and words & OWN):
-            return "never"
-    return "never" if tag == "header" and not inside_main else ""
-
-
-def _role(attributes: str) -> str:
-    """The attributes without class and id."""
-    return " ".join(f'{k}="{a or b or c}"' for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() == "role")
+        return None
+    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+    role = found.get("role", "").strip().lower()
+    names = [{w.lower() for w in WORDS_OF_NAME.findall(n)} for k in ("class", "id") for n in found.get(k, "").split()] if tag in CONTAINERS else []
+    words = set().union(*names)
+    if words & COMMENTS:
+        return None
+    if tag in AGAINST_ELEMENTS or role in AGAINST_ROLES or tag == "header" and not inside_main:
+        return AGAINST
+    # A name of nothing but such words is clear; one that also says something else is a hint.
+    if any(n and n <= AGAINST_WORDS for n in names) and not (words & OWN and words & AGAINST_WORDS <= {"header", "banner"}):
+        return AGAINST
+    if tag in LINKING_ELEMENTS or role in LINKING_ROLES or words & (LINKING_WORDS | AGAINST_WORDS):
+        return LITTLE
+    return FOR if words & OWN else 0
 
 
 class _Page:
-    """The blocks of one page: (text, characters inside links, heading, innermost article or main or 0, innermost left-out container or 0).
+    """The blocks of one page: (text, characters inside links, heading, innermost article or main or 0, innermost container with a weight or 0).
 
     Every tag takes constant time on average: the stack of open elements knows where its blocks and its elements of each name are.
     """
@@ -104,13 +110,13 @@ class _Page:
         self.blocks: list[tuple[str, int, bool, int, int]] = []
         self.text: list[str] = []
         self.linked = 0
-        #: Elements so far; of those left out, the ones that were closed, the ones left out by class alone, and the one around each.
+        #: Elements so far; of containers with a weight: those that were closed, the weight of each, and the one around it.
         self.count = 0
         self.closed: set[int] = set()
-        self.by_class: set[int] = set()
+        self.weights: dict[int, int] = {}
         self.outer: dict[int, int] = {}
-        #: Open elements: (tag, why left out, article or main around, in link, number, innermost left-out container).
-        self.open: list[tuple[str, str, int, bool, int, int]] = [("", "", 0, False, 0, 0)]
+        #: Open elements: (tag, whether text is left out, article or main around, in link, number, innermost container with a weight).
+        self.open: list[tuple[str, bool, int, bool, int, int]] = [("", False, 0, False, 0, 0)]
         self.places: dict[str, list[int]] = {}
         self.block_places: list[int] = []
         self.headings = 0
@@ -129,8 +135,8 @@ class _Page:
         self.cut()
 
     def words(self, raw: str) -> None:
-        _, why, _, link, _, _ = self.open[-1]
-        if raw and not why:
+        _, out, _, link, _, _ = self.open[-1]
+        if raw and not out:
             text = unescape(raw)
             self.text.append(text)
             if link:
@@ -144,7 +150,7 @@ class _Page:
                 self.blocks.append((text, self.linked, self.headings > 0, self.open[-1][2], self.open[-1][5]))
             self.text, self.linked = [], 0
 
-    def push(self, element: tuple[str, str, int, bool, int, int]) -> None:
+    def push(self, element: tuple[str, bool, int, bool, int, int]) -> None:
         tag = element[0]
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCKS:
@@ -174,18 +180,16 @@ class _Page:
             return len(html) if close < 0 else close + 1
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return at
-        _, why, main, link, _, around = self.open[-1]
-        own = _unwanted(tag, attributes, bool(main))
+        _, out, main, link, _, around = self.open[-1]
+        weight = _weight(tag, attributes, bool(main))
         self.count += 1
-        if tag in ("article", "main") and not own:
+        if tag in ("article", "main") and weight is not None and weight >= 0:
             main = self.count
-            why = why if why == "comments" else ""  # whether a container around it swallows the article shows at its end
-        elif own and tag != "form":
-            self.outer[self.count] = around
+            out = out and not any(self.places.get("form", ()))  # an article in a form is text
+        if weight:
+            self.weights[self.count], self.outer[self.count] = weight, around
             around = self.count
-            if tag not in NEVER and not _unwanted(tag, _role(attributes), True):
-                self.by_class.add(self.count)
-        self.push((tag, why or own, main, link or tag == "a", self.count, around))
+        self.push((tag, out or weight is None or tag == "form", main, link or tag == "a", self.count, around))
         return at
 
     def imply(self, tag: str) -> None:
@@ -205,26 +209,46 @@ class _Page:
         self.closed.add(self.open[places[-1]][4])
         self.pop_to(places[-1])
 
-    def swallowed(self, closed: set[int]) -> set[int]:
-        """The left-out containers that are among ``closed`` or inside one that is."""
-        out: set[int] = set()
+    def evidence(self) -> dict[int, int]:
+        """What the containers around the text in each container say together; one that was never closed says nothing."""
+        said: dict[int, tuple[int, int, int]] = {0: (0, 0, 0)}
         for number, around in self.outer.items():  # from the outermost in
-            if number in closed or around in out:
-                out.add(number)
-        return out
+            against, little, for_it = said[around]
+            if number in self.closed:
+                w = self.weights[number]
+                against, little, for_it = min(against, w if w == AGAINST else 0), min(little, w if w == LITTLE else 0), max(for_it, w)
+            said[number] = against, little, for_it
+        return {number: against or little + for_it for number, (against, little, for_it) in said.items()}
+
+
+def stop_words(blocks: list[tuple[str, int, bool, int, int]]) -> frozenset[str]:
+    """The stop words that fit a page."""
+    found = Counter(w.strip(".,;:!?\"'()") for text, linked, *_ in blocks if linked <= LINKS_BAD * len(text) for w in text.lower().split())
+    if sum(n for w, n in found.items() if w in STOP_WORDS) >= FOREIGN * sum(found.values()):
+        return STOP_WORDS
+    own = sorted(((-n, w) for w, n in found.items() if n > 1 and len(w) <= OWN_LETTERS and w.isalpha()))
+    return STOP_WORDS | {w for _, w in own[:OWN_WORDS]}
+
+
+def _density(text: str, stops: frozenset[str]) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in stops for w in words) / len(words)
 
 
-def _first_pass(text: str, linked: int, heading: bool, main: int) -> int:
+def _first_pass(text: str, linked: int, heading: bool, evidence: int, stops: frozenset[str]) -> int:
+    """A block's label by its links, length, stop words and containers; ``evidence`` is ARTICLE and more inside an article."""
     n = len(text)
     if linked > LINKS_BAD * n:
-        return OPEN if heading and main else BAD
+        return OPEN if heading and evidence >= ARTICLE else BAD
     if heading or n < SHORT:
-        return BAD if linked and not heading and not main else OPEN
-    words = text.lower().split()
-    stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if main:
-        return GOOD if stop >= STOP_LOW else OPEN
-    return GOOD if stop >= STOP_HIGH and n > LONG else OPEN if stop >= STOP_LOW or n <= LONG else BAD
+        return BAD if evidence <= AGAINST or linked and not heading and evidence < ARTICLE else OPEN
+    stop = _density(text, stops)
+    if stop < STOP_LOW:
+        prose = -2 if n > LONG else 0
+    else:
+        prose = 1 + (stop >= STOP_HIGH and n > LONG) + (n > 4 * LONG) + (n > 10 * LONG)
+    total = prose + evidence
+    return GOOD if total >= 2 and prose > 0 else BAD if total < 0 else OPEN
 
 
 def _second_pass(first: list[int], headings: list[bool]) -> list[int]:
@@ -247,9 +271,11 @@ def _second_pass(first: list[int], headings: list[bool]) -> list[int]:
     return out
 
 
-def classify(blocks: list[tuple[str, int, bool, int, int]]) -> list[int]:
+def classify(blocks: list[tuple[str, int, bool, int, int]], evidence: dict[int, int]) -> list[int]:
     """GOOD or BAD for each block."""
-    first = [_first_pass(*b[:4]) for b in blocks]
+    stops = stop_words(blocks)
+    said = [e if (e := evidence[around]) <= AGAINST or not main else e + ARTICLE for _, _, _, main, around in blocks]
+    first = [_first_pass(text, linked, heading, e, stops) for (text, linked, heading, _, _), e in zip(blocks, said)]
     headings = [b[2] for b in blocks]
     out = _second_pass(first, headings)
     sections: dict[int, list[int]] = {}
@@ -259,11 +285,11 @@ def classify(blocks: list[tuple[str, int, bool, int, int]]) -> list[int]:
     for own in sections.values():
         for i, label in zip(own, _second_pass([first[i] for i in own], [headings[i] for i in own])):
             out[i] = label
-    return out
-
-
-def _good(blocks: list[tuple[str, int, bool, int, int]]) -> str:
-    return " ".join([b[0] for b, label in zip(blocks, classify(blocks)) if label == GOOD])
+    if any(first[i] != OPEN for i in range(len(out))) and GOOD in out:
+        return out
+    # Nothing is good, or nothing decided: the ambiguous blocks with the best containers.
+    best = max((e for e, f in zip(said, first) if f == OPEN), default=0)
+    return [GOOD if f == OPEN and e == best else BAD for e, f in zip(said, first)]
 
 
 def extract(html: str | None) -> str:
@@ -271,12 +297,8 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
-    swallowed = page.swallowed(page.closed)
-    free = [b for b in page.blocks if b[4] not in swallowed]
-    if len(free) == len(page.blocks):
-        return _good(free)
-    swallowed = page.swallowed(page.closed - page.by_class)
-    return _good(free) or _good([b for b in page.blocks if b[4] not in swallowed])
+    labels = classify(page.blocks, page.evidence())
+    return " ".join([b[0] for b, label in zip(page.blocks, labels) if label == GOOD])
 
 
 def extract_pages(
