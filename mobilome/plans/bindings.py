@@ -819,9 +819,9 @@ def synthetic_contigs(spark, d):
 
 
 def _register() -> None:
-    from mobilome.plans import files, more
+    from mobilome.plans import files, more, searches
 
-    for module in (files, more):
+    for module in (files, more, searches):
         QUERIES.update(module.QUERIES)
         ORACLE.update(module.ORACLE)
 
