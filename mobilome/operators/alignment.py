@@ -64,6 +64,11 @@ def seed_diagonals(queries: DataFrame, targets: DataFrame, k: int = WORD, near:
     met = q.join(t, "word")
     if apart is not None:
         met = met.filter(apart)
+    return two_hits(met, k, stretch)
+
+
+def two_hits(met: DataFrame, k: int = WORD, stretch: int = STRETCH) -> DataFrame:
+    """The stretches of diagonals of (query, target, query_pos, target_pos) with two hits that do not overlap."""
     # A stretch is twice as long as its step, so any two hits within a step share one.
     step = F.floor(F.col("query_pos") / stretch)
     met = met.select("query", "target", (F.col("target_pos") - F.col("query_pos")).alias("diagonal"), "query_pos", F.explode(F.array(step - 1, step)).alias("stretch"))
