@@ -10,49 +10,20 @@ from pyspark.sql import functions as F
 
 from mobilome.functions import boundary_kernels as K
 from mobilome.functions import decisions as D
+from mobilome.functions import gene_kernels as G
 from mobilome.operators.boundaries import predict_boundaries
 from mobilome.operators.intervals import islands, reduce_islands, resolve_overlaps
 from mobilome.storage import deal_small, materialize
 
-STARTS = ("ATG", "GTG", "TTG")
-STOPS = ("TAA", "TAG", "TGA")
-#: The standard code in the order of bases T, C, A, G.
-CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-
-
-def translate(dna: str) -> str:
-    """Protein of a reading frame; codons with other letters give X."""
-    place = {b: i for i, b in enumerate("TCAG")}
-    out = []
-    for i in range(0, len(dna) - 2, 3):
-        c = [place.get(b, -1) for b in dna[i : i + 3]]
-        out.append("X" if min(c) < 0 else CODE[16 * c[0] + 4 * c[1] + c[2]])
-    return "".join(out)
-
-
 def reading_frames(dna: str, least: int = 90) -> list[tuple[int, int, str, bool, bool, str]]:
-    """(start, end, strand, open at start, open at end, protein) of the longest frame before each stop, in six frames."""
-    n, found = len(dna), []
-    for strand, s in (("+", dna), ("-", K.reverse_complement(dna))):
-        for frame in range(3):
-            first, opened = frame, s[frame : frame + 3] not in STARTS  # a frame may begin before the contig does
-            for i in range(frame, n - 2, 3):
-                codon = s[i : i + 3]
-                if codon in STOPS:
-                    if first is not None and i + 3 - first >= least:
-                        found.append((strand, first, i + 3, opened, False))
-                    first, opened = None, False
-                elif first is None and codon in STARTS:
-                    first = i
-            if first is not None:
-                last = n - (n - frame) % 3
-                if last - first >= least:
-                    found.append((strand, first, last, opened, True))
-    out = []
-    for strand, a, b, left, right in found:
-        s = dna if strand == "+" else K.reverse_complement(dna)
-        protein = translate(s[a:b]).rstrip("*")
-        out.append((a, b, "+", left, right, protein) if strand == "+" else (n - b, n - a, "-", right, left, protein))
+    """(start, end, strand, open on the left, open on the right, protein) of the longest frame before each stop, in six frames."""
+    n, out = len(dna), []
+    codes = G.base_codes(dna)
+    for strand, own in (("+", codes), ("-", G.reversed_codes(codes))):
+        codon = G.codons(own)
+        for a, b, left, right in G.longest_frames(codon, n, least):
+            protein = G.protein_of(codon, a, b)
+            out.append((a, b, "+", left, right, protein) if strand == "+" else (n - b, n - a, "-", right, left, protein))
     return sorted(out)
 
 
@@ -60,7 +31,7 @@ ORFS = "contig_id string, gene_id string, start int, end int, strand string, par
 
 
 def find_genes(contigs: DataFrame, least: int = 90) -> DataFrame:
-    """Open reading frames of (contig_id, sequence); a stand-in for a trained gene finder."""
+    """Open reading frames of (contig_id, sequence); ``genes.predict_genes`` finds genes with a trained model."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -75,3 +75,67 @@ def protein_search(spark, d):
 def protein_clusters(spark, d):
     """Clusters by alignment: identity above 0.3 and either coverage 0.8."""
     return alignment.alignment_clusters(supplier_proteins(spark, d), "id", "sequence")
+
+
+#: One codon of each residue that the derived proteins have.
+CODONS = dict(zip(HEX_RESIDUES, "GCT TGC GAT GAA TTC GGT CAT ATC AAA CTG ATG AAC CCG CAG CGT AGC".split()))
+HEX_BASES = "ACGT" * 4
+
+
+def _flank(text: Column) -> Column:
+    """256 bases that follow from a text."""
+    return F.translate(F.concat(*[F.sha2(F.concat(text, F.lit(str(i))), 256) for i in range(4)]), HEX, HEX_BASES)
+
+
+def supplier_contigs(spark, d) -> DataFrame:
+    """(contig_id, family, sequence): each supplier's protein as a gene between flanks of its own, on the other strand for every third."""
+    from mobilome.functions.sequence import reverse_complement
+
+    p = supplier_proteins(spark, d)
+    known = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
+    gene = F.concat(F.lit("ATG"), F.array_join(F.transform(F.split("sequence", ""), lambda c: known[c]), ""), F.lit("TAA"))
+    name = F.col("id").cast("string")
+    sequence = F.concat(_flank(F.concat(F.lit("left"), name)), F.when(F.col("id") % 3 == 0, reverse_complement(gene)).otherwise(gene), _flank(F.concat(F.lit("right"), name)))
+    return p.select(name.alias("contig_id"), F.col("family").cast("string").alias("family"), sequence.alias("sequence"))
+
+
+@query(f"""
+WITH {SQL_PROTEINS} SELECT CAST(id AS VARCHAR) AS contig_id, 256 AS gene_start, 256 + 3 * (length(sequence) + 2) AS gene_end, CASE WHEN id % 3 = 0 THEN '-' ELSE '+' END AS strand, true AS whole_end FROM proteins""")
+def predicted_genes(spark, d):
+    """The gene of every contig: its end is found exactly; where an earlier start scores better, the gene begins there."""
+    from mobilome.operators import genes
+
+    contigs = supplier_contigs(spark, d)
+    found = genes.predict_genes(contigs)
+    length = F.length("sequence") - 512
+    planted = contigs.select("contig_id", (F.col("contig_id").cast("long") % 3 == 0).alias("back"), F.lit(256).alias("gene_start"), (256 + length).alias("gene_end"))
+    met = found.join(planted, "contig_id").filter(F.when(F.col("back"), (F.col("strand") == "-") & (F.col("start") == 256)).otherwise((F.col("strand") == "+") & (F.col("end") == F.col("gene_end"))))
+    reaches = F.when(F.col("back"), F.col("end") >= F.col("gene_end") - 30).otherwise(F.col("start") <= F.col("gene_start") + 30)
+    return met.select("contig_id", "gene_start", "gene_end", "strand", reaches.alias("whole_end"))
+
+
+@query(f"""
+WITH {SQL_PROTEINS} SELECT CAST(id AS VARCHAR) AS query, CAST(family AS VARCHAR) AS family FROM proteins QUALIFY count(*) OVER (PARTITION BY family) >= 3""")
+def profile_families(spark, d):
+    """The family that the models of all families give each protein."""
+    from mobilome.operators import profiles
+    from mobilome.storage import materialize
+
+    p = supplier_proteins(spark, d)
+    models = materialize(profiles.profile_models(p, "family", "id", "sequence"), "models")
+    return profiles.best_family(profiles.profile_search(p, models, "id", "sequence", 1e-6)).select("query", "family")
+
+
+@query(f"""
+WITH {SQL_PROTEINS} SELECT CAST(id AS VARCHAR) AS contig_id, CAST(family AS VARCHAR) AS family, count(*) OVER (PARTITION BY id) AS elements FROM proteins QUALIFY count(*) OVER (PARTITION BY family) >= 3""")
+def scan_profiles(spark, d):
+    """Contigs scanned from end to end: trained genes, family models, islands, boundaries, scores and overlap resolution."""
+    from mobilome.operators import genes, profiles, scan
+    from mobilome.storage import materialize
+
+    contigs = supplier_contigs(spark, d).select("contig_id", "sequence")
+    models = materialize(profiles.profile_models(supplier_proteins(spark, d), "family", "id", "sequence"), "models")
+    found = materialize(genes.predict_genes(contigs), "genes")
+    hits = profiles.best_family(profiles.profile_search(found, models, "gene_id", "protein", 1e-6)).select(F.col("query").alias("gene_id"), "family", "bits", "evalue")
+    elements = scan.annotate(contigs, found, hits)
+    return elements.groupBy("contig_id", "family").agg(F.count(F.lit(1)).alias("elements"))

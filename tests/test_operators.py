@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mobilome.functions import decisions as D
+from mobilome.functions import gene_kernels as G
 from mobilome.functions import sequence as S
 from mobilome.operators import datasets, hits, intervals, learning, metrics, scan, screening, similarity
 from mobilome.operators.components import connected_components
@@ -271,7 +272,7 @@ def test_reading_frames():
     dna = "CC" + "ATG" + "AAA" * 40 + "TAA" + "CC"
     found = [f for f in scan.reading_frames(dna) if f[2] == "+" and not f[3] and not f[4]]
     assert found and found[0][:2] == (2, 128) and found[0][5] == "M" + "K" * 40
-    assert scan.translate("ATGTGGTAAN") == "MW*"
+    assert G.translate("ATGTGGTAAN") == "MW*"
 
 
 def test_fasta_round_trip(spark, tmp_path):
