@@ -766,6 +766,24 @@ def stream_event_islands(spark, d):
     return spark.read.schema("event_id long, user_id long, island long").option("recursiveFileLookup", "true").parquet(f"{root}/out")
 
 
+@query(f"WITH {_ISLANDS} SELECT event_id, user_id, CAST(island AS BIGINT) AS island FROM i")
+def stream_cut_islands(spark, d):
+    """The islands once more, from files cut by place: every user's events come over several files, and the open end is keyed state."""
+    import uuid
+
+    from mobilome.storage import shared_dir
+    from mobilome.streaming.keyed import stream_islands
+
+    root = f"{shared_dir(spark)}/mobilome/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    source = event_intervals(spark, d).select("event_id", "user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "event_type")
+    cuts = source.agg(F.percentile_approx("start", [0.2, 0.4, 0.6, 0.8])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = (F.lit(True) if low is None else F.col("start") >= low) & (F.lit(True) if high is None else F.col("start") < high)
+        source.filter(inside).repartition(2, "user_id").write.mode("append").parquet(f"{root}/in")
+    stream_islands(spark, f"{root}/in", source.schema, "user_id", "start", "end", "event_type", 250, f"{root}/out", f"{root}/check", ("event_id",)).awaitTermination()
+    return spark.read.schema("event_id long, user_id long, start long, end long, event_type string, island long").parquet(f"{root}/out").select("event_id", "user_id", "island")
+
+
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
 

@@ -54,16 +54,3 @@ def numbered(
         placed.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{target}/counts/batch={number}")
 
     return reader.load(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def rates(query, bases: int, contigs: int) -> dict:
-    """What a finished run took: seconds, million bases and contigs a second."""
-    seconds = sum(p["durationMs"].get("triggerExecution", 0) for p in query.recentProgress) / 1000
-    return {"seconds": seconds, "mbp_per_second": bases / 1e6 / max(seconds, 1e-9), "contigs_per_second": contigs / max(seconds, 1e-9)}
-
-
-def progress(query) -> list[dict]:
-    """Rows and rates of every finished batch."""
-    return [
-        {"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond")} for p in query.recentProgress
-    ]
