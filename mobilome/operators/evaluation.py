@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.functions.decisions import NON_CANONICAL
 from mobilome.functions.sequence import gc_fraction, random_dna
-from mobilome.operators.components import connected_components
 from mobilome.operators.metrics import rates
 
 #: Stands for an error where nothing matched.
@@ -109,21 +107,3 @@ def synthetic_contigs(elements: DataFrame, key: str, sequence: str, flank: int =
     return parts.select(
         key, F.concat("_l", "_e", site, "_r").alias("contig"), start.alias("true_start"), (start + F.length("_e")).alias("true_end"), site.alias("true_tsd")
     )
-
-
-def close_edges(
-    vertices: DataFrame, edges: DataFrame, split: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame], id_col: str, most: int = 20
-) -> DataFrame:
-    """Split clusters, search across splits for pairs that violate the rule, merge their clusters, and again until none is left.
-
-    ``split`` takes vertices with ``component`` and adds ``split``; ``search`` takes that and gives (src, dst) violations.
-    """
-    for _ in range(most):
-        stars = connected_components(edges)
-        rooted = vertices.join(stars, F.col(id_col) == F.col("node"), "left").withColumn("component", F.coalesce("component", F.col(id_col))).drop("node")
-        found = split(rooted)
-        bad = search(found).select("src", "dst")
-        if bad.isEmpty():
-            return found
-        edges = edges.select("src", "dst").union(bad)
-    raise RuntimeError(f"violations remain after {most} rounds")

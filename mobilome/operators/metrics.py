@@ -7,10 +7,15 @@ sees more than one range.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mobilome.operators.datasets import ranked
+from mobilome.storage import materialize
 
 
 def _parts(steps: DataFrame, column: str) -> Column:
@@ -200,18 +205,74 @@ def percentile_interval(values: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_average_precision(rows: DataFrame, label: str, score: str, unit: str, replicates: int, seed: str, bins: int = 10_000) -> DataFrame:
-    """Percentile interval (2.5, 97.5) of the average precision over resampled units; ``score`` lies in [0, 1].
+def unit_weights(units: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
+    """(unit, weights): how often each of ``replicates`` draws takes the unit, as one array; units that no draw takes are left out."""
+    times = unit_draws(units.select(unit), unit, replicates, seed).groupBy(unit, "r").agg(F.count(F.lit(1)).alias("k"))
+    # At most one entry a replicate.
+    taken = times.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct("r", "k"))).alias("_taken"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")), lambda r: F.coalesce(F.try_element_at("_taken", r), F.lit(0)).cast("int"))
+    return taken.select(unit, every.alias("weights"))
+
+
+def bootstrap_average_precision(rows: DataFrame, label: str, score: str, unit: str, replicates: int, seed: str) -> DataFrame:
+    """Percentile interval (2.5, 97.5) of the average precision over resampled units, with scores as they are.
 
-    Scores are taken in ``bins`` equal steps, so that a unit is a short histogram and a replicate is summed by step; scores that are
-    multiples of 1 / bins are exact.
+    Every cell of a unit and a score carries the unit's weights in all replicates.  The sums of a range of scores, one number a replicate, are what the
+    ranges below it start from, so that all replicates are summed in one pass over the ranges, each sorted by itself.  A null score counts as below all others; null units are one unit.
     """
-    step = F.round(F.col(score) * bins).cast("int")
-    cells = rows.groupBy(unit, step.alias("step")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    units = cells.groupBy(unit).agg(F.collect_list(F.struct("step", "pos", "neg")).alias("cells"))
-    drawn = unit_draws(units, unit, replicates, seed).select("r", F.inline("cells"))
-    steps = drawn.groupBy("r", "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    down = Window.partitionBy("r").orderBy(F.col("step").desc())
-    tp, n = F.sum("pos").over(down), F.sum(F.col("pos") + F.col("neg")).over(down)
-    values = steps.withColumn("part", F.col("pos") * tp / n).groupBy("r").agg(F.try_divide(F.sum("part"), F.sum("pos")).alias("value"))
-    return percentile_interval(values.filter("value IS NOT NULL"))
+    cells = rows.groupBy(F.col(unit).alias("_unit"), F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")), F.lit(-1.7e308)).alias("_score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    weights = unit_weights(rows.groupBy(F.col(unit).alias("_u")).agg(F.lit(1).alias("_one")), "_u", replicates, seed)
+    weighted = cells.join(weights, F.col("_unit").eqNullSafe(F.col("_u"))).select("_score", "pos", "neg", "weights")
+    weighted = materialize(weighted, "bootstrap-cells")
+    weighted = weighted.withColumn("_part", _parts(weighted, "_score"))
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(part, scores, weighted positives, weighted negatives) of each batch."""
+        for pdf in batches:
+            for part, own in pdf.groupby("_part", sort=True):
+                w = np.stack(own["weights"].to_numpy()).astype(np.float64)
+                yield int(part), own["_score"].to_numpy(float), own["pos"].to_numpy(float)[:, None] * w, own["neg"].to_numpy(float)[:, None] * w
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, _, pos, neg in blocks(batches):
+            yield pd.DataFrame({"part": [part], "pos": [pos.sum(0)], "neg": [neg.sum(0)]})
+
+    sums: dict[int, np.ndarray] = {}
+    for r in weighted.mapInPandas(totals, "part int, pos array<double>, neg array<double>").collect():
+        sums[r["part"]] = sums.get(r["part"], 0) + np.array([r["pos"], r["neg"]])
+    above, total = {}, np.zeros((2, replicates))
+    for part in sorted(sums, reverse=True):
+        above[part], total = total, total + sums[part]
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """By replicate, the sum of precision over the positives; the last score of a batch waits for the next one, which may go on with it."""
+        found, reached, waiting, at = np.zeros(replicates), None, None, None
+
+        def add(pos: np.ndarray, neg: np.ndarray) -> None:
+            nonlocal found, reached
+            tp, n = reached[0] + np.cumsum(pos, 0), reached[1] + np.cumsum(pos + neg, 0)
+            found = found + np.where(n > 0, pos * tp / np.maximum(n, 1), 0).sum(0)
+            if len(tp):
+                reached = tp[-1], n[-1]
+
+        for part, scores, pos, neg in blocks(batches):
+            if part != at:
+                if waiting is not None:
+                    add(waiting[1][None], waiting[2][None])
+                at, waiting, reached = part, None, (above[part][0], above[part].sum(0))
+            first = np.flatnonzero(np.concatenate(([True], scores[1:] != scores[:-1])))
+            pos, neg = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+            if waiting is not None and waiting[0] == scores[0]:
+                pos[0], neg[0] = pos[0] + waiting[1], neg[0] + waiting[2]
+            elif waiting is not None:
+                add(waiting[1][None], waiting[2][None])
+            add(pos[:-1], neg[:-1])
+            waiting = scores[-1], pos[-1], neg[-1]
+        if waiting is not None:
+            add(waiting[1][None], waiting[2][None])
+            yield pd.DataFrame({"r": np.arange(replicates), "part_sum": found})
+
+    positives = rows.sparkSession.createDataFrame([(r, float(p)) for r, p in enumerate(total[0]) if p > 0], "r int, positives double")
+    ordered = weighted.repartition("_part").sortWithinPartitions("_part", F.col("_score").desc())
+    summed = ordered.mapInPandas(parts, "r int, part_sum double").groupBy("r").agg(F.sum("part_sum").alias("s"))
+    return percentile_interval(summed.join(F.broadcast(positives), "r").select((F.col("s") / F.col("positives")).alias("value")))

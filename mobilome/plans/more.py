@@ -319,7 +319,7 @@ def cut_fragments(spark, d):
 @query(f"""
 WITH {SQL_SCORED}, u AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rk, count(*) OVER () AS k FROM scored WHERE y IS NOT NULL GROUP BY lang), t AS (SELECT max(k) AS k FROM u),
 dr AS (SELECT r, CAST('0x' || substr(md5('7:' || r || ':' || i), 1, 12) AS BIGINT) % k AS pick FROM (SELECT unnest(range(100)) AS r) CROSS JOIN t CROSS JOIN LATERAL (SELECT unnest(range(1, k + 1)) AS i)),
-st AS (SELECT lang, CAST(round(score * 10000) AS INT) AS step, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM scored WHERE y IS NOT NULL GROUP BY 1, 2),
+st AS (SELECT lang, score AS step, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM scored WHERE y IS NOT NULL GROUP BY 1, 2),
 b AS (SELECT r, step, sum(pos) AS pos, sum(neg) AS neg FROM dr JOIN u ON pick = rk JOIN st ON st.lang IS NOT DISTINCT FROM u.lang GROUP BY r, step),
 w AS (SELECT r, pos, sum(pos) OVER v AS tp, sum(pos + neg) OVER v AS n FROM b WINDOW v AS (PARTITION BY r ORDER BY step DESC)),
 ap AS (SELECT r, sum(pos * tp / n) / sum(pos) AS value FROM w GROUP BY r HAVING sum(pos) > 0)

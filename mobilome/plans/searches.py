@@ -139,3 +139,13 @@ def scan_profiles(spark, d):
     hits = profiles.best_family(profiles.profile_search(found, models, "gene_id", "protein", 1e-6)).select(F.col("query").alias("gene_id"), "family", "bits", "evalue")
     elements = scan.annotate(contigs, found, hits)
     return elements.groupBy("contig_id", "family").agg(F.count(F.lit(1)).alias("elements"))
+
+
+@query(f"WITH {SQL_PROTEINS} SELECT family, count(*) AS proteins, 1 AS parts FROM proteins GROUP BY family")
+def closed_split(spark, d):
+    """A split that begins with single proteins and ends without alike ones apart: every family lies in one part."""
+    from mobilome.operators import closure
+
+    p = supplier_proteins(spark, d)
+    found = closure.closed_split(p, "id", "sequence", "family", most_expected=1e-6)
+    return found.groupBy(F.col("stratum").alias("family")).agg(F.count(F.lit(1)).alias("proteins"), F.count_distinct("split").cast("int").alias("parts"))

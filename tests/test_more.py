@@ -1,5 +1,6 @@
 """Filters, audits, models, program runners, artifacts, streams and commands on small known cases."""
 
+import hashlib
 import json
 import os
 import random
@@ -89,6 +90,38 @@ def test_bootstrap_draws_units_without_positives(spark):
     assert 0 < a.low <= a.mean <= a.high < 1 and a == metrics.bootstrap_average_precision(scores.repartition(5), "y", "s", "u", 30, "x").first()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrap_of_average_precision_by_sorting_each_replicate(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.random() < 0.4, rng.choice(["a", "b", "c", "d", None, "e"]), rng.choice([None, float("nan"), rng.random(), rng.randrange(5) / 4])) for _ in range(300)]
+    frame = spark.createDataFrame([(int(y), u, s) for y, u, s in rows], "y int, u string, s double").repartition(5)
+    units = sorted({u for _, u, _ in rows}, key=lambda u: (u is not None, u or ""))
+    values = []
+    for r in range(40):
+        picks = [int(hashlib.md5(f"k:{r}:{d}".encode()).hexdigest()[:12], 16) % len(units) for d in range(1, len(units) + 1)]
+        drawn = sorted(((-1.7e308 if s is None or s != s else s, y) for p in picks for y, u, s in rows if u == units[p]), reverse=True)
+        tp = n = total = 0
+        at = 0
+        while at < len(drawn):
+            end = at
+            while end < len(drawn) and drawn[end][0] == drawn[at][0]:
+                end += 1
+            pos = sum(y for _, y in drawn[at:end])
+            tp, n = tp + pos, n + end - at
+            total += pos * tp / n
+            at = end
+        if tp:
+            values.append(total / tp)
+    got = metrics.bootstrap_average_precision(frame, "y", "s", "u", 40, "k").first()
+    want = np.mean(values), np.quantile(values, 0.025), np.quantile(values, 0.975)
+    assert tuple(got) == pytest.approx(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # scores that batches share
+    try:
+        assert tuple(metrics.bootstrap_average_precision(frame, "y", "s", "u", 40, "k").first()) == pytest.approx(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_filters(spark):
     cases = [("RuvC nuclease", "E. coli", 100, "hard"), ("Enolase", "E. coli", 100, "easy"), ("Unknown", "Serratia", 100, None), ("Transposase", "E. coli", 100, None), ("Unknown", None, 100, "general"), ("Unknown", "E. coli", 79, None)]
     p = spark.createDataFrame([(d, o, "M" * n, w) for d, o, n, w in cases], "d string, o string, s string, want string")
