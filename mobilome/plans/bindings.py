@@ -635,7 +635,33 @@ def canonical_boundaries(spark, d):
     return out.select("doc_id", "start", "end", "complete", "confidence")
 
 
-@query()
+def _first_marked(pattern: str, low: int, high: int) -> str:
+    """The place, in ``up``, of the first of the matches of a pattern, taken from the left without overlap, that begins ``low`` to ``high`` bases before its end; null without one."""
+    marked = f"regexp_replace(up, '{pattern}', '#' || repeat('.', {len(pattern) - 1}), 'g')"
+    return f"list_filter(range(0, length(up)), lambda i: ({marked})[i + 1] = '#' AND length(up) - i BETWEEN {low} AND {high})[1]"
+
+
+def _pick_sql(patterns, low: int, high: int) -> str:
+    """(at, name) of the first pattern with such a match, as a struct."""
+    tries = ", ".join(f"CASE WHEN {_first_marked(p, low, high)} IS NOT NULL THEN {{'at': {_first_marked(p, low, high)}, 'name': '{p}'}} END" for p in patterns)
+    return f"coalesce({tries})"
+
+
+@query(f"""
+WITH {SQL_CONTIGS}, w AS (SELECT *, substr(seq, te + 1, 300) AS dn, substr(seq, greatest(0, ts - 250) + 1, ts - greatest(0, ts - 250)) AS up FROM contigs),
+g AS (SELECT stem, unnest(range(3, 8)) AS loop FROM (SELECT unnest(range(5, 10)) AS stem)),
+x AS (SELECT doc_id, dn, stem, loop, unnest(range(0, length(dn) - 2 * stem - loop + 1)) AS i FROM w CROSS JOIN g WHERE length(dn) >= 2 * stem + loop),
+a AS (SELECT *, substr(dn, i + 1, stem) AS one, substr(dn, i + stem + loop + 1, stem) AS two FROM x),
+h AS (SELECT *, stem * 2.5::DOUBLE - hamming(translate(one, 'ACGT', 'TGCA'), reverse(two)) * 3.0::DOUBLE + length(regexp_replace(one, '[^GC]', '', 'g')) / stem * 2.0::DOUBLE - abs(loop - 4) * 0.5::DOUBLE AS score
+  FROM a WHERE hamming(translate(one, 'ACGT', 'TGCA'), reverse(two)) <= 1),
+b AS (SELECT *, i + 2 * stem + loop AS stop FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, stem, i, loop) AS rn FROM h) WHERE rn = 1),
+t AS (SELECT *, substr(dn, stop + 1, 20) AS rest FROM b),
+r AS (SELECT doc_id, score, stop + CASE WHEN length(rest) >= 4 THEN coalesce(list_filter(range(0, length(rest) - 1), lambda j: rest[j + 1:j + 2] IN ('TT', 'TA', 'AA'))[1] + 2, 6) ELSE 6 END AS past,
+  one || '-' || substr(dn, i + stem + 1, loop) || '-' || two AS shown FROM t),
+l AS (SELECT *, {_pick_sql(boundaries.K.IS200_START, 30, 200)} AS pick FROM w),
+f AS (SELECT l.doc_id, CASE WHEN pick IS NULL THEN greatest(0, ts - 65) ELSE greatest(0, ts - 250) + pick.at END AS "start", CASE WHEN score IS NULL THEN least(n, te + 65) ELSE te + past END AS "end",
+  round(coalesce(score, 5.0) + CASE WHEN pick IS NULL THEN 4.0 ELSE 8.0 END, 2) AS total, coalesce(shown, 'unresolved') AS shown, coalesce(pick.name, 'predicted') AS motif_left FROM l LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", round(least(0.95, greatest(0.40, total / 25.0)), 4) AS confidence, 'hairpin_stem_loop:' || shown AS feature_type, motif_left, CAST(NULL AS VARCHAR) AS motif_right, total AS stability_score FROM f""")
 def hairpins(spark, d):
     g = contigs(spark, d).withColumn("family", F.lit("IS200/IS605"))
     return boundaries.predict_boundaries(g, "seq", "ts", "te", "family", "plan_a", ("doc_id",)).select("doc_id", "start", "end", "confidence", "structure.*")
@@ -647,6 +673,24 @@ def _motif_sql(patterns, column, shift):
     return f"CASE {at} END", f"CASE {size} END"
 
 
+def _ter_sql() -> str:
+    tries = ", ".join(f"CASE WHEN regexp_matches(dn, '{p}') THEN {{'stop': length(regexp_extract(dn, '^(.*?)({p})', 1)) + length(regexp_extract(dn, '{p}')), 'name': regexp_extract(dn, '{p}')}} END" for p in boundaries.K.IS91_TER)
+    return f"coalesce({tries})"
+
+
+@query(f"""
+WITH {SQL_CONTIGS}, w AS (SELECT *, substr(seq, te + 1, 300) AS dn, substr(seq, greatest(0, ts - 250) + 1, ts - greatest(0, ts - 250)) AS up FROM contigs),
+f AS (SELECT *, {_ter_sql()} AS ter, {_pick_sql(boundaries.K.IS91_ORI, 40, 180)} AS ori FROM w)
+SELECT doc_id, CAST(CASE WHEN ori IS NULL THEN greatest(0, ts - 90) ELSE greatest(0, ts - 250) + ori.at END AS INT) AS "start", CAST(CASE WHEN ter IS NULL THEN least(n, te + 120) ELSE te + ter.stop END AS INT) AS "end",
+  round(least(0.95, greatest(0.45, (CASE WHEN ter IS NULL THEN 5.0 ELSE 15.0 END + CASE WHEN ori IS NULL THEN 5.0 ELSE 10.0 END) / 25.0)), 4) AS confidence,
+  coalesce(ori.name, 'predicted_ori') AS motif_left, coalesce(ter.name, 'predicted_ter') AS motif_right FROM f""")
+def rolling_circle(spark, d):
+    """Ends of elements by origin and terminus motifs."""
+    g = contigs(spark, d).withColumn("family", F.lit("IS91"))
+    out = boundaries.predict_boundaries(g, "seq", "ts", "te", "family", "plan_a", ("doc_id",))
+    return out.select("doc_id", "start", "end", "confidence", "structure.motif_left", "structure.motif_right")
+
+
 _END_AT, _END_SIZE = _motif_sql(boundaries.K.IS110_END, "dn", 0)
 _START_AT, _ = _motif_sql(boundaries.K.IS110_START, "up", 0)
 

@@ -222,11 +222,13 @@ def simulated_folds(spark, d):
 
 
 @query(f"""
-WITH p AS (SELECT doc_id, {SQL_PROTEIN} AS aa FROM documents WHERE doc_id IS NOT NULL), {_ATOMS.replace("length(aa) > 0", "length(aa) BETWEEN 1 AND 6500")}
+WITH q AS (SELECT doc_id, {SQL_PROTEIN} AS aa FROM documents), p AS (SELECT doc_id, substr(aa, c * 6500 + 1, 6500) AS aa FROM q, LATERAL (SELECT unnest(range(0, (length(aa) - 1) // 6500 + 1)) AS c) WHERE length(aa) > 0), {_ATOMS}
 SELECT count(*) AS atoms, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, round(avg(plddt), 4) AS plddt, CAST(max(i) AS INT) AS last FROM a""")
 def structure_file(spark, d):
-    """Predicted structures as fixed-width atom lines, written and read.  Longer chains do not fit the format, which has eight columns for a coordinate."""
-    p = texts(spark, d).select(protein(F.col("text")).alias("aa")).filter("length(aa) BETWEEN 1 AND 6500")
+    """Predicted structures as fixed-width atom lines, written and read.  The format has eight columns for a coordinate, so a long protein is several chains."""
+    whole = texts(spark, d).select(protein(F.col("text")).alias("aa")).filter("length(aa) > 0")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("aa") - 1) / 6500).cast("int")), lambda c: F.substring(F.col("aa"), c * 6500 + 1, F.lit(6500)))
+    p = whole.select(F.explode(parts).alias("aa"))
     at = _place(spark, "structures")
     p.select(F.explode(structures.structure_lines(F.col("aa"))).alias("value")).write.text(at)
     a = tables.alpha_carbons(spark.read.text(at))
@@ -294,13 +296,15 @@ def gff3_file(spark, d):
 
 
 @query("""
-WITH s AS (SELECT o_orderstatus AS split, count(*) AS sequences, count(DISTINCT o_custkey) AS clusters FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY split) AS i FROM s)
-SELECT 0 AS line_no, 'splits:' AS line UNION ALL SELECT CAST(1000 * i AS INT), '  - name: ' || split FROM r UNION ALL SELECT CAST(1000 * i + 1 AS INT), '    sequences: ' || sequences FROM r UNION ALL SELECT CAST(1000 * i + 2 AS INT), '    clusters: ' || clusters FROM r""")
+WITH s AS (SELECT o_orderstatus AS split, count(*) AS sequences, count(DISTINCT o_custkey) AS clusters FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY split) AS i FROM s),
+l AS (SELECT 0 AS line_no, 'splits:' AS line UNION ALL SELECT CAST(1000 * i AS INT), '  - name: ' || split FROM r UNION ALL SELECT CAST(1000 * i + 1 AS INT), '    sequences: ' || sequences FROM r UNION ALL SELECT CAST(1000 * i + 2 AS INT), '    clusters: ' || clusters FROM r)
+SELECT CAST(row_number() OVER (ORDER BY line_no) AS INT) AS line_no, line FROM l""")
 def manifest_file(spark, d):
     """A manifest of splits, written as YAML lines and read back in their order."""
     counts = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("split")).agg(F.count(F.lit(1)).alias("sequences"), F.count_distinct("o_custkey").alias("clusters"))
-    lines = artifacts.manifest_lines(counts, "split", ["sequences", "clusters"])
-    return lines
+    at = _place(spark, "manifest")
+    artifacts.write_lines(artifacts.manifest_lines(counts, "split", ["sequences", "clusters"]), at)
+    return tables.in_file_order(spark.read.text(at)).select(F.col("line_no").cast("int").alias("line_no"), F.col("value").alias("line"))
 
 
 @query("""

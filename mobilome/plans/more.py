@@ -141,7 +141,17 @@ def reciprocal_audit(spark, d):
     return H.reciprocal_audit(q, hits(spark, d)).withColumns({"local_identity": r("local_identity"), "bits": r("bits", 4), "strict_identity": r("strict_identity")})
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SQL_HITS}, v AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY length(p_name) DESC, p_partkey) AS i FROM part),
+e AS (SELECT 'D' AS scheme, query AS a, target AS b FROM hits WHERE query <> target AND fident >= 0.3 AND qcov >= 0.8 AND tcov >= 0.8 UNION SELECT 'E', query, target FROM hits WHERE query <> target AND fident >= 0.3 AND tcov >= 0.8),
+x AS (SELECT scheme, a, b FROM e UNION SELECT scheme, b, a FROM e),
+nb AS (SELECT scheme, va.i, list(DISTINCT vb.i) AS js FROM x JOIN v va ON x.a = va.id JOIN v vb ON x.b = vb.id GROUP BY scheme, va.i),
+g(scheme, i, reps) AS (SELECT unnest(['D', 'E']), CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT g.scheme, g.i + 1, CASE WHEN nb.js IS NOT NULL AND list_has_any(g.reps, nb.js) THEN g.reps ELSE list_append(g.reps, g.i + 1) END
+  FROM g LEFT JOIN nb ON nb.scheme = g.scheme AND nb.i = g.i + 1 WHERE g.i < (SELECT count(*) FROM v)),
+z AS (SELECT scheme, reps FROM g WHERE i = (SELECT count(*) FROM v)),
+o AS (SELECT z.scheme, v.id, CASE WHEN list_contains(z.reps, v.i) THEN v.i ELSE list_min(list_intersect(z.reps, nb.js)) END AS r FROM z CROSS JOIN v LEFT JOIN nb ON nb.scheme = z.scheme AND nb.i = v.i)
+SELECT o.scheme, o.id, v.id AS representative FROM o JOIN v ON v.i = o.r""")
 def greedy_clusters(spark, d):
     """Greedy clusters by the covering edges of both greedy schemes, longer ids' names first; tests hold it to the one-by-one form."""
     e = H.scheme_edges(hits(spark, d))
