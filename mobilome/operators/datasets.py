@@ -92,6 +92,20 @@ def family_purity(clustered: DataFrame, cluster: str, family: str, length: str,
     return largest.join(listed, cluster).select(cluster, "size", "min_length", "max_length", "n_families", "families", share.alias("top_share"), risk.alias("risk"))
 
 
+def cluster_lists(clustered: DataFrame, cluster: str, id_col: str, family: str, most: int = 1_000) -> DataFrame:
+    """(cluster, part, cluster_size, ids, families): the sorted ids and distinct families of every cluster, in lists of about ``most`` ids.
+
+    A cluster of more than ``most`` is several parts, dealt by the hash of the id, so no list grows with the cluster.
+    """
+    sizes = clustered.groupBy(F.col(cluster).alias("_c")).agg(F.count(F.lit(1)).alias("cluster_size"))
+    parts = F.ceil(F.col("cluster_size") / most)
+    part = F.pmod(F.conv(F.substr(F.md5(F.col(id_col).cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("long"), parts)
+    joined = clustered.join(sizes, F.col(cluster).eqNullSafe(F.col("_c"))).withColumn("part", part)
+    return joined.groupBy(cluster, "part").agg(
+        F.max("cluster_size").alias("cluster_size"), F.array_sort(F.collect_list(id_col)).alias("ids"), F.array_sort(F.collect_set(family)).alias("families")
+    )
+
+
 SPLITS = ("train", "val", "test")
 
 
@@ -181,17 +195,22 @@ def shared_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def stratified_split(rows: DataFrame, stratum: str, id_col: str, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: str = "42") -> DataFrame:
     """``rows`` with ``split`` by rank in MD5 order within the stratum against rounded cut-offs; test takes the rest.
 
-    Ranks come from one global order by stratum, less the sizes of the strata before, so a stratum
-    that holds a third of all rows is many ranges, not one task.
+    Only strata, orders and ids are ranked, in one global order by stratum, so a stratum that holds a third of all rows is many ranges,
+    not one task.  What is found are two orders a stratum, where train and val end; the rows are then told apart where they lie.
     """
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    placed = ranked(rows, [F.col(stratum), order, F.col(id_col)], "_place")
-    sizes = placed.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-    joined = placed.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
-    rank, n = F.col("_place") - F.col("_first") + 1, F.col("_n")
-    first, second = F.bround(n * F.lit(ratios[0])), F.bround(n * F.lit(ratios[1]))
-    split = F.when(rank <= first, "train").when(rank <= first + second, "val").otherwise("test")
-    return joined.withColumn("split", split).drop("_place", "_stratum", "_n", "_first")
+    order = F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("h"), F.col(id_col).alias("i"))
+    narrow = rows.select(F.col(stratum).alias("_stratum"), order.alias("_order"))
+    placed = ranked(narrow, [F.col("_stratum"), F.col("_order.h"), F.col("_order.i")], "_place")
+    sizes = placed.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    first, second = F.bround(F.col("_n") * F.lit(ratios[0])), F.bround(F.col("_n") * F.lit(ratios[1]))
+    ends = sizes.select(F.col("_stratum").alias("_s"), (F.col("_first") + first - 1).alias("_train"), (F.col("_first") + first + second - 1).alias("_val"))
+    # A cut-off of no rows lies before the stratum.
+    at = placed.join(ends, (F.col("_place") == F.col("_train")) | (F.col("_place") == F.col("_val")))
+    at = at.filter(F.col("_stratum").eqNullSafe(F.col("_s")))
+    cuts = at.groupBy("_s").agg(F.max(F.when(F.col("_place") == F.col("_train"), F.col("_order"))).alias("_train_to"), F.max(F.when(F.col("_place") == F.col("_val"), F.col("_order"))).alias("_val_to"))
+    joined = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_s")), "left")
+    split = F.when(order <= F.col("_train_to"), "train").when(order <= F.col("_val_to"), "val").otherwise("test")
+    return joined.withColumn("split", split).drop("_s", "_train_to", "_val_to")
 
 
 def quotas(share: DataFrame, total: int, key: str, weight: str) -> DataFrame:

@@ -79,7 +79,7 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def table_runner(tool: str, command: Sequence[str], schema: str, output: str, explicit: str | None = None, seconds: float = 3600) -> Runner:
+def table_runner(tool: str, command: Sequence[str], schema: str, output: str, explicit: str | None = None, seconds: float = 3600, strict: bool = True) -> Runner:
     """A runner for a program that writes a tab-separated table without a header.
 
     In ``command``, {tool}, {queries} and {output} stand for the executable and the two files.
@@ -90,12 +90,12 @@ def table_runner(tool: str, command: Sequence[str], schema: str, output: str, ex
         words = {"tool": resolve(tool, explicit), "queries": f"{folder}/queries.fa", "output": f"{folder}/{output}"}
         call(tool, [c.format(**words) for c in command], folder, seconds)
         rows = [line.split("\t") for line in Path(folder, output).read_text().splitlines() if line.strip()]
-        return _typed([r for r in rows if len(r) >= len(names)], names, schema)
+        return _typed(tool, command, rows, names, schema, strict)
 
     return run
 
 
-def profile_runner(database: str, explicit: str | None = None, tool: str = "hmmsearch", seconds: float = 3600, threads: int = 1) -> Runner:
+def profile_runner(database: str, explicit: str | None = None, tool: str = "hmmsearch", seconds: float = 3600, threads: int = 1, strict: bool = True) -> Runner:
     """A runner for a profile search that writes a table split by white space, # lines being comments."""
     names = _names(PROFILE_HITS)
 
@@ -103,35 +103,38 @@ def profile_runner(database: str, explicit: str | None = None, tool: str = "hmms
         out = f"{folder}/hits.tbl"
         call(tool, [resolve(tool, explicit), "--noali", "--cpu", str(threads), "--tblout", out, database, f"{folder}/queries.fa"], folder, seconds)
         rows = [line.split() for line in Path(out).read_text().splitlines() if line.strip() and not line.startswith("#")]
-        return _typed([[r[i] for i in (0, 2, 4, 5, 7, 8)] for r in rows if len(r) > 8], names, PROFILE_HITS)
+        picked = [[r[i] for i in (0, 2, 4, 5, 7, 8)] if len(r) > 8 else r[:1] for r in rows]
+        return _typed(tool, [tool, database], picked, names, PROFILE_HITS, strict)
 
     return run
 
 
-def _typed(rows: list[list[str]], names: list[str], schema: str) -> pd.DataFrame:
-    """Rows as a frame of the schema's types; rows that are not of them are left out."""
-    kinds = [c.split()[1] for c in schema.split(", ")]
-    cast = {"string": str, "int": int, "double": float}
+def _typed(tool: str, command: Sequence[str], rows: list[list[str]], names: list[str], schema: str, strict: bool) -> pd.DataFrame:
+    """Rows as a frame of the schema's types; a row that is not of them is an error, or is left out if ``strict`` is off."""
+    kinds = [{"string": str, "int": int, "double": float}[c.split()[1]] for c in schema.split(", ")]
     out = []
     for r in rows:
         try:
-            out.append([cast[k](x) for k, x in zip(kinds, r)])
-        except ValueError:
-            continue
+            if len(r) < len(names):
+                raise ValueError(f"{len(r)} columns")
+            out.append([kind(x) for kind, x in zip(kinds, r)])
+        except ValueError as e:
+            if strict:
+                raise ToolError(tool, f"a row that is not ({schema}): {' '.join(r)}", command) from e
     return pd.DataFrame(out, columns=names)
 
 
-def similarity_runner(database: str, explicit: str | None = None, tool: str = "mmseqs", sensitivity: float = 7.5, seconds: float = 3600) -> Runner:
+def similarity_runner(database: str, explicit: str | None = None, tool: str = "mmseqs", sensitivity: float = 7.5, seconds: float = 3600, strict: bool = True) -> Runner:
     """A runner for a sequence search against a database, with the eight usual columns."""
     command = ["{tool}", "easy-search", "{queries}", database, "{output}", "scratch", "-s", str(sensitivity), "--format-output", ",".join(_names(HITS))]
-    return table_runner(tool, command, HITS, "hits.tsv", explicit, seconds)
+    return table_runner(tool, command, HITS, "hits.tsv", explicit, seconds, strict)
 
 
-def blast_runner(database: str, explicit: str | None = None, tool: str = "blastp", seconds: float = 3600) -> Runner:
+def blast_runner(database: str, explicit: str | None = None, tool: str = "blastp", seconds: float = 3600, strict: bool = True) -> Runner:
     """A runner for a protein search with the best target of every query."""
     columns = "6 qseqid sseqid pident length qcovs evalue bitscore"
     command = ["{tool}", "-query", "{queries}", "-db", database, "-out", "{output}", "-max_target_seqs", "1", "-outfmt", columns]
-    return table_runner(tool, command, BLAST, "hits.tsv", explicit, seconds)
+    return table_runner(tool, command, BLAST, "hits.tsv", explicit, seconds, strict)
 
 
 def align_families(proteins: DataFrame, family: str, id_col: str, sequence: str, explicit: str | None = None, tool: str = "mafft", least: int = 3, seconds: float = 3600) -> DataFrame:

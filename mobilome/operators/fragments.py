@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mobilome.functions.decisions import NON_CANONICAL
 from mobilome.functions.sequence import direct_repeat_length, gc_fraction, inverted_repeat_length, primary_orf, random_dna
-from mobilome.operators.datasets import ranked
 
 # Lengths of direct repeats by family where the annotation gives none.
 DEFAULT_REPEAT = {
@@ -68,12 +67,15 @@ def fragment_classes(contexts: DataFrame, counts: dict[str, int] | None = None,
     """
     counts = CLASSES if counts is None else counts
     order = F.md5(F.concat_ws(":", F.lit(seed), "is_name"))
-    placed = ranked(contexts.withColumn("_order", order), [F.col("_order"), F.col("is_name")], "_place")
+    # As many names as the counts ask for, which are parameters, in their order; the contexts stay where they are.
+    names = contexts.select(F.col("is_name").alias("_name"), order.alias("_order")).orderBy("_order", "_name").limit(sum(counts.values()))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_order", "_name"))
     upto, kind = 0, None
     for name, n in counts.items():
         upto += n
         kind = F.when(F.col("_place") <= upto, name) if kind is None else kind.when(F.col("_place") <= upto, name)
-    return placed.withColumn("gold_truncation", kind).filter("gold_truncation IS NOT NULL").drop("_order", "_place")
+    chosen = names.withColumn("_place", place).select("_name", kind.alias("gold_truncation"))
+    return contexts.join(F.broadcast(chosen), F.col("is_name") == F.col("_name")).drop("_name")
 
 
 def cut_fragments(classed: DataFrame, seed: str = "42") -> DataFrame:

@@ -445,3 +445,30 @@ def stream_numbered(spark, d):
     source.repartition(4, "user_id").write.parquet(f"{root}/in")
     numbered(spark, f"{root}/in", source.schema, lambda b: b, ["user_id", "start", "event_id"], "element_%08d", f"{root}/out", f"{root}/check").awaitTermination()
     return spark.read.option("basePath", f"{root}/out/rows").parquet(f"{root}/out/rows").select("element_id")
+
+
+@query("""
+WITH c AS (SELECT o_custkey % 50 AS cluster, o_orderkey AS id, o_orderstatus AS family FROM orders), s AS (SELECT cluster, count(*) AS cluster_size FROM c GROUP BY 1),
+p AS (SELECT c.*, cluster_size, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % CAST(ceil(cluster_size / 100) AS BIGINT) AS part FROM c JOIN s USING (cluster))
+SELECT CAST(cluster AS BIGINT) AS cluster, part, max(cluster_size) AS cluster_size, array_to_string(list_sort(list(id)), ',') AS ids, array_to_string(list_sort(list(DISTINCT family)), ',') AS families FROM p GROUP BY cluster, part""")
+def cluster_lists(spark, d):
+    """Ids and families of every cluster, in lists of bounded length."""
+    c = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("cluster"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("family"))
+    found = datasets.cluster_lists(c, "cluster", "id", "family", 100)
+    return found.select(F.col("cluster").cast("long").alias("cluster"), "part", "cluster_size", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.array_join("families", ",").alias("families"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings)
+SELECT vec_id AS seq_id, label, CAST(i AS BIGINT) AS embedding_idx, round(CAST(embedding[1] AS DOUBLE), 4) AS first, round(CAST(embedding[len(embedding)] AS DOUBLE), 4) AS last FROM v WHERE vec_id % 3 <> 0""")
+def embedding_metadata(spark, d):
+    """Rows of a matrix, known by their place, met with the metadata of the sequences that an index names."""
+    from mobilome.sources import artifacts
+
+    v = datasets.ranked(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), [F.col("vec_id")], "place")
+    matrix = v.select((F.col("place") - 1).alias("row"), F.col("embedding").alias("vector"))
+    index = v.select(F.col("vec_id").alias("seq_id"), (F.col("place") - 1).cast("long").alias("embedding_idx"))
+    metadata = v.filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("seq_id"), "label")
+    met = artifacts.with_metadata(matrix, index, metadata).join(index.withColumnRenamed("seq_id", "s"), F.col("seq_id") == F.col("s"))
+    ends = [F.round(F.element_at("vector", at).cast("double"), 4).alias(n) for at, n in ((1, "first"), (-1, "last"))]
+    return met.select("seq_id", "label", "embedding_idx", *ends)

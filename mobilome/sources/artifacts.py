@@ -85,6 +85,15 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, row long, vector array<float>")
 
 
+def with_metadata(matrix: DataFrame, index: DataFrame, metadata: DataFrame, place: str = "embedding_idx", key: str = "seq_id") -> DataFrame:
+    """``metadata`` with the ``vector`` of each key, as an index (``key``, ``place``) says which row of ``read_matrix`` it is.
+
+    Keys without a row, and rows without a key, are left out; a key that the index has twice comes twice.
+    """
+    placed = index.select(F.col(key).alias("_key"), F.col(place).cast("long").alias("_row")).join(matrix.select(F.col("row").alias("_at"), "vector"), F.col("_row") == F.col("_at"))
+    return metadata.join(placed, F.col(key) == F.col("_key")).drop("_key", "_row", "_at")
+
+
 def _content(spark: SparkSession, path: str) -> bytes:
     found = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MOST_BYTES).select("content").take(1)
     if not found:

@@ -383,8 +383,10 @@ def tools(tmp_path):
 
 def test_programs(spark, tools):
     p = spark.createDataFrame([(f"p{i}", "MKV" * i) for i in range(12)], "id string, s string").repartition(3)
-    hits = external.search(p, "id", "s", external.similarity_runner("db", tools["mmseqs"]), external.HITS).collect()
+    hits = external.search(p, "id", "s", external.similarity_runner("db", tools["mmseqs"], strict=False), external.HITS).collect()
     assert sorted(r.query for r in hits) == sorted(f"p{i}" for i in range(1, 12)) and all(r.fident == 0.9 and r.alnlen == 50 for r in hits)
+    with pytest.raises(Exception, match="a row that is not .*: bad line"):
+        external.search(p, "id", "s", external.similarity_runner("db", tools["mmseqs"]), external.HITS).collect()
     assert external.search(p, "id", "s", external.blast_runner("db", tools["blastp"]), external.BLAST).count() == 11
     found = external.search(p, "id", "s", external.profile_runner("lib", tools["hmmsearch"]), external.PROFILE_HITS).collect()
     assert len(found) == 11 and found[0].profile == "Tpase_IS3" and found[0].bits == 99.5 and found[0].domain_bits == 98.5
@@ -410,6 +412,15 @@ def test_programs_that_fail(spark, tools):
 # --- artifacts
 
 
+def test_matrix_rows_meet_their_metadata(spark, tmp_path):
+    m = np.arange(8, dtype=np.float32).reshape(4, 2)
+    np.save(tmp_path / "m.npy", m)
+    index = spark.createDataFrame([("a", 3), ("b", 0), ("c", 9), (None, 1)], "seq_id string, embedding_idx int")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("x", 1), (None, 0)], "seq_id string, y int")
+    got = {r.seq_id: (r.y, r.vector) for r in artifacts.with_metadata(artifacts.read_matrix(spark, f"{tmp_path}/m.npy"), index, labels).collect()}
+    assert got == {"a": (1, m[3].tolist()), "b": (0, m[0].tolist())}
+
+
 def test_artifacts(spark, tmp_path):
     m = np.arange(12, dtype=np.float32).reshape(4, 3)
     np.save(tmp_path / "m.npy", m)
