@@ -9,6 +9,7 @@ before are taken from a table of bounded size.
 Defined results: a very long text is encoded whole, by itself; a null text counts as empty and gives no ids and an empty
 decoded text; special strings inside a text become their single id; a null id
 or a repeated row is passed on as it is; an empty table gives an empty result.
+Of pairs with equal rank the leftmost is merged first.  Other columns than the id and the text, whatever their names, are not read.
 """
 
 from __future__ import annotations

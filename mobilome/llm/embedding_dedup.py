@@ -19,7 +19,8 @@ Defined results: a vector whose label is null, or that is null, empty, zero or
 holds a null or non-finite component, links with nothing; vectors of unequal
 length never link, and length is bounded by the d x d moments alone; equal rows count as other vectors of each other; null ids
 are never a ``component_id`` unless the component has no other; an empty table
-gives an empty result.
+gives an empty result.  A cosine of exactly the threshold is a link; of equal vectors the smallest id stands for all.  Other columns than the three
+named, whatever their names, are not read.
 """
 
 from __future__ import annotations

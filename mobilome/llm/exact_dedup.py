@@ -11,7 +11,7 @@ aggregated by their whole normalised text within each partition before any shuff
 Defined results: a null text is empty; empty texts are equal to each other; very long texts are compared whole; a
 null id loses every tie and can be ``keep_id`` only if all ids of the group are
 null; rows repeated with one id share their verdict; an empty table gives an
-empty result.
+empty result.  Of texts with equally many code points the smallest id stays.  Other columns than the id and the text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ the driver, whatever the size of the corpus.
 
 Defined results: a null text counts as empty and has no spans; very long texts and numbers are
 read whole, in time that grows with their length; positions are code points, ends exclusive; a null id or a repeated row is passed on as it is;
-an empty table gives an empty result.
+an empty table gives an empty result.  Spans that the method adds never overlap base ones, which always stay; candidates with equal votes are decided
+alike.  Other columns than the id and the text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Defined results: lines without a word are left out; very long texts are scored w
 none and get the score of a document half good; a null id is never held out; a
 document with contradicting labels is not learnt from; with no usable label of
 either class every score is 0.5; a repeated row is scored alike; an empty table
-gives an empty result.
+gives an empty result.  Of documents with equal hashes the smaller id is sampled first, of rows with one id the least text.  Other columns than the id
+and the text, whatever their names, are not read; names that clash with those used inside are none of them.
+A document of more than a twentieth of the sample's characters is never learnt from, but scored.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ Defined results: a null text is empty; a text without words has fingerprint
 zero and is linked like any other; with fewer words than a shingle has, the whole sequence is
 the one shingle; very long texts are hashed whole, SLAB shingles at a time; null ids are never a ``component_id``
 unless the component has no other; repeated rows are answered alike; an empty table gives an empty result.
+A bit that exactly half of the hashes set is 0; of a component the smallest id stands for all.  Other columns than the id and the text, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ all vocabularies, so that a range holds about BUCKET_WORDS of their entries at a
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a very long text is read whole and closes its block; special
 strings inside a text count as the one token that the library makes of them; a
 null id or a repeated row is passed on as it is; an empty table gives an empty
-result.
+result.  Counts have no ties.  Other columns than the id and the text, whatever their names, are not read.
 """
 
 from __future__ import annotations

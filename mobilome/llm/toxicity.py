@@ -10,7 +10,9 @@ It is fitted to a bounded sample, at most PER_CLASS documents and MOST_CHARS cha
 Defined results: null and empty texts have no sentence and score 0; very long texts are scored whole; a null id is
 never held out; a document with contradicting labels is not learnt from; with no
 usable label of either class every score is 0; a repeated row is scored alike; an
-empty table gives an empty result.
+empty table gives an empty result.  Of documents with equal hashes the smaller id is sampled first, of rows with one id the least
+text.  Other columns than the id and the text, whatever their names, are not read.
+A document of more than a twentieth of the sample's characters is never learnt from, but scored.
 """
 
 from __future__ import annotations
