@@ -5,6 +5,10 @@ each result as Parquet to the shared folder and hands the table on.  All stages
 but the last return the columns of ``documents``.  Stages that decide between
 rows number them first and decide by row, so that of several rows with one id,
 null or not, each has its own verdict; of equal rows one is kept.
+
+Defined results: null and empty texts are scored like others and are copies of each other; very long texts are read whole; ties go to the
+smaller id, null ids last; an empty table gives empty results; columns of ``documents`` other than its five are dropped by
+the first stage, so names that clash with those used inside have no effect.
 """
 
 from __future__ import annotations
