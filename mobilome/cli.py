@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilome.functions import sequence as S
-from mobilome.operators import datasets, evaluation, external, filters, fragments, intervals, learning, metrics, models, scan, screening
+from mobilome.operators import alignment, datasets, evaluation, external, filters, fragments, intervals, learning, metrics, models, profiles, scan, screening
+from mobilome.operators import genes as gene_models
 from mobilome.operators import hits as H
 from mobilome.operators.boundaries import predict_boundaries
 from mobilome.sources import artifacts, fasta, tables
@@ -78,10 +79,12 @@ def deduplicate(spark, a):
     _write(g.filter("is_representative").drop("is_representative", "representative"), a.out)
 
 
-@command("cluster", _opt("--input"), _opt("--hits"), _opt("--id", "tpase_id"), _opt("--length", "protein_length"), _opt("--scheme", "A"), OUT)
+@command("cluster", _opt("--input"), _opt("--hits", "", help="hits of all against all; without them the sequences are searched here"), _opt("--sequence", "protein_sequence"), _opt("--id", "tpase_id"), _opt("--length", "protein_length"), _opt("--scheme", "A"), OUT)
 def cluster(spark, a):
     """Clusters of sequences by the hits of a scheme: connected for A, B and C, greedy for D and E."""
-    rows, edges = spark.read.parquet(a.input), H.scheme_edges(tables.read_hits(spark, a.hits)).filter(F.col("scheme") == a.scheme)
+    rows = spark.read.parquet(a.input)
+    hits = tables.read_hits(spark, a.hits) if a.hits else materialize(alignment.search(rows, rows, a.id, a.sequence), "hits")
+    edges = H.scheme_edges(hits).filter(F.col("scheme") == a.scheme)
     edges = edges.select(F.col("query").alias("src"), F.col("target").alias("dst"))
     if a.scheme in ("D", "E"):
         place = datasets.ranked(rows.select(a.id, a.length), [F.col(a.length).desc(), F.col(a.id)], "_p")
@@ -167,6 +170,42 @@ def bench_hmmer(spark, a):
     _baseline(spark, a, external.profile_runner(a.database, a.program), external.PROFILE_HITS, lambda h: h.select("query", F.col("profile").alias("target"), F.lit(0.0).alias("fident"), F.lit(0.0).alias("qcov"), "evalue", "bits"))
 
 
+@command("search", _opt("--queries"), _opt("--targets"), _opt("--id", "tpase_id"), _opt("--sequence", "protein_sequence"), _opt("--expected", 1e-3, float), OUT)
+def search(spark, a):
+    """Hits of one set of sequences against another, by alignment, as the eight usual columns."""
+    q, t = spark.read.parquet(a.queries), spark.read.parquet(a.targets)
+    found = alignment.search(q, t, a.id, a.sequence, most_expected=a.expected)
+    with artifacts.fresh(spark, a.out):
+        tables.write_tsv(found.select("query", "target", "fident", "alnlen", "qcov", "tcov", "evalue", "bits"), a.out)
+
+
+@command("build-profiles", _opt("--input"), _opt("--family", "family"), _opt("--id", "tpase_id"), _opt("--sequence", "protein_sequence"), _opt("--least", 3, int), _opt("--sub-identity", 0.0, float), OUT)
+def build_profiles(spark, a):
+    """Profile models of all families, or of the parts of families that are connected at an identity."""
+    rows, family = spark.read.parquet(a.input), a.family
+    if a.sub_identity:
+        rows, family = profiles.sub_families(rows, a.family, a.id, a.sequence, a.sub_identity), "sub_family"
+    _write(profiles.profile_models(rows, family, a.id, a.sequence, a.least), a.out)
+
+
+@command("bench-search", _opt("--input"), _opt("--train"), _opt("--id", "tpase_id"), OUT)
+def bench_search(spark, a):
+    """Best hits of the alignment search against the training sequences as predictions."""
+    q = spark.read.parquet(a.input)
+    train = spark.read.parquet(a.train).select(F.col(a.id).alias("id"), F.col("protein_sequence").alias("sequence"))
+    hits = alignment.search(q.select(F.col("seq_id").alias("id"), F.col("protein_sequence").alias("sequence")), train, most_expected=10.0)
+    _write(H.predictions(q, alignment.best_hits(hits).withColumn("line_no", F.lit(0))), a.out)
+
+
+@command("bench-profiles", _opt("--input"), _opt("--profiles"), OUT)
+def bench_profiles(spark, a):
+    """Best family models as predictions; profiles have no identity."""
+    q = spark.read.parquet(a.input)
+    best = profiles.best_family(profiles.profile_search(q, spark.read.parquet(a.profiles), "seq_id", "protein_sequence"))
+    none = F.lit(0.0)
+    _write(H.predictions(q, best.select("query", F.col("family").alias("target"), none.alias("fident"), none.alias("qcov"), "evalue", "bits", F.lit(0).alias("line_no"))), a.out)
+
+
 @command("bench-embeddings", _opt("--train"), _opt("--test"), _opt("--model", "linear"), OUT)
 def bench_embeddings(spark, a):
     """Scores of test embeddings by a model fitted to training embeddings: linear, or one hidden layer."""
@@ -224,11 +263,16 @@ def eval_boundaries(spark, a):
 # --- scans
 
 
+def _profile_hits(spark, models: str, genes: DataFrame) -> DataFrame:
+    found = profiles.best_family(profiles.profile_search(genes, spark.read.parquet(models), "gene_id", "protein"))
+    return materialize(found.select(F.col("query").alias("gene_id"), "family", "bits", "evalue"), "profile-hits")
+
+
 def _scan(spark, a, edges: bool) -> None:
     c = fasta.read_fasta(spark, a.input).select(F.col("id").alias("contig_id"), "sequence").filter(F.length("sequence") >= a.min_length)
-    genes = materialize(scan.find_genes(c), "genes")
+    genes = materialize(gene_models.predict_genes(c) if a.profiles else scan.find_genes(c), "genes")
     found = external.search(genes, "gene_id", "protein", external.profile_runner(a.database, a.program), external.PROFILE_HITS) if a.database else None
-    hits_ = found.select(F.col("query").alias("gene_id"), S.strip_model_prefix(F.col("profile")).alias("family"), "bits", "evalue") if found is not None else tables.read_tsv(spark, a.hits, "gene_id string, family string, bits double, evalue double")
+    hits_ = found.select(F.col("query").alias("gene_id"), S.strip_model_prefix(F.col("profile")).alias("family"), "bits", "evalue") if found is not None else _profile_hits(spark, a.profiles, genes) if a.profiles else tables.read_tsv(spark, a.hits, "gene_id string, family string, bits double, evalue double")
     elements = scan.annotate(c, genes, hits_, a.engine, "first" if edges else "best", a.min_bits, edges=edges)
     with artifacts.fresh(spark, a.out):
         elements.write.parquet(f"{a.out}/elements")
@@ -241,7 +285,7 @@ def _scan(spark, a, edges: bool) -> None:
 
 SCAN = (
     _opt("--input"), _opt("--hits", "", help="profile hits as a table of gene_id, family, bits and evalue"), _opt("--database", "", help="profile library, searched on the executors"),
-    _opt("--program", "hmmsearch"), _opt("--engine", "plan_a"), _opt("--min-bits", 10.6, float), OUT,
+    _opt("--profiles", "", help="models of build-profiles; genes are found by a trained model then"), _opt("--program", "hmmsearch"), _opt("--engine", "plan_a"), _opt("--min-bits", 10.6, float), OUT,
 )
 
 

@@ -371,7 +371,8 @@ def tools(tmp_path):
 
     read = "ids = [l[1:].split()[0] for l in open([a for a in sys.argv if a.endswith('queries.fa')][0]) if l[0] == '>']\n"
     return {
-        "mmseqs": put("mmseqs", read + "open([a for a in sys.argv if a.endswith('hits.tsv')][0], 'w').write(''.join(f'{i}\\tt\\t0.9\\t50\\t0.8\\t0.7\\t1e-9\\t{len(i)}\\n' for i in ids) + 'bad line\\n')"),
+        "mmseqs": put("mmseqs", read + "open([a for a in sys.argv if a.endswith('hits.tsv')][0], 'w').write(''.join(f'{i}\\tt\\t0.9\\t50\\t0.8\\t0.7\\t1e-9\\t{len(i)}\\n' for i in ids))"),
+        "mmseqs_odd": put("mmseqs_odd", read + "open([a for a in sys.argv if a.endswith('hits.tsv')][0], 'w').write(''.join(f'{i}\\tt\\t0.9\\t50\\t0.8\\t0.7\\t1e-9\\t{len(i)}\\n' for i in ids) + 'bad line\\n')"),
         "blastp": put("blastp", read + "open([a for a in sys.argv if a.endswith('hits.tsv')][0], 'w').write(''.join(f'{i}\\tt\\t90.0\\t50\\t80\\t1e-9\\t77\\n' for i in ids))"),
         "hmmsearch": put("hmmsearch", read + "open(sys.argv[sys.argv.index('--tblout') + 1], 'w').write('# c\\n' + ''.join(f'{i} - Tpase_IS3 PF 1e-20 99.5 0 1e-19 98.5 0 1 1 1 1 1 1 1 1 x\\n' for i in ids))"),
         "mafft": put("mafft", "for l in open(sys.argv[-1]):\n    print(l.rstrip() if l[0] == '>' else l.rstrip().ljust(9, '-'))"),
@@ -383,10 +384,10 @@ def tools(tmp_path):
 
 def test_programs(spark, tools):
     p = spark.createDataFrame([(f"p{i}", "MKV" * i) for i in range(12)], "id string, s string").repartition(3)
-    hits = external.search(p, "id", "s", external.similarity_runner("db", tools["mmseqs"], strict=False), external.HITS).collect()
+    hits = external.search(p, "id", "s", external.similarity_runner("db", tools["mmseqs_odd"], strict=False), external.HITS).collect()
     assert sorted(r.query for r in hits) == sorted(f"p{i}" for i in range(1, 12)) and all(r.fident == 0.9 and r.alnlen == 50 for r in hits)
     with pytest.raises(Exception, match="a row that is not .*: bad line"):
-        external.search(p, "id", "s", external.similarity_runner("db", tools["mmseqs"]), external.HITS).collect()
+        external.search(p, "id", "s", external.similarity_runner("db", tools["mmseqs_odd"]), external.HITS).collect()
     assert external.search(p, "id", "s", external.blast_runner("db", tools["blastp"]), external.BLAST).count() == 11
     found = external.search(p, "id", "s", external.profile_runner("lib", tools["hmmsearch"]), external.PROFILE_HITS).collect()
     assert len(found) == 11 and found[0].profile == "Tpase_IS3" and found[0].bits == 99.5 and found[0].domain_bits == 98.5
@@ -577,6 +578,37 @@ def test_commands_score_and_scan(spark, tmp_path, tools):
     assert spark.read.csv(f"{d}/boundaries/comparison", sep="\t", header=True).count() == 6
 
 
+def test_commands_search_without_programs(spark, tmp_path):
+    """Clusters, hits, models, predictions and a scan by the library's own search, models and gene finder."""
+    from mobilome.functions import gene_kernels as GK
+    from tests.test_alignment_search import mutated, protein
+
+    d, rng = str(tmp_path), random.Random(21)
+    bases = {f: protein(150, rng) for f in ("IS3", "IS5")}
+    rows = [(f"{f}_{i}", mutated(b, rng, 12, 1), 150, f) for f, b in bases.items() for i in range(5)]
+    spark.createDataFrame(rows, "tpase_id string, protein_sequence string, protein_length int, family string").write.parquet(f"{d}/t")
+    cli.main(["cluster", "--input", f"{d}/t", "--out", f"{d}/c"], spark)
+    assert sorted(r["count"] for r in spark.read.parquet(f"{d}/c").groupBy("cluster_id").count().collect()) == [5, 5]
+    cli.main(["search", "--queries", f"{d}/t", "--targets", f"{d}/t", "--out", f"{d}/hits"], spark)
+    assert spark.read.csv(f"{d}/hits", sep="\t", header=True).count() in (49, 50)
+    cli.main(["build-profiles", "--input", f"{d}/t", "--out", f"{d}/p"], spark)
+    cli.main(["build-profiles", "--input", f"{d}/t", "--sub-identity", "0.4", "--out", f"{d}/sub"], spark)
+    assert {r.family for r in spark.read.parquet(f"{d}/p").collect()} == {"IS3", "IS5"} and spark.read.parquet(f"{d}/sub").count() == 2
+    q = [(f"q{i}", mutated(b, rng, 30, 1)) for i, b in enumerate(bases.values())] + [("no", protein(150, rng))]
+    spark.createDataFrame(q, "seq_id string, protein_sequence string").write.parquet(f"{d}/q")
+    cli.main(["bench-search", "--input", f"{d}/q", "--train", f"{d}/t", "--out", f"{d}/bs"], spark)
+    cli.main(["bench-profiles", "--input", f"{d}/q", "--profiles", f"{d}/p", "--out", f"{d}/bp"], spark)
+    for name in ("bs", "bp"):
+        got = {r.seq_id: (r.target_id, r.score) for r in spark.read.parquet(f"{d}/{name}").collect()}
+        assert got["q0"][0].startswith("IS3") and got["q1"][0].startswith("IS5") and got["q0"][1] > max(30, got["no"][1])
+    codon = {r: "".join("TCAG"[x] for x in divmod(i // 4, 4)) + "TCAG"[i % 4] for i, r in enumerate(GK.CODE)}
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    others = [("", protein(200, rng)) for _ in range(40)]  # a coding model needs genes to learn from
+    (tmp_path / "g.fa").write_text("".join(f">c{i}\n{dna(400)}ATG{''.join(codon[r] for r in s)}TAA{dna(400)}\n" for i, (_, s) in enumerate(q + others)))
+    cli.main(["scan-metagenome", "--input", f"{d}/g.fa", "--profiles", f"{d}/p", "--out", f"{d}/scan"], spark)
+    assert {(r.contig_id, r.family) for r in spark.read.parquet(f"{d}/scan/elements").collect()} == {("c0", "IS3"), ("c1", "IS5")}
+
+
 def test_commands_screen_proteins(spark, tmp_path):
     d = str(tmp_path)
     (tmp_path / "p.fa").write_text("".join(f">p{i}\n{'MKVDEDL' * (8 + i)}\n" for i in range(6)))
