@@ -330,3 +330,21 @@ def summary_file(spark, d):
     read = spark.read.schema("total long, status struct<F: long, X: long>").json(at)
     digest = artifacts.file_sha256(spark, f"{other}/part-*").select(F.col("sha256").alias("inputs"))
     return read.select("total", F.col("status.F").alias("f"), F.col("status.X").alias("x")).crossJoin(digest)  # one row each
+
+
+@query(f"""
+WITH s AS (SELECT 'c' || doc_id AS contig_id, {SQL_DNA} AS seq FROM documents)
+SELECT contig_id, CAST(ceil(length(seq) / 4000) AS BIGINT) AS tiles, CAST(length(seq) AS BIGINT) AS bases, CAST(length(regexp_replace(seq, '[^GC]', '', 'g')) AS BIGINT) AS gc, sha256(seq) AS sha256 FROM s WHERE seq <> ''""")
+def tiled_contigs(spark, d):
+    """Contigs written in lines and read as overlapping tiles: what the tiles own is each contig, once."""
+    from mobilome.sources import tiles
+
+    c = texts(spark, d).select(F.concat(F.lit("c"), F.col("doc_id")).alias("contig_id"), dna(F.col("text")).alias("sequence"))
+    at = _place(spark, "tiles")
+    fasta.write_fasta(c, at, "contig_id", "sequence", width=70)
+    own = F.substring(F.col("sequence"), (F.col("own_start") - F.col("start") + 1).cast("int"), (F.col("own_end") - F.col("own_start")).cast("int"))
+    t = tiles.read_tiles(spark, at, 4_000, 500).select("contig_id", "tile", own.alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "own"))), lambda x: x["own"]), "")
+    return t.groupBy("contig_id").agg(
+        F.count(F.lit(1)).alias("tiles"), F.sum(F.length("own")).alias("bases"), F.sum(F.length(F.regexp_replace("own", "[^GC]", ""))).alias("gc"), F.sha2(whole, 256).alias("sha256")
+    )
