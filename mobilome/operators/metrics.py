@@ -31,11 +31,13 @@ def curve(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score, descending: cumulative true and false positives, precision, recall and FDR.
 
     Distinct scores can be as many as rows, so they are summed by ranges: within a range by a window, and
-    over the ranges before by one number each.
+    over the ranges before by one number each.  The scores' counts are written once, before ranges, sizes and sums read them.
+    What several measures share is ``written_curve``.
     """
     steps = rows.groupBy(F.col(score).alias("threshold")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg")
     )
+    steps = materialize(steps, "curve-steps")
     steps = steps.withColumn("_part", _parts(steps, "threshold"))
     sizes = steps.groupBy("_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above, whole = Window.partitionBy(F.lit(0)).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
@@ -54,7 +56,12 @@ def curve(rows: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def fdr_threshold(rows: DataFrame, label: str, score: str, target: float, variant: str = "max_recall") -> DataFrame:
+def written_curve(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """``curve``, written, to be handed to the measures below as ``known``."""
+    return materialize(curve(rows, label, score), "curve")
+
+
+def fdr_threshold(rows: DataFrame, label: str, score: str, target: float, variant: str = "max_recall", known: DataFrame | None = None) -> DataFrame:
     """One row (threshold, recall, fdr) at which the false discovery rate is at most ``target``.
 
     "max_recall" takes the highest threshold of largest recall anywhere on the
@@ -62,7 +69,7 @@ def fdr_threshold(rows: DataFrame, label: str, score: str, target: float, varian
     score; "first_break" goes down from the top and stops before the first violation,
     with the top score as fallback.
     """
-    c = curve(rows, label, score)
+    c = known if known is not None else curve(rows, label, score)
     ok = F.col("fdr") <= target
     if variant == "first_break":
         broken = c.agg(F.max(F.when(~ok, F.col("threshold"))).alias("broken"))
@@ -78,23 +85,23 @@ def fdr_threshold(rows: DataFrame, label: str, score: str, target: float, varian
     )
 
 
-def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
+def average_precision(rows: DataFrame, label: str, score: str, known: DataFrame | None = None) -> DataFrame:
     """Sum of precision times the gain in recall."""
-    c = curve(rows, label, score)
+    c = known if known is not None else curve(rows, label, score)
     return c.agg(F.coalesce(F.sum(F.col("precision") * F.try_divide("pos", "positives")), F.lit(0.0)).alias("average_precision"))
 
 
-def pr_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
+def pr_auc(rows: DataFrame, label: str, score: str, known: DataFrame | None = None) -> DataFrame:
     """Trapezoids under precision over recall, from the point (0, 1); the point before a step is the step less its own counts."""
-    c = curve(rows, label, score)
+    c = known if known is not None else curve(rows, label, score)
     tp, n = F.col("tp") - F.col("pos"), F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
     r0, p0 = F.coalesce(F.try_divide(tp, F.col("positives")), F.lit(0.0)), F.coalesce(F.try_divide(tp, n), F.lit(1.0))
     return c.withColumn("area", (F.col("recall") - r0) * (F.col("precision") + p0) / 2).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("pr_auc"))
 
 
-def auroc(rows: DataFrame, label: str, score: str) -> DataFrame:
+def auroc(rows: DataFrame, label: str, score: str, known: DataFrame | None = None) -> DataFrame:
     """Chance that a positive outranks a negative, ties counted half; 0.5 without both classes."""
-    c = curve(rows, label, score)
+    c = known if known is not None else curve(rows, label, score)
     won = F.col("pos") * (F.col("negatives") - F.col("fp") + F.col("neg") / 2)
     return c.agg(F.coalesce(F.try_divide(F.sum(won), F.max(F.col("positives") * F.col("negatives"))), F.lit(0.5)).alias("auroc"))
 
@@ -156,15 +163,13 @@ def strata(rows: DataFrame, conditions: dict[str, Column], label: str) -> DataFr
 
 def overall_metrics(valid: DataFrame, test: DataFrame, label: str, score: str, targets: tuple[float, ...] = (0.01, 0.05, 0.10)) -> DataFrame:
     """AUROC and average precision on ``test``, and its recall at thresholds fixed on ``valid``: one row of scalars."""
-    out = auroc(test, label, score).crossJoin(average_precision(test, label, score))
+    on_test, on_valid = written_curve(test, label, score), written_curve(valid, label, score)
+    out = auroc(test, label, score, on_test).crossJoin(average_precision(test, label, score, on_test))
     for t in targets:
         name = f"{round(t * 100)}fdr"
-        at = fdr_threshold(valid, label, score, t).select(F.col("threshold").alias(f"threshold_{name}"))
-        seen = test.join(F.broadcast(at)).agg(
-            F.coalesce(
-                F.try_divide(F.count_if((F.col(label) == 1) & (F.col(score) >= F.col(f"threshold_{name}"))), F.count_if(F.col(label) == 1)), F.lit(0.0)
-            ).alias(f"recall_{name}")
-        )
+        at = fdr_threshold(valid, label, score, t, known=on_valid).select(F.col("threshold").alias(f"threshold_{name}"))
+        found = F.sum(F.when(F.col("threshold") >= F.col(f"threshold_{name}"), F.col("pos")))
+        seen = on_test.join(F.broadcast(at)).agg(F.coalesce(F.try_divide(found, F.max("positives")), F.lit(0.0)).alias(f"recall_{name}"))
         out = out.crossJoin(at).crossJoin(seen)
     return out
 

@@ -321,8 +321,10 @@ SELECT 'max_recall' AS variant, round(coalesce((SELECT t FROM m), 'Infinity'::DO
 UNION ALL SELECT 'max_recall_or_top', round(coalesce((SELECT t FROM m), (SELECT max(t) FROM c)), 6), round(coalesce((SELECT r FROM m), 0), 6), round(coalesce((SELECT f FROM m), 0), 6)
 UNION ALL SELECT 'first_break', round(coalesce((SELECT t FROM k), (SELECT max(t) FROM c)), 6), round(coalesce((SELECT r FROM k), 0), 6), round(coalesce((SELECT f FROM k), 0), 6)""")
 def fdr_threshold(spark, d):
+    rows = _labelled(spark, d)
+    known = metrics.written_curve(rows, "y", "score")
     parts = [
-        metrics.fdr_threshold(_labelled(spark, d), "y", "score", 0.14, v).select(F.lit(v).alias("variant"), r("threshold").alias("threshold"), r("recall").alias("recall"), r("fdr").alias("fdr"))
+        metrics.fdr_threshold(rows, "y", "score", 0.14, v, known).select(F.lit(v).alias("variant"), r("threshold").alias("threshold"), r("recall").alias("recall"), r("fdr").alias("fdr"))
         for v in ("max_recall", "max_recall_or_top", "first_break")
     ]
     return parts[0].union(parts[1]).union(parts[2])
