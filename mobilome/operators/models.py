@@ -159,9 +159,14 @@ class HiddenLayer:
     def __init__(self, hidden: int = 256, dropout: float = 0.2, rate: float = 1e-3, rounds: int = 30, batch: int = 64, seed: int = 42):
         self.hidden, self.dropout, self.rate, self.rounds, self.batch, self.seed = hidden, dropout, rate, rounds, batch, seed
 
+    def empty(self, width: int) -> HiddenLayer:
+        """The layers before any step."""
+        self.rng = rng = np.random.default_rng(self.seed)
+        self.layers = [Dense(rng, width, self.hidden), Gelu(), Dropout(self.dropout), Dense(rng, self.hidden, 1)]
+        return self
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> HiddenLayer:
-        rng = np.random.default_rng(self.seed)
-        self.layers = [Dense(rng, x.shape[1], self.hidden), Gelu(), Dropout(self.dropout), Dense(rng, self.hidden, 1)]
+        rng = self.empty(x.shape[1]).rng
         optimiser, positive = AdamW(self.layers, self.rate), (len(y) - y.sum()) / (y.sum() + 1e-5)
         for _ in range(self.rounds):
             order = rng.permutation(len(x))
@@ -215,15 +220,20 @@ class TwoHeads:
     seed: int = 42
     families: list[str] = field(default_factory=list)
 
+    def empty(self, width: int) -> TwoHeads:
+        """The layers before any step; ``families`` are known."""
+        self.rng = rng = np.random.default_rng(self.seed)
+        h = self.hidden
+        self.trunk = [Dense(rng, width, h), Normed(h), Gelu(), Dropout(self.dropout), Dense(rng, h, h // 2), Normed(h // 2), Gelu(), Dropout(self.dropout)]
+        self.heads = Dense(rng, h // 2, 1), Dense(rng, h // 2, max(1, len(self.families)))
+        return self
+
     def fit(self, x: np.ndarray, y: np.ndarray, family: Sequence[str | None]) -> TwoHeads:
         """Families are those of the positives; family loss counts positives alone; the rate falls along a cosine."""
-        rng = np.random.default_rng(self.seed)
         self.families = sorted({f for f, b in zip(family, y) if b == 1 and f})
         k, place = max(1, len(self.families)), {f: i for i, f in enumerate(self.families)}
         target = np.array([place.get(f, 0) for f in family])
-        h = self.hidden
-        self.trunk = [Dense(rng, x.shape[1], h), Normed(h), Gelu(), Dropout(self.dropout), Dense(rng, h, h // 2), Normed(h // 2), Gelu(), Dropout(self.dropout)]
-        self.heads = Dense(rng, h // 2, 1), Dense(rng, h // 2, k)
+        rng = self.empty(x.shape[1]).rng
         optimiser = AdamW([*self.trunk, *self.heads], self.rate)
         for t in range(self.rounds):
             order = rng.permutation(len(x))

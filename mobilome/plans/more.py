@@ -472,3 +472,13 @@ def embedding_metadata(spark, d):
     met = artifacts.with_metadata(matrix, index, metadata).join(index.withColumnRenamed("seq_id", "s"), F.col("seq_id") == F.col("s"))
     ends = [F.round(F.element_at("vector", at).cast("double"), 4).alias(n) for at, n in ((1, "first"), (-1, "last"))]
     return met.select("seq_id", "label", "embedding_idx", *ends)
+
+
+@query()
+def hidden_layer_cluster(spark, d):
+    """Scores of all vectors by a network that is fitted to all of them in the cluster; tests hold it to one machine's weights."""
+    from mobilome.operators import training
+
+    v = table(spark, d, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL").withColumn("y", (F.col("label") < 5).cast("int"))
+    net = training.fit_hidden_layer(v, "embedding", "y", "vec_id", rounds=3, batches=4, hidden=32, rate=0.01)
+    return models.score_vectors(v, "embedding", net, 64).select("vec_id", "y", r("score", 3).alias("score"))
