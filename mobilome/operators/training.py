@@ -102,7 +102,7 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 def _fit(data: DataFrame, loss, rounds: int, batches: int, optimiser: AdamW, shares: Sequence[float]) -> None:
     """Steps over written (h, x, y, target)."""
     context, step = data.sparkSession.sparkContext, 0
-    groups = max(1, math.isqrt(data.agg(F.count_distinct(F.spark_partition_id())).first()[0]))
+    groups = max(1, math.isqrt(data.select(F.spark_partition_id().alias("p")).distinct().count()))
     for t in range(rounds):
         turn = F.pmod(F.xxhash64("h", F.lit(t)), F.lit(batches))
         for b in range(batches):
