@@ -625,13 +625,56 @@ def tsd_search(spark, d):
     return boundaries.direct_repeats(contigs(spark, d), "seq", "ts", "te", ("doc_id",))
 
 
-@query()
+def _boundary_sql(up: int, down: int, most: int, k: int, keep: int, total: str, result: str) -> str:
+    """Ends by repeats: seeds, their growth on a budget of three mismatches, the kept ones, the direct repeat of each, and the best by ``total``."""
+    return f"""
+WITH {SQL_CONTIGS}, f AS (SELECT *, greatest(0, ts - {up}) AS a, substr(seq, greatest(0, ts - {up}) + 1, ts - greatest(0, ts - {up})) AS x, substr(seq, te + 1, least(n, te + {down}) - te) AS y FROM contigs),
+g AS (SELECT *, translate(y, 'ACGT', 'TGCA') AS yc FROM f WHERE least(length(x), length(y)) >= 8),
+lw AS (SELECT doc_id, u, word, row_number() OVER (PARTITION BY doc_id, word ORDER BY u) AS turn FROM (
+  SELECT doc_id, u, substr(x, u + 1, {k}) AS word FROM g, LATERAL (SELECT unnest(range(0, length(x) - {k - 1})) AS u)) WHERE length(replace(word, word[1], '')) > 0),
+rw AS (SELECT doc_id, d, reverse(substr(yc, d + 1, {k})) AS word FROM g, LATERAL (SELECT unnest(range(0, length(y) - {k - 1})) AS d)),
+sd AS (SELECT g.*, lw.u, rw.d FROM lw JOIN rw USING (doc_id, word) JOIN g USING (doc_id) WHERE lw.turn <= 4),
+o1 AS (SELECT *, least(u, length(y) - d - {k}, {most - k}) AS room FROM sd),
+o2 AS (SELECT *, list_filter(range(0, room), lambda i: x[u - i] <> yc[d + {k + 1} + i]) AS odd FROM o1),
+o3 AS (SELECT doc_id, a, ts, te, n, seq, x, yc, u, d, coalesce(odd[4], room) AS outward, least(3, len(odd)) AS bad FROM o2),
+i1 AS (SELECT *, least(length(x) - u - {k}, d, {most - k} - outward) AS room FROM o3),
+i2 AS (SELECT *, list_filter(range(0, room), lambda i: x[u + {k + 1} + i] <> yc[d - i]) AS odd FROM i1),
+i3 AS (SELECT *, {k} + outward + coalesce(odd[4 - bad], room) AS size, bad + least(3 - bad, len(odd)) AS wrong, a + u - outward AS first, te + d + {k} + outward AS last FROM i2),
+i4 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, first, last ORDER BY d, u) AS copy FROM i3 WHERE size >= 8),
+i5 AS (SELECT *, (size - wrong) / size AS share, (size - wrong) * 2.0::DOUBLE - wrong * 2.5::DOUBLE AS score FROM i4 WHERE copy = 1),
+li AS (SELECT doc_id, list([{{'first': first, 'last': last, 'size': size, 'wrong': wrong, 'score': score}}] ORDER BY score DESC, round(share, 3) * size DESC, d, u) AS found FROM i5 WHERE share >= 0.65 GROUP BY doc_id),
+kp AS (SELECT doc_id, list_reduce(found, lambda acc, c: CASE WHEN len(acc) < {keep} AND len(list_filter(acc, lambda o: abs(o.first - c[1].first) <= 3 AND abs(o.last - c[1].last) <= 3)) = 0 THEN list_concat(acc, c) ELSE acc END) AS kept FROM li),
+t AS (SELECT doc_id, place, kept[place].first AS first, kept[place].last AS last, kept[place].size AS size, kept[place].score AS score FROM kp, LATERAL (SELECT unnest(range(1, len(kept) + 1)) AS place)),
+m AS (SELECT unnest(range(-3, 4)) AS v), mv AS (SELECT p.v AS dl, q.v AS dr, unnest(range(2, 15)) AS w FROM m p CROSS JOIN m q),
+e1 AS (SELECT t.doc_id, place, dl, dr, w, first + dl AS l, last + dr AS r, substr(seq, CAST(first + dl - w + 1 AS BIGINT), w) AS p, substr(seq, CAST(last + dr + 1 AS BIGINT), w) AS q
+  FROM t JOIN contigs USING (doc_id) CROSS JOIN mv WHERE first + dl - 14 >= 0 AND last + dr + 14 <= n AND last + dr > first + dl),
+e2 AS (SELECT *, hamming(p, q) AS mm FROM e1), e3 AS (SELECT *, CASE WHEN mm = 0 THEN w * 2.5::DOUBLE WHEN mm = 1 AND w >= 6 THEN (w - 1) * 1.8::DOUBLE END - 1.5::DOUBLE * abs(dl) - 1.5::DOUBLE * abs(dr) AS s FROM e2),
+e4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, place ORDER BY s DESC, dl, dr, w) AS rn FROM e3 WHERE s > -1) WHERE rn = 1),
+j AS (SELECT t.*, coalesce(e4.l, first) AS l, coalesce(e4.r, last) AS r, e4.p AS tsd, coalesce(round_even(e4.s, 2), 0.0) AS ds, ts, te, n FROM t LEFT JOIN e4 USING (doc_id, place) JOIN contigs USING (doc_id) WHERE first <= ts AND last >= te),
+z AS (SELECT *, {total} AS total FROM j),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, place) AS rn FROM z) WHERE rn = 1)
+SELECT {result} FROM contigs c LEFT JOIN b USING (doc_id)"""
+
+
+def _distance_sql(away: str, low: int, high: int) -> str:
+    return f"(greatest(0, {low} - ({away})) * 0.1::DOUBLE + greatest(0, ({away}) - {high}) * 0.08::DOUBLE)"
+
+
+@query(_boundary_sql(
+    450, 400, 45, 6, 8, f"score + 2.2::DOUBLE * ds - ({_distance_sql('ts - first', 40, 300)} + {_distance_sql('last - te', 20, 250)})",
+    """doc_id, CAST(CASE WHEN total > 5 THEN l ELSE greatest(0, c.ts - 170) END AS INT) AS "start", CAST(CASE WHEN total > 5 THEN r ELSE least(c.n, c.te + 135) END AS INT) AS "end",
+  coalesce(total > 5 AND (least(0.98, greatest(0.40, total / 65.0)) >= 0.45 OR size >= 10 OR tsd IS NOT NULL), false) AS complete,
+  CASE WHEN total > 5 THEN CAST(printf('%.4f', least(0.98, greatest(0.40, total / 65.0))) AS DOUBLE) ELSE 0.25 END AS confidence, CAST(CASE WHEN total > 5 THEN size ELSE 0 END AS INT) AS tir_length,
+  CASE WHEN total > 5 THEN score ELSE 0.0 END AS tir_score, CASE WHEN total > 5 THEN coalesce(tsd, '') ELSE '' END AS tsd"""))
 def tir_search(spark, d):
     out = boundaries.predict_boundaries(contigs(spark, d), "seq", "ts", "te", "family", "plan_a", ("doc_id",))
-    return out.select("doc_id", "start", "end", "complete", "confidence", F.col("tir.length").alias("tir_length"), F.col("tir.score").alias("tir_score"), F.col("tsd.sequence").alias("tsd"))
+    return out.select("doc_id", "start", "end", "complete", "confidence", F.coalesce("tir.length", F.lit(0)).alias("tir_length"), F.coalesce("tir.score", F.lit(0.0)).alias("tir_score"), F.coalesce("tsd.sequence", F.lit("")).alias("tsd"))
 
 
-@query()
+@query(_boundary_sql(
+    500, 500, 50, 7, 6,
+    """0.50::DOUBLE * least(1.0, score / 45.0) + 0.35::DOUBLE * least(1.0, ds / 20.0) + CASE WHEN last - first BETWEEN 600 AND 3500 THEN 0.15::DOUBLE * 1.0 WHEN last - first BETWEEN 400 AND 6000 THEN 0.15::DOUBLE * 0.6 ELSE 0.15::DOUBLE * 0.2 END""",
+    """doc_id, CAST(coalesce(l, greatest(0, c.ts - 100)) AS INT) AS "start", CAST(coalesce(r, least(c.n, c.te + 80)) AS INT) AS "end", coalesce(total >= 0.5, false) AS complete, CAST(printf('%.4f', coalesce(total, 0.15)) AS DOUBLE) AS confidence"""))
 def canonical_boundaries(spark, d):
     out = boundaries.predict_boundaries(contigs(spark, d), "seq", "ts", "te", "family", "plan_b", ("doc_id",))
     return out.select("doc_id", "start", "end", "complete", "confidence")
