@@ -69,6 +69,22 @@ def negative_pools(spark, d):
     return filters.negative_pools(_described(spark, d), "description", "organism", "s").select("k", "pool")
 
 
+@query(ORACLE["negative_pools"].replace("SELECT k, CASE", "SELECT 'K' || k AS accession, CASE", 1))
+def stream_pools(spark, d):
+    """The pools again, from gzipped records that come a file a batch."""
+    from mobilome.storage import shared_dir
+    from mobilome.streaming.scans import stream_pools as pools
+
+    root = f"{shared_dir(spark)}/mobilome/{spark.sparkContext.applicationId}/pools-{uuid.uuid4().hex}"
+    k = F.col("k").cast("string")
+    header = F.concat(F.lit(">sp|K"), k, F.lit("|E"), k, F.lit(" "), F.coalesce("description", F.lit("")), F.lit(" OS="), F.coalesce("organism", F.lit("")), F.lit(" OX=1"))
+    lines = _described(spark, d).select(F.concat(header, F.lit("\n"), "s").alias("value"))
+    lines.repartition(5).write.option("compression", "gzip").text(f"{root}/in")
+    pools(spark, f"{root}/in", f"{root}/out", f"{root}/check").awaitTermination()
+    found = spark.read.schema("accession string, description string, organism string, sequence string, pool string").option("recursiveFileLookup", "true").parquet(f"{root}/out")
+    return found.select("accession", "pool")
+
+
 @query(f"""
 WITH {_DESCRIBED}
 SELECT k, CASE WHEN regexp_matches(description, '(?i)\\b({filters.CHALLENGE_EXCLUDED})\\b') THEN NULL {" ".join(f"WHEN regexp_matches(description, '(?i)" + chr(92) + f"b({w})" + chr(92) + f"b') THEN '{n}'" for n, w in filters.CHALLENGE_CLASSES)} END AS class FROM t""")

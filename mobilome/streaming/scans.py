@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def incremental(
     spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
-    fmt: str = "parquet", files_per_trigger: int = 1, pattern: str | None = None,
+    fmt: str = "parquet", files_per_trigger: int = 1, pattern: str | None = None, options: dict | None = None,
 ):
     """Apply ``work`` to new files as they come, a few at a time, and append to ``target``.
 
@@ -22,6 +22,7 @@ def incremental(
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    reader = reader.options(**(options or {}))
 
     def write(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
@@ -54,3 +55,21 @@ def numbered(
         placed.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{target}/counts/batch={number}")
 
     return reader.load(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_pools(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_trigger: int = 1, least: int = 80, most: int = 1500):
+    """Records of FASTA files, gzipped or not, as the files come: those fit for negatives, with accession, description, organism, sequence and ``pool``.
+
+    A file is never whole in memory; a batch is some files, and its rows are dealt over all cores after reading, because gzip files cannot be split.
+    """
+    from mobilome.operators.boundaries import spread
+    from mobilome.operators.filters import negative_pools
+    from mobilome.sources.fasta import records, uniprot_header
+
+    def work(batch: DataFrame) -> DataFrame:
+        raw = spread(batch.select(F.regexp_replace(F.make_valid_utf8("value"), r"^>", "").alias("r")))
+        found = records(raw, F.col("r")).withColumn("h", uniprot_header(F.col("description")))
+        named = found.select("h.accession", "h.description", "h.organism", "sequence")
+        return negative_pools(named, "description", "organism", "sequence", least, most)
+
+    return incremental(spark, source, "value string", work, target, checkpoint, "text", files_per_trigger, options={"lineSep": "\n>"})
