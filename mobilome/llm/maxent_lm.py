@@ -51,6 +51,8 @@ FREQUENT = CLASSES * SLOTS
 #: Rows of the weight table, as a power of two that 16 bits can hold.
 BITS = 16
 ROUNDS, BATCH, RATE = 2, 4_096, 0.15
+#: A weight is no further from 0 than this.
+MOST = 25.0
 #: A block is closed when its texts reach this many characters.
 BLOCK_CHARS = 24_000_000
 #: Entries of all vocabularies that one range of hashes holds on average.
@@ -266,17 +268,21 @@ class Model:
         self.mass = np.full(1 << BITS, 1e-8, np.float32) if mass is None else mass.astype(np.float32)
         self.touched = np.zeros(1 << BITS, np.int64)
 
-    def softmax(self, rows: list[np.ndarray], logits: np.ndarray, wanted: np.ndarray, train: bool) -> np.ndarray:
-        """Log chances of what is wanted; ``logits`` are biases and are used up."""
-        for r in rows:
+    def softmax(self, rows: list[np.ndarray], bias: np.ndarray, wanted: np.ndarray, train: bool) -> np.ndarray:
+        """Log chances of what is wanted; ``bias`` is one row for all or one for each.
+
+        Biases are at most 0, and the largest at least -log(SLOTS + TAILS); with weights within MOST of 0, no sum of exponentials overflows or vanishes.
+        """
+        logits = self.weights.take(rows[0], 0)
+        logits += bias
+        for r in rows[1:]:
             logits += self.weights.take(r, 0)
-        logits -= logits.max(1, keepdims=True)
         each = np.arange(len(wanted))
         own = logits[each, wanted]
         np.exp(logits, out=logits)
         total = logits.sum(1)
         if train:
-            logits /= total[:, None]
+            logits *= (1 / total)[:, None]
             logits[each, wanted] -= 1
             for r in rows:
                 self.update(r, logits)
@@ -290,14 +296,15 @@ class Model:
         self.touched[row] += np.diff(np.append(first, len(rows)))
         self.mass[row] += np.einsum("ij,ij->i", grad, grad) / SLOTS
         grad *= (-RATE / np.sqrt(self.mass[row]))[:, None]
-        self.weights[row] += grad
+        grad += self.weights.take(row, 0)
+        self.weights[row] = np.clip(grad, -MOST, MOST, out=grad)
 
     def batch(self, codes: np.ndarray, keys: list[np.ndarray], train: bool = False) -> np.ndarray:
         """Log chances of classes and of places in them (of rarer words: of the class alone)."""
         frequent = np.flatnonzero(codes < FREQUENT)
         kind = np.where(codes < FREQUENT, codes // SLOTS, codes.astype(np.int64) - FREQUENT + CLASSES)
         rows = [_row(k + 1) for k in keys]
-        chance = self.softmax(rows, np.repeat(self.counted.class_bias[None], len(codes), 0), kind, train).astype(np.float64)
+        chance = self.softmax(rows, self.counted.class_bias, kind, train).astype(np.float64)
         if len(frequent):
             own = kind[frequent]
             rows = [_row(k[frequent] + 1 + ((own + 1) << 42)) for k in keys[:2]]
