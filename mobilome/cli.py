@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilome.functions import sequence as S
-from mobilome.operators import alignment, datasets, evaluation, external, filters, fragments, intervals, learning, metrics, models, profiles, scan, screening
+from mobilome.operators import alignment, datasets, evaluation, external, filters, fragments, intervals, learning, metrics, models, multiple, profiles, scan, screening
 from mobilome.operators import genes as gene_models
 from mobilome.operators import hits as H
 from mobilome.operators.boundaries import predict_boundaries
@@ -188,6 +188,12 @@ def build_profiles(spark, a):
     _write(profiles.profile_models(rows, family, a.id, a.sequence, a.least), a.out)
 
 
+@command("align-families", _opt("--input"), _opt("--family", "family"), _opt("--id", "tpase_id"), _opt("--sequence", "protein_sequence"), OUT)
+def align_families(spark, a):
+    """Alignments of all families, level by level."""
+    _write(multiple.align_families(spark.read.parquet(a.input), a.family, a.id, a.sequence), a.out)
+
+
 @command("bench-search", _opt("--input"), _opt("--train"), _opt("--id", "tpase_id"), OUT)
 def bench_search(spark, a):
     """Best hits of the alignment search against the training sequences as predictions."""

@@ -198,3 +198,37 @@ def neighbours(word: str, least: int) -> list[str]:
     (left, score_left), (right, score_right) = halves
     out = [a + b for a, s in zip(left, score_left) for b in right[: int(np.searchsorted(-score_right, s - least, "right"))]]
     return out if word in out else [*out, word]
+
+
+def column_path(scores: np.ndarray, opening: float = OPEN, extending: float = EXTEND) -> tuple[np.ndarray, np.ndarray, float]:
+    """(rows, columns, score) of the best global path through a matrix of scores: the places that stand in one column, in order; gaps cost as in ``align_pairs``."""
+    n, m = scores.shape
+    slope = extending * np.arange(m + 1)
+    above = np.concatenate(([0.0], -opening - extending * np.arange(m)))
+    down = np.full(m + 1, float(_FAR))
+    trace = np.zeros((n + 1, m + 1), np.uint8)
+    trace[0, 1:] = 3 | 8
+    for i in range(1, n + 1):
+        goes_on = down - extending >= above - opening
+        down = np.where(goes_on, down - extending, above - opening)
+        here = down.copy()
+        diagonal = above[:-1] + scores[i - 1]
+        source = np.where(diagonal >= here[1:], 1, 2).astype(np.uint8)
+        here[1:] = np.maximum(diagonal, here[1:])
+        left = np.full(m + 1, float(_FAR))
+        left[1:] = np.maximum.accumulate(here + slope)[:-1] - opening + extending - slope[1:]
+        stays = np.zeros(m + 1, bool)
+        stays[2:] = left[1:-1] - extending >= here[1:-1] - opening - 1e-9
+        source[left[1:] > here[1:]] = 3
+        above = np.maximum(here, left)
+        trace[i, 1:], trace[i, 0] = source, 2
+        trace[i] |= 4 * goes_on.astype(np.uint8) | 8 * stays.astype(np.uint8)
+    found = _traced(trace, 0, n, m, False)
+    return found.q_at, found.t_at, float(above[m])
+
+
+def column_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of the columns of two groups: the mean score of their residue pairs, a gap against a residue being 0; a column is counts of 21 residues and of gaps."""
+    matrix = substitution_matrix()[:21, :21].astype(float)
+    x, y = a[:, :21] / a.sum(1, keepdims=True), b[:, :21] / b.sum(1, keepdims=True)
+    return x @ matrix @ y.T

@@ -149,3 +149,14 @@ def closed_split(spark, d):
     p = supplier_proteins(spark, d)
     found = closure.closed_split(p, "id", "sequence", "family", most_expected=1e-6)
     return found.groupBy(F.col("stratum").alias("family")).agg(F.count(F.lit(1)).alias("proteins"), F.count_distinct("split").cast("int").alias("parts"))
+
+
+@query(f"WITH {SQL_PROTEINS} SELECT CAST(id AS VARCHAR) AS id, CAST(family AS VARCHAR) AS family, sequence AS letters, true AS one_width FROM proteins")
+def family_alignments(spark, d):
+    """Alignments of all families: every row spells its protein, and all rows of a family have one width."""
+    from mobilome.operators import multiple
+
+    aligned = multiple.align_families(supplier_proteins(spark, d), "family", "id", "sequence")
+    widths = aligned.groupBy(F.col("family").alias("_f")).agg((F.min(F.length("aligned")) == F.max(F.length("aligned"))).alias("one_width"))
+    met = aligned.join(widths, F.col("family") == F.col("_f"))
+    return met.select("id", "family", F.regexp_replace("aligned", "-", "").alias("letters"), "one_width")

@@ -594,6 +594,8 @@ def test_commands_search_without_programs(spark, tmp_path):
     cli.main(["build-profiles", "--input", f"{d}/t", "--out", f"{d}/p"], spark)
     cli.main(["build-profiles", "--input", f"{d}/t", "--sub-identity", "0.4", "--out", f"{d}/sub"], spark)
     assert {r.family for r in spark.read.parquet(f"{d}/p").collect()} == {"IS3", "IS5"} and spark.read.parquet(f"{d}/sub").count() == 2
+    cli.main(["align-families", "--input", f"{d}/t", "--out", f"{d}/aligned"], spark)
+    assert len({(r.family, len(r.aligned)) for r in spark.read.parquet(f"{d}/aligned").collect()}) == 2
     q = [(f"q{i}", mutated(b, rng, 30, 1)) for i, b in enumerate(bases.values())] + [("no", protein(150, rng))]
     spark.createDataFrame(q, "seq_id string, protein_sequence string").write.parquet(f"{d}/q")
     cli.main(["bench-search", "--input", f"{d}/q", "--train", f"{d}/t", "--out", f"{d}/bs"], spark)
