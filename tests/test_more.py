@@ -632,6 +632,6 @@ def test_commands_screen_proteins(spark, tmp_path):
 
 
 def test_every_command_says_what_it_does(capsys):
-    assert len(cli.COMMANDS) == 24 and all(f.__doc__ for f, _ in cli.COMMANDS.values())
+    assert len(cli.COMMANDS) == 29 and all(f.__doc__ for f, _ in cli.COMMANDS.values())
     cli.main(["version"])
     assert capsys.readouterr().out.strip() == cli.VERSION
