@@ -42,11 +42,11 @@ from mobilome.llm.packing import packed, packed_texts, unpacked, unpacked_texts
 from mobilome.storage import materialize, shared_dir
 
 #: A block is closed when its texts reach this many characters, or its chunks this many.
-BLOCK_CHARS, BLOCK_CHUNKS = 32_000_000, 500_000
+BLOCK_CHARS, BLOCK_CHUNKS = 8_000_000, 100_000
 #: Characters of new chunks that are encoded in one call.
 CALL_CHARS = 200_000
-#: Characters read, and chunk occurrences answered, at a time.
-SLICE_CHARS, SLICE_CHUNKS = 2_000_000, 500_000
+#: Characters read, chunk occurrences answered, and rows turned into strings, at a time.
+SLICE_CHARS, SLICE_CHUNKS, SLICE_ROWS = 1_000_000, 200_000, 500
 #: Pairs that a shard of counts holds on average (16 bytes each).
 SHARD_PAIRS = 4_000_000
 
@@ -251,20 +251,24 @@ def _blocks(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(_aligner(paths))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in _slices(texts):
-                if block.add(ids[a:z], texts[a:z]):
-                    yield block.close()
-                    block = _Block(block.aligner)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                ids, texts = (batch.column(i).slice(at, SLICE_ROWS).to_pylist() for i in range(2))
+                for a, z in _slices(texts):
+                    if block.add(ids[a:z], texts[a:z]):
+                        yield block.close()
+                        block = _Block(block.aligner)
         if block.ids:
             yield block.close()
+        # The worker lives on for other tasks, which must not find the last block's tables beside their own.
+        block.aligner.forget()
 
     return run
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for row in range(batch.num_rows):
+            keys, n = (batch.column(i)[row].as_py() for i in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpacked(keys))), pa.array(unpacked(n))], ["pair", "n"])
 
 
@@ -352,17 +356,23 @@ def _answers(shards: list[tuple[int, str]], best: np.ndarray, n_a: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = Counts(shards, best)
         for batch in batches:
-            for ids, n, void, at, facts, links, shown in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for row in range(batch.num_rows):  # one block at a time, also of a batch that holds several
+                ids, n, void, at, facts, links, shown = (batch.column(i)[row].as_py() for i in range(7))
                 n, void, at, links = unpacked(n), unpacked(void, "u1") > 0, unpacked(at, "<u4"), unpacked(links)
                 facts = unpacked(facts, "<u4").reshape(4, -1).astype(np.int64)
                 shown = unpacked_texts(shown, facts.shape[1])
                 keys, place = np.unique(links, return_inverse=True)
                 counts = counted.of(keys)[place]
-                found = np.zeros((2, facts.shape[1]), np.int64)
-                owner = np.repeat(np.arange(facts.shape[1]), facts[3])
-                np.add.at(found[0], owner, counts == best[links // n_a])
-                np.add.at(found[1], owner, counts)
-                every = np.vstack((facts, found))
+                is_best = counts == best[links // n_a]
+                del links, keys, place
+                # The links of a chunk lie side by side.
+                every = np.zeros((6, facts.shape[1]), np.int64)
+                every[:4] = facts
+                has = np.flatnonzero(facts[3])
+                if len(has):
+                    first = (np.cumsum(facts[3]) - facts[3])[has]
+                    every[4, has], every[5, has] = np.add.reduceat(is_best, first, dtype=np.int64), np.add.reduceat(counts, first)
+                del counts, is_best
                 ends = np.cumsum(n)
                 a = 0
                 while a < len(n):

@@ -110,6 +110,23 @@ def test_limits_change_nothing(rows, monkeypatch, limits):
     assert [(r["doc_id"], r["n_links"], r["groups"]) for r in got] == [(i, len(f[3]) if f else 0, ";".join(f[2]) if f else "") for (i, _), f in zip(rows, found)]
 
 
+def test_a_worker_keeps_no_table_behind_its_last_block(rows):
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["a", "b"])
+    assert list(alignment._blocks(PATHS)([batch]))
+    kept = alignment._aligner(PATHS)
+    assert (len(kept.number), len(kept.shown), len(kept.links), kept.facts.shape[1]) == (0, 0, 0, 0)
+
+
+def test_answers_take_one_block_of_a_batch_at_a_time(rows, monkeypatch):
+    monkeypatch.setattr(alignment, "BLOCK_CHUNKS", 20)
+    monkeypatch.setattr(alignment, "SLICE_CHARS", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["a", "b"])
+    blocks = pa.Table.from_batches(list(alignment._blocks(PATHS)([batch]))).combine_chunks().to_batches()
+    assert len(blocks) == 1 and blocks[0].num_rows > 1
+    got = [r["doc_id"] for b in alignment._answers([], np.ones(40_000, np.int64), 50_257)([blocks[0].select(range(7))]) for r in b.to_pylist()]
+    assert got == [i for i, _ in rows]
+
+
 def test_shards_hold_every_pair_once_and_sorted(spark, rows):
     blocks = materialize(frame(spark, rows, 3).select("doc_id", "text").mapInArrow(alignment._blocks(PATHS), alignment._BLOCK), "test-blocks")
     size = alignment._aligner(PATHS).n_a
