@@ -182,3 +182,40 @@ def test_hits_found_over_any_shift(spark):
     r = alignment.search(*frame).collect()[0]
     full = A.align_pairs([A.encoded(base)], [A.encoded(target)])[0]
     assert (r.score, r.t_start, r.t_end, r.q_start, r.q_end) == (full.score, full.t_start, full.t_end, full.q_start, full.q_end) and r.qcov == 1
+
+
+def test_stretches_of_tiles_are_those_of_all_hits(monkeypatch):
+    import random
+    from collections import defaultdict
+
+    import numpy as np
+
+    from mobilome.functions import alignment_kernels as kernels
+
+    rng = random.Random(3)
+    base = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWYXBé") for _ in range(150))
+    seqs = ["", "ACD", base[:90], base[30:] + base[:50], base[10:140], base[:90], "AAAACCCC" * 5]
+    owner = np.array([0, 1, 2, 2, 4, 5, 6])  # the third and fourth are one id
+    want = defaultdict(set)
+    for i, q in enumerate(seqs):
+        for j, t in enumerate(seqs):
+            for a in range(len(q) - 3):
+                for b in range(len(t) - 3):
+                    if q[a : a + 4] == t[b : b + 4] and len(set(q[a : a + 4])) > 2:
+                        for v in (a // 40 - 1, a // 40):
+                            want[int(owner[i]), int(owner[j]), b - a, v].add(a)
+    want = {k + (min(v), max(v), len(v)) for k, v in want.items() if max(v) - min(v) >= 4}
+    for most in (1, 200, 10**6):
+        monkeypatch.setattr(kernels, "HITS", most)
+        got = [tuple(map(int, r)) for x in kernels.stretches(seqs, seqs, 4, 40, None, (owner, owner)) for r in zip(*x)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_only_sequences_are_shuffled_for_the_word_search(spark):
+    from mobilome.operators import alignment
+
+    p = spark.createDataFrame([(i, "ACDEFGHIKLMNPQRSTVWY" * 3) for i in range(30)], "id long, sequence string")
+    found = alignment.seed_diagonals(p, p, near=None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Aggregate" not in plan
+    assert found.select("query", "target").distinct().count() == 900
