@@ -12,7 +12,10 @@ from mobilome.plans.derived import SQL_DNA, SQL_HITS, SQL_INTERVALS, SQL_PROTEIN
 from mobilome.plans.derived import hits as derived_hits
 from mobilome.plans.derived import intervals as event_intervals
 from mobilome.sources import artifacts, fasta, tables
-from mobilome.storage import shared_dir
+from mobilome.storage import materialize, shared_dir
+
+#: Bytes of documents whose structures are on disk at once, unless that makes more portions than the second number.
+PORTION_BYTES, MOST_PORTIONS = 16 << 20, 16
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -225,15 +228,28 @@ def simulated_folds(spark, d):
 WITH q AS (SELECT doc_id, {SQL_PROTEIN} AS aa FROM documents), p AS (SELECT doc_id, substr(aa, c * 6500 + 1, 6500) AS aa FROM q, LATERAL (SELECT unnest(range(0, (length(aa) - 1) // 6500 + 1)) AS c) WHERE length(aa) > 0), {_ATOMS}
 SELECT count(*) AS atoms, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, round(avg(plddt), 4) AS plddt, CAST(max(i) AS INT) AS last FROM a""")
 def structure_file(spark, d):
-    """Predicted structures as fixed-width atom lines, written and read.  The format has eight columns for a coordinate, so a long protein is several chains."""
-    whole = texts(spark, d).select(protein(F.col("text")).alias("aa")).filter("length(aa) > 0")
+    """Predicted structures as fixed-width atom lines, written and read.  The format has eight columns for a coordinate, so a long protein is several chains.
+
+    An atom's line is 80 bytes for one letter of text, so the files are compressed, and written, read and removed a portion of the documents at a time.
+    """
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("aa") - 1) / 6500).cast("int")), lambda c: F.substring(F.col("aa"), c * 6500 + 1, F.lit(6500)))
-    p = whole.select(F.explode(parts).alias("aa"))
-    at = _place(spark, "structures")
-    p.select(F.explode(structures.structure_lines(F.col("aa"))).alias("value")).write.text(at)
-    a = tables.alpha_carbons(spark.read.text(at))
-    return a.agg(
-        F.count(F.lit(1)).alias("atoms"), *[F.round(F.sum(c), 3).alias(c) for c in ("x", "y", "z")], F.round(F.avg("plddt"), 4).alias("plddt"), F.max("residue").alias("last")
+    documents = texts(spark, d)
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    portions = min(MOST_PORTIONS, 1 + size // PORTION_BYTES)
+    sums = None
+    for i in range(portions):
+        mine = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(portions)) == i)
+        p = mine.select(protein(F.col("text")).alias("aa")).filter("length(aa) > 0").select(F.explode(parts).alias("aa"))
+        at = _place(spark, "structures")
+        p.select(F.explode(structures.structure_lines(F.col("aa"))).alias("value")).write.option("compression", "gzip").text(at)
+        a = tables.alpha_carbons(spark.read.text(at))
+        read = materialize(a.agg(F.count(F.lit(1)).alias("atoms"), *[F.sum(c).alias(c) for c in ("x", "y", "z", "plddt")], F.max("residue").alias("last")), "structure-sums")
+        artifacts.remove(spark, at)
+        sums = read if sums is None else sums.unionByName(read)
+    # One row a portion.
+    atoms = F.sum("atoms")
+    return sums.agg(
+        atoms.alias("atoms"), *[F.round(F.sum(c), 3).alias(c) for c in ("x", "y", "z")], F.round(F.try_divide(F.sum("plddt"), atoms), 4).alias("plddt"), F.max("last").alias("last")
     )
 
 
