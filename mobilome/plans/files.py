@@ -167,7 +167,8 @@ def metadata_file(spark, d):
 WITH {SQL_INTERVALS}, k AS (SELECT *, event_id % 3 = 0 AS back FROM iv WHERE event_type IN ('click', 'view') AND event_id % 4 <> 3)
 SELECT "start", "end", min(CASE WHEN back THEN '-' ELSE '+' END) AS strand, count(*) > 0 AS found FROM k GROUP BY "start", "end" """)
 def feature_table(spark, d):
-    """An annotation table of opening and qualifier lines; of equal places one counts."""
+    """Annotation tables of opening and qualifier lines, one a range of places, so that no task orders them all; of equal places one counts."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = event_intervals(spark, d).filter("event_type IN ('click', 'view')")
     a, b = (F.col("start") + 1).cast("string"), F.col("end").cast("string")
     back = F.col("event_id") % 3 == 0
@@ -175,7 +176,7 @@ def feature_table(spark, d):
     kind = F.when(F.col("event_id") % 4 == 3, "transposon:x").otherwise("insertion sequence:y")
     lines = F.array(F.concat_ws("\t", F.lit("1"), F.lit("9999"), F.lit("gene")), F.lit("\t\t\tgene\tabc"), opening, F.concat(F.lit("\t\t\tmobile_element_type\t"), kind))
     at = _place(spark, "features")
-    e.select("start", "end", back.alias("back"), "event_id", F.posexplode(lines).alias("i", "value")).repartition(1).sortWithinPartitions("start", "end", F.col("back").cast("int"), "event_id", "i").select("value").write.text(at)
+    e.select("start", "end", back.alias("back"), "event_id", F.posexplode(lines).alias("i", "value")).repartitionByRange(width, "start", "end").sortWithinPartitions("start", "end", F.col("back").cast("int"), "event_id", "i").select("value").write.text(at)
     read = tables.read_feature_table(spark, at)
     return read.groupBy("start", "end").agg(F.min("strand").alias("strand"), (F.count(F.lit(1)) == 1).alias("found")).select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand", "found")
 
