@@ -219,3 +219,30 @@ def test_only_sequences_are_shuffled_for_the_word_search(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Aggregate" not in plan
     assert found.select("query", "target").distinct().count() == 900
+
+
+@pytest.mark.parametrize("letters", ["ACDEFGHIKLMNPQRSTVWYX", "AX", "WC"])
+def test_antidiagonals_give_the_alignments_of_rows(letters):
+    """The same spans and columns, ties included, over batches of any size and scores beyond 16 bits."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices(letters, k=n))
+    pairs = []
+    for _ in range(150):
+        a = word(rng.randrange(60))
+        b = a[: rng.randrange(61)] + word(rng.randrange(6)) + a[rng.randrange(61) :]
+        pairs.append((a, b if rng.random() < 0.8 else word(rng.randrange(80))))
+    long = word(1600)
+    for some in (pairs, [(long, long[:700] + long[730:])]):
+        q, t = ([A.encoded(x) for x in side] for side in zip(*some))
+        for x, y in zip(A._align_local(q, t, A.OPEN, A.EXTEND), A._align(q, t, True, A.OPEN, A.EXTEND)):
+            assert (x.score, x.q_start, x.q_end, x.t_start, x.t_end) == (y.score, y.q_start, y.q_end, y.t_start, y.t_end)
+            assert list(x.q_at) == list(y.q_at) and list(x.t_at) == list(y.t_at)
+
+
+def test_a_region_is_aligned_once(spark):
+    """Hits in the common half of two bands are one region, not two."""
+    from mobilome.operators import alignment
+
+    seeds = spark.createDataFrame([(1, 2, 0, 5, 30, 9), (1, 2, 3, 40, 60, 4), (1, 3, 0, 5, 30, 9), (1, 3, 100, 5, 30, 3)], "query int, target int, diagonal int, q_first int, q_last int, hits long")
+    got = sorted(tuple(r) for r in alignment.regions(seeds).collect())
+    assert got == [(1, 2, 5, 64, 0, 3), (1, 3, 5, 34, 0, 0), (1, 3, 5, 34, 0, 100)]
