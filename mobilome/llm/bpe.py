@@ -22,20 +22,32 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.llm import tables
-from mobilome.llm.pretokens import specials, tokenizer
+from mobilome.llm.pretokens import AGREED, specials, tokenizer
 
 #: Chunks remembered between batches of a task; beyond it the table starts anew.
-REMEMBERED = 400_000
-#: Rows answered at a time, so that long texts do not gather in memory.
-SLICE_CHARS = 4_000_000
+REMEMBERED = 300_000
+#: UTF-8 bytes of the rows answered at a time, so that long texts do not gather in memory.
+SLICE_BYTES = 2_500_000
 
 #: Fixed value: the word pattern of the tokenizer with word ends.
 WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
+#: The same, and the spaces between chunks.
+WORD_OR_SPACE = regex.compile(WORD.pattern + "| ")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary; spaces and line ends, which no word holds, stay."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))} | {10: 10, 32: 32}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Merges:
@@ -165,22 +177,46 @@ class Encoder:
             return WORD.findall(chunk.lower())
         return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))]
 
+    def cut_all(self, new: list[str]) -> tuple[list[str], dict[str, int], np.ndarray]:
+        """(chunks in an order of their own, numbers of their distinct words, number of each word, -1 behind each chunk): plain chunks are cut together, between spaces."""
+        plain, marked, rest = [], [], []
+        for c in new:
+            (plain if c.isascii() and c.isprintable() else marked if c.split() == [c] else rest).append(c)
+        shown = self.tok.normalizer.normalize_str(" ".join(marked)).split(" ") if marked else []
+        if len(shown) != len(marked):  # a normaliser that makes or takes spaces
+            rest, marked, shown = rest + marked, [], []
+        known = [max(s, default=" ") < AGREED and s.split() == [s] for s in shown]
+        rest += [c for c, k in zip(marked, known) if not k]
+        marked, shown = [c for c, k in zip(marked, known) if k], [s for s, k in zip(shown, known) if k]
+        text = [" ".join(plain).lower(), *shown] if plain else shown
+        found = WORD_OR_SPACE.findall(" ".join([*text, ""])) if text else []
+        # The pattern sees letters; bytes take their place once words are cut.
+        names = list(dict.fromkeys(found))
+        as_bytes = "\n".join(names).encode().decode("latin-1").translate(BYTE_LETTERS).split("\n")
+        place: dict[str, int] = {}
+        code = {w: -1 if w == " " else place.setdefault(b, len(place)) for w, b in zip(names, as_bytes)}
+        others: list[int] = []
+        for c in rest:
+            others += [place.setdefault(w, len(place)) for w in self.words(c)]
+            others.append(-1)
+        used = np.fromiter(map(code.__getitem__, found), np.int64, len(found))
+        return [*plain, *marked, *rest], place, np.concatenate((used, np.array(others, np.int64)))
+
     def learn(self, new: list[str]) -> None:
         """Encode chunks that are not in the table, each word among them once."""
-        place: dict[str, int] = {}
-        per_chunk = []
-        for c in new:
-            per_chunk.append([place.setdefault(w, len(place)) for w in self.words(c)])
+        new, place, used = self.cut_all(new)
+        behind = used < 0
+        owner, used = (np.cumsum(behind) - behind)[~behind], used[~behind]
+        n_words = np.bincount(owner, minlength=len(new))
         flat, at = self.merges.encode(list(place))
         names = self.names
         pieces = [names[i] for i in flat.tolist()]
         cuts = at.tolist()
         shown = [" ".join(pieces[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         size = np.diff(at)
-        used = np.fromiter(chain.from_iterable(per_chunk), np.int64)
-        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, per_chunk), np.int64, len(new)))
         self.number.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
-        self.shown += [shown[x[0]] if len(x) == 1 else " ".join([shown[i] for i in x]) for x in per_chunk]
+        words, first = used.tolist(), np.cumsum(n_words) - n_words
+        self.shown += [shown[words[f]] if n == 1 else " ".join([shown[i] for i in words[f : f + n]]) for f, n in zip(first.tolist(), n_words.tolist())]
         self.flat = np.concatenate((self.flat, gather(flat, at[used], size[used])))
         self.length = np.concatenate((self.length, np.bincount(owner, size[used], len(new)).astype(np.int64)))
         self.start = np.cumsum(self.length) - self.length
@@ -225,18 +261,19 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            doc_id, texts = batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()]
+            doc_id, column = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             a = 0
-            while a < len(texts):
-                z, chars = a, 0
-                while z < len(texts) and (z == a or chars + len(texts[z]) <= SLICE_CHARS):
-                    chars += len(texts[z])
+            while a < len(sizes):
+                z, size = a, 0
+                while z < len(sizes) and (z == a or size + sizes[z] <= SLICE_BYTES):
+                    size += sizes[z]
                     z += 1
-                ids, n_ids, decoded = encoder.encode(texts[a:z])
+                ids, n_ids, decoded = encoder.encode(["" if t is None else t for t in column.slice(a, z - a).to_pylist()])
                 ends = np.concatenate(([0], np.cumsum(n_ids))).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(a, z - a), column, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
+                    [doc_id.slice(a, z - a), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
                 )
                 a = z
 

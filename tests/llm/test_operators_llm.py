@@ -818,3 +818,21 @@ def test_models_pass_awkward_rows(docs, spark):
     marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(70)], "doc_id long, quality int, toxic int")
     for got in (quality.quality(docs, marks), toxicity.toxicity(docs, marks)):
         assert got.count() == docs.count() and got.filter("score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
+def test_bpe_cuts_plain_chunks_together(monkeypatch):
+    """Chunks of letters that all patterns agree on are cut in one call, others one by one, all as the library cuts them."""
+    import public_tokenizers
+
+    from mobilome.llm import bpe
+
+    encoder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain = ["", "It's", "Ünïcode", "éclair", "a1-b2", "ÉÉ'LL", "ÿ", "­"]
+    odd = ["漢字", "a\tb", "\x1c", "٠1", "Σς", "́x"]
+    alone = []
+    by_itself = bpe.Encoder.words
+    monkeypatch.setattr(bpe.Encoder, "words", lambda self, c: alone.append(c) or by_itself(self, c))
+    ids, sizes, _ = encoder.encode([" ".join(plain + odd), *plain, *odd])
+    want = [encoder.tok.encode(t, add_special_tokens=False).ids for t in (" ".join(plain + odd), *plain, *odd)]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert not set(alone) & set(plain)
