@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.functions import boundary_kernels as K
+from mobilome.operators.portions import portions
 
 #: Bases on either side that any engine looks at, with room for direct repeats.
 FLANK = 620
@@ -62,7 +63,7 @@ def predict_boundaries(
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in portions(batches, "left", "right"):
             found = [
                 _predict(engine, r.left or "", r.right or "", int(r.shift), int(r.s), int(r.e), r.f or "")
                 for r in pdf.rename(columns={"_s": "s", "_e": "e", "_f": "f"}).itertuples()

@@ -13,6 +13,7 @@ from mobilome.functions import decisions as D
 from mobilome.functions import gene_kernels as G
 from mobilome.operators.boundaries import predict_boundaries
 from mobilome.operators.intervals import islands, reduce_islands, resolve_overlaps
+from mobilome.operators.portions import portions
 from mobilome.storage import deal_small, materialize
 
 def reading_frames(dna: str, least: int = 90) -> list[tuple[int, int, str, bool, bool, str]]:
@@ -34,7 +35,7 @@ def find_genes(contigs: DataFrame, least: int = 90) -> DataFrame:
     """Open reading frames of (contig_id, sequence); ``genes.predict_genes`` finds genes with a trained model."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in portions(batches, "sequence"):
             rows = [
                 (c, f"{c}_{i + 1}", *g) for c, s in zip(pdf["contig_id"], pdf["sequence"]) for i, g in enumerate(reading_frames((s or "").upper(), least))
             ]

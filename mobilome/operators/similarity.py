@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mobilome.functions.sequence import kmers
 from mobilome.operators.components import connected_components
+from mobilome.operators.portions import portions
 from mobilome.storage import materialize
 
 #: One text in so many is looked at for grams that are common; those found so often there are, and at most so many are held.
@@ -43,7 +44,7 @@ def gram_hits(queries: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """
     def exploded(df: DataFrame, p: str) -> DataFrame:
         def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in portions(batches, "plain"):
                 found = [_gram_digests(t, n) for t in pdf["plain"]]
                 yield pd.DataFrame({"id": pdf["id"], "n": [len(g) for g in found], "gram": found})
 
@@ -95,14 +96,14 @@ def _leading_grams(texts: DataFrame, sample: DataFrame, n: int, coverage: float)
     that few texts meet under one; which grams ``sample`` finds common bears on the work, never on the result.
     """
     def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in portions(batches, "plain"):
             yield pd.DataFrame({"gram": np.concatenate([_gram_hashes(t, n) for t in pdf["plain"]] or [np.zeros(0, np.int64)])})
 
     often = sample.select("plain").mapInPandas(every, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= COMMON_TIMES)
     common = np.array(sorted(x.gram for x in often.orderBy(F.desc("times"), "gram").limit(COMMON_MOST).collect()), np.int64)
 
     def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in portions(batches, "plain"):
             first, size = [], []
             for t in pdf["plain"]:
                 g = _gram_hashes(t, n)
