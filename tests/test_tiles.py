@@ -70,3 +70,16 @@ def test_frames_of_tiles_are_those_of_wholes(spark, tmp_path):
         assert sorted(map(tuple, got.select(*whole.columns).collect())) == want
     with pytest.raises(Exception, match="longer than the overlap"):
         tiles.find_genes_in_tiles(tiles.read_tiles(spark, f"{tmp_path}/g.fa", 500, 60)).collect()
+
+
+def test_lines_are_numbered_while_they_pass(spark, tmp_path):
+    """Neighbouring lines of a record are one row, whatever batches they come in, and no plan sorts lines by block."""
+    (tmp_path / "a.fa").write_text(">one x\n" + "ACGTACGTAC\n" * 500 + ">two\n" + "GG\n" * 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        rows = tiles.sequence_lines(spark, f"{tmp_path}/a.fa", most=300).orderBy("record", "offset").collect()
+        assert len(rows) < 100 and max(len(r.bases) for r in rows) <= 320
+        assert "".join(r.bases for r in rows if r.contig_id == "one") == "ACGTACGTAC" * 500
+        assert [r.offset for r in rows if r.contig_id == "two"][:1] == [0] and sum(len(r.bases) for r in rows if r.contig_id == "two") == 600
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
