@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mobilome.functions import decisions as D
 from mobilome.functions.sequence import invalid_letters
+from mobilome.operators.joins import join_answers
 from mobilome.storage import materialize
 
 LETTERS = "ABCDEFGHIKLMNOPQRSTUVWXYZ"
@@ -87,14 +88,17 @@ def holding_ids(keys: DataFrame, key: str, ids: DataFrame, id_col: str, piece: i
     Keys and ids meet by equality of pieces: of a key's pieces of length ``piece`` (itself, if it is shorter) the one that
     the fewest ids hold stands for it, so that few ids are looked at for each key.
     """
-    k = keys.select(F.col(key).alias("key")).filter(F.length("key") > 0).distinct()
+    spark = keys.sparkSession
+    # Few bytes make many pieces, so they are dealt by number, not by size.
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    k = keys.select(F.col(key).alias("key")).filter(F.length("key") > 0).repartition(width, "key").distinct()
     k = k.withColumn("size", F.least(F.length("key"), F.lit(piece)))
     sizes = sorted(r["size"] for r in k.select("size").distinct().collect())  # at most ``piece`` numbers
 
     def pieces(text: Column, size: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, size)))
 
-    held = ids.select(F.col(id_col).alias("id")).distinct().select("id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")) if sizes else None
+    held = ids.select(F.col(id_col).alias("id")).repartition(width, "id").distinct().select("id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")) if sizes else None
     if held is None:
         return k.select("key", F.lit(None).cast(ids.schema[id_col].dataType).alias("id")).limit(0)
     held = materialize(held.filter(F.length("id") >= F.col("n")).select("id", F.explode(pieces(F.col("id"), F.col("n"))).alias("piece")), "id-pieces")
@@ -109,18 +113,25 @@ def closed_loop(elements: DataFrame, screened: DataFrame, order: str = "protein_
     """Elements with the category of their protein, found under "<element>_tpase", the element, or the gene id, in
     that order; else under the first protein, by ``order``, whose id contains either, empty ids being contained in none.  A hit score above 1 is normalised.
     """
-    p = screened.select("protein_id", "final_category", "transposase_score", F.col(order).alias("_order"))
-    keys = F.array(F.concat("element_id", F.lit("_tpase")), F.col("element_id"), F.col("tpase_gene_id"))
-    asked = elements.select("element_id", F.posexplode(keys).alias("rank", "key"))
     result = F.struct("final_category", "transposase_score")
-    exact = asked.join(p, F.col("key") == F.col("protein_id")).groupBy("element_id").agg(F.min_by(result, "rank").alias("hit"))
-    exact = materialize(exact, "loop-exact")
+    # One row a protein id, the first of equals.
+    p = screened.groupBy("protein_id").agg(F.min(F.struct(F.col(order).alias("_order"), result.alias("hit"))).alias("_p"))
+    p = materialize(p.select("protein_id", "_p.*"), "loop-proteins")
+    keys = F.array(F.concat("element_id", F.lit("_tpase")), F.col("element_id"), F.col("tpase_gene_id"))
+    asked = materialize(elements.select("element_id", F.posexplode(keys).alias("rank", "key")).filter("key IS NOT NULL"), "loop-keys")
+    # A key that many elements share is looked up once, and its elements stay where they are.
+    often = asked.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    answers = materialize(often.join(p, F.col("key") == F.col("protein_id"), "left").select("key", "times", "hit"), "loop-answers")
+    met = join_answers(asked, answers, "key", "times").filter("hit IS NOT NULL")
+    exact = materialize(met.groupBy("element_id").agg(F.min(F.struct("rank", "hit"))["hit"].alias("hit")), "loop-exact")
     open_ = elements.join(exact, "element_id", "left_anti").select("element_id", F.explode(F.array("element_id", "tpase_gene_id")).alias("key")).filter(F.length("key") > 0)
-    held = holding_ids(open_, "key", p, "protein_id")
-    loose = (
-        open_.join(held, "key").join(p, F.col("id") == F.col("protein_id"))
-        .groupBy("element_id").agg(F.min_by(result, F.struct("_order", "protein_id")).alias("hit"))
-    )
+    open_ = materialize(open_, "loop-open")
+    # The first protein of each key, so that the elements of a key never meet all the proteins that hold it.
+    held = holding_ids(open_, "key", p, "protein_id").join(p, F.col("id") == F.col("protein_id"))
+    firsts = held.groupBy("key").agg(F.min(F.struct("_order", "protein_id", "hit")).alias("first"))
+    often = open_.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("times"))
+    firsts = materialize(often.join(firsts, F.col("k") == F.col("key"), "left").select(F.col("k").alias("key"), "times", "first"), "loop-firsts")
+    loose = join_answers(open_, firsts, "key", "times").filter("first IS NOT NULL").groupBy("element_id").agg(F.min("first")["hit"].alias("hit"))
     found = elements.join(exact.unionByName(loose), "element_id", "left")
     fallback = F.least(F.lit(1.0), F.when(F.col("tpase_score") > 1, F.col("tpase_score") / 150.0).otherwise(F.col("tpase_score")))
     category = F.coalesce("hit.final_category", F.lit("Uncertain"))

@@ -1,5 +1,6 @@
 """Filters, audits, models, program runners, artifacts, streams and commands on small known cases."""
 
+import glob
 import hashlib
 import json
 import os
@@ -16,6 +17,7 @@ from mobilome.functions import decisions as D
 from mobilome.operators import boundaries, datasets, external, filters, fragments, metrics, models, screening, structures
 from mobilome.operators import hits as H
 from mobilome.sources import artifacts, fasta, tables
+from mobilome.storage import shared_dir
 
 
 def test_ranks_follow_the_order_whatever_the_partitions(spark):
@@ -635,3 +637,17 @@ def test_every_command_says_what_it_does(capsys):
     assert len(cli.COMMANDS) == 29 and all(f.__doc__ for f, _ in cli.COMMANDS.values())
     cli.main(["version"])
     assert capsys.readouterr().out.strip() == cli.VERSION
+
+
+def test_closed_loop_looks_a_shared_key_up_once(spark):
+    """Many elements of one gene and many proteins that hold it: their pairs are never rows of a plan."""
+    e = spark.range(300).selectExpr("concat('E', id, '.') element_id", "'c3_g' tpase_gene_id", "'complete' status", "0.5D composite_score", "0.4D tpase_score")
+    p = spark.range(400).selectExpr("concat('pre_c3_g', id) protein_id", "if(id = 7, 'Remote', 'Negative') final_category", "id / 400D transposase_score", "abs(id - 7) place")
+    out = screening.closed_loop(e, p, "place")
+    got = out.select("element_id", "protein_category", "dual_confidence").distinct().collect()
+    assert len(got) == 300 and {r.protein_category for r in got} == {"Remote"} and {r.dual_confidence for r in got} == {0.2588}
+    tables = {}  # rows of every table that the plan reads
+    for name in ("loop-keys", "loop-open", "loop-firsts"):
+        paths = sorted(glob.glob(f"{shared_dir(spark)}/mobilome/{spark.sparkContext.applicationId}/{name}-*"), key=os.path.getmtime)
+        tables[name] = spark.read.parquet(paths[-1]).count()
+    assert tables["loop-keys"] == 900 and tables["loop-open"] == 600 and tables["loop-firsts"] == 301
