@@ -219,8 +219,9 @@ e AS (SELECT *, 2.8::DOUBLE * pow(n, 0.33::DOUBLE) AS expected FROM m)
 SELECT doc_id, CAST(n AS INT) AS residues, round(plddt, 4) AS plddt, round(radius, 4) AS radius, n >= 10 AND 100.0 * least(radius, expected) / greatest(radius, expected) * plddt / 100.0 + 20.0 >= 39.95 AS hit,
   CASE WHEN n >= 10 THEN round(100.0::DOUBLE * least(radius, expected) / greatest(radius, expected) * plddt / 100.0 + 20.0, 0) END AS bits FROM e""")
 def simulated_folds(spark, d):
-    p = texts(spark, d).select("doc_id", protein(F.col("text")).alias("aa")).filter("length(aa) > 0")
-    f = structures.predicted_folds(p, "doc_id", "aa")
+    p = texts(spark, d).select("doc_id", protein(F.col("text")).alias("aa"))
+    # Proteins without residues go once they are measured; a filter before would translate every text twice.
+    f = structures.predicted_folds(p, "doc_id", "aa").filter("radius IS NOT NULL")
     bits = F.when(F.col("residues") >= 10, F.round(100.0 * F.least("radius", 2.8 * F.pow("residues", F.lit(0.33))) / F.greatest("radius", 2.8 * F.pow("residues", F.lit(0.33))) * F.col("plddt") / 100.0 + 20.0, 0))
     return f.select("doc_id", "residues", F.round("plddt", 4).alias("plddt"), F.round("radius", 4).alias("radius"), "hit", bits.alias("bits"))
 

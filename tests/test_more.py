@@ -651,3 +651,15 @@ def test_closed_loop_looks_a_shared_key_up_once(spark):
         paths = sorted(glob.glob(f"{shared_dir(spark)}/mobilome/{spark.sparkContext.applicationId}/{name}-*"), key=os.path.getmtime)
         tables[name] = spark.read.parquet(paths[-1]).count()
     assert tables["loop-keys"] == 900 and tables["loop-open"] == 600 and tables["loop-firsts"] == 301
+
+
+def test_simulated_folds_are_those_of_their_atoms(spark):
+    """The measures made outside Spark's expressions are those of the predicted atoms, column by column."""
+    rows = [(None if i == 3 else i, "A" * n) for i, n in enumerate((1, 2, 9, 10, 11, 19, 20, 21, 57, 1234))] + [(98, ""), (99, None)]
+    p = spark.createDataFrame(rows, "id long, s string")
+    got = structures.predicted_folds(p, "id", "s").collect()
+    want = structures.predicted_folds(p, "id", "s", lambda s: structures.simulated_structure(s)).collect()
+    assert structures.helix(3).shape == (4, 3) and len(got) == len(want) == 12
+    for a, b in zip(sorted(got, key=lambda r: (r.residues, str(r.id))), sorted(want, key=lambda r: (r.residues, str(r.id)))):
+        assert (a.id, a.residues, a.hit) == (b.id, b.residues, b.hit)
+        assert (a.plddt, a.radius) == (b.plddt, b.radius) if a.residues == 0 else abs(a.plddt - b.plddt) < 1e-9 and abs(a.radius - b.radius) < 1e-7
