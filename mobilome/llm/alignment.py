@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilome.llm import tables
-from mobilome.llm.packing import packed, packed_texts, unpacked, unpacked_texts
+from mobilome.llm.packing import give_back, packed, packed_texts, unpacked, unpacked_texts
 from mobilome.storage import materialize, shared_dir
 
 #: A block is closed when its texts reach this many characters, or its chunks this many.
@@ -235,8 +235,12 @@ class _Block:
         aligner = self.aligner
         at, n, void = (np.concatenate(x) for x in zip(*self.parts))
         times = np.bincount(at[~np.repeat(void, n)], minlength=len(aligner.bad))
-        keys, place = np.unique(aligner.links, return_inverse=True)
-        counts = np.bincount(place, np.repeat(times, aligner.facts[3]), len(keys)).astype(np.int64)
+        # Sorted in place of numbering every link: the weights go along, and runs of equal keys are added up.
+        order = np.argsort(aligner.links)
+        keys, counts = aligner.links[order], np.repeat(times, aligner.facts[3])[order]
+        del order
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         used = counts > 0
         row = {
             "doc_ids": self.ids, "n_chunks": packed(n), "void": packed(void, "u1"), "at": packed(at, "<u4"), "facts": packed(aligner.facts.ravel(), "<u4"),
@@ -257,10 +261,13 @@ def _blocks(paths: tuple[str, str]):
                     if block.add(ids[a:z], texts[a:z]):
                         yield block.close()
                         block = _Block(block.aligner)
+                        give_back()
         if block.ids:
             yield block.close()
         # The worker lives on for other tasks, which must not find the last block's tables beside their own.
         block.aligner.forget()
+        del block
+        give_back()
 
     return run
 
@@ -391,6 +398,8 @@ def _answers(shards: list[tuple[int, str]], best: np.ndarray, n_a: int):
                         [pa.array(ids[a:z], pa.int64()), *map(pa.array, sums), pa.array(groups, pa.string())], ["doc_id", *_FACTS, "groups"]
                     )
                     a = z
+                del at, facts, every, shown
+            give_back()
 
     return run
 
@@ -406,7 +415,8 @@ def align(
     paths = (byte_bpe or public_tokenizers.path("byte_bpe_50k.json"), piece_bpe or public_tokenizers.path("piece_bpe_32k.model"))
     aligner = _aligner(paths)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = materialize(rows.mapInArrow(_blocks(paths), _BLOCK), "aligned-blocks")
+    # A block is a row group, so that neither its writer nor any reader holds another one beside it.
+    blocks = materialize(rows.mapInArrow(_blocks(paths), _BLOCK), "aligned-blocks", **{"parquet.block.row.count.limit": 1})
     counts = count_pairs(blocks, aligner.n_a, len(aligner.b_bytes), shard_pairs)
     return blocks.select("doc_ids", "n_chunks", "void", "at", "facts", "links", "shown").mapInArrow(
         _answers(list(zip(counts.first.tolist(), counts.paths)), counts.best, aligner.n_a),

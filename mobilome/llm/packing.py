@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 
@@ -26,3 +30,13 @@ def packed_texts(texts: list[str]) -> bytes:
 
 def unpacked_texts(b: bytes, n: int) -> list[str]:
     return zstandard.decompress(b).decode().split("\n") if n else []
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for other tasks, beside others of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        pass

@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet, with the writer's ``options``, and read it back.
 
     The table lies below ``<shared>/mobilome/<application id>/``, which may be
     deleted when the application has ended.
@@ -34,7 +34,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/mobilome/{app}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._shared_path = path
     return written

@@ -157,3 +157,33 @@ def test_the_shared_folder_must_be_mounted():
     assert alignment._mounted("file:///shared/x") == "/shared/x"
     with pytest.raises(RuntimeError):
         alignment._mounted("hdfs://cluster/shared")
+
+
+def test_a_block_is_a_row_group(spark, monkeypatch):
+    """Readers hold one block at a time, because each has a row group of its own."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    from mobilome.storage import shared_dir
+
+    rows = [(i, f"one two three {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    real = alignment._blocks
+
+    def small(paths):
+        run = real(paths)
+
+        def each(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 100):  # a block each
+                    yield from run(iter([batch.slice(at, 100)]))
+
+        return each
+
+    monkeypatch.setattr(alignment, "_blocks", small)
+    assert alignment.align(docs).count() == 600
+    folder = max(glob.glob(f"{shared_dir(spark)}/mobilome/{spark.sparkContext.applicationId}/aligned-blocks-*"), key=os.path.getmtime)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{folder}/*.parquet")]
+    assert sum(f.num_rows for f in files) == 6 and all(f.num_row_groups == f.num_rows for f in files)
