@@ -56,9 +56,14 @@ def _any_sql(column: str, terms) -> str:
 _DESCRIBED = f"t AS (SELECT p_partkey AS k, {sql_pick('p_partkey', *_DESCRIPTIONS)} AS description, {sql_pick('p_partkey', *_ORGANISMS)} AS organism, CAST(p_partkey % 1700 AS INT) AS n FROM part)"
 
 
-def _described(spark, d):
+#: Records of a gzipped file, unless a batch has a file for every core.
+POOL_RECORDS = 5_000
+
+
+def _described(spark, d, parts: int | None = None):
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("k"), pick(k, *_DESCRIPTIONS).alias("description"), pick(k, *_ORGANISMS).alias("organism"), F.repeat(F.lit("M"), (k % 1700).cast("int")).alias("s"))
+    rows = table(spark, d, "part").select(k)
+    return (rows if parts is None else rows.repartition(parts, k)).select(k.alias("k"), pick(k, *_DESCRIPTIONS).alias("description"), pick(k, *_ORGANISMS).alias("organism"), F.repeat(F.lit("M"), (k % 1700).cast("int")).alias("s"))
 
 
 @query(f"""
@@ -71,16 +76,18 @@ def negative_pools(spark, d):
 
 @query(ORACLE["negative_pools"].replace("SELECT k, CASE", "SELECT 'K' || k AS accession, CASE", 1))
 def stream_pools(spark, d):
-    """The pools again, from gzipped records that come a file a batch."""
+    """The pools again, from gzipped records that come in five batches of files; a file cannot be split, so a batch has as many as its records are worth, up to one a core."""
     from mobilome.storage import shared_dir
     from mobilome.streaming.scans import stream_pools as pools
 
     root = f"{shared_dir(spark)}/mobilome/{spark.sparkContext.applicationId}/pools-{uuid.uuid4().hex}"
+    files = min(spark.sparkContext.defaultParallelism, 1 + table(spark, d, "part").count() // POOL_RECORDS)
     k = F.col("k").cast("string")
     header = F.concat(F.lit(">sp|K"), k, F.lit("|E"), k, F.lit(" "), F.coalesce("description", F.lit("")), F.lit(" OS="), F.coalesce("organism", F.lit("")), F.lit(" OX=1"))
-    lines = _described(spark, d).select(F.concat(header, F.lit("\n"), "s").alias("value"))
-    lines.repartition(5).write.option("compression", "gzip").text(f"{root}/in")
-    pools(spark, f"{root}/in", f"{root}/out", f"{root}/check").awaitTermination()
+    # Dealt before the records are made, which are many times as large.
+    lines = _described(spark, d, 5 * files).select(F.concat(header, F.lit("\n"), "s").alias("value"))
+    lines.write.option("compression", "gzip").text(f"{root}/in")
+    pools(spark, f"{root}/in", f"{root}/out", f"{root}/check", files).awaitTermination()
     found = spark.read.schema("accession string, description string, organism string, sequence string, pool string").option("recursiveFileLookup", "true").parquet(f"{root}/out")
     return found.select("accession", "pool")
 

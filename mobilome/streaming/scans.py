@@ -60,14 +60,16 @@ def numbered(
 def stream_pools(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_trigger: int = 1, least: int = 80, most: int = 1500):
     """Records of FASTA files, gzipped or not, as the files come: those fit for negatives, with accession, description, organism, sequence and ``pool``.
 
-    A file is never whole in memory; a batch is some files, and its rows are dealt over all cores after reading, because gzip files cannot be split.
+    A file is never whole in memory; a batch is some files, and its rows are dealt over all cores after reading, because gzip files cannot be split; of a batch
+    that may have a file for every core they stay where they were read.
     """
     from mobilome.operators.boundaries import spread
     from mobilome.operators.filters import negative_pools
     from mobilome.sources.fasta import records, uniprot_header
 
     def work(batch: DataFrame) -> DataFrame:
-        raw = spread(batch.select(F.regexp_replace(F.make_valid_utf8("value"), r"^>", "").alias("r")))
+        raw = batch.select(F.regexp_replace(F.make_valid_utf8("value"), r"^>", "").alias("r"))
+        raw = raw if files_per_trigger >= spark.sparkContext.defaultParallelism else spread(raw)
         found = records(raw, F.col("r")).withColumn("h", uniprot_header(F.col("description")))
         named = found.select("h.accession", "h.description", "h.organism", "sequence")
         return negative_pools(named, "description", "organism", "sequence", least, most)

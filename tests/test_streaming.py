@@ -92,3 +92,20 @@ def test_every_batch_of_a_long_run_is_counted(spark, tmp_path):
     assert seen[-1] == n * 5 and sorted(seen) == seen
     rates = run.rates(1_000_000, n)
     assert rates["seconds"] == run.seconds and rates["contigs_per_second"] == pytest.approx(n / run.seconds)
+
+
+def test_files_of_a_batch_for_every_core_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """A batch of as many files as there are cores is not dealt anew, which would sort its records; one of fewer is."""
+    from mobilome.operators import boundaries
+    from mobilome.streaming.scans import stream_pools
+
+    dealt, real = [], boundaries.spread
+    monkeypatch.setattr(boundaries, "spread", lambda rows: dealt.append(1) or real(rows))
+    lines = [(f">sp|K{i}|E{i} Enolase OS=Bacillus subtilis OX=1\n{'M' * (100 + i)}",) for i in range(40)]
+    spark.createDataFrame(lines, "value string").repartition(4).write.option("compression", "gzip").text(f"{tmp_path}/in")
+    found = []
+    for n in (spark.sparkContext.defaultParallelism, 1):
+        stream_pools(spark, f"{tmp_path}/in", f"{tmp_path}/out{n}", f"{tmp_path}/check{n}", n).awaitTermination()
+        found.append(sorted(r.accession for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out{n}").collect()))
+        assert (len(dealt) > 0) == (n == 1)
+    assert len(found[0]) == 40 and found[0] == found[1]
