@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,25 +32,35 @@ class OpenIslands(StatefulProcessor):
         self.open = handle.getValueState("open", "island long, start long, end long, same string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        genes = pd.concat(list(rows)).sort_values([self.start, *self.order], kind="stable")
-        island, last_start, last_end, last_same = self.open.get() if self.open.exists() else (0, None, None, None)
-        if last_start is not None and len(genes) and genes[self.start].iloc[0] < last_start:
-            raise ValueError(f"contig {key[0]}: a gene at {genes[self.start].iloc[0]} came after one at {last_start}")
-        starts, ends, same = genes[self.start], genes[self.end], genes[self.same].astype("string")
-        before_end = ends.shift(1, fill_value=last_end if last_end is not None else 0)
-        before_same = same.shift(1, fill_value=last_same if last_same is not None else pd.NA)
+        # A call has few genes, so arrays are worked on, and the state is asked once.
+        parts = list(rows)
+        genes = parts[0] if len(parts) == 1 else pd.concat(parts)
+        known = self.open.get()
+        if not len(genes):
+            return
+        by = [genes[c] for c in (self.start, *self.order)]
+        if all(c.dtype.kind in "iuf" for c in by):
+            genes = genes.take(np.lexsort([c.to_numpy() for c in reversed(by)]))
+        else:
+            genes = genes.sort_values([self.start, *self.order], kind="stable")
+        island, last_start, last_end, last_same = known if known is not None else (0, None, None, None)
+        starts, ends, same = genes[self.start].to_numpy(), genes[self.end].to_numpy(), genes[self.same].astype(object).to_numpy()
+        if last_start is not None and starts[0] < last_start:
+            raise ValueError(f"contig {key[0]}: a gene at {starts[0]} came after one at {last_start}")
+        before_end = np.append(last_end if last_end is not None else 0, ends[:-1])
         # An unknown neighbour is another one.
-        apart = (starts - before_end > self.gap) | (same != before_same).fillna(True).astype(bool)
-        if island == 0 and len(apart):
-            apart.iloc[0] = True
-        numbers = island + apart.astype("int64").cumsum()
-        final_same = same.iloc[-1]
-        self.open.update((int(numbers.iloc[-1]), int(starts.iloc[-1]), int(ends.iloc[-1]), None if final_same is pd.NA else str(final_same)))
+        names = [None if pd.isna(s) else str(s) for s in same.tolist()]
+        apart = starts - before_end > self.gap
+        apart |= np.array([a is None or a != b for a, b in zip(names, [last_same, *names])])
+        if island == 0:
+            apart[0] = True
+        numbers = island + np.cumsum(apart)
+        self.open.update((int(numbers[-1]), int(starts[-1]), int(ends[-1]), names[-1]))
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield genes[self.columns].assign(island=numbers.to_numpy())
+        yield genes[self.columns].assign(island=numbers)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.open.clear()

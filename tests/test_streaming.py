@@ -109,3 +109,45 @@ def test_files_of_a_batch_for_every_core_stay_where_they_are_read(spark, tmp_pat
         found.append(sorted(r.accession for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out{n}").collect()))
         assert (len(dealt) > 0) == (n == 1)
     assert len(found[0]) == 40 and found[0] == found[1]
+
+
+class Held:
+    """A state that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+
+def test_the_state_is_asked_twice_a_call():
+    """Once for the open end and once for the new one, for any number of genes; islands are those of the genes one by one."""
+    import pandas as pd
+
+    from mobilome.streaming.keyed import OpenIslands
+
+    rng = random.Random(4)
+    rows = sorted(genes(rng, 1, 60), key=lambda r: (r[1], r[4]))
+    work, held = OpenIslands("start", "end", "family", 250, ("gene",), SCHEMA.replace(",", "").split()[::2], None), Held()
+    work.open, got, at, calls = held, [], 0, 0
+    while at < len(rows):
+        some = rows[at : at + rng.randrange(1, 6)]
+        at, calls = at + len(some), calls + 1
+        frame = pd.DataFrame(rng.sample(some, len(some)), columns=work.columns)
+        got += [tuple(r) for f in work.handleInputRows(("c0",), iter([frame]), None) for r in f[["gene", "island"]].itertuples(index=False)]
+    want, island, last = [], 0, None
+    for r in rows:
+        island += last is None or r[1] - last[2] > 250 or r[3] is None or r[3] != last[3]
+        want.append((r[4], island))
+        last = r
+    assert got == want and held.asked == 2 * calls
