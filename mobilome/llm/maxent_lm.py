@@ -59,6 +59,8 @@ BLOCK_CHARS = 24_000_000
 BUCKET_WORDS = 500_000
 #: Parts that the weight table is averaged in, and updates that one task averages at most.
 PARTS, FAN = 64, 64
+#: Rows of a batch whose gradients are summed one row at a time.
+FEW = 16
 #: Tokens scored at a time.
 SCORED = 4_096
 
@@ -259,6 +261,30 @@ def contexts(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, WIDTH + two, (one + 1) * (4 * WIDTH) + two
 
 
+def sums_by_row(rows: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each occurs, and the sum of its lines of ``slope``.
+
+    ``np.add.reduceat`` adds a column of a row at a time; here the second, third, ... lines of all rows that have one are added at once,
+    and what the ``FEW`` most frequent rows have beyond that row by row.
+    """
+    order = np.argsort(rows, kind="stable")
+    found = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    n = np.diff(first, append=len(rows))
+    by_n = np.argsort(-n, kind="stable")
+    first, n = first[by_n], n[by_n]
+    grad = slope.take(order[first], 0)
+    # more[k]: how many rows occur more than k times; these come first.
+    more = len(n) - np.cumsum(np.bincount(n))
+    k = 1
+    while k < len(more) and (m := int(more[k])) > FEW:
+        grad[:m] += slope.take(order[first[:m] + k], 0)
+        k += 1
+    for i in range(int(more[k]) if k < len(more) else 0):
+        grad[i] += slope.take(order[first[i] + k : first[i] + n[i]], 0).sum(0)
+    return found[first], n, grad
+
+
 class Model:
     """One table of weights; ``mass`` is each row's sum of squared gradients, ``touched`` how many tokens it was updated by."""
 
@@ -289,13 +315,11 @@ class Model:
         return own - np.log(total)
 
     def update(self, rows: np.ndarray, slope: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        found = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        row, grad = found[first], np.add.reduceat(slope.take(order, 0), first, axis=0)
-        self.touched[row] += np.diff(np.append(first, len(rows)))
-        self.mass[row] += np.einsum("ij,ij->i", grad, grad) / SLOTS
-        grad *= (-RATE / np.sqrt(self.mass[row]))[:, None]
+        row, n, grad = sums_by_row(rows, slope)
+        self.touched[row] += n
+        own = self.mass[row] + np.einsum("ij,ij->i", grad, grad) / SLOTS
+        self.mass[row] = own
+        grad *= (-RATE / np.sqrt(own))[:, None]
         grad += self.weights.take(row, 0)
         self.weights[row] = np.clip(grad, -MOST, MOST, out=grad)
 
