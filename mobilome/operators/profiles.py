@@ -23,12 +23,16 @@ from mobilome.functions import profile_kernels as P
 from mobilome.functions.sequence import kmers
 from mobilome.operators.alignment import search, two_hits
 from mobilome.operators.components import connected_components
+from mobilome.operators.joins import join_answers
+from mobilome.operators.portions import portions
 from mobilome.storage import materialize
 
 #: Letters of the words by which a family's centre is chosen, and of those that a search meets by; bits that the latter score at least.
 CENTRE_WORD, WORD, NEAR = 3, 4, 9.0
 #: Pairs that one task aligns, and proteins that one runs through models, on average.
 TASK_PAIRS, TASK_PROTEINS = 2_000, 2_000
+#: Proteins, on average, that lie in one row with the model they are run through, and letters whose alignments or counts are held at a time.
+ROW_PROTEINS, LETTERS = 250, 250_000
 
 
 def _members(proteins: DataFrame, family: str, id_col: str, sequence: str, least: int) -> DataFrame:
@@ -54,7 +58,7 @@ def align_to_centres(members: DataFrame) -> DataFrame:
     pairs = pairs.repartition(1 + members.count() // TASK_PAIRS, F.xxhash64("family", "id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in portions(batches, "centre", "sequence", most=LETTERS):
             found = A.align_pairs([A.encoded(s) for s in pdf["centre"]], [A.encoded(s) for s in pdf["sequence"]], local=False)
             yield pd.DataFrame(
                 {
@@ -112,16 +116,20 @@ def profile_counts(aligned: DataFrame) -> DataFrame:
     filled = aligned.select("family", F.explode("columns").alias("column")).groupBy("family", "column").agg(F.count(F.lit(1)).alias("n"))
     kept = filled.join(sizes, "family").filter(F.col("n") * 2 >= F.col("members"))
     # As many entries a family as its centre has residues.
-    kept = kept.groupBy("family").agg(F.array_sort(F.collect_list("column")).alias("kept"))
+    kept = materialize(kept.groupBy("family").agg(F.array_sort(F.collect_list("column")).alias("kept"), F.max("members").alias("members")), "profile-kept")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, own in pdf.groupby("family"):
-                found = [_events(np.array(r.kept), np.array(r.columns), np.array(r.places), A.encoded(r.sequence)) for r in own.itertuples(index=False)]
-                key, n = np.unique(np.concatenate([c * 27 + k for c, k in found]).astype(np.int64), return_counts=True)
-                yield pd.DataFrame({"family": name, "column": key // 27, "kind": key % 27, "n": n})
-
-    events = aligned.join(kept, "family").select("family", "kept", "columns", "places", "sequence").mapInPandas(run, "family string, column int, kind int, n long")
+                columns = np.array(own["kept"].iloc[0])
+                n = np.zeros(27 * len(columns), np.int64)
+                for some in portions([own], "sequence", most=LETTERS):
+                    found = [_events(columns, np.array(r.columns), np.array(r.places), A.encoded(r.sequence)) for r in some.itertuples(index=False)]
+                    n += np.bincount(np.concatenate([c * 27 + k for c, k in found]).astype(np.int64), minlength=len(n))
+                key = np.flatnonzero(n)
+                yield pd.DataFrame({"family": name, "column": key // 27, "kind": key % 27, "n": n[key]})
+
+    events = join_answers(aligned, kept, "family", "members").select("family", "kept", "columns", "places", "sequence").mapInPandas(run, "family string, column int, kind int, n long")
     return events.groupBy("family", "column", "kind").agg(F.sum("n").alias("n"))
 
 
@@ -179,27 +187,39 @@ def profile_search(
     else:
         pairs = rows.select("query", F.explode(F.array(*[F.lit(r["family"]) for r in models.select("family").collect()])).alias("family"))
     pairs = materialize(pairs, "profile-pairs")
-    work = pairs.join(rows, "query").join(models.select("family", "model"), "family")
-    work = work.repartitionByRange(1 + pairs.count() // TASK_PROTEINS, "family", "query").sortWithinPartitions("family")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, own in pdf.groupby("family"):
-                model = P.unpacked(own["model"].iloc[0])
-                own = own.iloc[np.argsort(own["sequence"].map(len), kind="stable")]
+            for r in pdf.itertuples(index=False):
+                model = P.unpacked(r.model)
+                size = np.array(list(map(len, r.sequence)))
+                order = np.argsort(size, kind="stable")
                 step = max(1, 2_000_000 // max(1, len(model)) // 8)
-                for a in range(0, len(own), step):
-                    some = own.iloc[a : a + step]
-                    bits, start, end = P.best_paths(model, [A.encoded(s) for s in some["sequence"]])
+                for a in range(0, len(order), step):
+                    some = order[a : a + step]
+                    bits, start, end = P.best_paths(model, [A.encoded(r.sequence[i]) for i in some])
                     # Longer proteins have more places to score by chance.
-                    mode = model.mode + np.log2(np.maximum(1, some["sequence"].map(len).to_numpy()) / P.DRAWN)
+                    mode = model.mode + np.log2(np.maximum(1, size[some]) / P.DRAWN)
                     expected = total * -np.expm1(-np.exp(-np.log(2) * (bits - mode)))
-                    yield pd.DataFrame({"query": some["query"].to_numpy(), "family": name, "bits": bits, "evalue": expected, "start": start, "end": end})
+                    yield pd.DataFrame({"query": [r.query[i] for i in some], "family": r.family, "bits": bits, "evalue": expected, "start": start, "end": end})
 
-    found = work.select("query", "sequence", "family", "model").mapInPandas(run, "query string, family string, bits double, evalue double, start int, end int")
+    work = search_rows(pairs, rows, models).repartition(1 + pairs.count() // TASK_PROTEINS, "family", "part")
+    found = work.drop("part").mapInPandas(run, "query string, family string, bits double, evalue double, start int, end int")
     return found.filter(F.col("evalue") <= most_expected)
 
 
+def search_rows(pairs: DataFrame, proteins: DataFrame, models: DataFrame) -> DataFrame:
+    """(family, part, query, sequence, model): the proteins that each model is to run through, about ROW_PROTEINS a row.
+
+    A model is as large as many proteins, so it lies beside a row of them, not beside each.
+    """
+    sizes = materialize(pairs.groupBy("family").agg(F.count(F.lit(1)).alias("_n")), "profile-sizes")
+    dealt = F.pmod(F.xxhash64("query"), F.ceil(F.col("_n") / ROW_PROTEINS)).alias("part")
+    work = join_answers(pairs, sizes, "family", "_n").join(proteins, "query")
+    work = work.groupBy("family", dealt).agg(F.collect_list(F.struct("query", "sequence")).alias("own")).join(models.select("family", "model"), "family")
+    return work.select("family", "part", F.col("own.query").alias("query"), F.col("own.sequence").alias("sequence"), "model")
+
+
 def best_family(hits: DataFrame) -> DataFrame:
     """Per query its best hit by bits, then by family."""
     return hits.groupBy("query").agg(F.min_by(F.struct("family", "bits", "evalue", "start", "end"), F.struct(-F.round("bits", 6), "family")).alias("b")).select("query", "b.*")

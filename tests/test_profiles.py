@@ -137,6 +137,35 @@ def test_sub_families(spark):
     assert got["a0"] == got["a1"] == got["a2"] == "f_a0" and got["b0"] == got["b2"] == "f_b0" and got["g"] == "g_g"
 
 
+def test_a_model_lies_beside_many_proteins(spark):
+    """Each protein had a model of its own beside it, so that a batch held thousands of equal models."""
+    rows = [(f"p{i}", protein(20 + i % 7, random.Random(i))) for i in range(900)]
+    pairs = [(p, f) for f, of in (("a", rows), ("b", rows[:40]), ("c", rows[:1])) for p, _ in of]
+    proteins, models = spark.createDataFrame(rows, "query string, sequence string"), spark.createDataFrame([(f, f.encode()) for f in "abc"], "family string, model binary")
+    found = profiles.search_rows(materialize(spark.createDataFrame(pairs, "query string, family string"), "t-pairs"), proteins, models).collect()
+    assert len(found) <= 6 and max(len(r["query"]) for r in found) < 2 * profiles.ROW_PROTEINS
+    known = dict(rows)
+    assert all(bytes(r["model"]).decode() == r["family"] and [known[p] for p in r["query"]] == r["sequence"] for r in found)
+    assert sorted((p, r["family"]) for r in found for p in r["query"]) == sorted(pairs)
+
+
+def test_counts_of_many_members(spark):
+    """More letters than are held at a time."""
+    rng = random.Random(8)
+    width, members = 90, 3_000
+    texts = [protein(width, rng) for _ in range(members)]
+    assert width * members > profiles.LETTERS
+    every = list(range(width))
+    rows = [("f", str(i), width, every, every, s) for i, s in enumerate(texts)]
+    aligned = materialize(spark.createDataFrame(rows, "family string, id string, width int, columns array<int>, places array<int>, sequence string").repartition(1), "t-aligned")
+    got = {(r["column"], r["kind"]): r["n"] for r in profiles.profile_counts(aligned).collect()}
+    want = {}
+    for s in texts:
+        for c, k in enumerate(A.encoded(s)):
+            want[c, int(k)] = want.get((c, int(k)), 0) + 1
+    assert got == want | {(c, 20 + P.MM): members for c in range(width - 1)}
+
+
 def test_no_proteins(spark):
     none = spark.createDataFrame([], "id string, kind string, s string")
     models = materialize(profiles.profile_models(none, "kind", "id", "s"), "test-models")
