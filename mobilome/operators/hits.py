@@ -15,6 +15,10 @@ from mobilome.storage import discard, materialize
 NO_HIT = {"score": 0.0, "target_id": "None", "pident": 0.0, "coverage": 0.0, "evalue": 999.0}
 
 
+#: Links that one task of greedy clustering holds on average, and tasks that the links of one vertex may lie in.
+TASK_LINKS, SPREAD = 500_000, 8
+
+
 def best_hit(hits: DataFrame, query: str, order: list[Column], keep: list[str]) -> DataFrame:
     """Per query the row with the largest ``order``; end it with a tie-breaker such as the negated line number."""
     return hits.groupBy(query).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("b")).select(query, "b.*")
@@ -132,36 +136,52 @@ def audit_counts(audited: DataFrame) -> DataFrame:
     return audited.groupBy("homology_class").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("label") == 1).alias("positives"))
 
 
+def greedy_links(vertices: DataFrame, edges: DataFrame, id_col: str, priority: list[Column]) -> tuple[DataFrame, DataFrame, int]:
+    """(v, place) and (x, y): vertices with places that grow from the first in order to the last, links both ways by place, and in how many parts these lie.
+
+    Places are numbers in the order of a sort, not without gaps.  The number of parts follows the links, so a task holds as many whatever the input.
+    """
+    pairs = materialize(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b"), "greedy-pairs")
+    parts = 1 + 2 * pairs.count() // TASK_LINKS
+    best = vertices.select(F.col(id_col).alias("v"), F.struct(*priority, (-F.col(id_col)).alias("_low")).alias("r")).groupBy("v").agg(F.max("r").alias("r"))
+    order = materialize(best.sort(F.desc("r")).select("v", F.monotonically_increasing_id().alias("place")), "greedy-order")
+    # Cut by the smaller side: a join that shuffles follows it.
+    place = order.repartition(parts, "v")
+    linked = pairs.union(pairs.select("b", "a")).join(place.select(F.col("v").alias("a"), F.col("place").alias("x")), "a")
+    linked = linked.join(place.select(F.col("v").alias("b"), F.col("place").alias("y")), "b").select("x", "y", F.pmod(F.xxhash64("y"), F.lit(SPREAD)).alias("share"))
+    # With its share among what is distinct, this keeps the partitions.
+    linked = materialize(linked.repartition(parts, "x", "share").distinct().select("x", "y"), "greedy-links")
+    discard(pairs)
+    return order, linked, parts
+
+
 def greedy_clusters(vertices: DataFrame, edges: DataFrame, id_col: str, priority: list[Column], most: int = 200) -> DataFrame:
     """(id, representative) of greedy clustering: taken in order of ``priority`` (larger first, then smaller id), a vertex
     that no representative has taken represents itself and takes all its free neighbours.
 
-    Rounds over edges: a free vertex that outranks all its free neighbours represents, and its neighbours are free no more.  At the
-    end every other vertex joins the best representative next to it.  The result is that of going
+    Rounds over links: a free vertex that comes before all its free neighbours represents, and its neighbours are free no more.  At the
+    end every other vertex joins the first representative next to it.  The result is that of going
     through the vertices one by one.  Each round is written, so lost executors cost one round.
     """
-    rank = F.struct(*priority, (-F.col(id_col)).alias("_low"))
-    named = vertices.select(F.col(id_col).alias("v"), rank.alias("r"))
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b")
-    both = both.union(both.select("b", "a")).distinct()
-    linked = both.join(named.withColumnsRenamed({"v": "a", "r": "ra"}), "a").join(named.withColumnsRenamed({"v": "b", "r": "rb"}), "b")
-    linked = materialize(linked, "greedy-edges")
-    free, rounds = materialize(named, "greedy-free"), []
+    order, linked, parts = greedy_links(vertices, edges, id_col, priority)
+    free, rounds = order.select("place"), []
     while len(rounds) < most and not free.isEmpty():
-        live = linked.join(free.select(F.col("v").alias("a")), "a", "left_semi").join(free.select(F.col("v").alias("b")), "b", "left_semi")
-        best = live.groupBy("a").agg(F.max("rb").alias("top"))
-        chosen = materialize(free.join(best, F.col("v") == F.col("a"), "left").filter("top IS NULL OR r > top").select("v"), "greedy-chosen")
+        cut = free.repartition(parts, "place")
+        live = linked.join(cut.select(F.col("place").alias("x")), "x", "left_semi").join(cut.select(F.col("place").alias("y")), "y", "left_semi")
+        first = live.groupBy("x").agg(F.min("y").alias("next"))
+        chosen = materialize(free.join(first, F.col("place") == F.col("x"), "left").filter("next IS NULL OR place < next").select("place"), "greedy-chosen")
         rounds.append(chosen)
-        done = chosen.union(live.join(chosen.select(F.col("v").alias("b")), "b", "left_semi").select("a")).distinct()
-        before, free = free, materialize(free.join(done, "v", "left_anti"), "greedy-free")
+        taken = live.join(chosen.repartition(parts, "place").select(F.col("place").alias("y")), "y", "left_semi").select("x")
+        before, free = free, materialize(free.join(chosen.union(taken).distinct(), "place", "left_anti"), "greedy-free")
         discard(before)
     if not free.isEmpty():
         raise RuntimeError(f"clusters are open after {most} rounds")
-    chosen = rounds[0] if rounds else named.select("v")
+    chosen = rounds[0] if rounds else order.select("place")
     for more in rounds[1:]:
         chosen = chosen.union(more)
-    own = linked.join(chosen.select(F.col("v").alias("b")), "b", "left_semi").groupBy("a").agg(F.max_by("b", "rb").alias("to"))
-    own = own.join(chosen.select(F.col("v").alias("a")), "a", "left_anti")
+    own = linked.join(chosen.repartition(parts, "place").select(F.col("place").alias("y")), "y", "left_semi").groupBy("x").agg(F.min("y").alias("y"))
+    own = own.join(chosen.select(F.col("place").alias("x")), "x", "left_anti")
+    own = own.join(order.select(F.col("place").alias("x"), F.col("v").alias("a")), "x").join(order.select(F.col("place").alias("y"), F.col("v").alias("to")), "y").select("a", "to")
     return vertices.select(F.col(id_col)).join(own, F.col(id_col) == F.col("a"), "left").select(id_col, F.coalesce("to", id_col).alias("representative"))
 
 

@@ -6,6 +6,7 @@ import json
 import os
 import random
 import stat
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,6 +157,32 @@ def test_greedy_clusters_one_by_one(spark):
     assert H.greedy_clusters(v.limit(0), spark.createDataFrame([], "src long, dst long"), "id", [F.col("n")]).count() == 0
 
 
+def test_greedy_links_lie_in_parts_of_one_size(spark, monkeypatch):
+    """The links of all tasks grew with the input, as the number of tasks did not; those of a hub lay in one."""
+    monkeypatch.setattr(H, "TASK_LINKS", 100)
+    n = 600
+    edges = [(0, i) for i in range(1, n)] + [(i, i + 7) for i in range(1, 500)] + [(3, 3), (5, 4), (4, 5), (4, 5), (1, n + 9), (None, 2)]
+    v = spark.createDataFrame([(i, i % 11) for i in range(n)] + [(None, 3), (8, 8)], "id long, n int")
+    order, linked, parts = H.greedy_links(v, spark.createDataFrame(edges, "src long, dst long"), "id", [F.col("n")])
+    assert parts == 23
+    place = {r.v: r.place for r in order.collect()}
+    ranked = sorted(range(n), key=lambda i: (-(i % 11), i))
+    assert sorted(ranked, key=place.get) == ranked and len(place) == n + 1
+    both = {(a, b) for a, b in edges + [(b, a) for a, b in edges] if a != b and None not in (a, b) and max(a, b) < n}
+    got = linked.withColumn("file", F.input_file_name()).collect()
+    assert len(got) == len(both) and {(r.x, r.y) for r in got} == {(place[a], place[b]) for a, b in both}
+    sizes = Counter(r.file for r in got)
+    assert len(sizes) > 12 and max(sizes.values()) < 400
+    assert len({r.file for r in got if r.x == place[0]}) > 3
+    near = {i: {i} | {b for a, b in both if a == i} for i in range(n)}
+    want = {}
+    for i in ranked:
+        if i not in want:
+            want |= {j: i for j in near[i] if j not in want}
+    found = H.greedy_clusters(v, spark.createDataFrame(edges, "src long, dst long"), "id", [F.col("n")]).collect()
+    assert len(found) == n + 2 and {r.id: r.representative for r in found} == want | {None: None}
+
+
 def test_holding_ids_by_plain_search(spark):
     rng = random.Random(5)
     ids = ["".join(rng.choice("ab_1") for _ in range(rng.randrange(1, 14))) for _ in range(80)]
