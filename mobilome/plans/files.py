@@ -241,9 +241,12 @@ def structure_file(spark, d):
     sums = None
     for i in range(portions):
         mine = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(portions)) == i)
-        p = mine.select(protein(F.col("text")).alias("aa")).filter("length(aa) > 0").select(F.explode(parts).alias("aa"))
+        # Empty chains go when lines are made; a filter before would translate every text twice.
+        p = mine.select(protein(F.col("text")).alias("aa")).select(F.explode(parts).alias("aa"))
         at = _place(spark, "structures")
-        p.select(F.explode(structures.structure_lines(F.col("aa"))).alias("value")).write.option("compression", "gzip").text(at)
+        # Dealt anew, since a file that is compressed is read by one task.
+        chains = p.repartition(2 * spark.sparkContext.defaultParallelism)
+        structures.structure_texts(chains, "aa").write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(at)
         a = tables.alpha_carbons(spark.read.text(at))
         read = materialize(a.agg(F.count(F.lit(1)).alias("atoms"), *[F.sum(c).alias(c) for c in ("x", "y", "z", "plddt")], F.max("residue").alias("last")), "structure-sums")
         artifacts.remove(spark, at)

@@ -14,3 +14,14 @@ def test_structures_of_all_portions_count_and_leave_no_files(spark, tmp_path, mo
     import os
 
     assert not [x for x in os.listdir(at) if x.startswith("structures-")]
+
+
+def test_texts_of_chains_are_their_lines(spark):
+    from pyspark.sql import functions as F
+
+    from mobilome.operators import structures
+
+    chains = [("ACDEFGHIKLMNPQRSTVWY" * 600)[:n] for n in [*range(1, 45), 99, 511, 512, 513, 4999, 5000, 5001, 6500, 6577, 6578, 6579, 10_001]] + ["", None, "AÄC" * 9]
+    rows = spark.createDataFrame([(c,) for c in chains], "aa string")
+    lines = {r.aa: "\n".join(r.l) for r in rows.select("aa", structures.structure_lines(F.col("aa")).alias("l")).collect() if r.aa}
+    assert sorted(r.value for r in structures.structure_texts(rows, "aa").collect()) == sorted(lines.values())
