@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mobilome.functions import alignment_kernels as A
 
@@ -246,3 +247,41 @@ def test_a_region_is_aligned_once(spark):
     seeds = spark.createDataFrame([(1, 2, 0, 5, 30, 9), (1, 2, 3, 40, 60, 4), (1, 3, 0, 5, 30, 9), (1, 3, 100, 5, 30, 3)], "query int, target int, diagonal int, q_first int, q_last int, hits long")
     got = sorted(tuple(r) for r in alignment.regions(seeds).collect())
     assert got == [(1, 2, 5, 64, 0, 3), (1, 3, 5, 34, 0, 0), (1, 3, 5, 34, 0, 100)]
+
+
+def test_codes_of_neighbours():
+    rng = random.Random(2)
+    for k, least in ((4, 17), (3, 11), (5, 22), (4, 40)):
+        for _ in range(20):
+            w = "".join(rng.choices(A.RESIDUES[:20], k=k))
+            got = A.neighbour_codes(w, least).tolist()
+            assert len(got) == len(set(got)) and set(got) == {A.word_code(x) for x in A.neighbours(w, least)}
+
+
+def test_regions_of_a_tile_are_those_of_the_tables(spark):
+    import numpy as np
+
+    from mobilome.operators import alignment
+
+    rng = random.Random(4)
+    rows = sorted({(rng.randrange(4), rng.randrange(4), rng.randrange(-300, 300), rng.randrange(6) * 20) for _ in range(200)})
+    rows = [(q, t, d, f, f + rng.choice((5, 30)), rng.randrange(2, 5)) for q, t, d, f in rows]
+    seeds = spark.createDataFrame(rows, "query int, target int, diagonal int, q_first int, q_last int, hits long")
+    got = A.pair_regions(*(np.array(c, np.int64) for c in zip(*rows)), 4, 64, 2)
+    assert sorted(zip(*(c.tolist() for c in got))) == sorted(tuple(r) for r in alignment.regions(seeds).collect())
+
+
+def test_linking_edges_connect_what_all_hits_connect(spark):
+    """With fewer alignments: alike proteins are linked to one of them, not in all pairs, and nothing else is lost."""
+    from mobilome.operators import alignment
+    from mobilome.operators.components import connected_components
+
+    rng = random.Random(9)
+    bases = [protein(120, rng) for _ in range(3)]
+    rows = [(f"p{i}_{j}", mutated(b, rng, 4 if j % 2 else 45, 1)) for i, b in enumerate(bases) for j in range(24)] + [("x", "ACD"), ("y", None), ("z", "W" * 50)]
+    frame = spark.createDataFrame(rows, "id string, sequence string")
+    apart = F.col("query") < F.col("target")
+    hits = alignment.search(frame, frame, apart=apart).select(F.col("query").alias("src"), F.col("target").alias("dst"))
+    some = alignment.linking_edges(frame, lambda h: h, apart=apart)
+    parts = lambda e: {(r.node, r.component) for r in connected_components(e).collect()}
+    assert parts(some) == parts(hits) and some.exceptAll(hits).isEmpty() and some.count() < hits.count() / 2
